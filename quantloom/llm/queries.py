@@ -10,6 +10,7 @@ from .decontaminate import leak_report
 from .language import language_report
 from .media import media_columns
 from .pii import pii_report
+from .simhash import simhash_components
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash": op6_simhash,
     "op3_language_id": op3_language_id,
     "op4_media_columns": op4_media_columns,
     "op5_pii": op5_pii,

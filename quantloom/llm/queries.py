@@ -11,6 +11,7 @@ from .language import language_report
 from .media import media_columns
 from .pii import pii_report
 from .simhash import simhash_components
+from .tokenfile import token_file_columns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_file_columns(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_token_files": op8_token_files,
     "op6_simhash": op6_simhash,
     "op3_language_id": op3_language_id,
     "op4_media_columns": op4_media_columns,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import leak_report
 from .language import language_report
 from .media import media_columns
+from .pieces import piece_report
 from .pii import pii_report
 from .simhash import simhash_components
 from .tokenfile import token_file_columns
@@ -44,7 +45,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_columns(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_token_files": op8_token_files,
     "op6_simhash": op6_simhash,
     "op3_language_id": op3_language_id,

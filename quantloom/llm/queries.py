@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import leak_report
+from .htmltext import page_texts
 from .language import language_report
 from .media import media_columns
 from .pieces import piece_report
@@ -51,7 +52,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_html_text": op9_html_text,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_files": op8_token_files,
     "op6_simhash": op6_simhash,

@@ -18,6 +18,7 @@ their texts; an empty table gives no file and no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -36,7 +37,7 @@ MAGIC, HEAD = b"QLT1", struct.Struct("<4s5q")
 BLOCK_IDS = 1 << 21
 #: Words whose encodings a worker keeps, in each of two generations, and words that are encoded as one text.
 CACHE_WORDS, JOINED_WORDS = 400_000, 500
-_MARKS = b".,!?;:#$%&*"
+_MARK = re.compile(rb"([a-z])([,.])(?=[ \n])")
 #: Bytes of data for each of the four ids of a control byte.
 _SIZES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 _PLACE = np.arange(4, dtype=np.uint8)
@@ -87,25 +88,20 @@ def decode_block(block: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
     return documents, np.frombuffer(ranks, "<u4")[unpack(control, data, n)]
 
 
-def _parts(word: bytes) -> tuple[bytes, ...]:
-    """What of a word may be encoded apart: ASCII letters, in lower case, and marks behind them."""
-    stem = word.rstrip(_MARKS)
-    if not stem.isalpha():
-        return (word,)
-    return (stem.lower(), word[len(stem) :]) if len(stem) < len(word) else (stem.lower(),)
-
-
 class WordEncoder:
     """Ids of texts from a lower-casing tokenizer that parts text at ASCII white space, and letters from other marks.
 
-    Each word is encoded once while it is cached. ``word_bpe_49k.json`` is such a tokenizer; the
-    tests compare with its encoding of whole texts.
+    Each word is encoded once while it is cached, a comma or full stop behind it apart. A text with
+    the beginning of a special token's string is encoded as a whole. ``word_bpe_49k.json`` is such a
+    tokenizer; the tests compare with its encoding of whole texts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a piece of text
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -113,28 +109,38 @@ class WordEncoder:
         """Little-endian 32-bit ids of each text, then ``end``."""
         if len(self.new) > CACHE_WORDS:
             self.old, self.new = self.new, {}
-        split = [utf8(t).split() for t in texts]
-        wanted = set().union(*split).difference(self.new)
+        words, cuts, whole = [], [0], {}
+        for k, text in enumerate(texts):
+            data = utf8(text)
+            if b"<|" in data:
+                whole[k] = self._whole([data])[0]
+            else:
+                words += _MARK.sub(rb"\1 \2", data.lower()).split()
+            cuts.append(len(words))
+        wanted = set(words).difference(self.new)
         kept = self.old.keys() & wanted
         self.new.update((w, self.old[w]) for w in kept)
-        parts = {w: _parts(w) for w in wanted.difference(kept)}
-        fresh = list(set().union(*parts.values()).difference(self.new))
-        for k in range(0, len(fresh), JOINED_WORDS):
-            self._learn(fresh[k : k + JOINED_WORDS])
-        self.new.update((w, b"".join([self.new[p] for p in own])) for w, own in parts.items())
-        find = self.new.__getitem__
-        return [b"".join(map(find, words)) + end for words in split]
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes the words as one text and deals its ids to the words by where they begin."""
-        text = [w.decode("utf-8", "surrogatepass") for w in words]
-        ends = np.cumsum([len(w) + 1 for w in text])
-        encoding = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
-        ids = np.array(encoding.ids, "<u4")
-        starts = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(ids))
-        cuts = [0, *np.searchsorted(starts, ends).tolist()]
-        raw = ids.tobytes()
-        self.new.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, cuts, cuts[1:]))
+        self._learn(wanted.difference(kept))
+        ids = list(map(self.new.__getitem__, words))
+        return [(whole.get(k) or b"".join(ids[a:b])) + end for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def _learn(self, words: set[bytes]) -> None:
+        plain = [w for w in words if w.isalpha() or not w.isascii() and w.decode("utf-8", "surrogatepass").isalpha()]
+        for k in range(0, len(plain), JOINED_WORDS):
+            self._joined(plain[k : k + JOINED_WORDS])
+        rest = list(words.difference(self.new))
+        self.new.update(zip(rest, self._whole(rest)))
+
+    def _joined(self, words: list[bytes]) -> None:
+        """Encodes words as one text and parts its ids behind those that end a piece, if every word is one piece."""
+        raw = self._whole([b" ".join(words)])[0]
+        cuts = (4 * (np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1)).tolist()
+        if len(cuts) == len(words) and cuts[-1] == len(raw):
+            self.new.update((w, raw[a:b]) for w, a, b in zip(words, [0, *cuts], cuts))
 
 
 @lru_cache(maxsize=2)
@@ -208,7 +214,9 @@ def read_tokens(index: DataFrame, root: str, doc_id: str = "long") -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays([documents.column(0), pa.array(start + ends - sizes), documents.column(1), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = index.select("file", "offset", "length", "start").repartition("file", "offset")
+    # a number of partitions, since index rows are too small for adaptive execution to spread their work
+    spread = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = index.select("file", "offset", "length", "start").repartition(spread, "file", "offset")
     return rows.mapInArrow(run, f"doc_id {doc_id}, start long, n_tokens long, ids_crc32 long")
 
 

@@ -178,7 +178,9 @@ def media_columns(docs: DataFrame) -> DataFrame:
     root = shared_folder(docs.sparkSession, "media")
     index = written(store_media(docs, f"{root}-tar"), "media-index")
     places = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
-    places = places.select("digest", "place.*").repartition("shard").sortWithinPartitions("shard", "offset")
+    # a number of partitions, since index rows are too small for adaptive execution to spread their work
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = places.select("digest", "place.*").repartition(spread, "shard", F.floor(F.col("offset") / SHARD_BYTES * 64)).sortWithinPartitions("shard", "offset")
     features = read_media(places, f"{root}-tar")
     columns = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
     return index.join(features, "digest").select("doc_id", *columns, "digest", "shard", "offset", "length")

@@ -10,6 +10,7 @@ from .decontaminate import leak_report
 from .htmltext import page_texts
 from .language import language_report
 from .media import media_columns
+from .mixing import score_report
 from .pieces import piece_report
 from .pii import pii_report
 from .simhash import simhash_components
@@ -56,7 +57,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_score": op2_lm_score,
     "op9_html_text": op9_html_text,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_files": op8_token_files,

@@ -43,8 +43,8 @@ class Forest:
         order = np.argsort(edge)
         self.edge, self.child = edge[order], child[order]
 
-    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Blocks of ``(i, j, distance)``, i > j, of all rows of one group within ``radius``."""
+    def pairs(self, radius: int, above: int = -1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of ``(i, j, distance)``, i > j, of all rows of one group more than ``above`` and at most ``radius`` apart."""
         front = [(np.arange(len(self.root)), self.root)]
         while front:
             query, node = front.pop()
@@ -53,7 +53,7 @@ class Forest:
                 front += [(query[:half], node[:half]), (query[half:], node[half:])]
                 continue
             d = distance(self.bits[query], self.bits[node])
-            hit = (d <= radius) & (query > node)
+            hit = (d <= radius) & (d > above) & (query > node)
             if hit.any():
                 yield query[hit], node[hit], d[hit]
             low = np.searchsorted(self.edge, node * self.span + np.maximum(d - radius, 0))

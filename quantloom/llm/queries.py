@@ -14,6 +14,7 @@ from .mixing import score_report
 from .pieces import piece_report
 from .pii import pii_report
 from .simhash import simhash_components
+from .suffixes import without_repeats
 from .tokenfile import token_file_columns
 
 
@@ -57,11 +58,16 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lm_score": op2_lm_score,
     "op9_html_text": op9_html_text,
     "op7_sentencepiece": op7_sentencepiece,

@@ -7,6 +7,11 @@ BK-tree that all of them query. Shards are not broadcast, since their number and
 data. A shard emits a spanning forest of its links, never all pairs, and the forests' components
 are joined by star contraction.
 
+``without_near_copies`` keeps one document of each group of near-duplicates by the Jaccard similarity of
+word shingles. At a similarity of 0.8 about 15 % of fingerprint bits differ, too many for whole blocks
+to agree, so its shards are keyed by bands of minimum hashes of the shingles; 128-bit fingerprints form
+the shards' BK-trees, and the links that the trees find are checked exactly.
+
 Defined cases: null and word-free texts have fingerprint zero and link like any other; equal texts
 share fingerprint and component; a document without id has a fingerprint, and the component of
 the ids it reaches, null if none; repeated rows give repeated rows; an empty table gives no rows.
@@ -28,6 +33,8 @@ from .text import spaced_words
 
 #: Bits of the blocks of a 64-bit fingerprint, and the most differing bits of a link.
 BLOCKS, RADIUS = (11, 11, 11, 11, 10, 10), 4
+#: For near copies: bands of minimum hashes, hashes in a band, and the most of 128 bits that differ in a candidate.
+BANDS, BAND_HASHES, WIDE_RADIUS = 7, 2, 36
 #: Rows of whole shards that a task joins at once; members beyond which a shard is dealt by further blocks.
 CHUNK_ROWS, HOT_SHARD = 200_000, 20_000
 
@@ -153,3 +160,114 @@ def simhash_components(docs: DataFrame, words: int = 4) -> DataFrame:
     linked = linked.join(roots, "root").select("bits", "least")
     known = distinct.join(linked, "bits", "left").select("bits", F.coalesce("least", "first").alias("component_id"))
     return rows.join(known, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of each hash."""
+    x = (hashes ^ np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key for each band: a hash of its minimum hashes."""
+    least = [_mixed(hashes, k + 1).min() if len(hashes) else np.uint64(0) for k in range(BANDS * BAND_HASHES)]
+    keys = np.array(least, np.uint64).reshape(BANDS, BAND_HASHES)
+    total = np.arange(BANDS, dtype=np.uint64)
+    for column in keys.T:
+        total = _mixed(total ^ column, 99)
+    return total.view(np.int64).tolist()
+
+
+def _wide_rows(docs: DataFrame, words: int) -> DataFrame:
+    """``key, doc_id, low, high, bands`` of each document."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high, bands = [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = np.unique(shingle_hashes(text, words))
+                low.append(majority(hashes))
+                high.append(majority(_mixed(hashes, 0)))
+                bands.append(band_keys(hashes))
+            halves = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (low, high)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *halves, pa.array(bands, pa.list_(pa.int64()))], ["key", "doc_id", "low", "high", "bands"])
+
+    return docs.select("__key", "doc_id", "text").mapInArrow(run, f"key binary, doc_id {kind}, low long, high long, bands array<bigint>")
+
+
+def split_hot(shards: DataFrame, limit: int = HOT_SHARD) -> DataFrame:
+    """``shards`` with each hot one dealt to shards of its own for every two of its parts, so that any two members still meet."""
+    sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    sizes = written(sizes.select("shard", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "hot-shards")
+    own = F.pmod(F.xxhash64("key"), F.col("parts"))
+    met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("shard", F.least(own, j.cast("long")), F.greatest(own, j.cast("long"))))
+    hot = shards.join(sizes, "shard").withColumn("shard", F.explode(met)).drop("parts")
+    return shards.join(sizes, "shard", "left_anti").unionByName(hot)
+
+
+def near_links(shards: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``a, b`` keys of candidates: of each shard, a spanning forest that prefers close pairs, and each member's nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in whole_shards(batches):
+            at, group = _crowded(chunk.column("shard").to_numpy())
+            bits = np.stack([chunk.column(c).to_numpy()[at].view(np.uint64) for c in ("low", "high")], 1)
+            links, forest = Links(len(bits), nearest=True), Forest(bits, group)
+            steps = [-1, radius // 4, radius // 2, radius * 3 // 4, radius]
+            for above, most in zip(steps, steps[1:]):
+                for i, j, d in forest.pairs(most, above):
+                    links.add(i, j, d)
+            edges = links.edges()
+            keys = chunk.column("key").take(pa.array(at))
+            yield from pa.table({c: keys.take(pa.array(edges[:, k])) for k, c in enumerate("ab")}).to_batches()
+
+    rows = shards.repartition("shard").sortWithinPartitions("shard").select("shard", "key", "low", "high")
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``key, hashes``: each text's distinct shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "hashes"])
+
+    return texts.mapInArrow(run, "key binary, hashes array<bigint>")
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``key, root`` of texts (by MD5) that are linked to others at ``similarity`` or more; root is the smallest key."""
+    keyed = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("__key"), "doc_id", "text")
+    rows = written(_wide_rows(keyed, words), "near-rows")
+    distinct = rows.groupBy("key").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("bands").alias("bands"))
+    shards = distinct.select("key", "low", "high", F.explode("bands").alias("shard"))
+    pairs = written(near_links(split_hot(shards)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    wanted = pairs.select(F.col("a").alias("__key")).union(pairs.select("b")).distinct()
+    texts = keyed.select("__key", "text").join(wanted, "__key", "left_semi").groupBy("__key").agg(F.first("text").alias("text"))
+    sets = written(_shingle_sets(texts, words), "near-sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    return components(both.where((common >= F.lit(similarity) * union)).select("a", "b")).toDF("key", "root")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, that of the smallest doc_id (nulls last).
+
+    Texts without words are one group; a group is what links of ``similarity`` or more
+    connect. Of repeated rows, equal in doc_id and text, one stays.
+    """
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    copies = docs.select(key.alias("key"), "doc_id").groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"), F.col("n"))
+    best = copies.groupBy("key").agg(F.min(order).alias("best"))
+    groups = near_groups(docs, words, similarity)
+    best = best.join(groups, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("best").alias("best"))
+    best = written(best.select(F.col("best.key").alias("__key"), F.col("best.doc_id").alias("__id"), F.col("best.n").alias("__n")), "near-kept")
+    mine = docs.drop("__key", "__id", "__n").withColumn("__key", key)
+    kept = mine.join(best, (mine["__key"] == best["__key"]) & mine["doc_id"].eqNullSafe(best["__id"])).drop(best["__key"])
+    once = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(["__key"]))
+    return once.select(*docs.columns)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import utf8
+from .text import in_batches, utf8
 
 #: Hash buckets for n-grams (a power of two), and the n-gram lengths in bytes.
 BUCKETS, ORDERS = 1 << 16, (3, 4)
@@ -170,7 +170,7 @@ def train(docs: DataFrame) -> LanguageModel:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], ["lang", "bucket", "n"])
 
-    rows = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = in_batches(docs).select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     whole = sums.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n"))
     found = sorted(whole.limit(MAX_LANGUAGES + 1).toLocalIterator(), key=lambda r: r["lang"])
@@ -185,7 +185,7 @@ def train(docs: DataFrame) -> LanguageModel:
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with struct ``__lang`` of ``pred``, ``score`` and ``lead``; it replaces a column of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.drop("__lang").withColumn("__lang", F.lit(None).cast("struct<pred:string,score:double,lead:double>"))
+    out = in_batches(docs).drop("__lang").withColumn("__lang", F.lit(None).cast("struct<pred:string,score:double,lead:double>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import open_store, shared_folder, written
-from .text import utf8
+from .text import in_batches, utf8
 
 #: Samples in a row of the image, and the unit to which payloads are padded.
 WIDTH = 192
@@ -142,7 +142,7 @@ def store_media(docs: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         writer.close()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long")
+    return in_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long")
 
 
 def read_media(places: DataFrame, root: str) -> DataFrame:

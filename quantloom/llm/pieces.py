@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .text import in_batches
+
 #: Chunks that a worker keeps, in each of two generations; chunks encoded as one text; threads of a batch.
 CACHE_CHUNKS, JOINED_CHUNKS, THREADS = 300_000, 500, 2
 #: Fixed values of the model format: piece kinds, model kinds, the metaspace marker.
@@ -216,13 +218,13 @@ def codec(path: str) -> PieceCodec:
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids, n_tokens, decoded, parity``: the ids, the text they decode to, and agreement of both libraries."""
     schema = "doc_id {}, ids array<int>, n_tokens long, decoded string, parity boolean".format(docs.schema["doc_id"].dataType.simpleString())
-    return docs.select("doc_id", "text").mapInArrow(_encoder(model, False), schema)
+    return in_batches(docs).select("doc_id", "text").mapInArrow(_encoder(model, False), schema)
 
 
 def piece_report(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip, parity`` of each document."""
     schema = "doc_id {}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean".format(docs.schema["doc_id"].dataType.simpleString())
-    return docs.select("doc_id", "text").mapInArrow(_encoder(model, True), schema)
+    return in_batches(docs).select("doc_id", "text").mapInArrow(_encoder(model, True), schema)
 
 
 def _encoder(path: str, digests: bool):

@@ -22,6 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .text import in_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account", "secret")
@@ -167,7 +168,7 @@ def pii_report(docs: DataFrame) -> DataFrame:
             arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(base, pa.string()), pa.array([spans_text(s, KINDS) for s in found], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def redacted(text: str | None) -> str | None:
@@ -198,4 +199,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(n, batch.schema.field(n), pa.array(counts, batch.schema.field(n).type))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs).mapInArrow(run, schema)

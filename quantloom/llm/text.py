@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Lower-cases A-Z and turns every ASCII byte that is neither digit nor letter into a space.
 ALNUM_TABLE = bytes(
@@ -12,6 +13,18 @@ ALNUM_TABLE = bytes(
 )
 
 
+#: Rows of an Arrow batch of texts; texts are long, so Spark's default for batches would fill a worker's memory.
+BATCH_ROWS = 1024
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after bounding the Arrow batches that its session sends to workers."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of ``text``; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -27,13 +40,6 @@ def alnum_words(text: str | None) -> list[bytes]:
     return utf8(text).translate(ALNUM_TABLE).split()
 
 
-def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    """A record batch of ``schema`` from one list or array per field."""
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
-    )
-
-
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most ``limit`` bytes of ``column`` (one row at least), with those bytes."""
     for batch in batches:

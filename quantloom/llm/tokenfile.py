@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .storage import open_store, shared_folder, written
-from .text import utf8
+from .text import in_batches, utf8
 
 MAGIC, HEAD = b"QLT1", struct.Struct("<4s5q")
 #: Ids in a block, after which a new one begins.
@@ -187,7 +187,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, root: str) -> Dat
             types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "block", "file", "offset", "length", "n_ids"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = in_batches(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, "part long, block long, file string, offset long, length long, n_ids long")
 
 

@@ -23,13 +23,15 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bktree import Forest, Links
+from .bloom import bloom, passes
 from .graph import components
 from .storage import written
-from .text import spaced_words
+from .text import in_batches, spaced_words
 
 #: Bits of the blocks of a 64-bit fingerprint, and the most differing bits of a link.
 BLOCKS, RADIUS = (11, 11, 11, 11, 10, 10), 4
@@ -69,7 +71,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             bits = np.array([majority(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bits long")
+    return in_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bits long")
 
 
 def whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -194,7 +196,7 @@ def _wide_rows(docs: DataFrame, words: int) -> DataFrame:
             halves = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (low, high)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *halves, pa.array(bands, pa.list_(pa.int64()))], ["key", "doc_id", "low", "high", "bands"])
 
-    return docs.select("__key", "doc_id", "text").mapInArrow(run, f"key binary, doc_id {kind}, low long, high long, bands array<bigint>")
+    return in_batches(docs).select("__key", "doc_id", "text").mapInArrow(run, f"key binary, doc_id {kind}, low long, high long, bands array<bigint>")
 
 
 def split_hot(shards: DataFrame, limit: int = HOT_SHARD) -> DataFrame:
@@ -215,8 +217,7 @@ def near_links(shards: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
             at, group = _crowded(chunk.column("shard").to_numpy())
             bits = np.stack([chunk.column(c).to_numpy()[at].view(np.uint64) for c in ("low", "high")], 1)
             links, forest = Links(len(bits), nearest=True), Forest(bits, group)
-            steps = [-1, radius // 4, radius // 2, radius * 3 // 4, radius]
-            for above, most in zip(steps, steps[1:]):
+            for above, most in ((-1, radius // 3), (radius // 3, radius)):
                 for i, j, d in forest.pairs(most, above):
                     links.add(i, j, d)
             edges = links.edges()
@@ -227,27 +228,34 @@ def near_links(shards: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``key, hashes``: each text's distinct shingle hashes."""
+def _shingle_sets(keyed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``key, hashes``: the distinct shingle hashes of each text in ``wanted`` (key, doc_id).
+
+    A filter of the wanted tells which texts to take, so no other text is shuffled.
+    """
+    name = F.xxhash64("__key", "doc_id")
+    shared = keyed.sparkSession.sparkContext.broadcast(bloom(wanted.select(name.alias("name"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "hashes"])
+            own = batch.filter(pa.array(passes(shared.value, batch.column(1).to_numpy().view(np.uint64))))
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in own.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "hashes"])
 
-    return texts.mapInArrow(run, "key binary, hashes array<bigint>")
+    found = keyed.select("__key", name.alias("name"), "text").mapInArrow(run, "key binary, hashes array<bigint>")
+    return found.dropDuplicates(["key"])
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``key, root`` of texts (by MD5) that are linked to others at ``similarity`` or more; root is the smallest key."""
     keyed = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("__key"), "doc_id", "text")
     rows = written(_wide_rows(keyed, words), "near-rows")
-    distinct = rows.groupBy("key").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("bands").alias("bands"))
+    distinct = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("bands").alias("bands"))
     shards = distinct.select("key", "low", "high", F.explode("bands").alias("shard"))
     pairs = written(near_links(split_hot(shards)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("__key")).union(pairs.select("b")).distinct()
-    texts = keyed.select("__key", "text").join(wanted, "__key", "left_semi").groupBy("__key").agg(F.first("text").alias("text"))
-    sets = written(_shingle_sets(texts, words), "near-sets")
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = distinct.join(ends, "key", "left_semi").select(F.col("key").alias("__key"), "doc_id")
+    sets = written(_shingle_sets(keyed, wanted, words), "near-sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
@@ -267,7 +275,17 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     groups = near_groups(docs, words, similarity)
     best = best.join(groups, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("best").alias("best"))
     best = written(best.select(F.col("best.key").alias("__key"), F.col("best.doc_id").alias("__id"), F.col("best.n").alias("__n")), "near-kept")
-    mine = docs.drop("__key", "__id", "__n").withColumn("__key", key)
-    kept = mine.join(best, (mine["__key"] == best["__key"]) & mine["doc_id"].eqNullSafe(best["__id"])).drop(best["__key"])
-    once = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(["__key"]))
-    return once.select(*docs.columns)
+    stays = (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    # repeated rows count as gone here, so that the join below decides on them
+    gone = copies.join(best.where("__n = 1"), stays, "left_anti").select(F.xxhash64("key", "doc_id").alias("name"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(gone))
+
+    @F.pandas_udf("boolean")
+    def doubtful(name: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, name.to_numpy().view(np.uint64)))
+
+    mine = docs.drop("__key", "__id", "__n", "__doubt").withColumn("__key", key)
+    mine = mine.withColumn("__doubt", doubtful(F.xxhash64("__key", "doc_id")))
+    kept = mine.where("__doubt").join(best, (mine["__key"] == best["__key"]) & mine["doc_id"].eqNullSafe(best["__id"])).drop(best["__key"])
+    kept = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(["__key"]))
+    return mine.where("NOT __doubt").select(*docs.columns).unionByName(kept.select(*docs.columns))

@@ -33,14 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bloom import FILTER_BITS, bloom, passes
 from .decontaminate import merged
 from .storage import written
-from .text import pieces, utf8
+from .text import in_batches, pieces, utf8
 
 #: Bytes of a string, bytes at its anchor that all strings of a run share, and starts in a cell by round.
 LENGTH, CORE, CELLS = 400, 64, (50, 7, 1)
-#: Bits of the Bloom filter (a power of two), and bytes of text that a task works on at once.
-FILTER_BITS, PIECE = 27, 4 << 20
+#: Bytes of text that a task works on at once.
+PIECE = 4 << 20
 _KEY = ("k1", "k2")
 
 
@@ -94,29 +95,6 @@ def _run_names(data: bytes, runs: np.ndarray) -> np.ndarray:
     return _tagged(_names(data, [(a, a + CORE) for *_, a in rows]), _names(data, [(s, e + LENGTH) for _, s, e, _ in rows]))
 
 
-def _filter_bits(name):
-    """Bit numbers of a name in the filter, for a Spark column."""
-    mask = F.lit((1 << FILTER_BITS) - 1).cast("long")
-    return F.array(F.shiftrightunsigned(name, 64 - FILTER_BITS), F.shiftrightunsigned(name, 8).bitwiseAND(mask))
-
-
-def _passes(words: np.ndarray, names: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(names), bool)
-    for at in (names >> np.uint64(64 - FILTER_BITS), names >> np.uint64(8) & np.uint64((1 << FILTER_BITS) - 1)):
-        ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return ok
-
-
-def _bloom(names: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ``name`` column, as 64-bit words; its size is fixed."""
-    bits = names.select(F.explode(_filter_bits(F.col("name"))).alias("bit"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    rows = bits.groupBy(F.shiftrightunsigned("bit", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return words
-
-
 def repeated_filter(docs: DataFrame) -> np.ndarray:
     """A filter of the names that two runs or more have."""
 
@@ -125,7 +103,7 @@ def repeated_filter(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(_run_names(*runs_of(texts)).view(np.int64))], ["name"])
 
     names = docs.select("text").mapInArrow(run, "name long").groupBy("name").agg(F.count("*").alias("n"))
-    return _bloom(names.where("n > 1"))
+    return bloom(names.where("n > 1"))
 
 
 _NAMES = [*_KEY, "start", "last", "anchor", "core", "e1", "e2", "bytes"]
@@ -151,7 +129,7 @@ def candidate_runs(docs: DataFrame, words: np.ndarray) -> DataFrame:
         for part, texts in pieces(batches, "text", PIECE):
             data, runs = runs_of(texts)
             names = _run_names(data, runs)
-            core, extent = _passes(shared.value, names).reshape(2, -1)
+            core, extent = passes(shared.value, names).reshape(2, -1)
             for settled in (True, False):
                 chosen = core & (extent == settled)
                 if chosen.any():
@@ -163,14 +141,14 @@ def candidate_runs(docs: DataFrame, words: np.ndarray) -> DataFrame:
 def chosen_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The runs named by ``k1, k2, start`` of ``wanted``, with their bytes and its other columns, in one more pass over the texts."""
     place = F.col("k1").bitwiseXOR(F.shiftleft("start", 64 - FILTER_BITS)).bitwiseXOR(F.shiftleft("start", 8))
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select(place.alias("name"))))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(place.alias("name"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text", PIECE):
             data, runs = runs_of(texts)
             start = (runs[:, 1] - np.cumsum([0, *map(len, texts)])[runs[:, 0]]).astype(np.uint64)
             key = part.column(0).to_numpy()[runs[:, 0]].view(np.uint64)
-            own = runs[_passes(shared.value, key ^ start << np.uint64(64 - FILTER_BITS) ^ start << np.uint64(8))]
+            own = runs[passes(shared.value, key ^ start << np.uint64(64 - FILTER_BITS) ^ start << np.uint64(8))]
             if len(own):
                 core = _names(data, [(a, a + CORE) for *_, a in own.tolist()])
                 yield _run_rows(part, texts, data, own, core, True)
@@ -250,7 +228,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of each document; ``spans`` are the removed byte ranges."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
+    keyed = in_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
     spans = repeated_spans(keyed.select(*_KEY, "text"))
     spans = spans.groupBy(*_KEY).agg(F.flatten(F.collect_set(F.array("a", "b"))).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Walks that a task follows at once.
-FRONT = 1 << 20
+FRONT = 1 << 16
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -16,13 +16,13 @@ from __future__ import annotations
 import itertools
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import ALNUM_TABLE, alnum_words, batch_of, utf8
+from .text import ALNUM_TABLE, alnum_words, in_batches, utf8
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -141,33 +141,54 @@ def _automata(benchmark: DataFrame, window: int, chunk_words: int) -> Iterator[S
         yield SuffixAutomaton(((r[0], alnum_words(r[1])) for r in own.toLocalIterator()), window)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, chunk_words: int = 1_000_000) -> DataFrame:
-    """All columns of ``docs`` plus struct ``__leak``: ``n_words``, ``spans`` (flat word ranges), ``items``.
+#: What a scan finds in a document: words, merged word ranges (flat), items.
+Leak = dict
 
-    ``__leak`` is a reserved name; a column of ``docs`` so named is replaced.
+
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, chunk_words: int, finish: Callable[[pa.RecordBatch, list[Leak]], pa.RecordBatch] | None = None) -> DataFrame:
+    """``docs`` with struct ``__leak``, or what ``finish`` makes of each batch without it and its leaks.
+
+    The last automaton's pass finishes, so that a benchmark of one chunk takes one Python worker a core.
     """
     spark = docs.sparkSession
-    out = docs.drop("__leak").withColumn("__leak", F.lit(None).cast("struct<n_words:bigint,spans:array<bigint>,items:array<string>>"))
-    for automaton in _automata(benchmark, window, chunk_words):
+    plain = in_batches(docs).drop("__leak")
+    out = plain.withColumn("__leak", F.lit(None).cast("struct<n_words:bigint,spans:array<bigint>,items:array<string>>"))
+
+    def passed(df: DataFrame, automaton: SuffixAutomaton, last: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(automaton)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at, to = batch.schema.get_field_index("text"), batch.schema.get_field_index("__leak")
-                result = []
+                found = []
                 for text, before in zip(batch.column(at).to_pylist(), batch.column(to).to_pylist()):
                     words = alnum_words(text)
-                    spans, items = automaton.scan(words)
+                    spans, items = shared.value.scan(words)
                     if before and before["spans"]:
                         old = before["spans"]
                         spans = merged([*spans, *zip(old[::2], old[1::2])])
                         items |= set(before["items"])
-                    result.append({"n_words": len(words), "spans": list(itertools.chain(*spans)), "items": sorted(items)})
-                yield batch.set_column(to, batch.schema.field(to), pa.array(result, batch.schema.field(to).type))
+                    found.append({"n_words": len(words), "spans": list(itertools.chain(*spans)), "items": sorted(items)})
+                if last and finish:
+                    yield finish(batch.drop_columns(["__leak"]), found)
+                else:
+                    yield batch.set_column(to, batch.schema.field(to), pa.array(found, batch.schema.field(to).type))
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+        return df.mapInArrow(run, plain.schema if last and finish else df.schema)
+
+    held = None
+    for automaton in _automata(benchmark, window, chunk_words):
+        out = passed(out, held, False) if held else out
+        held = automaton
+    return passed(out, held, True)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, chunk_words: int = 1_000_000) -> DataFrame:
+    """All columns of ``docs`` plus struct ``__leak``: ``n_words``, ``spans`` (flat word ranges), ``items``.
+
+    ``__leak`` is a reserved name; a column of ``docs`` so named is replaced.
+    """
+    return _scan(docs, benchmark, window, chunk_words)
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,29 +213,24 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, data[end:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.8, chunk_words: int = 1_000_000) -> DataFrame:
     """``docs`` with leaked spans cut from ``text``; a document with more than ``max_coverage`` of its words leaked goes.
 
     The columns are those of ``docs``; ``n_chars``, where present, follows the new text.
     """
-    found = find_leaks(docs, benchmark, window)
-    found = found.where(F.size("__leak.spans").isNull() | (F.size("__leak.spans") <= 0) | (_hit_words(F.col("__leak.spans")) <= max_coverage * F.col("__leak.n_words")))
-    schema = found.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, leak = batch.schema.get_field_index("text"), batch.schema.get_field_index("__leak")
-            texts = [
-                without_words(t, list(zip(x["spans"][::2], x["spans"][1::2]))) if x and x["spans"] else t
-                for t, x in zip(batch.column(at).to_pylist(), batch.column(leak).to_pylist())
-            ]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-    out = found.mapInArrow(cut, schema)
-    if "n_chars" in docs.columns:
-        cut_now = F.size("__leak.spans") > 0
-        out = out.withColumn("n_chars", F.when(cut_now, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+
+    def finish(batch: pa.RecordBatch, leaks: list[Leak]) -> pa.RecordBatch:
+        at, n = batch.schema.get_field_index("text"), batch.schema.get_field_index("n_chars")
+        hits = [sum(x["spans"][1::2]) - sum(x["spans"][::2]) for x in leaks]
+        old = batch.column(at).to_pylist()
+        new = [without_words(t, list(zip(x["spans"][::2], x["spans"][1::2]))) if h else t for t, x, h in zip(old, leaks, hits)]
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+        if n >= 0:
+            counts = [len(t) if h else c for t, h, c in zip(new, hits, batch.column(n).to_pylist())]
+            batch = batch.set_column(n, batch.schema.field(n), pa.array(counts, batch.schema.field(n).type))
+        return batch.filter(pa.array([h <= max_coverage * x["n_words"] for h, x in zip(hits, leaks)], pa.bool_()))
+
+    return _scan(docs, benchmark, window, chunk_words, finish).select(*docs.columns)
 
 
 def _hit_words(spans):

@@ -65,11 +65,11 @@ class Forest:
 
 
 class Links:
-    """Gathers pairs, keeping what connects: a spanning forest, and each row's nearest partner if ``nearest``."""
+    """Gathers pairs, keeping what connects: a spanning forest, and each row's ``nearest`` partners."""
 
-    def __init__(self, n: int, nearest: bool = False) -> None:
+    def __init__(self, n: int, nearest: int = 0) -> None:
         self.parent, self.kept = np.arange(n), set()
-        self.best = np.full(n, np.iinfo(np.int64).max) if nearest else None
+        self.best = np.full((n, nearest), np.iinfo(np.int64).max)
 
     def _find(self, x: int) -> int:
         while self.parent[x] != x:
@@ -77,15 +77,25 @@ class Links:
             x = self.parent[x]
         return x
 
+    def _approach(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        """Takes partners that are nearer than those known so far; ties go to the smaller row."""
+        n, k = self.best.shape
+        own, value = np.concatenate((i, j)), np.concatenate((d * n + j, d * n + i))
+        rows = np.unique(own)
+        own, value = np.concatenate((own, np.repeat(rows, k))), np.concatenate((value, self.best[rows].ravel()))
+        order = np.lexsort((value, own))
+        own, value = own[order], value[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        self.best[rows] = value[place < k].reshape(-1, k)
+
     def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
-        if self.best is not None:
-            n = len(self.best)
-            np.minimum.at(self.best, i, d * n + j)
-            np.minimum.at(self.best, j, d * n + i)
+        if self.best.shape[1]:
+            self._approach(i, j, d)
         while (up := self.parent[self.parent] != self.parent).any():
             self.parent[up] = self.parent[self.parent[up]]
         apart = self.parent[i] != self.parent[j]
-        for a, b in zip(i[apart].tolist(), j[apart].tolist()):
+        order = np.argsort(d[apart], kind="stable")
+        for a, b in zip(i[apart][order].tolist(), j[apart][order].tolist()):
             x, y = self._find(a), self._find(b)
             if x != y:
                 self.parent[max(x, y)] = min(x, y)
@@ -93,10 +103,7 @@ class Links:
 
     def edges(self) -> np.ndarray:
         """(m, 2) rows."""
-        kept = set(self.kept)
-        if self.best is not None:
-            n = len(self.best)
-            for i in np.flatnonzero(self.best < np.iinfo(np.int64).max).tolist():
-                j = int(self.best[i] % n)
-                kept.add((max(i, j), min(i, j)))
+        row, place = np.nonzero(self.best < np.iinfo(np.int64).max)
+        near = self.best[row, place] % max(len(self.best), 1)
+        kept = self.kept | set(zip(np.maximum(row, near).tolist(), np.minimum(row, near).tolist()))
         return np.array(sorted(kept), np.int64).reshape(-1, 2)

@@ -37,6 +37,8 @@ from .text import in_batches, spaced_words
 BLOCKS, RADIUS = (11, 11, 11, 11, 10, 10), 4
 #: For near copies: bands of minimum hashes, hashes in a band, and the most of 128 bits that differ in a candidate.
 BANDS, BAND_HASHES, WIDE_RADIUS = 7, 2, 36
+#: Bits by which the radius grows while candidates are linked, and partners that each keeps besides.
+RING, NEAREST = 6, 4
 #: Rows of whole shards that a task joins at once; members beyond which a shard is dealt by further blocks.
 CHUNK_ROWS, HOT_SHARD = 200_000, 20_000
 
@@ -210,21 +212,22 @@ def split_hot(shards: DataFrame, limit: int = HOT_SHARD) -> DataFrame:
 
 
 def near_links(shards: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """``a, b`` keys of candidates: of each shard, a spanning forest that prefers close pairs, and each member's nearest."""
+    """``a, b`` keys of candidates: of each shard, a spanning forest that prefers close pairs, and each member's nearest partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_shards(batches):
             at, group = _crowded(chunk.column("shard").to_numpy())
             bits = np.stack([chunk.column(c).to_numpy()[at].view(np.uint64) for c in ("low", "high")], 1)
-            links, forest = Links(len(bits), nearest=True), Forest(bits, group)
-            for above, most in ((-1, radius // 3), (radius // 3, radius)):
+            links, forest = Links(len(bits), NEAREST), Forest(bits, group)
+            steps = [-1, *range(RING, radius, RING), radius]
+            for above, most in zip(steps, steps[1:]):
                 for i, j, d in forest.pairs(most, above):
                     links.add(i, j, d)
             edges = links.edges()
             keys = chunk.column("key").take(pa.array(at))
             yield from pa.table({c: keys.take(pa.array(edges[:, k])) for k, c in enumerate("ab")}).to_batches()
 
-    rows = shards.repartition("shard").sortWithinPartitions("shard").select("shard", "key", "low", "high")
+    rows = shards.repartition("shard").sortWithinPartitions("shard", "key").select("shard", "key", "low", "high")
     return rows.mapInArrow(run, "a binary, b binary")
 
 

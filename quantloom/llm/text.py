@@ -41,14 +41,26 @@ def alnum_words(text: str | None) -> list[bytes]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most ``limit`` bytes of ``column`` (one row at least), with those bytes."""
+    """The rows dealt anew to batches of at most ``limit`` bytes of ``column`` (one row at least), with those bytes."""
+    held: list[pa.RecordBatch] = []
+    texts: list[bytes] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
-        texts = [utf8(t) for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        start = 0
+        for i, text in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
+            data = utf8(text)
+            if texts and size + len(data) > limit:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                yield joined(), texts
+                held, texts, size, start = [], [], 0, i
+            texts.append(data)
+            size += len(data)
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if texts:
+        yield joined(), texts

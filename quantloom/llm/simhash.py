@@ -10,7 +10,10 @@ are joined by star contraction.
 ``without_near_copies`` keeps one document of each group of near-duplicates by the Jaccard similarity of
 word shingles. At a similarity of 0.8 about 15 % of fingerprint bits differ, too many for whole blocks
 to agree, so its shards are keyed by bands of minimum hashes of the shingles; 128-bit fingerprints form
-the shards' BK-trees, and the links that the trees find are checked exactly.
+the shards' BK-trees, and the links that the trees find are checked exactly. First each shard offers a
+forest and each member's nearest partners. Members whose other candidates were not offered are open;
+where a shard's open members are still apart after the exact check, their shingles go to the shard and
+every candidate between members that are apart is checked there.
 
 Defined cases: null and word-free texts have fingerprint zero and link like any other; equal texts
 share fingerprint and component; a document without id has a fingerprint, and the component of
@@ -27,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .bktree import Forest, Links
+from .bktree import Forest, Links, distance
 from .bloom import bloom, passes
 from .graph import components
 from .storage import written
@@ -41,6 +44,8 @@ BANDS, BAND_HASHES, WIDE_RADIUS = 7, 2, 36
 RING, NEAREST = 6, 4
 #: Rows of whole shards that a task joins at once; members beyond which a shard is dealt by further blocks.
 CHUNK_ROWS, HOT_SHARD = 200_000, 20_000
+#: For shards that carry shingles: rows joined at once, shingles beyond which a shard is dealt by its parts, candidates checked at once.
+SET_ROWS, HOT_SET, CHECKED = 1024, 500_000, 64
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -76,14 +81,14 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return in_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bits long")
 
 
-def whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def whole_shards(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_ROWS) -> Iterator[pa.Table]:
     """Chunks of complete shards of two rows or more, from batches sorted by their first column."""
     held: list[pa.Table] = []
     rows = 0
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
         rows += batch.num_rows
-        if rows >= CHUNK_ROWS:
+        if rows >= limit:
             table = pa.concat_tables(held)
             keys = table.column(0).to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))
@@ -201,9 +206,9 @@ def _wide_rows(docs: DataFrame, words: int) -> DataFrame:
     return in_batches(docs).select("__key", "doc_id", "text").mapInArrow(run, f"key binary, doc_id {kind}, low long, high long, bands array<bigint>")
 
 
-def split_hot(shards: DataFrame, limit: int = HOT_SHARD) -> DataFrame:
-    """``shards`` with each hot one dealt to shards of its own for every two of its parts, so that any two members still meet."""
-    sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+def split_hot(shards: DataFrame, limit: int = HOT_SHARD, weight: str = "1") -> DataFrame:
+    """``shards`` with each hot one (of over ``limit`` in weights) dealt to shards of its own for every two of its parts, so that any two members still meet."""
+    sizes = shards.groupBy("shard").agg(F.sum(F.expr(weight)).alias("n")).where(F.col("n") > limit)
     sizes = written(sizes.select("shard", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "hot-shards")
     own = F.pmod(F.xxhash64("key"), F.col("parts"))
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("shard", F.least(own, j.cast("long")), F.greatest(own, j.cast("long"))))
@@ -212,22 +217,77 @@ def split_hot(shards: DataFrame, limit: int = HOT_SHARD) -> DataFrame:
 
 
 def near_links(shards: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """``a, b`` keys of candidates: of each shard, a spanning forest that prefers close pairs, and each member's nearest partners."""
+    """``a, b`` keys of candidates: of each shard, a spanning forest that prefers close pairs, and each member's nearest partners.
+
+    A member with candidates beyond these is a row of its key ``a``, its ``shard`` and no ``b``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_shards(batches):
             at, group = _crowded(chunk.column("shard").to_numpy())
             bits = np.stack([chunk.column(c).to_numpy()[at].view(np.uint64) for c in ("low", "high")], 1)
-            links, forest = Links(len(bits), NEAREST), Forest(bits, group)
+            links, forest, found = Links(len(bits), NEAREST), Forest(bits, group), np.zeros(len(bits), np.int64)
             steps = [-1, *range(RING, radius, RING), radius]
             for above, most in zip(steps, steps[1:]):
                 for i, j, d in forest.pairs(most, above):
                     links.add(i, j, d)
+                    np.add.at(found, i, 1)
+                    np.add.at(found, j, 1)
             edges = links.edges()
-            keys = chunk.column("key").take(pa.array(at))
-            yield from pa.table({c: keys.take(pa.array(edges[:, k])) for k, c in enumerate("ab")}).to_batches()
+            still = at[found > np.bincount(edges.ravel(), minlength=len(bits))]
+            keys, where = chunk.column("key"), chunk.column("shard").take(pa.array(still))
+            pairs = {c: keys.take(pa.array(at[edges[:, k]])) for k, c in enumerate("ab")}
+            yield from pa.table({**pairs, "shard": pa.nulls(len(edges), pa.int64())}).to_batches()
+            yield from pa.table({"a": keys.take(pa.array(still)), "b": pa.nulls(len(still), pa.binary()), "shard": where}).to_batches()
 
     rows = shards.repartition("shard").sortWithinPartitions("shard", "key").select("shard", "key", "low", "high")
+    return rows.mapInArrow(run, "a binary, b binary, shard long")
+
+
+def _verified(bits: np.ndarray, label: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links at ``similarity`` or more that connect members of one shard whose labels differ; each candidate between members still apart is checked."""
+    sizes, out = np.array([len(x) for x in sets], np.int64), []
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    mark = np.zeros(len(flat), bool)
+    for i in range(1, len(bits)):
+        far = distance(bits[:i], bits[i])
+        near = np.flatnonzero((far <= radius) & (label[:i] != label[i]) & (np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i])))
+        if not len(near):
+            continue
+        near = near[np.argsort(far[near], kind="stable")]
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        while len(near):
+            now, near = near[:CHECKED], near[CHECKED:]
+            n = sizes[now]
+            hits = mark[flat[np.repeat(ends[now] - np.cumsum(n), n) + np.arange(n.sum())]]
+            common = np.diff(np.concatenate(([0], np.cumsum(hits)))[np.concatenate(([0], np.cumsum(n)))])
+            for j in now[common >= similarity * (sizes[i] + n - common)].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((i, j))
+            near = near[label[near] != label[i]]
+        mark[own] = False
+    return out
+
+
+def open_links(shards: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``a, b`` keys of links, from ``shard, key, root, low, high, hashes`` rows of members; links within a root are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in whole_shards(batches, SET_ROWS):
+            at, group = _crowded(chunk.column("shard").to_numpy())
+            edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))) if len(group) else np.zeros(1, np.int64)
+            for start, end in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                own = chunk.slice(int(at[start]), end - start).combine_chunks()
+                bits = np.stack([own.column(c).to_numpy().view(np.uint64) for c in ("low", "high")], 1)
+                label = np.unique(np.array(own.column("root").to_pylist(), object), return_inverse=True)[1]
+                sets = [x.to_numpy() for x in (v.values for v in own.column("hashes"))]
+                pairs = np.array(_verified(bits, label, sets, radius, similarity), np.int64).reshape(-1, 2)
+                yield from pa.table({c: own.column("key").take(pa.array(pairs[:, k])) for k, c in enumerate("ab")}).to_batches()
+
+    rows = shards.repartition("shard").sortWithinPartitions("shard", "key").select("shard", "key", "root", "low", "high", "hashes")
     return rows.mapInArrow(run, "a binary, b binary")
 
 
@@ -255,14 +315,24 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     rows = written(_wide_rows(keyed, words), "near-rows")
     distinct = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("bands").alias("bands"))
     shards = distinct.select("key", "low", "high", F.explode("bands").alias("shard"))
-    pairs = written(near_links(split_hot(shards)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    offered = written(near_links(split_hot(shards)), "near-offered")
+    pairs = written(offered.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = distinct.join(ends, "key", "left_semi").select(F.col("key").alias("__key"), "doc_id")
     sets = written(_shingle_sets(keyed, wanted, words), "near-sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return components(both.where((common >= F.lit(similarity) * union)).select("a", "b")).toDF("key", "root")
+    linked = components(both.where((common >= F.lit(similarity) * union)).select("a", "b")).toDF("key", "root")
+    members = offered.where("b IS NULL").select("shard", F.col("a").alias("key")).join(linked, "key", "left")
+    members = written(members.select("shard", "key", F.coalesce("root", "key").alias("root")), "near-open")
+    apart = members.groupBy("shard").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("shard")
+    members = members.join(apart, "shard", "left_semi")
+    if members.isEmpty():
+        return linked
+    members = members.join(distinct.select("key", "low", "high"), "key").join(sets, "key")
+    more = open_links(split_hot(members, HOT_SET, "size(hashes)"), WIDE_RADIUS, similarity)
+    return components(linked.toDF("a", "b").union(more)).toDF("key", "root")
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -147,3 +148,18 @@ def test_hot_shards_keep_every_meeting(spark):
         together[shard].add(key)
     pairs = {(a, b) for own in together.values() for a in own for b in own if a < b}
     assert len(pairs) == 90 * 89 // 2
+
+
+@pytest.mark.parametrize(("words", "least", "most"), [(204, 1, 4), (104, 1, 2)])
+def test_large_groups_around_the_similarity(spark, words, least, most):
+    # 400 texts of one template, most pairs between 0.75 and 0.9: close candidates often fail, links farther off hold
+    deal = random.Random(words)
+    template = [f"w{k}" for k in range(words)]
+    rows = []
+    for k in range(400):
+        own = list(template)
+        for at in deal.sample(range(words), deal.randint(least, most)):
+            own[at] = f"x{deal.random()}"
+        rows.append((k, " ".join(own)))
+    got = without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((False, r["doc_id"]) for r in got.collect()) == kept_by_brute_force(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import datetime, timedelta
 
@@ -10,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom import queries
 from quantloom.functions.conditions import CONDITIONS, Condition, cond, register_condition
 from quantloom.functions.series import Series
 from quantloom.functions.transforms import TRANSFORMS, apply_transform, norm, register_transform
@@ -318,6 +320,28 @@ def test_monte_carlo(spark):
         montecarlo.simulate_trade_paths(returns, method="x")
 
 
+@pytest.mark.parametrize("method", ["bootstrap", "shuffle"])
+def test_monte_carlo_of_every_account(spark, tmp_path, method):
+    # keys beyond 300, in another order than their rows
+    balances = {k: float((k * 7919) % 1100 - 500) for k in range(1, 321)}
+    spark.createDataFrame(list(balances.items())[::-1], "c_custkey bigint, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    returns = queries.order_returns(spark, str(tmp_path))
+    own = [balances[k] / 2000 / 100 for k in sorted(balances)]
+    np.testing.assert_allclose([r["r"] for r in returns.orderBy("step").collect()], own)
+    terminal, depth = [], []
+    for sim in range(6):
+        draws = [int(hashlib.md5(f"{sim}-{step}-7".encode()).hexdigest()[:8], 16) for step in range(len(own))]
+        at = [d % len(own) for d in draws] if method == "bootstrap" else np.argsort(np.argsort(draws, kind="stable"), kind="stable")
+        path = np.cumprod([1 + own[k] for k in at])
+        peak = np.maximum.accumulate(path)
+        terminal.append(path[-1])
+        depth.append(((peak - path) / peak).max())
+    row = montecarlo.robustness(returns, n_sims=6, seed=7, method=method).first()
+    want = [np.mean(np.array(terminal) < 1), np.mean(depth) * 100, *np.quantile(terminal, [0.05, 0.5, 0.95]), np.quantile(depth, 0.95) * 100]
+    got = [row[c] for c in ("probability_of_loss", "expected_worst_drawdown", "terminal_equity_p05", "terminal_equity_p50", "terminal_equity_p95", "drawdown_p95")]
+    np.testing.assert_allclose(got, want)
+
+
 def test_quality(spark):
     rows = [(1, "2024-01-01", 1.0, 2.0, 0.5, 1.5, 1.0), (2, "2024-01-04", 1.0, 0.5, 0.5, -1.0, None), (3, "2024-01-02", 1.0, 2.0, 1.5, 1.5, 1.0), (4, "x", None, 2.0, 0.5, 1.5, 1.0)]
     df = spark.createDataFrame(rows, "n int, ts string, open double, high double, low double, close double, volume double")

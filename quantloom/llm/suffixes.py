@@ -1,16 +1,16 @@
-"""Exact removal of repeated long strings by distributed prefix doubling over runs of positions.
+"""Exact removal of repeated long strings by anchored runs of positions with hashed cores.
 
-A position is repeated if the ``LENGTH`` bytes that start there also start at another position. Ranks
-name equal strings; a round sorts positions by the pair of their rank and a fingerprint of the bytes
-by which the compared string grows, gives repeated pairs a new rank and drops unique ones, until the
-string has ``LENGTH`` bytes. To rank a hundredth of the positions instead of all of them,
+A position is repeated if the ``LENGTH`` bytes that start there also start at another position. This
+takes the place of prefix doubling: no ranks are kept, no positions sorted and no offsets doubled.
+Strings of three fixed lengths, one a round, are named by their hash and counted, so that a hundredth
+of the positions travels instead of all of them with a sort in each round:
 
 * neighbouring positions are handled as runs. Each ``LENGTH``-byte string has an anchor, the place of
   the least 8-byte hash among those followed by ``CORE`` of its bytes. Starts with one anchor form a
   run, and equal strings have equal anchors, so only runs of equal anchors are compared;
 * in round ``r`` a run is cut into cells of ``CELLS[r]`` starts, at fixed distances from the anchor. A
-  cell's core, the bytes that all its strings share, is what is ranked; it grows from ``CORE`` bytes to
-  ``LENGTH`` as cells shrink to one start. Cells with a unique core drop out;
+  cell's core, the bytes that all its strings share, is what is hashed and counted; it has 351, 394 and
+  ``LENGTH`` bytes as cells shrink to one start. Cells with a unique core drop out;
 * a cell whose whole extent (all bytes of all its strings) is repeated is settled at once.
 
 Bloom filters of fixed size tell which runs to take from the texts, so no text is shuffled in the

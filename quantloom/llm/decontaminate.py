@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .text import ALNUM_TABLE, alnum_words, in_batches, utf8
+from .text import ALNUM_TABLE, alnum_words, in_batches, unused, utf8
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -151,15 +151,15 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, chunk_words: int,
     The last automaton's pass finishes, so that a benchmark of one chunk takes one Python worker a core.
     """
     spark = docs.sparkSession
-    plain = in_batches(docs).drop("__leak")
-    out = plain.withColumn("__leak", F.lit(None).cast("struct<n_words:bigint,spans:array<bigint>,items:array<string>>"))
+    plain, name = in_batches(docs), unused(docs, "__leak")
+    out = plain.withColumn(name, F.lit(None).cast("struct<n_words:bigint,spans:array<bigint>,items:array<string>>"))
 
     def passed(df: DataFrame, automaton: SuffixAutomaton, last: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(automaton)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at, to = batch.schema.get_field_index("text"), batch.schema.get_field_index("__leak")
+                at, to = batch.schema.get_field_index("text"), batch.num_columns - 1
                 found = []
                 for text, before in zip(batch.column(at).to_pylist(), batch.column(to).to_pylist()):
                     words = alnum_words(text)
@@ -170,7 +170,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, chunk_words: int,
                         items |= set(before["items"])
                     found.append({"n_words": len(words), "spans": list(itertools.chain(*spans)), "items": sorted(items)})
                 if last and finish:
-                    yield finish(batch.drop_columns(["__leak"]), found)
+                    yield finish(batch.drop_columns([name]), found)
                 else:
                     yield batch.set_column(to, batch.schema.field(to), pa.array(found, batch.schema.field(to).type))
 
@@ -184,10 +184,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, chunk_words: int,
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, chunk_words: int = 1_000_000) -> DataFrame:
-    """All columns of ``docs`` plus struct ``__leak``: ``n_words``, ``spans`` (flat word ranges), ``items``.
-
-    ``__leak`` is a reserved name; a column of ``docs`` so named is replaced.
-    """
+    """``docs`` and a last column, a struct of ``n_words``, ``spans`` (flat word ranges) and ``items``; its name is ``__leak`` or one that ``docs`` doesn't have."""
     return _scan(docs, benchmark, window, chunk_words)
 
 

@@ -9,7 +9,9 @@ the least loss; a small lead over the second best flags the text as ambiguous.
 
 Defined cases: null and letter-free texts are ``und`` with score 0, flagged; texts are lower-cased
 and only runs of letters count; rows without language don't train; without any training language all
-is ``und``; ties go to the language that sorts first; repeated rows count again in training.
+is ``und``; ties go to the language that sorts first; repeated rows count again in training; languages
+that no bit tells apart share the score, so texts in them are flagged. Of more than ``MAX_LANGUAGES``
+language values those with most n-grams are learned, ties by name; rows of the others don't train.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import in_batches, utf8
+from .text import in_batches, unused, utf8
 
 #: Hash buckets for n-grams (a power of two), and the n-gram lengths in bytes.
 BUCKETS, ORDERS = 1 << 16, (3, 4)
-#: Bytes of text that a task works on at once, and the most languages a model may have.
+#: Bytes of text that a task works on at once, and the most languages that a model learns.
 PIECE, MAX_LANGUAGES = 1 << 19, 512
 #: Lead of the best score over the second under which a text is flagged as ambiguous.
 MIN_LEAD = 0.1
@@ -98,7 +100,10 @@ class LanguageModel:
             weights[:, b] = w
             apart.append(((one - zero) * w).sum() / 2)
         apart = np.array(apart)
-        return cls(languages, code, weights / apart.astype(np.float32), apart / apart.sum())
+        useful = apart > 1e-12  # a bit whose two sides count alike tells nothing
+        weights[:, ~useful] = 0
+        share = apart * useful / apart[useful].sum() if useful.any() else np.full(len(apart), 1 / len(apart))
+        return cls(languages, code, weights / np.where(useful, apart, 1).astype(np.float32), share)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score and lead (score of the best minus that of the second) of each text."""
@@ -172,10 +177,8 @@ def train(docs: DataFrame) -> LanguageModel:
 
     rows = in_batches(docs).select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    whole = sums.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n"))
-    found = sorted(whole.limit(MAX_LANGUAGES + 1).toLocalIterator(), key=lambda r: r["lang"])
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    whole = sums.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n"), F.sum("n").alias("all"))
+    found = sorted(whole.orderBy(F.desc("all"), "lang").limit(MAX_LANGUAGES).collect(), key=lambda r: r["lang"])
     counts = np.zeros((len(found), BUCKETS))
     for row, own in zip(found, counts):
         own[np.array(row["at"], np.int64)] = row["n"]
@@ -183,15 +186,16 @@ def train(docs: DataFrame) -> LanguageModel:
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with struct ``__lang`` of ``pred``, ``score`` and ``lead``; it replaces a column of that name."""
+    """``docs`` and a last column, a struct of ``pred``, ``score`` and ``lead``; its name is one that ``docs`` doesn't have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = in_batches(docs).drop("__lang").withColumn("__lang", F.lit(None).cast("struct<pred:string,score:double,lead:double>"))
+    name = unused(docs, "__lang")
+    out = in_batches(docs).withColumn(name, F.lit(None).cast("struct<pred:string,score:double,lead:double>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            at = batch.schema.get_field_index("__lang")
+            at = batch.num_columns - 1
             found: list[dict] = []
             start = size = 0
             for i, t in enumerate([*texts, None]):
@@ -218,6 +222,13 @@ def language_report(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataF
 
 
 def keep_identified(docs: DataFrame, min_lead: float = 0.02) -> DataFrame:
-    """``docs`` without those whose language can't be told: ``und``, or two languages less than ``min_lead`` apart."""
-    found = predict(docs, train(docs))
-    return found.where((F.col("__lang.pred") != UNDETERMINED) & (F.col("__lang.lead") >= min_lead)).select(*docs.columns)
+    """``docs`` without those whose language can't be told: ``und``, or two languages less than ``min_lead`` apart.
+
+    Where no row names a language there is nothing to tell apart, and each text with a letter stays.
+    """
+    model = train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = predict(docs, model)
+    own = F.col(found.columns[-1])
+    return found.where((own["pred"] != UNDETERMINED) & (own["lead"] >= min_lead)).select(*docs.columns)

@@ -2,14 +2,16 @@
 
 The model's protobuf is parsed here; its pieces, scores, normaliser settings and byte fallback are
 rebuilt as a ``tokenizers`` tokenizer: a unigram model from the scores, or, for a BPE model, merges
-ordered by the score of the piece they make. No piece has the metaspace marker behind another
-character, so text is encoded in chunks that begin at markers; a worker encodes each chunk once
-while it is cached, in multithreaded batches, and verifies it there against the sentencepiece
-library, whose ids stand where the two differ. Decoding is a table of each id's bytes.
+ordered by the score of the piece they make. Whole texts are encoded in multithreaded batches. Where
+the normaliser changes nothing and no piece has the metaspace marker behind another character, text
+is encoded in chunks that begin at markers instead, and a worker encodes a chunk once while it is
+cached. What is encoded is verified against the sentencepiece library, whose ids stand where the two
+differ. Decoding is a table of each id's bytes.
 
 Defined cases: null is an empty text; an empty text has no ids and decodes to itself; a marker
-character in a text decodes as a blank, as in the library; repeated rows give repeated rows; an
-empty table gives no rows.
+character in a text decodes as a blank, as in the library; a text decodes to its normal form, which
+differs from it where the model's normaliser changes it; repeated rows give repeated rows; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,6 +77,7 @@ class PieceModel:
     charsmap: bytes = b""
     dummy_prefix: bool = True
     extra_blanks_removed: bool = True
+    marker_behind: bool = False
 
     @classmethod
     def parse(cls, data: bytes) -> PieceModel:
@@ -87,7 +90,7 @@ class PieceModel:
                 model.kinds.append(own.get(3, NORMAL))
             elif number == 2:
                 own = dict(message(value))
-                model.kind, model.byte_fallback = own.get(3, UNIGRAM), bool(own.get(35, 0))
+                model.kind, model.byte_fallback, model.marker_behind = own.get(3, UNIGRAM), bool(own.get(35, 0)), bool(own.get(24, 0))
             elif number == 3:
                 own = dict(message(value))
                 model.charsmap = own.get(2, b"")
@@ -108,12 +111,18 @@ class PieceModel:
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.extra_blanks_removed:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-        steps += [normalizers.Prepend(MARKER)] * self.dummy_prefix + [normalizers.Replace(" ", MARKER)]
-        out.normalizer = normalizers.Sequence(steps)
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARKER}*[^{MARKER}]+|{MARKER}+"), "isolated")
+        if self.dummy_prefix:
+            steps.append(normalizers.Replace(Regex(r"(?<=.)\z"), MARKER) if self.marker_behind else normalizers.Prepend(MARKER))
+        out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARKER)])
+        if not self.joined():
+            out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARKER}*[^{MARKER}]+|{MARKER}+"), "isolated")
         out.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * self.dummy_prefix])
         return out
 
+    def joined(self) -> bool:
+        """Whether a piece has a marker behind another character, so that it may reach over words."""
+        return any(re.search(f"[^{MARKER}]{MARKER}", p) for p in self.pieces)
+
     def _merges(self, vocab: dict[str, int]) -> list[tuple[str, str]]:
         """Every way to make a piece of two pieces, best-scored piece first, ties in order of ids."""
         usable = {p for p, k in zip(self.pieces, self.kinds) if k in (NORMAL, USER_DEFINED, UNUSED)}
@@ -125,9 +134,8 @@ class PieceModel:
         return [own[-2:] for own in sorted(found)]
 
     def chunked(self) -> bool:
-        """Whether texts may be encoded in chunks: nothing to normalise, and no piece has a marker behind another character."""
-        plain = not self.charsmap and self.dummy_prefix and not self.extra_blanks_removed
-        return plain and not any(re.search(f"[^{MARKER}]{MARKER}", p) for p in self.pieces)
+        """Whether texts may be encoded in chunks: nothing to normalise, and no piece reaches over words."""
+        return not self.charsmap and self.dummy_prefix and not self.marker_behind and not self.extra_blanks_removed and not self.joined()
 
     def byte_table(self) -> list[bytes]:
         """What each id decodes to."""
@@ -141,7 +149,7 @@ class PieceModel:
 
 
 class PieceCodec:
-    """Encodes and decodes texts with a model file; ``differs`` holds chunks on which the two libraries disagree."""
+    """Encodes and decodes texts with a model file, in chunks if the model allows; ``differs`` holds chunks on which the two libraries disagree."""
 
     def __init__(self, path: str, threads: int = THREADS) -> None:
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
@@ -149,8 +157,7 @@ class PieceCodec:
 
         with open(path, "rb") as file:
             self.model = PieceModel.parse(file.read())
-        if not self.model.chunked():
-            raise ValueError("this model needs whole texts: its normaliser or its pieces reach over markers")
+        self.chunked, self.strips = self.model.chunked(), self.model.dummy_prefix or self.model.extra_blanks_removed
         self.tokenizer, self.table = self.model.tokenizer(), self.model.byte_table()
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.new: dict[str, bytes] = {}
@@ -172,6 +179,8 @@ class PieceCodec:
 
         The model's own library has the last word: where they differ its ids are returned.
         """
+        if not self.chunked:
+            return self._whole([t or "" for t in texts])
         if len(self.new) > CACHE_CHUNKS:
             self.old, self.new = self.new, {}
         split = [self.chunks(t) for t in texts]
@@ -182,6 +191,12 @@ class PieceCodec:
         find, differs = self.new.__getitem__, self.differs
         return [b"".join(map(find, own)) for own in split], [not differs or differs.isdisjoint(own) for own in split]
 
+    def _whole(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        mine = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        known = [np.array(i, "<u4").tobytes() for i in self.library.encode(texts, num_threads=1)]
+        same = [a == b for a, b in zip(mine, known)]
+        return [a if ok else b for a, b, ok in zip(mine, known, same)], same
+
     def _learn(self, fresh: list[str]) -> None:
         single = [[c] for c in fresh if c[:1] in ("", " ")]
         fresh = [c for c in fresh if c[:1] not in ("", " ")]
@@ -207,7 +222,9 @@ class PieceCodec:
     def decode(self, raw: bytes) -> str:
         """The text of little-endian 32-bit ids."""
         data = b"".join(map(self.table.__getitem__, np.frombuffer(raw, "<u4").tolist()))
-        return data.removeprefix(b" ").decode("utf-8", "replace")
+        if self.strips:
+            data = data.removesuffix(b" ") if self.model.marker_behind else data.removeprefix(b" ")
+        return data.decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)

@@ -34,7 +34,7 @@ from .bktree import Forest, Links, distance
 from .bloom import bloom, passes
 from .graph import components
 from .storage import written
-from .text import in_batches, spaced_words
+from .text import in_batches, spaced_words, unused
 
 #: Bits of the blocks of a 64-bit fingerprint, and the most differing bits of a link.
 BLOCKS, RADIUS = (11, 11, 11, 11, 10, 10), 4
@@ -357,8 +357,10 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     def doubtful(name: pd.Series) -> pd.Series:
         return pd.Series(passes(shared.value, name.to_numpy().view(np.uint64)))
 
-    mine = docs.drop("__key", "__id", "__n", "__doubt").withColumn("__key", key)
-    mine = mine.withColumn("__doubt", doubtful(F.xxhash64("__key", "doc_id")))
-    kept = mine.where("__doubt").join(best, (mine["__key"] == best["__key"]) & mine["doc_id"].eqNullSafe(best["__id"])).drop(best["__key"])
-    kept = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(["__key"]))
-    return mine.where("NOT __doubt").select(*docs.columns).unionByName(kept.select(*docs.columns))
+    own, doubt, held, least, count = (unused(docs, n) for n in ("__key", "__doubt", "__kept", "__id", "__n"))
+    best = best.toDF(held, least, count)
+    mine = docs.withColumn(own, key)
+    mine = mine.withColumn(doubt, doubtful(F.xxhash64(own, "doc_id")))
+    kept = mine.where(F.col(doubt)).join(best, (mine[own] == best[held]) & mine["doc_id"].eqNullSafe(best[least]))
+    kept = kept.where(F.col(count) == 1).select(*mine.columns).unionByName(kept.where(F.col(count) > 1).select(*mine.columns).dropDuplicates([own]))
+    return mine.where(~F.col(doubt)).select(*docs.columns).unionByName(kept.select(*docs.columns))

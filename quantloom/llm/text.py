@@ -25,6 +25,14 @@ def in_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of ``text``; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")

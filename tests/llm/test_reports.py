@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -14,9 +15,9 @@ import pytest
 
 from quantloom.llm import mixing
 from quantloom.llm.htmltext import main_text, page_texts
-from quantloom.llm.language import codewords, keep_identified, language_report
+from quantloom.llm.language import BUCKETS, LanguageModel, codewords, keep_identified, language_report
 from quantloom.llm.media import WIDTH, header_of, media_columns, padded, payload_of, png_of
-from quantloom.llm.pieces import PieceModel, encoded, piece_report
+from quantloom.llm.pieces import PieceModel, encoded, message, piece_report
 from quantloom.llm.pii import pii_report, redact, redacted, spans_of
 from quantloom.llm.tokenfile import decode_block, encode_block, pack, token_file_columns, unpack
 
@@ -151,6 +152,48 @@ def test_pieces_match_the_library(both, none):
         assert len(PieceModel.parse(file.read()).pieces) == 32_000
 
 
+def field(number, value):
+    """A protobuf field: an integer, or bytes."""
+
+    def varint(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize(("kind", "blanks"), [(1, 1), (1, 0), (2, 1)])
+def test_whole_text_models(spark, tmp_path, both, kind, blanks):
+    # the public model's pieces as a unigram (1) or BPE (2) model with a normaliser map; blanks are removed or kept
+    import sentencepiece
+
+    normalizer = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    charsmap = next(dict(message(v))[2] for k, v in message(normalizer.serialized_model_proto()) if k == 3)
+    parts = []
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        for n, own in enumerate(dict(message(v)) for k, v in message(file.read()) if k == 1):
+            # a unigram model's scores: falling with the rank, and hardly ever equal in sum
+            score = struct.pack("<f", -1.3 * math.log(3 + n) - n * 0.6180339 % 1) if kind == 1 and own.get(3, 1) == 1 else own[2]
+            parts.append(field(1, field(1, own[1]) + b"\x15" + score + field(3, own.get(3, 1))))
+    trainer, rules = field(3, kind) + field(35, 1), field(1, b"nmt_nfkc") + field(2, charsmap) + field(3, 1) + field(4, blanks) + field(5, 1)
+    path = str(tmp_path / "own.model")
+    with open(path, "wb") as file:
+        file.write(b"".join(parts) + field(2, trainer) + field(3, rules))
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = piece_report(both, path).collect()
+    want = Counter()
+    for i, t in pairs(both):
+        ids = library.encode(t or "")
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(library.decode(ids).encode()).hexdigest()] += 1
+    assert Counter(tuple(r)[:4] for r in rows) == want
+    assert np.mean([r["parity"] for r in rows]) > 0.95
+
+
 # --- language
 
 
@@ -170,6 +213,25 @@ def test_language_odd_rows(both, odd, none):
     assert keep_identified(odd).columns == odd.columns and keep_identified(none).count() == 0
 
 
+def test_languages_that_no_bit_tells_apart():
+    counts = np.ones((3, BUCKETS))
+    for names, own in ((["aa", "bb"], counts[:2]), (["aa", "bb", "cc"], counts * [[1], [1], [5]])):
+        lang, score, lead = LanguageModel.from_counts(names, own).predict(["the same words in either", None])
+        assert (lang, lead) == (["aa", "und"], [0.0, 0.0]) and score == [pytest.approx(1 / len(names)), 0.0]
+
+
+def test_more_languages_than_a_model_learns(spark, monkeypatch):
+    monkeypatch.setattr("quantloom.llm.language.MAX_LANGUAGES", 2)
+    rows = [(k, f"{word} " * n, lang) for k, (word, n, lang) in enumerate([("alpha", 9, "a"), ("beta", 5, "b"), ("gamma", 1, "c")] * 5)]
+    found = language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["lang_pred"] for r in found} == {"a", "b"}
+
+
+def test_without_any_language_texts_with_letters_stay(odd):
+    kept = keep_identified(odd.withColumn("lang", odd["lang"].substr(9, 1)).replace("", None, ["lang"]))
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {None, 4, 5, 6, 7, 8, 9}
+
+
 # --- scoring
 
 

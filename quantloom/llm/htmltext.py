@@ -1,15 +1,17 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page; elements that are never article text
-(scripts, menus, forms, adverts, comment sections, ...) leave an empty line. The text lengths of
-``WINDOW`` successive lines are summed at each line. A surge point is a line where that sum rises over
-a threshold, the dive point behind it a line where the lines run out into an empty one; the text
-between a surge and its dive is kept. Inside an ``article`` (else a ``main``) element any text is a
-surge; elsewhere it takes ``SURGE`` characters, of which links don't count.
+Markup is stripped to lines, one for each block of the page. Where an element holds blocks its start and
+its end leave an empty line each; elements that are never article text (scripts, menus, forms, adverts,
+comment sections, ...) leave an empty line too. A line block is ``WINDOW`` successive lines, its size
+their text outside links. Text surges where a block reaches the threshold, and dives at the empty line
+behind the last such block; what stands between is kept, with short lines inside, unless ``WINDOW``
+empty lines part it. The threshold is the page's largest block over ``RATIO``, so a short article is
+judged by its own page. Where a page has an ``article`` (else a ``main``) element the lines outside it
+are emptied, and any text outside links surges: within it only runs that are links alone fall away.
 
 Defined cases: a null or empty page, or one with no main text, gives an empty text; unclosed and
 truncated markup is closed at its parent or the end; ``br`` is white space; all Unicode white space
-counts; repeated rows give repeated rows; an empty table gives no rows.
+counts; equal blocks all surge; repeated rows give repeated rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from pyspark.sql import DataFrame
 
 from .text import in_batches
 
-#: Lines summed in a line block; characters outside links at which text outside an article surges.
-WINDOW, SURGE = 3, 86
+#: Lines summed in a line block; how many times larger than the threshold the largest block of a page is.
+WINDOW, RATIO = 3, 3
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HOLDERS = frozenset("article aside blockquote body center details dialog dir div dl fieldset figure footer form header main menu nav ol optgroup section table ul".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements, roles and words of class or id that mark what isn't article text.
 NEVER = frozenset("head script style noscript template svg math nav aside footer form button select textarea iframe object canvas dialog menu label input audio video".split())
@@ -95,6 +98,8 @@ class Lines:
             tag = self.stack.pop()
             if tag in BLOCKS and not self.skip:
                 self._flush()
+                if tag in HOLDERS:
+                    self._gap()
             if len(self.stack) < self.skip:
                 self.skip = 0
             self.open[tag] -= 1
@@ -131,12 +136,14 @@ class Lines:
             return
         if tag in BLOCKS:
             self._flush()
+            if tag in HOLDERS:
+                self._gap()
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
         if _unwanted(tag, attributes, self.open["article"] > 0):
-            if tag in BLOCKS or tag == "head":
+            if tag in BLOCKS - HOLDERS or tag == "head":
                 self._flush()
                 self._gap()
             self.skip = len(self.stack) + 1
@@ -174,34 +181,49 @@ class Lines:
         self._flush()
 
 
-def islands(lengths: list[int], empty: list[bool], threshold: int) -> list[tuple[int, int]]:
-    """``[surge, dive)`` line ranges: runs of lines without an empty one that hold a block sum of ``threshold`` or more."""
-    out, start = [], None
-    for k in range(len(lengths) + 1):
-        if k == len(lengths) or empty[k]:
-            if start is not None:
-                sums = (sum(lengths[i : min(i + WINDOW, k)]) for i in range(start, k))
-                if any(s >= threshold for s in sums):
-                    out.append((start, k))
-            start = None
-        elif start is None:
-            start = k
-    return out
+def surges(texts: list[str], sizes: list[int], threshold: float, bounded: bool) -> list[tuple[int, int]]:
+    """``[surge, dive)`` line ranges; lines of links alone at their ends stay if ``bounded`` and next to other text."""
+    n, inside = len(texts), bytearray(len(texts))
+    for k in range(n):
+        if sizes[k] and sum(sizes[k : k + WINDOW]) >= threshold:
+            inside[k : k + WINDOW] = b"\1" * len(inside[k : k + WINDOW])
+    for k in range(n):
+        if not inside[k] and sizes[k] and sum(sizes[max(k - WINDOW + 1, 0) : k + 1]) >= threshold:
+            inside[k] = 1
+    out: list[list[int]] = []
+    k = 0
+    while k < n:
+        if not (inside[k] and sizes[k]):
+            k += 1
+            continue
+        start = end = k
+        while start and (texts[start - 1] if bounded else sizes[start - 1]):
+            start -= 1
+        while end + 1 < n and (sizes[end + 1] or (bounded or inside[end + 1]) and texts[end + 1]):
+            end += 1
+        while not bounded and not sizes[end]:
+            end -= 1
+        if out and not any(not any(texts[i : i + WINDOW]) for i in range(out[-1][1], start - WINDOW + 1)):
+            out[-1][1] = end + 1
+        else:
+            out.append([start, end + 1])
+        k = end + 1
+    return [(a, b) for a, b in out]
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by newlines."""
     if not page:
         return ""
-    rows = Lines(page).rows
+    rows, bounded = Lines(page).rows, False
     for held in (2, 3):
         if any(r[held] and r[0] for r in rows):
-            rows, threshold = [r if r[held] else ("", 0, False, False) for r in rows], 0
+            rows, bounded = [r if r[held] else ("", 0, False, False) for r in rows], True
             break
-    else:
-        threshold = SURGE
-    kept = islands([r[1] for r in rows], [not r[0] for r in rows], threshold)
-    return "\n".join(r[0] for a, b in kept for r in rows[a:b])
+    texts, sizes = [r[0] for r in rows], [r[1] for r in rows]
+    largest = max((sum(sizes[k : k + WINDOW]) for k in range(len(sizes))), default=0)
+    threshold = 1 if bounded else max(largest / RATIO, 1)
+    return "\n".join(t for a, b in surges(texts, sizes, threshold, bounded) for t in texts[a:b] if t)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import math
 import re
 import struct
@@ -273,6 +274,36 @@ def test_main_text():
     assert main_text(None) == main_text("") == main_text("<html></html>") == "" and main_text("<p>unclosed <b") in ("", "unclosed")
 
 
+def labelled(page):
+    """The text of a generated page's article, whose only blocks are h1 and p."""
+    body = re.sub(r"<br>", " ", re.search(r"<article>(.*?)</article>", page, re.S)[1])
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+    return "\n".join(x for x in blocks if x)
+
+
+def test_line_blocks_find_the_article(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    want = [labelled(p) for p in pages]
+    assert [main_text(p) for p in pages] == want
+    plain = [re.sub(r"<(/?)article>", r"<\1div>", p) for p in pages]
+    assert [main_text(p) for p in plain] == want
+    # nothing but the lengths of lines tells menu, advert and footer from text
+    bare = [re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", p).replace(' class="ad"', "") for p in pages]
+    right = np.mean([main_text(p) == t for p, t in zip(bare, want)])
+    assert right > 0.95 and all(map(main_text, bare))
+    monkeypatch.setattr("quantloom.llm.htmltext.WINDOW", 6)
+    assert np.mean([main_text(p) == t for p, t in zip(bare, want)]) < right - 0.1
+
+
+def test_pages_at_the_edges():
+    menu = "<div><ul>" + "<li><a href=x>Somewhere to go</a></li>" * 9 + "</ul></div>"
+    assert main_text(f"<body>{menu}<div><p>Short.</p></div>{menu}") == "Short."
+    assert main_text(f"{menu}<div><p>Same text.</p><p>Same text.</p></div>{menu}") == "Same text.\nSame text."
+    long = " ".join(f"word{k}" for k in range(50_000))
+    assert main_text(f"{menu}<div><h1>Title</h1><p>{long}</p><p>End.</p></div><div>{menu}</div>") == f"Title\n{long}\nEnd."
+    assert main_text(f"<article><h1>T</h1>{menu}<p>Text.</p></article>") == "T\nText." and main_text(menu) == ""
+
+
 def test_page_texts(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = page_texts(pages).collect()

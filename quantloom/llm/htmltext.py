@@ -4,8 +4,8 @@ Markup is stripped to lines, one for each block of the page. Where an element ho
 its end leave an empty line each; elements that are never article text (scripts, menus, forms, adverts,
 comment sections, ...) leave an empty line too. A line block is ``WINDOW`` successive lines, its size
 their text outside links. Text surges where a block reaches the threshold, and dives at the empty line
-behind the last such block; what stands between is kept, with short lines inside, unless ``WINDOW``
-empty lines part it. The threshold is the page's largest block over ``RATIO``, so a short article is
+behind the last such block; what stands between is kept, with short lines inside, unless a block
+without text outside links parts it. The threshold is the page's largest block over ``RATIO``, so a short article is
 judged by its own page. Where a page has an ``article`` (else a ``main``) element the lines outside it
 are emptied, and any text outside links surges: within it only runs that are links alone fall away.
 
@@ -203,7 +203,7 @@ def surges(texts: list[str], sizes: list[int], threshold: float, bounded: bool)
             end += 1
         while not bounded and not sizes[end]:
             end -= 1
-        if out and not any(not any(texts[i : i + WINDOW]) for i in range(out[-1][1], start - WINDOW + 1)):
+        if out and all(any(sizes[i : i + WINDOW]) for i in range(out[-1][1], start - WINDOW + 1)):
             out[-1][1] = end + 1
         else:
             out.append([start, end + 1])

@@ -258,6 +258,38 @@ def test_base_scores(both, none):
     assert all(r["score"] <= 0 for r in found) and mixing.score_report(none).count() == 0
 
 
+def plain_chunks(text):
+    """(bytes before, chunk and whether it ends the text) of each chunk, byte by byte."""
+    out, start = [], 0
+    data = (text or "").encode()
+    for k in range(len(data)):
+        code = int.from_bytes((mixing._START + data)[k + 2 : k + 8], "big")
+        if data[k] in b"\t\n\x0b\x0c\r " and code * 0x9E3779B97F4A7C15 % 2**64 >> 40 & mixing.CUT - 1 == 0:
+            out.append((data[max(start - mixing.REACH, 0) : start], data[start : k + 1], False))
+            start = k + 1
+    return [*out, (data[max(start - mixing.REACH, 0) : start], data[start:], True)]
+
+
+def test_copied_chunks_match_brute_force(both):
+    rows = pairs(both)
+    held = [zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0 for i, _ in rows]
+    seen = Counter(c for (_, t), h in zip(rows, held) if not h for c in plain_chunks(t))
+    want = Counter((i, sum(seen[c] > (not h) for c in plain_chunks(t))) for (i, t), h in zip(rows, held))
+    assert Counter((r["doc_id"], r["n_copied"]) for r in mixing.score_report(both).collect()) == want
+    assert sum(n for _, n in want) > 100
+
+
+def test_scores_beat_the_base_score(spark):
+    found = mixing.score_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").toPandas()
+    assert found.score.sum() > 0.9 * found.base_score.sum()
+
+
+def test_scores_without_training_documents(spark):
+    rows = [(k, f"some words {k}") for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0]
+    found = mixing.score_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and all(r["held_out"] and r["train_tokens"] == r["n_known"] == r["n_copied"] == 0 and -200 < r["score"] < 0 for r in found)
+
+
 # --- pages
 
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><nav><ul><li>Home</li><li>About</li></ul></nav>

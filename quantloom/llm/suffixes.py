@@ -16,7 +16,13 @@ of the positions travels instead of all of them with a sort in each round:
 Bloom filters of fixed size tell which runs to take from the texts, so no text is shuffled in the
 rounds; what they let pass in error is told apart by joins. Extents are compared by 128-bit
 fingerprints. A settled extent stays in the rounds as one row that counts twice, as long as an open
-cell has its core. Groups are counted, never gathered, so a string may have any number of copies.
+cell has its core. Groups are counted before the shuffle, never gathered, and that one row comes from the
+counting too; joins with the counts are followed by no step on the same key, so that adaptive execution
+may split them where a string has very many copies.
+
+A passage that is shared but shorter than ``LENGTH`` loses nothing. Documents that hold one can be told
+by ``n_shared``: of the anchors whose core repeats, those whose surroundings (``AROUND`` bytes before and
+behind) stand in another document too.
 
 Defined cases: null is an empty text; texts below ``LENGTH`` bytes lose nothing; a repeated row is
 another document, so both copies go; a text of one repeated byte loses everything from ``LENGTH`` + 1
@@ -40,6 +46,8 @@ from .text import in_batches, pieces, utf8
 
 #: Bytes of a string, bytes at its anchor that all strings of a run share, and starts in a cell by round.
 LENGTH, CORE, CELLS = 400, 64, (50, 7, 1)
+#: Bytes before and behind an anchor that are compared between documents.
+AROUND = (32, 96)
 #: Bytes of text that a task works on at once.
 PIECE = 4 << 20
 _KEY = ("k1", "k2")
@@ -106,19 +114,22 @@ def repeated_filter(docs: DataFrame) -> np.ndarray:
     return bloom(names.where("n > 1"))
 
 
-_NAMES = [*_KEY, "start", "last", "anchor", "core", "e1", "e2", "bytes"]
-_RUNS = "k1 long, k2 int, start long, last long, anchor long, core long, e1 long, e2 long, bytes binary"
+_NAMES = [*_KEY, "start", "last", "anchor", "core", "e1", "e2", "bytes", "around"]
+_RUNS = "k1 long, k2 int, start long, last long, anchor long, core long, e1 long, e2 long, bytes binary, around long"
 
 
 def _run_rows(part: pa.RecordBatch, texts: list[bytes], data: bytes, own: np.ndarray, core: np.ndarray, keep: bool) -> pa.RecordBatch:
-    """Rows of the chosen runs, with their bytes if ``keep``."""
+    """Rows of the chosen runs, with their bytes if ``keep``, and the names of what surrounds their anchors."""
     doc, first, last, anchor = own.T
-    base = np.cumsum([0, *map(len, texts)])[doc]
+    ends = np.cumsum([0, *map(len, texts)])
+    base = ends[doc]
+    inside = (anchor - AROUND[0] >= base) & (anchor + AROUND[1] <= ends[doc + 1])
+    around = _names(data, [(p - AROUND[0], p + AROUND[1]) for p in anchor.tolist()] if len(own) else [])
     spans = [(s, e + LENGTH) for s, e in zip(first.tolist(), last.tolist())]
     extent = np.ascontiguousarray(_long_names(data, spans).T)
     kept = pa.array([data[a:b] for a, b in spans], pa.binary()) if keep else pa.nulls(len(own), pa.binary())
     keys = [part.column(k).take(pa.array(doc)) for k in (0, 1)]
-    return pa.RecordBatch.from_arrays([*keys, *(pa.array(x - base) for x in (first, last, anchor)), pa.array(core.view(np.int64)), *map(pa.array, extent), kept], _NAMES)
+    return pa.RecordBatch.from_arrays([*keys, *(pa.array(x - base) for x in (first, last, anchor)), pa.array(core.view(np.int64)), *map(pa.array, extent), kept, pa.array(around.view(np.int64), mask=~inside)], _NAMES)
 
 
 def candidate_runs(docs: DataFrame, words: np.ndarray) -> DataFrame:
@@ -186,51 +197,64 @@ def cells(runs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "k1 long, k2 int, start long, first long, last long, core long, e1 long, e2 long, n int")
 
 
-def _repeated(rows: DataFrame, *names: str) -> DataFrame:
-    """Ranks that stand for two positions or more; a row stands for ``n``."""
-    return rows.groupBy(*names).agg(F.sum("n").alias("__n")).where("__n > 1").select(*names)
+def _repeated(rows: DataFrame, names: tuple[str, ...], also: tuple[str, ...] = ()) -> DataFrame:
+    """Names that stand for two positions or more, with further columns of one row each; a row stands for ``n`` positions."""
+    counted = rows.groupBy(*names).agg(F.sum("n").alias("__n"), *(F.first(c).alias(c) for c in also))
+    return counted.where("__n > 1").drop("__n")
 
 
 def _spans(rows: DataFrame, first: str) -> DataFrame:
     return rows.select(*_KEY, F.col(first).alias("a"), (F.col("last") + LENGTH).alias("b"))
 
 
-def _partners(settled: DataFrame, opened: DataFrame) -> DataFrame:
-    """One row for each extent of ``settled`` whose core ``opened`` has too: what is open is compared with it further."""
-    return settled.dropDuplicates(["e1", "e2"]).join(opened.select("core").distinct(), "core", "left_semi").withColumn("n", F.lit(2))
+def _partners(twice: DataFrame, opened: DataFrame) -> DataFrame:
+    """The row of each repeated extent whose core ``opened`` has too: what is open is compared with it further."""
+    return twice.join(opened.select("core").distinct(), "core", "left_semi").withColumn("n", F.lit(2))
+
+
+_EXTENT = ("e1", "e2")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``k1, k2, a, b``: byte ranges of repeated strings, from documents with their keys; ranges may overlap."""
-    runs = written(candidate_runs(docs, repeated_filter(docs)).withColumn("n", F.lit(1)), "suffix-runs")
-    twice = _repeated(runs, "e1", "e2")
-    settled = runs.where("bytes IS NULL").drop("bytes").join(twice, ["e1", "e2"], "left_semi")
-    missed = runs.where("bytes IS NULL").drop("bytes").join(twice, ["e1", "e2"], "left_anti")
+def repeated_spans(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """``k1, k2, a, b``: byte ranges of repeated strings, from documents with their keys and their runs; ranges may overlap."""
+    twice = _repeated(runs, _EXTENT, (*_KEY, "start", "core"))
+    named = runs.where("bytes IS NULL").drop("bytes", "around")
+    missed = named.join(twice.select(*_EXTENT), list(_EXTENT), "left_anti")
     opened = runs.where("bytes IS NOT NULL").select(*_KEY, "start", "last", "anchor", "core", "n", "bytes")
-    found = [_spans(settled, "start")]
+    found = [_spans(named.join(twice.select(*_EXTENT), list(_EXTENT), "left_semi"), "start")]
     alike = opened.select("core").union(missed.select("core"))
-    wanted = written(_partners(settled, alike).select(*_KEY, "start", "n").union(missed.select(*_KEY, "start", "n")), "suffix-wanted")
+    wanted = written(_partners(twice, alike).select(*_KEY, "start", "n").union(missed.select(*_KEY, "start", "n")), "suffix-wanted")
     more = chosen_runs(docs, wanted).select(*opened.columns)
     opened = opened.union(more).withColumn("open", F.array("start", "last"))
     for size in CELLS:
         now = written(cells(opened, size), "suffix-cells")
-        twice = _repeated(now, "e1", "e2")
-        settled = now.join(twice, ["e1", "e2"], "left_semi")
-        found.append(_spans(settled, "first"))
+        twice = _repeated(now, _EXTENT, (*_KEY, "start", "first", "last", "core"))
+        found.append(_spans(now.join(twice.select(*_EXTENT), list(_EXTENT), "left_semi"), "first"))
         if size > 1:
-            left = now.join(twice, ["e1", "e2"], "left_anti").join(_repeated(now, "core"), "core", "left_semi")
-            left = left.unionByName(_partners(settled, left))
+            left = now.join(twice.select(*_EXTENT), list(_EXTENT), "left_anti").join(_repeated(now, ("core",)), "core", "left_semi")
+            left = left.unionByName(_partners(twice, left))
             left = left.groupBy(*_KEY, "start", "n").agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("open"))
             known = opened.select(*_KEY, "start", "anchor", "bytes").dropDuplicates([*_KEY, "start"])
             opened = written(known.join(left, [*_KEY, "start"]), "suffix-open")
     return reduce(DataFrame.unionByName, found)
 
 
+def shared_anchors(runs: DataFrame) -> DataFrame:
+    """``k1, k2`` of each anchor whose surroundings stand in another document too."""
+    ends = [f(c).alias(f"{n}{c}") for c in _KEY for n, f in (("least", F.min), ("most", F.max))]
+    rows = runs.where("around IS NOT NULL").select(*_KEY, "around")
+    several = rows.groupBy("around").agg(*ends).where("leastk1 <> mostk1 OR leastk2 <> mostk2").select("around")
+    return rows.join(several, "around", "left_semi").select(*_KEY)
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of each document; ``spans`` are the removed byte ranges."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_shared`` of each document; ``spans`` are the removed byte ranges."""
     keyed = in_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
-    spans = repeated_spans(keyed.select(*_KEY, "text"))
-    spans = spans.groupBy(*_KEY).agg(F.flatten(F.collect_set(F.array("a", "b"))).alias("spans"))
+    plain = keyed.select(*_KEY, "text")
+    runs = written(candidate_runs(plain, repeated_filter(plain)).withColumn("n", F.lit(1)), "suffix-runs")
+    spans = repeated_spans(plain, runs).select(*_KEY, F.array("a", "b").alias("span"))
+    both = spans.unionByName(shared_anchors(runs), allowMissingColumns=True)
+    spans = both.groupBy(*_KEY).agg(F.flatten(F.collect_set("span")).alias("spans"), F.count_if(F.col("span").isNull()).alias("n_shared"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +270,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((len(data), sum(b - a for a, b in removed), len(removed), sha.hexdigest(), [x for span in removed for x in span]))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types)), batch.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_shared"])
 
-    joined = keyed.join(spans, list(_KEY), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    joined = keyed.join(spans, list(_KEY), "left").select("doc_id", "text", "spans", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, n_shared long")

@@ -47,6 +47,16 @@ def test_suffixes_odd_rows(spark, odd, none):
     assert without_repeats(none).count() == 0
 
 
+def test_shared_anchors(spark):
+    deal = random.Random(3)
+    passage = " ".join(deal.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(deal.randrange(999)) for _ in range(45))
+    assert 300 < len(passage) < LENGTH
+    rows = [(k, " ".join(str(deal.random()) for _ in range(80)) + (f" {passage} " if k % 4 == 0 else " ") + " ".join(str(deal.random()) for _ in range(80))) for k in range(40)]
+    found = {r["doc_id"]: r for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r["n_removed"] == 0 for r in found.values())
+    assert {k for k, r in found.items() if r["n_shared"]} == {k for k in range(40) if k % 4 == 0}
+
+
 def brute_fingerprint(text):
     words = b"" if text is None else text.encode().lower()
     words = words.split()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .series import Series
+from .series import Series, scan
 
 
 class Condition:
@@ -16,6 +18,57 @@ class Condition:
     def column(self, signal: Column, series: Series) -> Column:
         raise NotImplementedError
 
+    def added(self, df: DataFrame, signal: str, series: Series) -> DataFrame:
+        """``df`` with whatever columns ``column`` needs besides the signal."""
+        return df
+
+
+@dataclass(frozen=True)
+class Custom(Condition):
+    """A condition in Python: ``fn(values)`` tells for each value whether it is a hit, as an array.
+
+    ``values`` are a piece of a series in order, behind the ``lookback`` values before it (fewer at the
+    series' start), so a task never holds a whole series; hits of the values before are ignored.
+    """
+
+    fn: Callable[[np.ndarray], np.ndarray]
+    lookback: int = 1
+
+    @classmethod
+    def each(cls, fn: Callable[[np.ndarray, int], bool], lookback: int = 1) -> Custom:
+        """From a function of the values and a position among them; it may look back ``lookback`` values."""
+        return cls(_Each(fn), lookback)
+
+    @property
+    def _name(self) -> str:
+        return f"__custom_{hash(self) & 0xFFFFFFFFFFFF:x}"
+
+    def column(self, signal: Column, series: Series) -> Column:
+        return F.col(self._name)
+
+    def added(self, df: DataFrame, signal: str, series: Series) -> DataFrame:
+        out = df.withColumn(self._name, F.lit(None).cast("boolean"))
+        at, fn, lookback = df.columns.index(signal), self.fn, self.lookback
+
+        def step(before: np.ndarray | None, rows: pa.Table, final: bool):
+            own = rows.column(at).to_numpy()
+            values = own if before is None else np.concatenate((before, own))
+            hits = np.asarray(fn(values), bool)[len(values) - len(own) :]
+            last = rows.num_columns - 1
+            return values[len(values) - lookback :] if lookback < len(values) else values, rows.set_column(last, rows.field(last), pa.array(hits))
+
+        return scan(out, series, step, out.schema)
+
+
+@dataclass(frozen=True)
+class _Each:
+    """A function of single positions, as one of all."""
+
+    fn: Callable[[np.ndarray, int], bool]
+
+    def __call__(self, values: np.ndarray) -> list[bool]:
+        return [bool(self.fn(values, k)) for k in range(len(values))]
+
 
 def _hit(signal: Column, level: float, inclusive: bool, up: bool) -> Column:
     if up:
@@ -69,7 +122,7 @@ class CrossBelow(Condition):
         return _crossed(signal, series, self.level, self.inclusive, self.trigger_on_first_bar, False)
 
 
-CONDITIONS: dict[str, Callable[..., Condition]] = {"above": Above, "below": Below, "cross_above": CrossAbove, "cross_below": CrossBelow}
+CONDITIONS: dict[str, Callable[..., Condition]] = {"above": Above, "below": Below, "cross_above": CrossAbove, "cross_below": CrossBelow, "custom": Custom, "each": Custom.each}
 
 
 def register_condition(name: str, factory: Callable[..., Condition]) -> None:

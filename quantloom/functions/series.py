@@ -46,6 +46,23 @@ def seconds_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
 
 
+def exact_quantile(values: DataFrame, q: float, name: str = "value") -> DataFrame:
+    """One row: the ``q`` quantile of the only column of ``values``, interpolated; null without any value.
+
+    Equal values are counted before the shuffle, and what remains is dealt by ranges, so no task sorts all.
+    """
+    counts = values.toDF("v").where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    dealt = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id())
+    below = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    starts = dealt.groupBy("p").agg(F.sum("n").alias("n")).select("p", below.alias("below"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+    rows = dealt.join(F.broadcast(starts), "p").withColumn("upto", upto)  # a row a partition
+    place = (F.col("all") - 1) * F.lit(float(q))
+    ends = [F.min(F.when(F.col("upto") > f(place), F.col("v"))).alias(n) for n, f in (("low", F.floor), ("high", F.ceil))]
+    found = rows.agg(*ends, F.max(place - F.floor(place)).alias("part"))
+    return found.select((F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias(name))
+
+
 def numbered(df: DataFrame, series: Series, name: str) -> DataFrame:
     """``df`` with the row's number in its series, from 0."""
     return df.withColumn(name, F.row_number().over(series.ordered()) - 1)

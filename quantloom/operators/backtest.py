@@ -190,14 +190,18 @@ def simulate(bars: DataFrame, strategies: Sequence[Strategy], series: Series = S
     for transforms, own in pipelines.items():
         used = {c for s in own for c in (getattr(s, side) for side in SIDES) if c is not None}
         hits = F.array(*(mask(c if c in used else None, F.col("signal"), series) for c in conditions)) if conditions else F.array().cast("array<boolean>")
-        ready = prepare(bars, transforms, series).withColumn("hits", hits)
+        ready = prepare(bars, transforms, series)
+        for c in used:
+            ready = c.added(ready, "signal", series)
+        first = F.first("benchmark").over(series.running())
+        ready = ready.withColumns({"hits": hits, "benchmark_equity": F.col("benchmark") / F.when(first != 0, first) * capital})
         numbers = [g for g, members in enumerate(groups) if members[0].transforms == transforms]
         parts.append(ready.withColumn("group", F.explode(F.array(*map(F.lit, numbers)))))
     rows = reduce(DataFrame.unionByName, parts)
     dealt = Series((*series.keys, "group"), series.ts)
     place = {c: i for i, c in enumerate(conditions)}
     keys, ts = list(series.keys), series.ts
-    shown = [*keys, ts, "close", "signal", "benchmark"]
+    shown = [*keys, ts, "close", "signal", "benchmark", "benchmark_equity"]
 
     def step(state: tuple[int, dict[str, _Fold]] | None, part: pa.Table, final: bool):
         members = groups[part.column("group")[0].as_py()]
@@ -217,9 +221,7 @@ def simulate(bars: DataFrame, strategies: Sequence[Strategy], series: Series = S
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in shown), "strategy_id string", "idx bigint", "equity double", "position int", f"trades array<struct<{TRADE.replace(' ', ':').replace(',:', ',')}>>"])
-    out = scan(rows, dealt, step, schema)
-    first = F.first("benchmark").over(Series((*keys, "strategy_id"), ts).running())
-    return out.withColumn("benchmark_equity", F.col("benchmark") / F.when(first != 0, first) * capital)
+    return scan(rows, dealt, step, schema)
 
 
 def _trades_type() -> pa.DataType:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.series import Series, finite, number
+from ..functions.series import Series, exact_quantile, finite, number
 from .align import asof, time_of
 from .metrics import period_metrics
 
@@ -38,14 +40,16 @@ def execution_quality(fills: DataFrame) -> DataFrame:
     bps = slippage_bps(fills)
     fee = F.sum(finite(F.col("fee"), 0.0)) if "fee" in fills.columns else F.lit(0.0)
     latency = F.avg(number("latency_ms")) if "latency_ms" in fills.columns else F.lit(0.0)
-    return fills.agg(
+    middle = exact_quantile(fills.select(bps), 0.5, "median")
+    own = fills.agg(
         F.coalesce(F.avg(bps), F.lit(0.0)).alias("average_slippage_bps"),
-        F.coalesce(F.percentile(bps, F.lit(0.5)), F.lit(0.0)).alias("median_slippage_bps"),
         F.coalesce(F.avg(bps), F.lit(0.0)).alias("implementation_shortfall"),
         latency.alias("latency_ms"),
         F.coalesce(fee, F.lit(0.0)).alias("fee_drag"),
         F.lit(0.0).alias("funding_drag"),
     )
+    own = own.crossJoin(middle)  # one row each
+    return own.select("average_slippage_bps", F.coalesce("median", F.lit(0.0)).alias("median_slippage_bps"), "implementation_shortfall", "latency_ms", "fee_drag", "funding_drag")
 
 
 def venue_quality(fills: DataFrame) -> DataFrame:
@@ -74,10 +78,12 @@ def target_drift(positions: DataFrame, targets: DataFrame) -> DataFrame:
     return joined.agg(F.coalesce(F.avg(drift), F.lit(0.0)).alias("target_vs_actual_position_drift"))
 
 
-def equity_risk(equity: DataFrame, calendar: str = "crypto_365") -> DataFrame:
-    """One row: period Sharpe ratio and drawdown of equity snapshots; zeros without any."""
-    own = period_metrics(equity.where("ts IS NOT NULL").withColumn("account", F.lit(0)), Series(("account",)), calendar=calendar)
-    return own.agg(F.coalesce(F.max("period_sharpe"), F.lit(0.0)).alias("OMS_period_sharpe"), F.coalesce(F.max("max_drawdown_pct"), F.lit(0.0)).alias("live_rolling_drawdown"))
+def equity_risk(equity: DataFrame, calendar: str = "crypto_365", by: Sequence[str] = ()) -> DataFrame:
+    """Period Sharpe ratio and drawdown of equity snapshots: a row for each account ``by``, or one row, zeros without any."""
+    own = equity.where("ts IS NOT NULL")
+    keys = list(by) or ["account"]
+    own = period_metrics(own if by else own.withColumn("account", F.lit(0)), Series(tuple(keys)), calendar=calendar)
+    return own.groupBy(*by).agg(F.coalesce(F.max("period_sharpe"), F.lit(0.0)).alias("OMS_period_sharpe"), F.coalesce(F.max("max_drawdown_pct"), F.lit(0.0)).alias("live_rolling_drawdown"))
 
 
 def oms_metrics(*, orders: DataFrame | None = None, fills: DataFrame | None = None, positions: DataFrame | None = None, equity: DataFrame | None = None, targets: DataFrame | None = None, calendar: str = "crypto_365") -> DataFrame:

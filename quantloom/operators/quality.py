@@ -1,4 +1,8 @@
-"""Data-quality checks of price bars and signals: one aggregation, one row for each issue found."""
+"""Data-quality checks of price bars and signals: one aggregation, one row for each issue found.
+
+With ``by``, the keys of a series, each series is checked apart and its issues carry its keys. Issue codes
+and severities are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -12,11 +16,11 @@ from .align import micros, time_of
 ISSUE = "code string, severity string, count bigint, message string"
 
 
-def _issues(df: DataFrame, checks: list[tuple[str, str, str, Column]], extra: list[DataFrame] = ()) -> DataFrame:
+def _issues(df: DataFrame, checks: list[tuple[str, str, str, Column]], extra: list[DataFrame] = (), by: Sequence[str] = ()) -> DataFrame:
     """Rows of checks whose count isn't zero; all plain checks are one pass."""
-    sums = df.agg(*(F.coalesce(c, F.lit(0)).cast("bigint").alias(f"c{k}") for k, (*_, c) in enumerate(checks)))
+    sums = df.groupBy(*by).agg(*(F.coalesce(c, F.lit(0)).cast("bigint").alias(f"c{k}") for k, (*_, c) in enumerate(checks)))
     rows = F.array(*(F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(f"c{k}").alias("count"), F.lit(text).alias("message")) for k, (code, severity, text, _) in enumerate(checks)))
-    out = sums.select(F.inline(rows))
+    out = sums.select(*by, F.inline(rows))
     for more in extra:
         out = out.unionByName(more)
     return out.where("count > 0")
@@ -26,24 +30,26 @@ def _one(spark, code: str, text: str, count: int = 1) -> DataFrame:
     return spark.createDataFrame([(code, "error", count, text)], ISSUE)
 
 
-def _repeats(df: DataFrame, t: Column, code: str, severity: str, text: str) -> DataFrame:
+def _repeats(df: DataFrame, t: Column, code: str, severity: str, text: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows beyond the first of each time, rows without time among them."""
-    per = df.groupBy(t.alias("t")).agg((F.count("*") - 1).alias("n"))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("count")).select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "count", F.lit(text).alias("message"))
+    per = df.groupBy(*by, t.alias("__t")).agg((F.count("*") - 1).alias("__n"))
+    return per.groupBy(*by).agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("count")).select(*by, F.lit(code).alias("code"), F.lit(severity).alias("severity"), "count", F.lit(text).alias("message"))
 
 
-def _missing(df: DataFrame, t: Column, step: int) -> DataFrame:
+def _missing(df: DataFrame, t: Column, step: int, by: Sequence[str] = ()) -> DataFrame:
     """Steps between the first and the last time at which no row stands."""
-    times = df.select(t.alias("t")).where("t IS NOT NULL")
-    ends = times.agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n")).where("n > 1")
-    on_step = times.crossJoin(F.broadcast(ends)).where(((F.col("t") - F.col("a")) % step) == 0)  # ends is one row
-    have = on_step.agg(F.countDistinct("t").alias("have"))
-    count = F.floor((F.col("b") - F.col("a")) / step) + 1 - F.col("have")
-    return ends.crossJoin(have).select(F.lit("missing_bars").alias("code"), F.lit("warning").alias("severity"), count.cast("bigint").alias("count"), F.lit("the expected spacing implies bars that are missing").alias("message"))
+    by = list(by)
+    times = df.select(*by, t.alias("__t")).where("__t IS NOT NULL")
+    ends = times.groupBy(*by).agg(F.min("__t").alias("__a"), F.max("__t").alias("__b"), F.count("*").alias("__n")).where("__n > 1")
+    both = times.join(ends, by) if by else times.crossJoin(F.broadcast(ends))  # without keys, ends is one row
+    on_step = both.where(((F.col("__t") - F.col("__a")) % step) == 0)
+    have = on_step.groupBy(*by).agg(F.countDistinct("__t").alias("__have"), F.first("__a").alias("__a"), F.first("__b").alias("__b")).where("__have > 0")
+    count = F.floor((F.col("__b") - F.col("__a")) / step) + 1 - F.col("__have")
+    return have.select(*by, F.lit("missing_bars").alias("code"), F.lit("warning").alias("severity"), count.cast("bigint").alias("count"), F.lit("the expected spacing implies bars that are missing").alias("message"))
 
 
-def validate_ohlc(df: DataFrame, *, ts_col: str = "ts", open_col: str = "open", high_col: str = "high", low_col: str = "low", close_col: str = "close", volume_col: str = "volume", sequence_col: str | None = None, expected_freq: str | None = None, allow_empty: bool = False) -> DataFrame:
-    """``code, severity, count, message`` for each issue of a bar table; no rows if it is fine.
+def validate_ohlc(df: DataFrame, *, ts_col: str = "ts", open_col: str = "open", high_col: str = "high", low_col: str = "low", close_col: str = "close", volume_col: str = "volume", sequence_col: str | None = None, expected_freq: str | None = None, allow_empty: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """``code, severity, count, message`` for each issue of a bar table, behind the keys ``by``; no rows if it is fine.
 
     Arrival order is that of ``sequence_col``; without one it isn't checked, since rows of a DataFrame have none.
     """
@@ -65,31 +71,30 @@ def validate_ohlc(df: DataFrame, *, ts_col: str = "ts", open_col: str = "open",
     if volume_col in df.columns:
         v = number(volume_col)
         checks.append(("invalid_volume", "error", "volume must be a number from zero", F.count_if(v.isNull() | (v < 0))))
-    extra = [_repeats(df, t, "duplicate_timestamps", "error", "times occur more than once")]
+    extra = [_repeats(df, t, "duplicate_timestamps", "error", "times occur more than once", by)]
     if sequence_col:
-        steps = _out_of_order(df, t, sequence_col)
-        extra.append(steps)
+        extra.append(_out_of_order(df, t, sequence_col, by))
     if expected_freq is not None:
-        extra.append(_missing(df, t, micros(expected_freq)))
-    return _issues(df, checks, extra)
+        extra.append(_missing(df, t, micros(expected_freq), by))
+    return _issues(df, checks, extra, by)
 
 
-def _out_of_order(df: DataFrame, t: Column, sequence_col: str) -> DataFrame:
+def _out_of_order(df: DataFrame, t: Column, sequence_col: str, by: Sequence[str] = ()) -> DataFrame:
     """One issue if times fall, or are missing, in the order of ``sequence_col``.
 
     Ranges of the sequence are checked apart, then their ends against each other.
     """
-    dealt = df.select(F.col(sequence_col).alias("s"), t.alias("t")).repartitionByRange("s").withColumn("p", F.spark_partition_id())
-    w = Window.partitionBy("p").orderBy("s")
-    inside = dealt.withColumn("bad", F.col("t").isNull() | (F.col("t") < F.lag("t").over(w)))
-    parts = inside.groupBy("p").agg(F.max(F.coalesce("bad", F.lit(False))).alias("bad"), F.min("t").alias("low"), F.max("t").alias("high"))
-    across = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    bad = F.col("bad") | F.coalesce(F.col("low") < F.max("high").over(across), F.lit(False))
-    found = parts.select(bad.alias("bad")).agg(F.max(F.col("bad").cast("bigint")).alias("count"))
-    return found.select(F.lit("timestamp_not_monotonic").alias("code"), F.lit("error").alias("severity"), F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), F.lit("times must not fall").alias("message"))
+    dealt = df.select(*by, F.col(sequence_col).alias("__s"), t.alias("__t")).repartitionByRange(*by, "__s").withColumn("__p", F.spark_partition_id())
+    w = Window.partitionBy(*by, "__p").orderBy("__s")
+    inside = dealt.withColumn("__bad", F.col("__t").isNull() | (F.col("__t") < F.lag("__t").over(w)))
+    parts = inside.groupBy(*by, "__p").agg(F.max(F.coalesce("__bad", F.lit(False))).alias("__bad"), F.min("__t").alias("__low"), F.max("__t").alias("__high"))
+    across = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    bad = F.col("__bad") | F.coalesce(F.col("__low") < F.max("__high").over(across), F.lit(False))
+    found = parts.select(*by, bad.alias("__bad")).groupBy(*by).agg(F.max(F.col("__bad").cast("bigint")).alias("count"))
+    return found.select(*by, F.lit("timestamp_not_monotonic").alias("code"), F.lit("error").alias("severity"), F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), F.lit("times must not fall").alias("message"))
 
 
-def validate_signal(df: DataFrame, *, ts_col: str = "ts", signal_col: str = "signal", event_ts_col: str | None = None, available_ts_col: str | None = None, duplicate_policy: str = "error", nan_policy: str = "warn", inf_policy: str = "error", stale_after: str | None = None) -> DataFrame:
+def validate_signal(df: DataFrame, *, ts_col: str = "ts", signal_col: str = "signal", event_ts_col: str | None = None, available_ts_col: str | None = None, duplicate_policy: str = "error", nan_policy: str = "warn", inf_policy: str = "error", stale_after: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Issues of a signal table. A policy is ``error``, ``warn``, or anything else to ignore."""
     spark = df.sparkSession
     if df.isEmpty():
@@ -114,8 +119,8 @@ def validate_signal(df: DataFrame, *, ts_col: str = "ts", signal_col: str = "sig
         checks.append(("available_before_event_ts", "warning", "signals were available before their event", F.count_if(available < event)))
     if stale_after is not None and available is not None:
         checks.append(("stale_signal", "warning", "signals are older than allowed", F.count_if(t - available > micros(stale_after))))
-    extra = [_repeats(df, t, "duplicate_signal_timestamps", severity[duplicate_policy], "times occur more than once")] if duplicate_policy in severity else []
-    return _issues(df, checks, extra)
+    extra = [_repeats(df, t, "duplicate_signal_timestamps", severity[duplicate_policy], "times occur more than once", by)] if duplicate_policy in severity else []
+    return _issues(df, checks, extra, by)
 
 
 def raise_if_errors(report: DataFrame) -> None:

@@ -50,11 +50,11 @@ PERIOD = f"""{RISK}, k AS (SELECT *, count(r) OVER {ROLL} = 30 AS full_frame, av
   a AS (SELECT symbol, count(*) + 1 AS points, avg(r) AS m, stddev_pop(r) AS s, coalesce(stddev_pop(r) FILTER (r < 0), 0) AS ds, any_value(q) AS q, avg(r) FILTER (r <= q) AS cv, skewness(r) AS sk, kurtosis(r) AS ku,
     arg_max(rm / nullif(rs, 0), ts) FILTER (full_frame) AS ro, arg_max(rm / nullif(rd, 0), ts) FILTER (full_frame) AS rod FROM k JOIN v USING (symbol) GROUP BY 1),
   f AS (SELECT symbol, arg_min(e, ts) AS e0, arg_max(e, ts) AS en, greatest((epoch(max(ts)) - epoch(min(ts))) / (365 * 86400.0), 1 / 365.0) AS years, greatest(365 * 86400 / median(dt) FILTER (dt > 0), 1.0) AS ppy FROM d GROUP BY 1),
-  g AS (SELECT *, exp(ln(en / e0) / years) - 1 AS cagr, sqrt(ppy) AS y FROM f),
+  grown AS (SELECT *, exp(ln(en / e0) / years) - 1 AS cagr, sqrt(ppy) AS y FROM f),
   period AS (SELECT symbol, points, ppy AS periods_per_year, m / s * y AS period_sharpe, CASE WHEN ds > 1e-12 THEN m / ds * y ELSE 0 END AS sortino, coalesce(ro * y, 0) AS rolling_sharpe, coalesce(rod * y, 0) AS rolling_sortino,
     s * y * 100 AS volatility_annualized, ds * y * 100 AS downside_volatility, cagr, cagr * 100 AS cagr_pct, coalesce(cagr / nullif(round(-depth * 100, 6) / 100, 0), 0) AS calmar, (en / e0 - 1) * 100 AS return_pct,
     q * 100 AS VaR_95, cv * 100 AS CVaR_95, coalesce(sk, 0) AS skew, coalesce(ku, 0) AS kurtosis, -depth * 100 AS max_drawdown_pct, (epoch(coalesce(recovery, t_n)) - epoch(start)) / 86400.0 AS max_drawdown_duration_days
-    FROM a JOIN g USING (symbol) JOIN dd USING (symbol))"""
+    FROM a JOIN grown USING (symbol) JOIN dd USING (symbol))"""
 PERIOD_NAMES = "periods_per_year period_sharpe sortino rolling_sharpe rolling_sortino volatility_annualized downside_volatility cagr cagr_pct calmar return_pct VaR_95 CVaR_95 skew kurtosis max_drawdown_pct max_drawdown_duration_days".split()
 
 
@@ -107,32 +107,65 @@ FOLIO = f"""{GRID}, l AS (SELECT ts, row_number() OVER (ORDER BY ts) AS k, list(
   pos1 AS (SELECT *, coalesce(lag(position) OVER ({OWN}), 0) AS was FROM pos0),
   pos AS (SELECT ts, symbol, coalesce(position, 0) AS position, price, target AS target_weight, CASE WHEN equity > 0 THEN coalesce(position * price, 0) / equity ELSE 0 END AS actual_weight,
     sum(coalesce(was * (price - prev), 0)) OVER ({OWN}) AS pnl_by_symbol, sum(coalesce(abs(position - was) * price * 0.001::DOUBLE, 0)) OVER ({OWN}) AS fee_by_symbol FROM pos1)"""
-FILLS = """fills AS (SELECT l_returnflag = 'R' AS sells, l_extendedprice / l_quantity AS fp, p_retailprice AS ap, l_extendedprice * l_tax AS fee, s_nationkey::VARCHAR AS venue, l_quantity * 10 AS latency
+FILLS = """fills AS (SELECT l_shipdate AS ts, l_returnflag = 'R' AS sells, l_extendedprice / l_quantity AS fp, p_retailprice AS ap, l_extendedprice * l_tax AS fee, s_nationkey::VARCHAR AS venue, l_quantity * 10 AS latency
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 POSITIONS = f"""pd AS (SELECT user_id::VARCHAR AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, sum(value) AS x, arg_max(value, ts) AS mark FROM events GROUP BY 1, 2),
   pq AS (SELECT *, sum(x) OVER ({OWN}) AS q FROM pd)"""
 
 
+def significant(x: str) -> str:
+    """A number rounded to nine digits."""
+    unit = f"pow(10, floor(log10(abs(nullif({x}, 0)))) - 8)"
+    return f"CASE WHEN {x} = 0 THEN 0 ELSE round(({x}) / {unit}) * {unit} END"
+
+
 def monte_carlo(method: str) -> str:
     draw = "('0x' || substr(md5(sim || '-' || step || '-7'), 1, 8))::BIGINT"
     at = f"{draw} % n" if method == "bootstrap" else f"row_number() OVER (PARTITION BY sim ORDER BY {draw}, step) - 1"
-    return f"""WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS since, c_acctbal / 2000 / 100 AS r FROM customer WHERE c_custkey <= 300), c AS (SELECT count(*) AS n FROM r),
+    return f"""WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS since, c_acctbal / 2000 / 100 AS r FROM customer), c AS (SELECT count(*) AS n FROM r),
       g AS (SELECT sim, step, n FROM (SELECT range AS sim FROM range(200)) CROSS JOIN c CROSS JOIN LATERAL (SELECT unnest(range(n)) AS step)), s AS (SELECT sim, step, {at} AS since FROM g),
       p AS (SELECT sim, step, product(1 + r) OVER (PARTITION BY sim ORDER BY step) AS e FROM s JOIN r USING (since)),
       q AS (SELECT *, e / lag(e) OVER (PARTITION BY sim ORDER BY step) - 1 AS own, max(e) OVER (PARTITION BY sim ORDER BY step) AS peak FROM p),
       m AS (SELECT sim, arg_max(e, step) AS t, max((peak - e) / peak) AS dd, CASE WHEN stddev_pop(own) > 1e-12 THEN avg(own) / stddev_pop(own) ELSE 0 END AS sh FROM q GROUP BY 1)
       SELECT 200 AS n_sims, '{method}' AS method, round(avg((t < 1)::INT), 6) + 0.0 AS probability_of_loss, round(avg((sh < 0)::INT), 6) + 0.0 AS probability_sharpe_below_zero, round(avg(dd) * 100, 6) + 0.0 AS expected_worst_drawdown,
-        round(quantile_cont(t, 0.05), 6) + 0.0 AS terminal_equity_p05, round(quantile_cont(t, 0.5), 6) + 0.0 AS terminal_equity_p50, round(quantile_cont(t, 0.95), 6) + 0.0 AS terminal_equity_p95, round(quantile_cont(dd, 0.95) * 100, 6) + 0.0 AS drawdown_p95 FROM m"""
+        {", ".join(f"{significant(f'quantile_cont(t, {q / 100})')} AS terminal_equity_p{q:02d}" for q in (5, 50, 95))}, round(quantile_cont(dd, 0.95) * 100, 6) + 0.0 AS drawdown_p95 FROM m"""
+
+
+#: Events as "never" and "none" leave them: a null time t, a null or infinite x.
+UNREADABLE = """u AS (SELECT event_type AS symbol, event_id, CASE WHEN event_id % 97 <> 0 THEN date_trunc('second', ts)::TIMESTAMP END AS t,
+  CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 83 = 0 THEN 'Infinity'::DOUBLE ELSE value END AS x FROM events)"""
 
 
-def issues(source: str, checks: dict[str, tuple[str, str]]) -> str:
-    parts = [f"SELECT '{code}' AS code, '{severity}' AS severity, ({count})::BIGINT AS count FROM {source}" for code, (severity, count) in checks.items()]
+def issues(source: str, checks: dict[str, tuple[str, str]], by: str = "") -> str:
+    own, per = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    parts = [f"SELECT {own}'{code}' AS code, '{severity}' AS severity, ({count})::BIGINT AS count FROM {source}{per}" for code, (severity, count) in checks.items()]
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE count > 0"
 
 
 _ATTRIBUTED = "SELECT symbol, round(arg_max(round(pnl_by_symbol, 6), ts), 4) + 0.0 AS pnl, round(arg_max(round(fee_by_symbol, 6), ts), 4) + 0.0 AS fee FROM pos GROUP BY 1"
 _FOLIO_NAMES = "pre_equity equity cash gross_exposure net_exposure leverage turnover drift_from_target".split()
 
+#: Metrics of the trades of each series, from tables "trades" and "span" (days and points of the whole curve).
+TRADED = """t AS (SELECT symbol, count(*) AS num_trades, avg(account_return_pct / 100) AS m, stddev_pop(account_return_pct / 100) AS s, coalesce(sum(pnl_cash) FILTER (pnl_cash > 0), 0) AS gross_pnl, coalesce(-sum(pnl_cash) FILTER (pnl_cash < 0), 0) AS lost,
+    avg((account_return_pct > 0)::INT) * 100 AS win_rate, avg(pnl_pct) AS avg_trade_return, median(pnl_pct) AS median_trade_return, max(pnl_pct) AS best_trade, min(pnl_pct) AS worst_trade, avg(bars_held) AS avg_holding_bars, sum(bars_held) AS held,
+    avg((epoch(exit_ts) - epoch(entry_ts)) / 86400.0) AS avg_holding_time, sum(abs(allocated_capital)) AS turnover, sum(fee_cash) AS fee_drag, sum(slippage_cash) AS slippage_drag, sum(pnl_cash) AS net_pnl FROM trades GROUP BY 1),
+  traded AS (SELECT t.*, num_trades / days * 365 AS trades_per_year, least(held / usable_rows, 1) * 100 AS time_in_market_pct, CASE WHEN num_trades >= 2 AND s > 1e-12 THEN m / s * sqrt(num_trades / days * 365) ELSE 0 END AS trade_sharpe,
+    CASE WHEN lost > 1e-12 THEN gross_pnl / lost ELSE gross_pnl END AS profit_factor FROM t JOIN span USING (symbol))"""
+TRADE_VALUES = "trade_sharpe profit_factor win_rate avg_trade_return median_trade_return best_trade worst_trade avg_holding_bars avg_holding_time time_in_market_pct turnover fee_drag slippage_drag gross_pnl net_pnl trades_per_year".split()
+
+
+def backtest_metrics() -> str:
+    """Period and trade metrics of each series' backtest, rounded as reports show them."""
+    digits = dict.fromkeys(("return_pct", "cagr_pct", "win_rate"), 2) | dict.fromkeys(("cagr", "fee_drag", "slippage_drag", "gross_pnl", "net_pnl"), 6)
+    names = [n for n in (*PERIOD_NAMES, *TRADE_VALUES) if n != "periods_per_year"]
+    values = ", ".join(f"round(coalesce({n}, 0)::DOUBLE, {digits.get(n, 3)}) + 0.0 AS {n}" for n in names)
+    dates = ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS max_drawdown_{n}" for n, c in (("start", "start"), ("end", "since"), ("recovery", "recovery")))
+    return f"""WITH RECURSIVE {BACKTEST}, curves AS (SELECT symbol, ts, CASE WHEN forced THEN cash + last_pnl ELSE cash + units * (close - price) * side END AS e FROM fold), {PERIOD},
+      span AS (SELECT symbol, count(*) AS usable_rows, min(ts) AS usable_start, max(ts) AS usable_end, greatest((epoch(max(ts)) - epoch(min(ts))) / 86400.0, 1) AS days, arg_max(e, ts) - arg_min(e, ts) AS net FROM curves GROUP BY 1), {TRADED}
+      SELECT symbol, 'zscore' AS strategy_id, usable_start, usable_end, usable_rows, coalesce(num_trades, 0) AS num_trades, round(coalesce(trade_sharpe, 0), 3) + 0.0 AS sharpe, round(max_drawdown_pct, 2) + 0.0 AS max_drawdown, round(net, 2) + 0.0 AS net_profit,
+        round(coalesce(avg_trade_return, 0), 2) + 0.0 AS avg_trade_pct, {dates}, {values} FROM span JOIN period USING (symbol) JOIN dd USING (symbol) LEFT JOIN traded USING (symbol)"""
+
+
 ORACLES: dict[str, str] = {
     "s_ohlc_load": """WITH r AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS t, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events WHERE event_type = 'view' GROUP BY 1)
       SELECT t AS ts, t + INTERVAL 1 MINUTE AS close_ts, open, high, low, close, volume FROM r WHERE t BETWEEN '2024-01-05' AND '2024-01-19'""",
@@ -148,11 +181,15 @@ ORACLES: dict[str, str] = {
     "w_ema": f"""WITH RECURSIVE {HOURS}, b AS (SELECT symbol, ts, close AS c, row_number() OVER ({OWN}) AS k FROM bars),
       e AS (SELECT symbol, ts, k, c AS x FROM b WHERE k = 1 UNION ALL SELECT b.symbol, b.ts, b.k, e.x * (1 - 2::DOUBLE / 21) + b.c * 2::DOUBLE / 21 FROM e JOIN b ON b.symbol = e.symbol AND b.k = e.k + 1)
       SELECT symbol, ts, round(x, 6) + 0.0 AS x FROM e""",
+    "w_composed": f"""WITH {HOURS}, m AS (SELECT symbol, ts, CASE WHEN count(close) OVER {rows(24)} >= 24 THEN avg(close) OVER {rows(24)} END AS m FROM bars)
+      SELECT symbol, ts, round(m / nullif(lag(m) OVER ({OWN}), 0) - 1, 6) + 0.0 AS x FROM m""",
+    "w_sliced": f"""WITH {HOURS}, b AS (SELECT symbol, ts, close AS c FROM bars WHERE ts >= '2024-01-05' AND ts < '2024-01-12 06:00:00') SELECT symbol, ts, round(CASE WHEN count(c) OVER {rows(12)} >= 12 THEN avg(c) OVER {rows(12)} END, 6) + 0.0 AS x FROM b""",
+    "p_custom": f"""WITH {HOURS}, b AS (SELECT symbol, ts, close AS c, lag(close) OVER ({OWN}) AS p, lag(close, 2) OVER ({OWN}) AS q FROM bars) SELECT symbol, ts, coalesce(c > p AND p > q, false) AS hit FROM b""",
     "p_conditions": f"""WITH {HOURS}, b AS (SELECT symbol, ts, close AS c, lag(close) OVER ({OWN}) AS p FROM bars)
       SELECT symbol, ts, c >= 100 AS above, c < 50 AS below, c >= 100 AND (p IS NULL OR p < 100) AS cross_above, c <= 50 AND p IS NOT NULL AND p > 50 AS cross_below FROM b""",
     **{f"j_asof_{d}": asof(d) for d in ("backward", "forward", "nearest")},
     "j_asof_keyed": f"""WITH {HOURS} SELECT b.symbol, b.ts, b.close, e.value AS signal, e.ts AS signal_ts FROM bars b ASOF LEFT JOIN events e ON b.symbol = e.event_type AND b.ts >= e.ts""",
-    "j_full_outer": f"""WITH {HOURS} SELECT ts, max(close) FILTER (symbol = 'click') AS click, max(close) FILTER (symbol = 'view') AS "view", max(close) FILTER (symbol = 'error') AS error FROM bars WHERE symbol IN ('click', 'view', 'error') GROUP BY ts""",
+    "j_full_outer": f"""WITH {HOURS} SELECT ts, {", ".join(f"max(close) FILTER (symbol = '{s}') AS \"{s}\"" for s in ("click", "view", "error", "signup", "purchase"))} FROM bars GROUP BY ts""",
     "a_period_metrics": f"WITH {CURVES}, {PERIOD} SELECT symbol, points, {shown(PERIOD_NAMES, 4)} FROM period",
     "a_drawdown": f"""WITH {CURVES}, {RISK} SELECT symbol, round(-depth * 100, 4) + 0.0 AS max_drawdown_pct, start AS max_drawdown_start, since AS max_drawdown_end, recovery AS max_drawdown_recovery,
       round((epoch(coalesce(recovery, t_n)) - epoch(start)) / 86400.0, 4) + 0.0 AS max_drawdown_duration_days FROM dd""",
@@ -163,6 +200,18 @@ ORACLES: dict[str, str] = {
       SELECT symbol, num_trades, {shown("trade_sharpe profit_factor win_rate avg_trade_return median_trade_return best_trade worst_trade avg_holding_bars avg_holding_time time_in_market_pct turnover fee_drag slippage_drag gross_pnl net_pnl trades_per_year".split(), 4)} FROM u""",
     "d_backtest_trades": f"""WITH RECURSIVE {BACKTEST} SELECT symbol, 'zscore' AS strategy_id, strftime(entry_ts, '%Y-%m-%d %H:%M:%S') AS entry_date, strftime(exit_ts, '%Y-%m-%d %H:%M:%S') AS exit_date, side, bars_held, exit_reason, {shown([n for n in TRADE_NUMBERS if n != 'units'], 6)}, {shown(['units'], 10)} FROM trades""",
     "d_backtest_equity": f"""WITH RECURSIVE {BACKTEST} SELECT symbol, ts, idx, round(CASE WHEN forced THEN cash + last_pnl ELSE cash + units * (close - price) * side END, 4) + 0.0 AS equity, side AS position, round(close / c0 * 100, 4) + 0.0 AS benchmark_equity FROM fold""",
+    "d_backtest_metrics": backtest_metrics(),
+    "o_detail_payload": f"""WITH RECURSIVE {BACKTEST}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY exit_ts, entry_ts) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM trades),
+      a AS (SELECT symbol, any_value(n) AS n, strftime(min(exit_ts) FILTER (k > n - 500), '%Y-%m-%d %H:%M:%S') AS last_exit, strftime(min(exit_ts), '%Y-%m-%dT%H:%M:%S') AS first_exit, count(*) FILTER (side = 'LONG') AS nl, count(*) FILTER (side = 'SHORT') AS ns FROM t GROUP BY 1),
+      s AS (SELECT symbol, count(*) AS rows, min(ts) AS first FROM fold GROUP BY 1)
+      SELECT symbol, rows::VARCHAR AS usable_rows, last_exit, n::VARCHAR AS trades, strftime(first, '%Y-%m-%dT%H:%M:%S') AS first_point, first_exit, '[-1.0,-1.0]' AS short_line, '[]' AS exit_line, 'Benchmark' AS benchmark,
+        least(rows, 200)::INT AS n_points, nl::INT AS n_long, ns::INT AS n_short, least(rows, 200)::INT AS n_curve, least(n, 500)::INT AS n_trades FROM s JOIN a USING (symbol)""",
+    "d_portfolio_metrics": f"""WITH RECURSIVE {FOLIO}, curves AS (SELECT 0 AS symbol, ts, equity AS e FROM folio), {PERIOD}, o AS (SELECT sum(turnover) AS turnover, max(rebalance_count)::BIGINT AS rebalance_count, avg(drift_from_target) AS drift_from_target,
+      arg_max(gross_exposure, ts) AS gross_exposure, arg_max(net_exposure, ts) AS net_exposure, arg_max(leverage, ts) AS leverage FROM folio)
+      SELECT points, {shown([n for n in PERIOD_NAMES if n not in ("cagr", "cagr_pct", "calmar")], 6)}, {", ".join(f"{significant(n)} AS {n}" for n in ("cagr", "cagr_pct", "calmar"))}, start AS max_drawdown_start, since AS max_drawdown_end, recovery AS max_drawdown_recovery, rebalance_count, {shown("gross_exposure net_exposure leverage turnover drift_from_target".split(), 6)} FROM period JOIN dd USING (symbol) CROSS JOIN o""",
+    "o_portfolio_payload": f"""WITH {DAYS} SELECT 'folio' AS name, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_ts, min(symbol) AS first_symbol, count(DISTINCT ts)::VARCHAR AS points, count(DISTINCT ts)::INT AS n_equity, (count(DISTINCT ts) * count(DISTINCT symbol))::INT AS n_positions FROM bars""",
+    "o_mode_is_oos": "SELECT 's' || c_custkey AS strategy_id, round(c_acctbal / 2, 6) + 0.0 AS in_sample_period_sharpe, round(c_acctbal - 100, 6) + 0.0 AS out_sample_period_sharpe FROM customer ORDER BY c_acctbal DESC, strategy_id LIMIT 20",
+    "o_mode_sortino": "SELECT c_mktsegment AS short_threshold, c_nationkey AS rolling_window, max(c_acctbal) AS value FROM customer GROUP BY 1, 2",
     "d_portfolio_equity": f"WITH RECURSIVE {FOLIO} SELECT ts, rebalance_count::BIGINT AS rebalance_count, {shown(_FOLIO_NAMES, 6)} FROM folio",
     "d_portfolio_positions": f"WITH RECURSIVE {FOLIO} SELECT ts, symbol, {shown('position price target_weight actual_weight pnl_by_symbol fee_by_symbol'.split(), 6)} FROM pos",
     "d_portfolio_attribution": f"WITH RECURSIVE {FOLIO} {_ATTRIBUTED}",
@@ -174,14 +223,23 @@ ORACLES: dict[str, str] = {
     "d_oms_exposure": f"WITH {POSITIONS} SELECT symbol, round(sum(q * mark), 4) + 0.0 AS exposure FROM pq WHERE ts = (SELECT max(ts) FROM pq) GROUP BY 1",
     "d_oms_drift": f"""WITH {POSITIONS}, t AS (SELECT symbol, ts - INTERVAL 36 HOURS AS ts, q * 1.1::DOUBLE AS tq FROM pq), j AS (SELECT abs(pq.q - t.tq) AS d FROM pq ASOF JOIN t ON pq.symbol = t.symbol AND pq.ts >= t.ts)
       SELECT round((SELECT avg(d) FROM j), 3) + 0.0 AS target_vs_actual_position_drift, round(sum(x), 3) + 0.0 AS realized_pnl, round(sum(q * 0.01::DOUBLE), 3) + 0.0 AS unrealized_pnl FROM pq""",
-    "d_oms_risk": f"WITH {CURVES}, {PERIOD} SELECT round(period_sharpe, 6) + 0.0 AS OMS_period_sharpe, round(max_drawdown_pct, 6) + 0.0 AS live_rolling_drawdown FROM period WHERE symbol = 'F'",
+    "d_oms_risk": f"WITH {CURVES}, {PERIOD} SELECT symbol, round(period_sharpe, 6) + 0.0 AS OMS_period_sharpe, round(max_drawdown_pct, 6) + 0.0 AS live_rolling_drawdown FROM period",
     "d_live_ratios": """SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS window_start, count(*) AS orders, round(avg((o_orderstatus IN ('F', 'P'))::INT), 6) + 0.0 AS fill_ratio, round(avg((o_orderstatus NOT IN ('F', 'P'))::INT), 6) + 0.0 AS cancel_ratio, 0::DOUBLE AS reject_ratio FROM orders GROUP BY 1""",
+    "d_live_slippage": f"""WITH {FILLS}, b AS (SELECT *, CASE WHEN abs(ap) > 1e-12 THEN (CASE WHEN sells THEN ap - fp ELSE fp - ap END) / ap * 10000 END AS bps FROM fills)
+      SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, venue, count(*) AS fills, round(avg(bps), 3) + 0.0 AS avg_slippage_bps FROM b GROUP BY 1, 2""",
     "d_mc_bootstrap": monte_carlo("bootstrap"),
     "d_mc_shuffle": monte_carlo("shuffle"),
-    "v_ohlc": f"""WITH {HOURS}, c AS (SELECT ts, hour(ts) AS h, open, CASE WHEN hour(ts) = 3 THEN low - 1 ELSE high END AS high, low, CASE WHEN hour(ts) = 5 THEN -close ELSE close END AS close, CASE WHEN hour(ts) <> 7 THEN volume END AS volume FROM bars WHERE symbol = 'click'),
+    "v_ohlc": f"""WITH {HOURS}, c AS (SELECT symbol, ts, hour(ts) AS h, open, CASE WHEN hour(ts) = 3 THEN low - 1 ELSE high END AS high, low, CASE WHEN hour(ts) = 5 THEN -close ELSE close END AS close, CASE WHEN hour(ts) <> 7 THEN volume END AS volume FROM bars),
       d AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE h = 9) """
     + issues("d", {"non_positive_close": ("error", "count(*) FILTER (close <= 0)"), "high_below_open_or_close": ("error", "count(*) FILTER (high < greatest(open, close))"), "low_above_open_or_close": ("error", "count(*) FILTER (low > least(open, close))"),
-      "invalid_volume": ("error", "count(*) FILTER (volume IS NULL OR volume < 0)"), "duplicate_timestamps": ("error", "count(*) - count(DISTINCT ts)"), "missing_bars": ("warning", "(epoch(max(ts)) - epoch(min(ts))) / 3600 + 1 - count(DISTINCT ts)")}),
+      "invalid_volume": ("error", "count(*) FILTER (volume IS NULL OR volume < 0)"), "duplicate_timestamps": ("error", "count(*) - count(DISTINCT ts)"), "missing_bars": ("warning", "(epoch(max(ts)) - epoch(min(ts))) / 3600 + 1 - count(DISTINCT ts)")}, "symbol"),
+    "v_ohlc_unreadable": f"""WITH {UNREADABLE}, o AS (SELECT *, CASE WHEN symbol = 'error' THEN -event_id ELSE event_id END AS seq FROM u),
+      d AS (SELECT *, t IS NULL OR t < max(t) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bad FROM o) """
+    + issues("d", {"invalid_timestamp": ("error", "count(*) FILTER (t IS NULL)"), "timestamp_not_monotonic": ("error", "max(bad::INT)"), "duplicate_timestamps": ("error", "count(*) - count(DISTINCT t) - (count(*) > count(t))::INT"), "non_positive_close": ("error", "count(*) FILTER (x <= 0)")}, "symbol")
+    + "".join(f" UNION ALL SELECT symbol, 'non_numeric_ohlc', 'error', count(*) FILTER (x IS NULL) FROM d GROUP BY symbol HAVING count(*) FILTER (x IS NULL) > 0" for _ in range(4)),
+    "v_signal_unreadable": f"""WITH {UNREADABLE}, d AS (SELECT *, CASE WHEN event_id % 79 <> 0 THEN t END AS e, CASE WHEN event_id % 73 <> 0 THEN t END AS a FROM u) """
+    + issues("d", {"invalid_signal_timestamp": ("error", "count(*) FILTER (t IS NULL)"), "nan_signal": ("warning", "count(*) FILTER (x IS NULL)"), "inf_signal": ("error", "count(*) FILTER (isinf(x))"), "invalid_event_ts": ("error", "count(*) FILTER (e IS NULL)"),
+      "invalid_available_ts": ("error", "count(*) FILTER (a IS NULL)"), "duplicate_signal_timestamps": ("error", "count(*) - count(DISTINCT t) - (count(*) > count(t))::INT")}, "symbol"),
     "v_signal": """WITH c AS (SELECT ts + INTERVAL 5 MINUTES AS a, date_trunc('hour', ts + INTERVAL 5 MINUTES) AS t, CASE WHEN value <= 150 THEN value END AS x, CASE WHEN minute(ts) < 5 THEN ts + INTERVAL 65 MINUTES ELSE ts END AS e FROM events WHERE event_type = 'click') """
     + issues("c", {"nan_signal": ("warning", "count(*) FILTER (x IS NULL)"), "duplicate_signal_timestamps": ("warning", "count(*) - count(DISTINCT t)"), "available_before_event_ts": ("warning", "count(*) FILTER (a < e)"), "stale_signal": ("warning", "count(*) FILTER (epoch_us(t) - epoch_us(a) > -1800000000)")}),
     "o_downsample": f"""WITH {HOURS}, k AS (SELECT symbol, ts, close, row_number() OVER ({OWN}) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM bars), i AS (SELECT range AS i FROM range(100))

@@ -13,6 +13,7 @@ from ..functions.series import Series
 from ..operators.align import micros
 from ..operators.backtest import simulate, trades_of
 from ..operators.metrics import EPS, period_metrics, strategy_metrics
+from ..sources.shared import stored
 from .strategy import Backtest, Result, Sweep
 
 Range = tuple[str, str]
@@ -56,6 +57,7 @@ def _ranges(rows: DataFrame, keyed: Series, protocol: Protocol) -> DataFrame:
 
 def split_metrics(result: Result, protocol: Protocol) -> DataFrame:
     """Metrics of each strategy by ``label``: full, in_sample, out_sample. Equity isn't simulated anew; a trade belongs where it exits."""
+    result = result.stored()
     labelled = _ranges(result.rows, result.keyed, protocol)
     series = Series((*result.series.keys, "label"), result.series.ts)
     keyed = Series((*series.keys, "strategy_id"), series.ts)
@@ -100,7 +102,7 @@ def validation(metrics: DataFrame, protocol: Protocol, keys: Sequence[str] = ("s
 def flat_research(result: Result, protocol: Protocol) -> DataFrame:
     """One row a strategy: full metrics, ``in_sample_*``, ``out_sample_*`` and ``validation_*``, warnings joined by commas."""
     keys = [*result.series.keys, "strategy_id"]
-    metrics = split_metrics(result, protocol)
+    metrics = stored(split_metrics(result, protocol), "split-metrics")
     values = [c for c in metrics.columns if c not in (*keys, "label")]
     wide = metrics.groupBy(*keys).agg(*(F.max(F.when(F.col("label") == p, F.col(v))).alias(v if p == "full" else f"{p}_{v}") for p in ("full", "in_sample", "out_sample") for v in values))
     checked = validation(metrics, protocol, keys).withColumn("warnings", F.array_join("warnings", ","))
@@ -153,8 +155,9 @@ def walk_forward(plan: Backtest | Sweep, *, train_window: str = "730D", test_win
     bars = base.bars.withColumn("__in", F.explode(F.filter(spans, lambda x: (now >= x["a"]) & (now < x["b"]))))
     bars = bars.withColumns({"fold": F.col("__in.fold"), "phase": F.col("__in.side")}).drop("__in")
     series = Series((*keys, "fold", "phase"), ts)
-    rows = simulate(bars, strategies, series, base.capital)
+    rows = stored(simulate(bars, strategies, series, base.capital), "walk-forward")
     metrics = strategy_metrics(rows.drop("trades"), trades_of(rows, series), Series((*series.keys, "strategy_id"), ts), calendar=calendar)
+    metrics = stored(metrics, "fold-metrics")
     by = objective if objective in metrics.columns else "sharpe"
     trained = metrics.where("phase = 'train'")
     order = Window.partitionBy(*keys, "fold").orderBy(F.desc(by), F.desc("return_pct"), "strategy_id")
@@ -177,12 +180,13 @@ def walk_forward(plan: Backtest | Sweep, *, train_window: str = "730D", test_win
     return WalkForward(found, period_metrics(path, Series(tuple(keys), ts), calendar=calendar), stability, path)
 
 
-def parameter_stability(table: DataFrame, params: Sequence[str], objective: str = "period_sharpe") -> DataFrame:
-    """One row: how steady the objective is around its best parameters, over a sweep's results (a row a strategy)."""
+def parameter_stability(table: DataFrame, params: Sequence[str], objective: str = "period_sharpe", by: Sequence[str] = ()) -> DataFrame:
+    """How steady the objective is around its best parameters, over a sweep's results (a row a strategy): a row for each ``by``, or one row."""
     metric = objective if objective in table.columns else "sharpe"
     kinds = {f.name: f.dataType.simpleString() for f in table.schema}
     numeric = [p for p in params if kinds[p] in ("bigint", "int", "double", "float")]
-    all_rows = Window.partitionBy(F.lit(0))  # a row a strategy
+    by = list(by)
+    all_rows = Window.partitionBy(*(by or [F.lit(0)]))  # a row a strategy
     m = F.col(metric).cast("double")
     rows = table.withColumns({"m": m, "n": F.count("*").over(all_rows), "place": F.row_number().over(all_rows.orderBy(F.desc(m), "strategy_id"))})
     top = rows.where("place = 1")
@@ -205,8 +209,8 @@ def parameter_stability(table: DataFrame, params: Sequence[str], objective: str
         value = F.when(both, F.col(s)) if known else F.lit(None).cast("double")
         # the average rank of equal values
         rows = rows.withColumn(f"v{k}", value)
-        rows = rows.withColumn(f"rank{k}", F.when(F.col(f"v{k}").isNotNull(), F.rank().over(all_rows.orderBy(F.asc_nulls_last(f"v{k}"))) + (F.count("*").over(Window.partitionBy(f"v{k}")) - 1) / 2))
-    out = rows.agg(
+        rows = rows.withColumn(f"rank{k}", F.when(F.col(f"v{k}").isNotNull(), F.rank().over(all_rows.orderBy(F.asc_nulls_last(f"v{k}"))) + (F.count("*").over(Window.partitionBy(*by, f"v{k}")) - 1) / 2))
+    out = rows.groupBy(*by).agg(
         F.max("best").alias("best"),
         F.avg(F.when((F.col("distance") > 0) & (F.col("distance") <= F.col("near")), F.col("m"))).alias("around"),
         F.avg("jump").alias("jump"),
@@ -220,12 +224,14 @@ def parameter_stability(table: DataFrame, params: Sequence[str], objective: str
     corr = F.coalesce(F.when(~F.isnan("corr"), F.col("corr")), zero)
     score = 100 - 35 * F.greatest(decay, zero) + 15 * F.coalesce("top", zero) + 20 * smooth + 30 * F.greatest(corr, zero)
     chosen = F.struct(*(F.col(p) for p in params)) if params else F.struct(F.col("strategy_id"))
-    best_row = top.agg(F.first(chosen).alias("best_params"))
-    return out.select(
+    best_row = top.groupBy(*by).agg(F.first(chosen).alias("best_params"))
+    scores = out.select(
+        *by,
         F.greatest(F.least(score, F.lit(100.0)), zero).alias("parameter_stability_score"),
         decay.alias("neighbor_sharpe_decay"),
         F.coalesce("top", zero).alias("top_decile_consistency"),
         smooth.alias("heatmap_smoothness_score"),
         F.greatest(corr, zero).alias("oos_rank_consistency"),
         corr.alias("is_oos_rank_corr"),
-    ).crossJoin(best_row)  # one row each
+    )
+    return scores.join(best_row, by) if by else scores.crossJoin(best_row)  # one row each

@@ -12,6 +12,7 @@ from ..functions.conditions import Condition
 from ..functions.series import Series
 from ..operators.backtest import Risk, Strategy, simulate, trades_of
 from ..operators.metrics import strategy_metrics
+from ..sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -86,8 +87,13 @@ class Result:
     def trades(self) -> DataFrame:
         return trades_of(self.rows, self.series)
 
+    def stored(self) -> Result:
+        """The same result, its rows written once, so that what reads them doesn't simulate anew."""
+        return replace(self, rows=stored(self.rows, "backtest"))
+
     def metrics(self, **options: object) -> DataFrame:
-        return strategy_metrics(self.equity, self.trades, self.keyed, **options)
+        own = self.stored()
+        return strategy_metrics(own.equity, own.trades, own.keyed, **options)
 
 
 def run(strategies: Sequence[Strategy], bars: DataFrame, series: Series, capital: float) -> Result:

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .functions.conditions import cond, mask
+from .functions.conditions import Custom, cond, mask
 from .functions.series import Series
 from .functions.transforms import apply_transform
 from .operators import align, metrics, montecarlo, oms, portfolio, quality
 from .operators.backtest import trade_report
 from .oracles import ORACLES as ORACLES
 from .plans import research, views
-from .plans.strategy import Backtest, Result, Sweep, new, sweep
+from .plans.strategy import Backtest, Result, Sweep, new, sweep, time_slice
 from .sources.market import bars_from_events, load_ohlc, load_signal
-from .streaming.live import live_order_ratios
+from .streaming.live import live_order_ratios, live_slippage
 
 SERIES = Series()
 
@@ -34,6 +35,12 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.withColumns({f.name: F.round(f.name, places) + 0.0 for f in df.schema if f.dataType.simpleString() == "double"})
 
 
+def significant(value: Column, digits: int = 9) -> Column:
+    """A number rounded to so many digits."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.when(value != 0, value)))) - (digits - 1))
+    return F.when(value == 0, 0.0).otherwise(F.round(value / unit) * unit)
+
+
 def transform_query(name: str, **options: object) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = bars(spark, sf_dir).select("symbol", "ts", F.col("close").alias("x"))
@@ -69,7 +76,7 @@ def asof_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = bars(spark, sf_dir)
-    frames = {s: own.where(F.col("symbol") == s).select("ts", "close") for s in ("click", "view", "error")}
+    frames = {s: own.where(F.col("symbol") == s).select("ts", "close") for s in ("click", "view", "error", "signup", "purchase")}
     return align.align_on_time(frames, ["ts"])
 
 
@@ -160,8 +167,8 @@ def walk_forward_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = research_table(spark, sf_dir).where("symbol = 'click'")
-    return rounded(research.parameter_stability(own, ["rolling_window", "long_threshold", "short_threshold", "exit_signal"]))
+    own = research_table(spark, sf_dir)
+    return rounded(research.parameter_stability(own, ["rolling_window", "long_threshold", "short_threshold", "exit_signal"], by=["symbol"]))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +194,10 @@ def portfolio_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def portfolio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(portfolio.portfolio_metrics(portfolio.portfolio_equity(grid(spark, sf_dir), fee_pct=0.001)))
+    out = portfolio.portfolio_metrics(portfolio.portfolio_equity(grid(spark, sf_dir), fee_pct=0.001))
+    # a year's growth of so short a curve has dozens of digits
+    grown = ["cagr", "cagr_pct", "calmar"]
+    return rounded(out.drop(*grown)).crossJoin(out.select(*(significant(F.col(c)).alias(c) for c in grown)))  # one row each
 
 
 def portfolio_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +213,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, parts, suppliers = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
     own = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"])
     side: Column = F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy")
-    return own.select(side.alias("side"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("fill_price"), F.col("p_retailprice").alias("arrival_price"), (F.col("l_extendedprice") * F.col("l_tax")).alias("fee"), F.col("s_nationkey").cast("string").alias("venue"), (F.col("l_quantity") * 10).alias("latency_ms"))
+    return own.select(F.col("l_shipdate").alias("ts"), side.alias("side"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("fill_price"), F.col("p_retailprice").alias("arrival_price"), (F.col("l_extendedprice") * F.col("l_tax")).alias("fee"), F.col("s_nationkey").cast("string").alias("venue"), (F.col("l_quantity") * 10).alias("latency_ms"))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,13 +247,17 @@ def oms_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oms_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(oms.equity_risk(curves(spark, sf_dir).where("symbol = 'F'")))
+    return rounded(oms.equity_risk(curves(spark, sf_dir), by=["symbol"]))
 
 
 def live_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(live_order_ratios(order_events(spark, sf_dir), "1 day").withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
 
 
+def live_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(live_slippage(fills(spark, sf_dir), "1 day").withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), 3)
+
+
 def order_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small returns, one an account: balances of customers in order of their keys."""
     own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entry_idx"), (F.col("c_acctbal") / 2000).alias("account_return_pct"))
@@ -252,16 +266,96 @@ def order_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def monte_carlo(method: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(montecarlo.robustness(order_returns(spark, sf_dir), n_sims=200, seed=7, method=method))
+        out = montecarlo.robustness(order_returns(spark, sf_dir), n_sims=200, seed=7, method=method)
+        ends = [c for c in out.columns if c.startswith("terminal")]
+        return rounded(out.drop(*ends)).crossJoin(out.select(*(significant(F.col(c)).alias(c) for c in ends)))  # one row each
 
     return query
 
 
 def ohlc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = bars(spark, sf_dir).where("symbol = 'click'")
+    own = bars(spark, sf_dir)
     bad = own.withColumns({"high": F.when(F.hour("ts") == 3, F.col("low") - 1).otherwise(F.col("high")), "close": F.when(F.hour("ts") == 5, -F.col("close")).otherwise(F.col("close")), "volume": F.when(F.hour("ts") == 7, None).otherwise(F.col("volume"))})
     doubled = bad.union(bad.where(F.hour("ts") == 9))
-    return quality.validate_ohlc(doubled, expected_freq="1h").drop("message")
+    return quality.validate_ohlc(doubled, expected_freq="1h", by=["symbol"]).drop("message")
+
+
+def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with times and values that can't be read, in an order of arrival that isn't that of time."""
+    own = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "event_id", "ts", F.col("value").cast("string").alias("close"))
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return own.withColumns({"ts": F.when(F.col("event_id") % 97 == 0, "never").otherwise(text), "close": F.when(F.col("event_id") % 89 == 0, "none").when(F.col("event_id") % 83 == 0, "Infinity").otherwise(F.col("close"))})
+
+
+def ohlc_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = unreadable(spark, sf_dir).withColumns({c: F.col("close") for c in ("open", "high", "low")})
+    own = own.withColumn("at", F.when(F.col("symbol") == "error", -F.col("event_id")).otherwise(F.col("event_id")))
+    return quality.validate_ohlc(own, sequence_col="at", by=["symbol"]).drop("message")
+
+
+def signal_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = unreadable(spark, sf_dir).withColumnRenamed("close", "signal")
+    own = own.withColumns({"event_ts": F.when(F.col("event_id") % 79 == 0, "never").otherwise(F.col("ts")), "available_ts": F.when(F.col("event_id") % 73 == 0, None).otherwise(F.col("ts"))})
+    return quality.validate_signal(own, event_ts_col="event_ts", available_ts_col="available_ts", by=["symbol"]).drop("message")
+
+
+def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = bars(spark, sf_dir).select("symbol", "ts", F.col("close").alias("x"))
+    return rounded(apply_transform(apply_transform(own, "sma", "x", SERIES, window=24), "pct_change", "x", SERIES))
+
+
+def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms start cold in a slice of time whose end is left out."""
+    own = time_slice(bars(spark, sf_dir), "ts", "2024-01-05", "2024-01-12 06:00:00", inclusive_end=False)
+    return rounded(apply_transform(own.select("symbol", "ts", F.col("close").alias("x")), "sma", "x", SERIES, window=12))
+
+
+def _two_rises(values: np.ndarray) -> np.ndarray:
+    """Whether a value is the second rise in a row."""
+    up = np.concatenate(([False], values[1:] > values[:-1]))
+    return up & np.concatenate(([False], up[:-1]))
+
+
+def custom_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Custom(_two_rises, 2)
+    return own.added(bars(spark, sf_dir), "close", SERIES).select("symbol", "ts", mask(own, F.col("close"), SERIES).alias("hit"))
+
+
+def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail payloads of the backtest of each series, read back field by field."""
+    plan = backtest(spark, sf_dir).params(long_threshold=1.0, short_threshold=-1.0)
+    result = plan.run().stored()
+    levels = spark.createDataFrame([(plan.strategy.strategy_id, 1.0, -1.0)], "strategy_id string, long_threshold double, short_threshold double")
+    out = views.detail_payload(result.rows, result.trades, result.metrics(), SERIES, levels, 200)
+    chart = "$.chart_data.price_signal_chart."
+    fields = {"usable_rows": "$.usable_rows", "last_exit": "$.trades[0].exit_date", "trades": "$.debug_summary.trades", "first_point": chart + "dates[0]", "first_exit": chart + "exit_dates[0]", "short_line": chart + "short_threshold", "exit_line": chart + "exit_threshold", "benchmark": "$.benchmark.name"}
+    sizes = {"n_points": chart + "dates", "n_long": chart + "entry_long_dates", "n_short": chart + "entry_short_prices", "n_curve": "$.chart_data.equity_chart.strategy_equity", "n_trades": "$.trades"}
+    return out.select("symbol", *(F.get_json_object("payload", p).alias(n) for n, p in fields.items()), *(F.json_array_length(F.get_json_object("payload", p)).alias(n) for n, p in sizes.items()))
+
+
+def folio_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = grid(spark, sf_dir)
+    equity = portfolio.portfolio_equity(own, fee_pct=0.001)
+    positions = portfolio.portfolio_positions(own, equity, 0.001)
+    out = views.portfolio_payload("folio", portfolio.portfolio_metrics(equity), equity, positions, portfolio.attribution(positions))
+    sizes = {"n_equity": "$.equity", "n_positions": "$.positions"}
+    fields = {"name": "$.name", "first_ts": "$.equity[0].ts", "first_symbol": "$.positions[0].symbol", "points": "$.metrics.points"}
+    return out.select(*(F.get_json_object("payload", p).alias(n) for n, p in fields.items()), *(F.json_array_length(F.get_json_object("payload", p)).alias(n) for n, p in sizes.items()))
+
+
+def customers_as_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a sweep's results: balances as ratios, nation and segment as parameters."""
+    own = table(spark, sf_dir, "customer")
+    return own.select(F.concat(F.lit("s"), F.col("c_custkey")).alias("strategy_id"), F.col("c_acctbal").alias("period_sharpe"), (F.col("c_acctbal") / 2).alias("in_sample_period_sharpe"), (F.col("c_acctbal") - 100).alias("out_sample_period_sharpe"), F.col("c_acctbal").alias("sortino"), F.col("c_nationkey").alias("rolling_window"), F.col("c_mktsegment").alias("short_threshold"))
+
+
+def mode_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is the top of a ranking."""
+    return rounded(views.mode(customers_as_results(spark, sf_dir), "is_oos"))
+
+
+def mode_sortino(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.mode(customers_as_results(spark, sf_dir), "sortino")
 
 
 def signal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +396,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "w_pct_change": transform_query("pct_change", periods=2),
     "w_sma": transform_query("sma", window=24),
     "w_ema": transform_query("ema", span=20),
+    "w_composed": composed,
+    "w_sliced": sliced,
     "p_conditions": conditions,
+    "p_custom": custom_condition,
     "j_asof_backward": asof_query("backward"),
     "j_asof_forward": asof_query("forward"),
     "j_asof_nearest": asof_query("nearest"),
@@ -331,12 +428,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d_oms_drift": oms_drift,
     "d_oms_risk": oms_risk,
     "d_live_ratios": live_ratios,
+    "d_live_slippage": live_venues,
     "d_mc_bootstrap": monte_carlo("bootstrap"),
     "d_mc_shuffle": monte_carlo("shuffle"),
     "v_ohlc": ohlc_quality,
+    "v_ohlc_unreadable": ohlc_unreadable,
     "v_signal": signal_quality,
+    "v_signal_unreadable": signal_unreadable,
     "o_downsample": downsampled,
     "o_heat_map": heat_map,
+    "o_detail_payload": detail,
+    "o_portfolio_payload": folio_detail,
+    "o_mode_is_oos": mode_in_out,
+    "o_mode_sortino": mode_sortino,
     "o_top_rows": top_rows,
 }
 

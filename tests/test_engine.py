@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quantloom import queries
 from quantloom.functions.conditions import CONDITIONS, Condition, cond, register_condition
-from quantloom.functions.series import Series
+from quantloom.functions.series import Series, exact_quantile
 from quantloom.functions.transforms import TRANSFORMS, apply_transform, norm, register_transform
 from quantloom.operators import align, metrics, montecarlo, oms, portfolio, quality
 from quantloom.operators.backtest import Risk, Strategy, simulate, trade_report, trades_of
@@ -116,6 +116,31 @@ def test_registries(spark):
         del TRANSFORMS["double"], CONDITIONS["odd"]
 
 
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_custom_conditions_look_back_over_batches(spark, batch):
+    values = [1, 2, 3, 2, 3, 4, 5, 1, 2, 3]
+    df = series_of(spark, values)
+    want = [k > 1 and values[k] > values[k - 1] > values[k - 2] for k in range(len(values))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        for own in (cond.each(lambda x, k: k > 1 and x[k] > x[k - 1] > x[k - 2], 2), cond.custom(queries._two_rises, 2)):
+            assert [r["close"] for r in own.added(df, "close", Series()).where(own.column(F.col("close"), Series())).orderBy("ts").collect()] == [float(v) for v, w in zip(values, want) if w]
+            result = new(df.withColumn("signal", F.col("close"))).entry(long=own).run()
+            assert result.trades.first()["entry_idx"] == 2
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 1.0])
+def test_exact_quantile(spark, q):
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=501), np.repeat(rng.normal(size=3), [1, 400, 7])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+        assert exact_quantile(df, q).first()["value"] == pytest.approx(np.quantile(x, q), abs=1e-12)
+    assert exact_quantile(df.where("1 = 0"), q).first()["value"] is None
+
+
 # --- position rules
 
 
@@ -212,6 +237,29 @@ def test_flow_of_the_smallest_example(spark):
     assert json.loads(sinks.research_report(result.metrics()).first()["report"])["symbol"] == "a"
 
 
+def test_detail_payload(spark):
+    bars = series_of(spark, range(101, 126), start="2023-01-01", signal=[-1] * 5 + [1] * 10 + [-1] * 10)
+    result = new(bars).entry(long=cond.cross_above(0.0), short=cond.cross_below(0.0)).exit(long=cond.cross_below(0.0), short=cond.cross_above(0.0)).params(long_threshold=0.0).run().stored()
+    levels = result.metrics().select("strategy_id", F.lit(0.0).alias("long_threshold"))
+    own = json.loads(views.detail_payload(result.rows, result.trades, result.metrics(), Series(), levels, 10).first()["payload"])
+    chart = own["chart_data"]["price_signal_chart"]
+    trades = result.trades.orderBy("exit_idx").collect()
+    assert own["usable_rows"] == 25 and len(chart["dates"]) == len(own["chart_data"]["equity_chart"]["strategy_equity"]) == 10
+    assert chart["long_threshold"] == [0.0, 0.0] and chart["long_threshold_dates"] == ["2023-01-01T00:00:00", "2023-01-25T00:00:00"] and chart["exit_threshold"] == []
+    assert chart["exit_prices"] == [t["exit_price"] for t in trades] and len(chart["entry_long_dates"]) == sum(t["side"] == "LONG" for t in trades)
+    assert [t["exit_reason"] for t in own["trades"]] == [t["exit_reason"] for t in trades] and own["debug_summary"]["trades"] == len(trades) and own["params"] == {"long_threshold": 0.0}
+    none = new(bars).run().stored()
+    assert json.loads(views.detail_payload(none.rows, none.trades, none.metrics()).first()["payload"])["trades"] is None
+
+
+def test_results_are_simulated_once(spark):
+    bars = series_of(spark, range(101, 126), start="2023-01-01", signal=[-1] * 5 + [1] * 10 + [-1] * 10)
+    plan = sweep(new(bars), level=[0.0, 0.5]).builder(lambda base, level: base.entry(long=cond.cross_above(level)).exit(long=cond.cross_below(-level)))
+    walked = research.walk_forward(plan, train_window="10D", test_window="5D", step="5D")
+    for frame in (plan.table(), research.flat_research(plan.run(), research.Protocol()), walked.folds, walked.combined):
+        assert "MapInArrow" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 # --- metrics
 
 

@@ -18,7 +18,6 @@ their texts; an empty table gives no file and no rows.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -37,7 +36,6 @@ MAGIC, HEAD = b"QLT1", struct.Struct("<4s5q")
 BLOCK_IDS = 1 << 21
 #: Words whose encodings a worker keeps, in each of two generations, and words that are encoded as one text.
 CACHE_WORDS, JOINED_WORDS = 400_000, 500
-_MARK = re.compile(rb"([a-z])([,.])(?=[ \n])")
 #: Bytes of data for each of the four ids of a control byte.
 _SIZES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 _PLACE = np.arange(4, dtype=np.uint8)
@@ -104,6 +102,7 @@ class WordEncoder:
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.marks = {m[0]: self._whole([m])[0] for m in (b",", b".")}
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Little-endian 32-bit ids of each text, then ``end``."""
@@ -115,7 +114,7 @@ class WordEncoder:
             if b"<|" in data:
                 whole[k] = self._whole([data])[0]
             else:
-                words += _MARK.sub(rb"\1 \2", data.lower()).split()
+                words += data.lower().split()
             cuts.append(len(words))
         wanted = set(words).difference(self.new)
         kept = self.old.keys() & wanted
@@ -129,6 +128,13 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
     def _learn(self, words: set[bytes]) -> None:
+        marked = [w for w in words if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122]
+        stems = {w[:-1] for w in marked}.difference(self.new)
+        self.new.update((w, self.old[w]) for w in self.old.keys() & stems)
+        self._learn_plain((words.difference(marked) | stems).difference(self.new))
+        self.new.update((w, self.new[w[:-1]] + self.marks[w[-1]]) for w in marked)
+
+    def _learn_plain(self, words: set[bytes]) -> None:
         plain = [w for w in words if w.isalpha() or not w.isascii() and w.decode("utf-8", "surrogatepass").isalpha()]
         for k in range(0, len(plain), JOINED_WORDS):
             self._joined(plain[k : k + JOINED_WORDS])

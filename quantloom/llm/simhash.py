@@ -168,6 +168,7 @@ def simhash_components(docs: DataFrame, words: int = 4) -> DataFrame:
     roots = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(roots, "root").select("bits", "least")
     known = distinct.join(linked, "bits", "left").select("bits", F.coalesce("least", "first").alias("component_id"))
+    known = written(known, "simhash-known")  # a plain table, so that adaptive execution may split the join where many texts share a fingerprint
     return rows.join(known, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -17,8 +17,8 @@ Bloom filters of fixed size tell which runs to take from the texts, so no text i
 rounds; what they let pass in error is told apart by joins. Extents are compared by 128-bit
 fingerprints. A settled extent stays in the rounds as one row that counts twice, as long as an open
 cell has its core. Groups are counted before the shuffle, never gathered, and that one row comes from the
-counting too; joins with the counts are followed by no step on the same key, so that adaptive execution
-may split them where a string has very many copies.
+counting too. The counts are written before the joins with them, and no step on the same key follows, so
+that adaptive execution may split a join where a string has very many copies.
 
 A passage that is shared but shorter than ``LENGTH`` loses nothing. Documents that hold one can be told
 by ``n_shared``: of the anchors whose core repeats, those whose surroundings (``AROUND`` bytes before and
@@ -200,7 +200,7 @@ def cells(runs: DataFrame, size: int) -> DataFrame:
 def _repeated(rows: DataFrame, names: tuple[str, ...], also: tuple[str, ...] = ()) -> DataFrame:
     """Names that stand for two positions or more, with further columns of one row each; a row stands for ``n`` positions."""
     counted = rows.groupBy(*names).agg(F.sum("n").alias("__n"), *(F.first(c).alias(c) for c in also))
-    return counted.where("__n > 1").drop("__n")
+    return written(counted.where("__n > 1").drop("__n"), "suffix-repeated")
 
 
 def _spans(rows: DataFrame, first: str) -> DataFrame:
@@ -244,7 +244,7 @@ def shared_anchors(runs: DataFrame) -> DataFrame:
     ends = [f(c).alias(f"{n}{c}") for c in _KEY for n, f in (("least", F.min), ("most", F.max))]
     rows = runs.where("around IS NOT NULL").select(*_KEY, "around")
     several = rows.groupBy("around").agg(*ends).where("leastk1 <> mostk1 OR leastk2 <> mostk2").select("around")
-    return rows.join(several, "around", "left_semi").select(*_KEY)
+    return rows.join(written(several, "suffix-shared"), "around", "left_semi").select(*_KEY)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -62,32 +62,39 @@ def shown(names: list[str], places: int) -> str:
     return ", ".join(f"round({n}::DOUBLE, {places}) + 0.0 AS {n}" for n in names)
 
 
-STOP, TAKE, SIZE, FEE, SLIP = -30.0, 40.0, 0.05, 0.001, 0.0005
-_REASON = """CASE WHEN f.side = 0 THEN NULL WHEN f.side = 1 AND b.low <= f.price * (1 + {stop}) OR f.side = -1 AND b.high >= f.price * (1 - {stop}) THEN 'stop_loss'
-  WHEN f.side = 1 AND b.high >= f.price * (1 + {take}) OR f.side = -1 AND b.low <= f.price * (1 - {take}) THEN 'take_profit'
-  WHEN f.side = 1 AND b.lx OR f.side = -1 AND b.sx THEN 'signal_exit' END""".format(stop=f"{STOP}::DOUBLE / 100", take=f"{TAKE}::DOUBLE / 100")
-#: The position rules as a recursion over bars: rows "fold" after each bar, and "trades".
-BACKTEST = f"""{HOURS}, z AS (SELECT *, {zscore(20, 20, c="close")} AS z FROM bars),
-  p AS (SELECT *, row_number() OVER ({OWN}) - 1 AS idx, lag(z) OVER ({OWN}) AS pz FROM z WHERE z IS NOT NULL),
-  b AS (SELECT *, z >= 1 AND (pz IS NULL OR pz < 1) AS le, z <= -1 AND (pz IS NULL OR pz > -1) AS se, z <= 0 AND (pz IS NULL OR pz > 0) AS lx, z >= 0 AND (pz IS NULL OR pz < 0) AS sx,
-    max(idx) OVER (PARTITION BY symbol) AS last, first(close) OVER ({OWN}) AS c0 FROM p),
-  step AS (
+#: What ends an open position on a bar, from the rules' columns of "b".
+_REASON = """CASE WHEN f.side = 0 THEN NULL WHEN f.side = 1 AND b.low <= f.price * (1 + b.stop / 100) OR f.side = -1 AND b.high >= f.price * (1 - b.stop / 100) THEN 'stop_loss'
+  WHEN f.side = 1 AND b.high >= f.price * (1 + b.take / 100) OR f.side = -1 AND b.low <= f.price * (1 - b.take / 100) THEN 'take_profit'
+  WHEN f.side = 1 AND b.lx OR f.side = -1 AND b.sx THEN 'signal_exit' END"""
+
+
+def rules(size: float, fee: float, slip: float) -> str:
+    """The position rules as a recursion over "b", bars with entries, exits and limits: tables "fold" after each bar, "curves" and "trades"."""
+    size, cost, fee, slip = (f"{x}::DOUBLE" for x in (size, fee + slip, fee, slip))
+    return f"""step AS (
     SELECT symbol, -1::BIGINT AS idx, 100::DOUBLE AS cash, 0 AS side, 0::DOUBLE AS price, 0::DOUBLE AS alloc, 0::DOUBLE AS units, -1::BIGINT AS since, NULL::VARCHAR AS reason, NULL::DOUBLE AS xprice, NULL::DOUBLE AS pnl,
       0 AS was_side, 0::DOUBLE AS was_price, 0::DOUBLE AS was_alloc, 0::DOUBLE AS was_units, -1::BIGINT AS was_at, 0::DOUBLE AS was_cash FROM (SELECT DISTINCT symbol FROM b)
     UNION ALL
-    SELECT symbol, idx, CASE WHEN opened THEN cash - cash * {SIZE}::DOUBLE * {FEE + SLIP}::DOUBLE ELSE cash + coalesce(pnl, 0) END, CASE WHEN reason IS NOT NULL THEN 0 WHEN opened THEN CASE WHEN le THEN 1 ELSE -1 END ELSE side END,
-      CASE WHEN opened THEN close ELSE price END, CASE WHEN opened THEN cash * {SIZE}::DOUBLE ELSE alloc END, CASE WHEN opened THEN cash * {SIZE}::DOUBLE / close ELSE units END, CASE WHEN opened THEN idx ELSE since END,
+    SELECT symbol, idx, CASE WHEN opened THEN cash - cash * {size} * {cost} ELSE cash + coalesce(pnl, 0) END, CASE WHEN reason IS NOT NULL THEN 0 WHEN opened THEN CASE WHEN le THEN 1 ELSE -1 END ELSE side END,
+      CASE WHEN opened THEN close ELSE price END, CASE WHEN opened THEN cash * {size} ELSE alloc END, CASE WHEN opened THEN cash * {size} / close ELSE units END, CASE WHEN opened THEN idx ELSE since END,
       reason, xprice, pnl, side, price, alloc, units, since, cash
-    FROM (SELECT *, units * (xprice - price) * side - alloc * {FEE}::DOUBLE - alloc * {SLIP}::DOUBLE AS pnl, side = 0 AND (le OR se) AS opened
-      FROM (SELECT *, CASE reason WHEN 'stop_loss' THEN price * (1 + side * {STOP}::DOUBLE / 100) WHEN 'take_profit' THEN price * (1 + side * {TAKE}::DOUBLE / 100) WHEN 'signal_exit' THEN close END AS xprice
-        FROM (SELECT b.symbol, b.idx, b.close, b.le, b.se, f.cash, f.side, f.price, f.alloc, f.units, f.since, {_REASON} AS reason FROM step f JOIN b ON b.symbol = f.symbol AND b.idx = f.idx + 1)))),
+    FROM (SELECT *, units * (xprice - price) * side - alloc * {fee} - alloc * {slip} AS pnl, side = 0 AND (le OR se) AS opened
+      FROM (SELECT *, CASE reason WHEN 'stop_loss' THEN price * (1 + side * stop / 100) WHEN 'take_profit' THEN price * (1 + side * take / 100) WHEN 'signal_exit' THEN close END AS xprice
+        FROM (SELECT b.symbol, b.idx, b.close, b.le, b.se, b.stop, b.take, f.cash, f.side, f.price, f.alloc, f.units, f.since, {_REASON} AS reason FROM step f JOIN b ON b.symbol = f.symbol AND b.idx = f.idx + 1)))),
   ended AS (SELECT s.*, b.ts, b.close, b.z, b.last, b.c0, s.idx = b.last AND s.side <> 0 AS forced FROM step s JOIN b USING (symbol, idx)),
-  fold AS (SELECT *, units * (close - price) * side - alloc * {FEE}::DOUBLE - alloc * {SLIP}::DOUBLE AS last_pnl FROM ended),
+  fold AS (SELECT *, units * (close - price) * side - alloc * {fee} - alloc * {slip} AS last_pnl FROM ended),
+  curves AS (SELECT symbol, ts, CASE WHEN forced THEN cash + last_pnl ELSE cash + units * (close - price) * side END AS e FROM fold),
   closed AS (SELECT symbol, idx, was_at AS since, was_side AS side, was_price AS price, xprice, was_alloc AS alloc, was_units AS units, pnl, was_cash AS cash, reason, ts, z FROM fold WHERE reason IS NOT NULL
     UNION ALL SELECT symbol, idx, since, side, price, close, alloc, units, last_pnl, cash, 'forced_end', ts, z FROM fold WHERE forced),
-  trades AS (SELECT c.symbol, e.ts AS entry_ts, c.ts AS exit_ts, CASE c.side WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS side, c.price AS entry_price, c.xprice AS exit_price, c.idx - c.since AS bars_held, {SIZE}::DOUBLE AS position_size_pct,
-    c.alloc AS allocated_capital, c.units, c.pnl / c.alloc * 100 AS pnl_pct, c.pnl AS pnl_cash, c.pnl / c.cash * 100 AS account_return_pct, 2 * c.alloc * {FEE}::DOUBLE AS fee_cash, 2 * c.alloc * {SLIP}::DOUBLE AS slippage_cash,
+  trades AS (SELECT c.symbol, e.ts AS entry_ts, c.ts AS exit_ts, CASE c.side WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS side, c.price AS entry_price, c.xprice AS exit_price, c.idx - c.since AS bars_held, {size} AS position_size_pct,
+    c.alloc AS allocated_capital, c.units, c.pnl / c.alloc * 100 AS pnl_pct, c.pnl AS pnl_cash, c.pnl / c.cash * 100 AS account_return_pct, 2 * c.alloc * {fee} AS fee_cash, 2 * c.alloc * {slip} AS slippage_cash,
     e.z AS entry_signal, c.z AS exit_signal, c.reason AS exit_reason FROM closed c JOIN b e ON e.symbol = c.symbol AND e.idx = c.since)"""
+
+
+BACKTEST = f"""{HOURS}, z AS (SELECT *, {zscore(20, 20, c="close")} AS z FROM bars),
+  p AS (SELECT *, row_number() OVER ({OWN}) - 1 AS idx, lag(z) OVER ({OWN}) AS pz FROM z WHERE z IS NOT NULL),
+  b AS (SELECT *, z >= 1 AND (pz IS NULL OR pz < 1) AS le, z <= -1 AND (pz IS NULL OR pz > -1) AS se, z <= 0 AND (pz IS NULL OR pz > 0) AS lx, z >= 0 AND (pz IS NULL OR pz < 0) AS sx,
+    -30::DOUBLE AS stop, 40::DOUBLE AS take, max(idx) OVER (PARTITION BY symbol) AS last, first(close) OVER ({OWN}) AS c0 FROM p), {rules(0.05, 0.001, 0.0005)}"""
 TRADE_NUMBERS = "entry_price exit_price position_size_pct allocated_capital units pnl_pct pnl_cash account_return_pct fee_cash slippage_cash entry_signal exit_signal".split()
 
 GRID = f"""{DAYS}, w AS (SELECT ts, symbol, volume / sum(volume) OVER (PARTITION BY ts) AS v FROM bars),
@@ -160,7 +167,7 @@ def backtest_metrics() -> str:
     names = [n for n in (*PERIOD_NAMES, *TRADE_VALUES) if n != "periods_per_year"]
     values = ", ".join(f"round(coalesce({n}, 0)::DOUBLE, {digits.get(n, 3)}) + 0.0 AS {n}" for n in names)
     dates = ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS max_drawdown_{n}" for n, c in (("start", "start"), ("end", "since"), ("recovery", "recovery")))
-    return f"""WITH RECURSIVE {BACKTEST}, curves AS (SELECT symbol, ts, CASE WHEN forced THEN cash + last_pnl ELSE cash + units * (close - price) * side END AS e FROM fold), {PERIOD},
+    return f"""WITH RECURSIVE {BACKTEST}, {PERIOD},
       span AS (SELECT symbol, count(*) AS usable_rows, min(ts) AS usable_start, max(ts) AS usable_end, greatest((epoch(max(ts)) - epoch(min(ts))) / 86400.0, 1) AS days, arg_max(e, ts) - arg_min(e, ts) AS net FROM curves GROUP BY 1), {TRADED}
       SELECT symbol, 'zscore' AS strategy_id, usable_start, usable_end, usable_rows, coalesce(num_trades, 0) AS num_trades, round(coalesce(trade_sharpe, 0), 3) + 0.0 AS sharpe, round(max_drawdown_pct, 2) + 0.0 AS max_drawdown, round(net, 2) + 0.0 AS net_profit,
         round(coalesce(avg_trade_return, 0), 2) + 0.0 AS avg_trade_pct, {dates}, {values} FROM span JOIN period USING (symbol) JOIN dd USING (symbol) LEFT JOIN traded USING (symbol)"""
@@ -199,7 +206,7 @@ ORACLES: dict[str, str] = {
       u AS (SELECT *, n AS num_trades, won AS gross_pnl, n / 30.0 * 365 AS trades_per_year, CASE WHEN n >= 2 AND s > 1e-12 THEN m / s * sqrt(n / 30.0 * 365) ELSE 0 END AS trade_sharpe, CASE WHEN lost > 1e-12 THEN won / lost ELSE won END AS profit_factor FROM t)
       SELECT symbol, num_trades, {shown("trade_sharpe profit_factor win_rate avg_trade_return median_trade_return best_trade worst_trade avg_holding_bars avg_holding_time time_in_market_pct turnover fee_drag slippage_drag gross_pnl net_pnl trades_per_year".split(), 4)} FROM u""",
     "d_backtest_trades": f"""WITH RECURSIVE {BACKTEST} SELECT symbol, 'zscore' AS strategy_id, strftime(entry_ts, '%Y-%m-%d %H:%M:%S') AS entry_date, strftime(exit_ts, '%Y-%m-%d %H:%M:%S') AS exit_date, side, bars_held, exit_reason, {shown([n for n in TRADE_NUMBERS if n != 'units'], 6)}, {shown(['units'], 10)} FROM trades""",
-    "d_backtest_equity": f"""WITH RECURSIVE {BACKTEST} SELECT symbol, ts, idx, round(CASE WHEN forced THEN cash + last_pnl ELSE cash + units * (close - price) * side END, 4) + 0.0 AS equity, side AS position, round(close / c0 * 100, 4) + 0.0 AS benchmark_equity FROM fold""",
+    "d_backtest_equity": f"""WITH RECURSIVE {BACKTEST} SELECT symbol, ts, idx, round(e, 4) + 0.0 AS equity, side AS position, round(close / c0 * 100, 4) + 0.0 AS benchmark_equity FROM fold JOIN curves USING (symbol, ts)""",
     "d_backtest_metrics": backtest_metrics(),
     "o_detail_payload": f"""WITH RECURSIVE {BACKTEST}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY exit_ts, entry_ts) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM trades),
       a AS (SELECT symbol, any_value(n) AS n, strftime(min(exit_ts) FILTER (k > n - 500), '%Y-%m-%d %H:%M:%S') AS last_exit, strftime(min(exit_ts), '%Y-%m-%dT%H:%M:%S') AS first_exit, count(*) FILTER (side = 'LONG') AS nl, count(*) FILTER (side = 'SHORT') AS ns FROM t GROUP BY 1),

@@ -12,7 +12,8 @@ from .functions.series import Series
 from .functions.transforms import apply_transform
 from .operators import align, metrics, montecarlo, oms, portfolio, quality
 from .operators.backtest import trade_report
-from .oracles import ORACLES as ORACLES
+from .oracles import ORACLES as PLAIN_ORACLES
+from .plan_oracles import ORACLES as PLAN_ORACLES
 from .plans import research, views
 from .plans.strategy import Backtest, Result, Sweep, new, sweep, time_slice
 from .sources.market import bars_from_events, load_ohlc, load_signal
@@ -142,7 +143,8 @@ def zscore_sweep(spark: SparkSession, sf_dir: str, wide: bool = False) -> Sweep:
 
 def sweep_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full grid of 96 combinations over all series, best first."""
-    return metrics.rounded_metrics(research.rank(zscore_sweep(spark, sf_dir, wide=True).table()))
+    # to nine places first, so that values halfway between two roundings don't depend on the order of sums
+    return metrics.rounded_metrics(rounded(research.rank(zscore_sweep(spark, sf_dir, wide=True).table()), 9))
 
 
 PROTOCOL = research.Protocol(in_sample=("2024-01-01", "2024-01-18"), out_sample=("2024-01-18", "2024-01-31"))
@@ -168,7 +170,8 @@ def walk_forward_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = research_table(spark, sf_dir)
-    return rounded(research.parameter_stability(own, ["rolling_window", "long_threshold", "short_threshold", "exit_signal"], by=["symbol"]))
+    out = research.parameter_stability(own, ["rolling_window", "long_threshold", "short_threshold", "exit_signal"], by=["symbol"])
+    return rounded(out.withColumn("best_params", F.to_json("best_params", {"ignoreNullFields": "false"})))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,4 +447,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "o_top_rows": top_rows,
 }
 
+ORACLES: dict[str, str] = PLAIN_ORACLES | PLAN_ORACLES
+
 __all__ = ["ORACLES", "QUERIES", "Result", "flagship"]

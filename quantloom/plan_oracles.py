@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from .oracles import HOURS, OWN, PERIOD, PERIOD_NAMES, TRADE_VALUES, TRADED, rules
+from .oracles import HOURS, PERIOD, PERIOD_NAMES, TRADE_VALUES, TRADED, rules
 
 #: The sweep's parameters; a wide sweep has more values of some.
 PARAMS = ("rolling_window", "long_threshold", "short_threshold", "exit_signal", "take_profit_pct", "stop_loss_pct")
@@ -122,14 +122,14 @@ def _own(n: int) -> str:
 def walk_forward_combined() -> str:
     """One strategy: its path over the test ranges of all folds, and how steady the choice is."""
     frame = "(PARTITION BY k ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
-    # products of a window differ in their last digits, and a return of zero must stay zero
-    steady = PERIOD.replace(f"e / lag(e) OVER ({OWN}) - 1 AS r", f"round(e / lag(e) OVER ({OWN}) - 1, 12) AS r")
     return f"""WITH RECURSIVE {HOURS}, {_FOLDS}, z AS (SELECT *, CASE WHEN count(close) OVER {frame} >= 20 THEN (close - avg(close) OVER {frame}) / nullif(stddev_pop(close) OVER {frame}, 0) END AS z FROM dealt),
       p AS (SELECT k AS symbol, ts, high, low, close, z, row_number() OVER (PARTITION BY k ORDER BY ts) - 1 AS idx, lag(z) OVER (PARTITION BY k ORDER BY ts) AS pz FROM z WHERE z IS NOT NULL),
       b AS (SELECT *, z >= 1 AND (pz IS NULL OR pz < 1) AS le, z <= -1 AND (pz IS NULL OR pz > -1) AS se, z <= 0 AND (pz IS NULL OR pz > 0) AS lx, z >= 0 AND (pz IS NULL OR pz < 0) AS sx,
         -30::DOUBLE AS stop, 40::DOUBLE AS take, max(idx) OVER (PARTITION BY symbol) AS last, NULL::DOUBLE AS c0 FROM p), {rules(0.05, 0.001, 0.0005).replace("curves AS (", "fold_curves AS (")},
       tested AS (SELECT {part(1)} AS symbol, {part(2)}::INT AS fold, ts, coalesce(e / lag(e) OVER w - 1, 0) AS r, count(*) OVER (PARTITION BY symbol) AS n, first(e) OVER w AS e0 FROM fold_curves WHERE {part(3)} = 'test' WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-      curves AS (SELECT symbol, ts, product(1 + r) OVER (PARTITION BY symbol ORDER BY fold, ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100 AS e FROM tested WHERE n > 1 AND e0 > 0), {steady},
+      ranked AS (SELECT symbol, ts, 1 + r AS g, row_number() OVER (PARTITION BY symbol ORDER BY fold, ts) AS k FROM tested WHERE n > 1 AND e0 > 0),
+      grows AS (SELECT symbol, ts, k, g FROM ranked WHERE k = 1 UNION ALL SELECT r.symbol, r.ts, r.k, p.g * r.g FROM grows p JOIN ranked r ON r.symbol = p.symbol AND r.k = p.k + 1),
+      curves AS (SELECT symbol, ts, g * 100 AS e FROM grows), {PERIOD},
       chosen AS (SELECT {part(1)} AS symbol, count(DISTINCT {part(2)}) AS fold_count FROM fold_curves WHERE {part(3)} = 'train' GROUP BY 1)
       SELECT symbol, points, {", ".join(f"round({n}::DOUBLE, 6) + 0.0 AS {n}" for n in PERIOD_NAMES)}, start AS max_drawdown_start, since AS max_drawdown_end, recovery AS max_drawdown_recovery, fold_count, 1::BIGINT AS unique_best_param_sets, 1::DOUBLE AS param_reuse_ratio
       FROM period JOIN dd USING (symbol) JOIN chosen USING (symbol)"""

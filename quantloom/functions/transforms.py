@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -100,7 +102,8 @@ def sma(df: DataFrame, column: str, series: Series, window: int = 20) -> DataFra
 def ema(df: DataFrame, column: str, series: Series, span: int = 20, adjust: bool = False) -> DataFrame:
     """Exponential average with alpha 2 / (span + 1); weights go on decaying over gaps, which repeat the last value.
 
-    The recursion is a scan that carries value and weight from row to row.
+    A scan carries the last value and its weight over to the next rows. They stand for all rows before as
+    one row of value ``value`` whose weight is ``weight``; within the rows the average is pandas' own.
     """
     decay, fresh = 1 - 2 / (span + 1), 1.0 if adjust else 2 / (span + 1)
     df = df.withColumn(column, number(column))
@@ -108,21 +111,48 @@ def ema(df: DataFrame, column: str, series: Series, span: int = 20, adjust: bool
 
     def step(state: tuple[float | None, float] | None, rows: pa.Table, final: bool):
         value, weight = state or (None, 1.0)
-        out = []
-        for x in rows.column(at).to_pylist():
-            if value is None:
-                value = x
-            else:
-                weight *= decay
-                if x is not None:
-                    value = (weight * value + fresh * x) / (weight + fresh)
-                    weight = weight + fresh if adjust else 1.0
-            out.append(value)
-        return (value, weight), rows.set_column(at, rows.field(at), pa.array(out, pa.float64()))
+        own = pd.Series(rows.column(at).to_numpy())
+        known = own.notna().to_numpy()
+        if not known.any():
+            out = np.full(len(own), np.nan if value is None else value)
+            return (value, weight if value is None else weight * decay ** len(own)), rows.set_column(at, rows.field(at), pa.array(out, from_pandas=True))
+        first = int(known.argmax())
+        if value is None:
+            start, weight = own.iloc[first], 1.0
+        else:
+            weight *= decay ** (first + 1)
+            start = (weight * value + fresh * own.iloc[first]) / (weight + fresh)
+            weight = weight + fresh if adjust else 1.0
+        rest = own.iloc[first:].copy()
+        rest.iloc[0] = start
+        out = np.full(len(own), np.nan if value is None else value)
+        if adjust:
+            # sums of weighted values and of weights are both averages of the recursive kind, up to their factor
+            here = known[first:].astype(float)
+            here[0] = weight
+            top = pd.Series(np.where(known[first:], rest.fillna(0).to_numpy() * here, 0.0))
+            sums, weights = (_decayed(s, decay) for s in (top, pd.Series(here)))
+            values = pd.Series(sums / weights).where(known[first:]).ffill().to_numpy()
+            last = weights[-1]
+        else:
+            values = rest.ewm(span=span, adjust=False).mean().to_numpy()
+            last = decay ** int(known[::-1].argmax())
+        out[first:] = values
+        return (float(out[-1]), float(last)), rows.set_column(at, rows.field(at), pa.array(out, from_pandas=True))
 
     return scan(df, series, step, df.schema)
 
 
+def _decayed(values: pd.Series, decay: float) -> np.ndarray:
+    """``s[k] = decay * s[k - 1] + values[k]``."""
+    scaled = values * 1.0
+    if decay == 0 or len(scaled) == 1:
+        return scaled.to_numpy()
+    # the recursive average of alpha = 1 - decay, whose first value isn't scaled by alpha
+    scaled.iloc[1:] /= 1 - decay
+    return scaled.ewm(alpha=1 - decay, adjust=False).mean().to_numpy()
+
+
 class _Namespace:
     """``norm.zscore(window=5)`` is ``("zscore", {"window": 5})``, for any registered name."""
 

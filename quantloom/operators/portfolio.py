@@ -1,12 +1,16 @@
 """Portfolio backtest over many symbols with full rebalancing at every bar.
 
-Prices and targets stay long, ``(ts, symbol)``, filled forward over a dense grid. In terms of weights a
-bar's growth needs only sums over symbols, so equity is one scalar recursion over time, a scan per
-portfolio; positions, profits and fees follow from it by joins and windows.
+Prices and targets stay long, ``(ts, symbol)``, filled forward over a dense grid: a row for each time and
+symbol is the result. With ``keys`` each portfolio is apart. Without fees equity is a running product of
+sums over symbols (``closed_form_equity``). With fees what is traded at a bar depends on the equity before
+it, so equity is a scan: a task walks one portfolio bar by bar, an array of its symbols at a time, and
+portfolios are what runs in parallel. Positions, profits and fees follow by joins and windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -14,38 +18,41 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.series import Series, finite, scan
 from .metrics import EPS, period_metrics
 
-_SCHEMA = "portfolio int, ts {ts}, pre_equity double, equity double, cash double, gross_exposure double, net_exposure double, leverage double, turnover double, rebalance_count bigint, drift_from_target double"
+_SCHEMA = "pre_equity double, equity double, cash double, gross_exposure double, net_exposure double, leverage double, turnover double, rebalance_count bigint, drift_from_target double"
 
 
-def net_targets(signals: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """``ts, symbol, target``: strategies' target weights times strategy weights, summed.
+def net_targets(signals: DataFrame, weights: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, ts, symbol, target``: strategies' target weights times strategy weights, summed.
 
     A strategy without weight counts zero; without a weights table each counts one.
     """
     wanted = "target_weight" if "target_weight" in signals.columns else "signal_value"
     if wanted not in signals.columns:
         raise ValueError("signals must have target_weight or signal_value")
-    own = signals.select("ts", "symbol", "strategy_id", finite(F.col(wanted), 0.0).alias("target"))
+    own = signals.select(*keys, "ts", "symbol", "strategy_id", finite(F.col(wanted), 0.0).alias("target"))
     if weights is not None and not weights.isEmpty():
         own = own.join(weights.select("strategy_id", F.col("weight").cast("double").alias("w")), "strategy_id", "left")
         own = own.withColumn("target", F.col("target") * F.coalesce("w", F.lit(0.0)))
-    return own.groupBy("ts", "symbol").agg(F.sum("target").alias("target"))
+    return own.groupBy(*keys, "ts", "symbol").agg(F.sum("target").alias("target"))
 
 
-def price_grid(prices: DataFrame, targets: DataFrame) -> DataFrame:
-    """``ts, symbol, price, prev_price, target`` for each time and symbol, filled forward; targets must stand at a price's time."""
-    close = prices.select("ts", "symbol", finite(F.col("close")).alias("price"), F.struct(*(c for c in prices.columns if c not in ("ts", "symbol"))).alias("row"))
+def price_grid(prices: DataFrame, targets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, ts, symbol, price, prev_price, target`` for each time and symbol of a portfolio, filled forward; targets must stand at a price's time."""
+    keys, place = list(keys), [*keys, "ts", "symbol"]
+    close = prices.select(*place, finite(F.col("close")).alias("price"), F.struct(*(c for c in prices.columns if c not in place)).alias("row"))
     close = close.where("ts IS NOT NULL AND symbol IS NOT NULL AND price IS NOT NULL")
-    close = close.groupBy("ts", "symbol").agg(F.max(F.struct("row", "price"))["price"].alias("price"))
-    grid = close.select("ts").distinct().crossJoin(close.select("symbol").distinct())
-    own, before = Series().running(), Series().ordered()
+    close = close.groupBy(*place).agg(F.max(F.struct("row", "price"))["price"].alias("price"))
+    times, symbols = close.select(*keys, "ts").distinct(), close.select(*keys, "symbol").distinct()
+    grid = times.join(symbols, keys) if keys else times.crossJoin(symbols)  # the grid is the result, so no row is made in vain
+    series = Series((*keys, "symbol"))
+    own, before = series.running(), series.ordered()
     # a target that another symbol has at this time, and this one hasn't, is a gap, as in a wide table
-    rows = grid.join(close, ["ts", "symbol"], "left").join(targets, ["ts", "symbol"], "left")
+    rows = grid.join(close, place, "left").join(targets, place, "left")
     rows = rows.withColumns({"price": F.last("price", ignorenulls=True).over(own), "target": F.coalesce(F.last("target", ignorenulls=True).over(own), F.lit(0.0))})
     return rows.withColumn("prev_price", F.lag("price").over(before))
 
 
-def _step(capital: float, fee: float):
+def _step(capital: float, fee: float, keys: list[str]):
     """Scan step: state is (cash, positions, last equity, rebalances); a row has the arrays of one time."""
 
     def step(state, rows: pa.Table, final: bool):
@@ -69,27 +76,31 @@ def _step(capital: float, fee: float):
             last = equity
         names = ["pre_equity", "equity", "cash", "gross_exposure", "net_exposure", "leverage", "turnover", "rebalance_count", "drift_from_target"]
         columns = [pa.array(c, pa.int64() if n == "rebalance_count" else pa.float64()) for n, c in zip(names, zip(*out))]
-        return (cash, held, last, count), pa.table([rows.column("portfolio"), rows.column("ts"), *columns], names=["portfolio", "ts", *names])
+        shown = [*keys, "ts"]
+        return (cash, held, last, count), pa.table([*(rows.column(c) for c in shown), *columns], names=[*shown, *names])
 
     return step
 
 
-def portfolio_equity(grid: DataFrame, capital: float = 100.0, fee_pct: float = 0.0) -> DataFrame:
-    """One row for each time: equity before and after trading, cash, exposures, leverage, turnover, rebalances so far, drift."""
+def portfolio_equity(grid: DataFrame, capital: float = 100.0, fee_pct: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
+    """One row for each time of a portfolio: equity before and after trading, cash, exposures, leverage, turnover, rebalances so far, drift."""
     order = F.array_sort(F.collect_list(F.struct("symbol", "price", "target")))
-    wide = grid.groupBy("ts").agg(order.alias("all")).select(F.lit(0).alias("portfolio"), "ts", F.col("all.price").alias("prices"), F.col("all.target").alias("targets"))
-    kind = grid.schema["ts"].dataType.simpleString()
-    return scan(wide, Series(("portfolio",)), _step(capital, fee_pct), _SCHEMA.format(ts=kind)).drop("portfolio")
+    own = list(keys) or ["portfolio"]
+    rows = grid if keys else grid.withColumn("portfolio", F.lit(0))
+    wide = rows.groupBy(*own, "ts").agg(order.alias("all")).select(*own, "ts", F.col("all.price").alias("prices"), F.col("all.target").alias("targets"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*own, "ts"))
+    out = scan(wide, Series(tuple(own)), _step(capital, fee_pct, own), f"{kinds}, {_SCHEMA}")
+    return out if keys else out.drop("portfolio")
 
 
-def portfolio_positions(grid: DataFrame, equity: DataFrame, fee_pct: float = 0.0) -> DataFrame:
-    """One row for each time and symbol: position, price, weights, and profit and fees so far.
+def portfolio_positions(grid: DataFrame, equity: DataFrame, fee_pct: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
+    """One row for each time and symbol of a portfolio: position, price, weights, and profit and fees so far.
 
     A symbol has no position, profit or fee before its first price.
     """
-    rows = grid.join(equity.select("ts", "pre_equity", "equity"), "ts")
+    rows = grid.join(equity.select(*keys, "ts", "pre_equity", "equity"), [*keys, "ts"])
     at = F.when(F.col("price") != 0, F.col("price"))
-    own = Series()
+    own = Series((*keys, "symbol"))
     rows = rows.withColumn("position", F.coalesce(F.col("target") * F.col("pre_equity") / at, F.lit(0.0)))
     held = F.coalesce(F.lag("position").over(own.ordered()), F.lit(0.0))
     rows = rows.withColumns({
@@ -98,6 +109,7 @@ def portfolio_positions(grid: DataFrame, equity: DataFrame, fee_pct: float = 0.0
     })
     value = F.coalesce(F.col("position") * F.col("price"), F.lit(0.0))
     return rows.select(
+        *keys,
         "ts",
         "symbol",
         "position",
@@ -109,28 +121,30 @@ def portfolio_positions(grid: DataFrame, equity: DataFrame, fee_pct: float = 0.0
     )
 
 
-def portfolio_metrics(equity: DataFrame, calendar: str = "crypto_365") -> DataFrame:
-    """One row: period metrics, last exposures, summed turnover, rebalances and mean drift."""
-    curve = equity.withColumn("portfolio", F.lit(0))
-    period = period_metrics(curve, Series(("portfolio",)), calendar=calendar)
-    own = curve.groupBy("portfolio").agg(
+def portfolio_metrics(equity: DataFrame, calendar: str = "crypto_365", keys: Sequence[str] = ()) -> DataFrame:
+    """One row a portfolio: period metrics, last exposures, summed turnover, rebalances and mean drift."""
+    names = list(keys) or ["portfolio"]
+    curve = equity if keys else equity.withColumn("portfolio", F.lit(0))
+    period = period_metrics(curve, Series(tuple(names)), calendar=calendar)
+    own = curve.groupBy(*names).agg(
         *(F.max_by(c, "ts").alias(c) for c in ("gross_exposure", "net_exposure", "leverage")),
         F.sum("turnover").alias("turnover"),
         F.max("rebalance_count").alias("rebalance_count"),
         F.avg("drift_from_target").alias("drift_from_target"),
     )
-    return period.join(own, "portfolio").drop("portfolio")
+    out = period.join(own, names)
+    return out if keys else out.drop("portfolio")
 
 
-def attribution(positions: DataFrame) -> DataFrame:
-    """``symbol, pnl, fee``: each symbol's final profit and fees."""
-    return positions.groupBy("symbol").agg(F.max_by("pnl_by_symbol", "ts").alias("pnl"), F.max_by("fee_by_symbol", "ts").alias("fee"))
+def attribution(positions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, symbol, pnl, fee``: each symbol's final profit and fees."""
+    return positions.groupBy(*keys, "symbol").agg(F.max_by("pnl_by_symbol", "ts").alias("pnl"), F.max_by("fee_by_symbol", "ts").alias("fee"))
 
 
-def closed_form_equity(grid: DataFrame, capital: float = 100.0) -> DataFrame:
-    """``ts, equity`` without fees: the running product of growth, in windows alone."""
-    before = F.coalesce(F.lag("target").over(Series().ordered()), F.lit(0.0))
+def closed_form_equity(grid: DataFrame, capital: float = 100.0, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, ts, equity`` without fees: the running product of growth, in windows alone."""
+    before = F.coalesce(F.lag("target").over(Series((*keys, "symbol")).ordered()), F.lit(0.0))
     gain = F.coalesce(before * (F.col("price") / F.when(F.col("prev_price") != 0, F.col("prev_price")) - 1), F.lit(0.0))
-    growth = grid.withColumn("gain", gain).groupBy("ts").agg((1 + F.sum("gain")).alias("g"))
-    running = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # a row a time
-    return growth.select("ts", (F.product("g").over(running) * capital).alias("equity"))
+    growth = grid.withColumn("gain", gain).groupBy(*keys, "ts").agg((1 + F.sum("gain")).alias("g"))
+    running = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # a row a time
+    return growth.select(*keys, "ts", (F.product("g").over(running) * capital).alias("equity"))

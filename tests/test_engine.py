@@ -101,6 +101,22 @@ def test_transforms_match_pandas(spark):
         run("unknown")
 
 
+@pytest.mark.parametrize("adjust", [False, True])
+def test_ema_over_small_batches(spark, adjust):
+    rng = np.random.default_rng(6)
+    x = pd.Series(rng.normal(size=50)).mask(rng.random(50) < 0.3)
+    x[:3], x[20:32] = np.nan, np.nan
+    df = series_of(spark, [None if np.isnan(v) else v for v in x])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for span in (1, 5, 30):
+            got = apply_transform(df, "ema", "close", Series(), span=span, adjust=adjust).orderBy("ts").toPandas()["close"]
+            np.testing.assert_allclose(got, x.ewm(span=span, adjust=adjust).mean(), equal_nan=True)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_registries(spark):
     register_transform("double")(lambda df, column, series: df.withColumn(column, 2 * F.col(column)))
 
@@ -338,6 +354,27 @@ def test_portfolio_of_one_symbol(spark):
     assert portfolio.portfolio_metrics(equity).first()["return_pct"] == pytest.approx(10)
 
 
+def test_portfolios_by_key(spark):
+    one = series_of(spark, [100, 110, 99])
+    two = series_of(spark, [50, 45]).withColumn("symbol", F.lit("b"))
+    prices = one.withColumn("folio", F.lit("x")).union(one.union(two).withColumn("folio", F.lit("y")))
+    targets = spark.createDataFrame([("x", day(0), "a", 1.0), ("y", day(0), "a", 0.5), ("y", day(0), "b", 0.5)], "folio string, ts timestamp_ntz, symbol string, target double")
+    for fee in (0.0, 0.01):
+        grid = portfolio.price_grid(prices, targets, ["folio"])
+        equity = portfolio.portfolio_equity(grid, 100.0, fee, ["folio"])
+        got = {(r["folio"], r["ts"]): r["equity"] for r in equity.collect()}
+        for name, own in (("x", one), ("y", one.union(two))):
+            alone = portfolio.portfolio_equity(portfolio.price_grid(own, targets.where(F.col("folio") == name).drop("folio")), 100.0, fee)
+            assert {t: e for (f, t), e in got.items() if f == name} == pytest.approx({r["ts"]: r["equity"] for r in alone.collect()})
+        positions = portfolio.portfolio_positions(grid, equity, fee, ["folio"])
+        gain = positions.groupBy("folio").agg(F.count("*").alias("n")).collect()
+        assert {r["folio"]: r["n"] for r in gain} == {"x": 3, "y": 6} and portfolio.portfolio_metrics(equity, keys=["folio"]).count() == 2
+        assert portfolio.attribution(positions, ["folio"]).count() == 3
+    closed = {(r["folio"], r["ts"]): r["equity"] for r in portfolio.closed_form_equity(portfolio.price_grid(prices, targets, ["folio"]), keys=["folio"]).collect()}
+    free = portfolio.portfolio_equity(portfolio.price_grid(prices, targets, ["folio"]), keys=["folio"])
+    assert closed == pytest.approx({(r["folio"], r["ts"]): r["equity"] for r in free.collect()})
+
+
 def test_portfolio_symbol_listed_late(spark):
     prices = series_of(spark, [100, 110, 121]).union(series_of(spark, [None, 50, 55]).withColumn("symbol", F.lit("b"))).dropna()
     targets = spark.createDataFrame([(day(0), s, 0.5) for s in "ab"], "ts timestamp_ntz, symbol string, target double")

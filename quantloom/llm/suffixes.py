@@ -13,7 +13,7 @@ of the positions travels instead of all of them with a sort in each round:
   ``LENGTH`` bytes as cells shrink to one start. Cells with a unique core drop out;
 * a cell whose whole extent (all bytes of all its strings) is repeated is settled at once.
 
-Bloom filters of fixed size tell which runs to take from the texts, so no text is shuffled in the
+Bloom filters tell which runs to take from the texts, so no text is shuffled in the
 rounds; what they let pass in error is told apart by joins. Extents are compared by 128-bit
 fingerprints. A settled extent stays in the rounds as one row that counts twice, as long as an open
 cell has its core. Groups are counted before the shuffle, never gathered, and that one row comes from the
@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bloom import FILTER_BITS, bloom, passes
+from .bloom import bloom, passes
 from .decontaminate import merged
 from .storage import written
 from .text import in_batches, pieces, utf8
@@ -151,7 +151,7 @@ def candidate_runs(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
 def chosen_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The runs named by ``k1, k2, start`` of ``wanted``, with their bytes and its other columns, in one more pass over the texts."""
-    place = F.col("k1").bitwiseXOR(F.shiftleft("start", 64 - FILTER_BITS)).bitwiseXOR(F.shiftleft("start", 8))
+    place = F.col("k1").bitwiseXOR(F.shiftleft("start", 36)).bitwiseXOR(F.shiftleft("start", 8))
     shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(place.alias("name"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def chosen_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             data, runs = runs_of(texts)
             start = (runs[:, 1] - np.cumsum([0, *map(len, texts)])[runs[:, 0]]).astype(np.uint64)
             key = part.column(0).to_numpy()[runs[:, 0]].view(np.uint64)
-            own = runs[passes(shared.value, key ^ start << np.uint64(64 - FILTER_BITS) ^ start << np.uint64(8))]
+            own = runs[passes(shared.value, key ^ start << np.uint64(36) ^ start << np.uint64(8))]
             if len(own):
                 core = _names(data, [(a, a + CORE) for *_, a in own.tolist()])
                 yield _run_rows(part, texts, data, own, core, True)

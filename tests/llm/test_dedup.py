@@ -6,9 +6,11 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
+from quantloom.llm.bloom import bloom, passes
 from quantloom.llm.simhash import simhash_components, split_hot, without_near_copies
 from quantloom.llm.suffixes import LENGTH, without_repeats
 
@@ -57,6 +59,16 @@ def test_shared_anchors(spark):
     assert {k for k, r in found.items() if r["n_shared"]} == {k for k in range(40) if k % 4 == 0}
 
 
+@pytest.mark.parametrize("n", [0, 1, 5000, 200_000])
+def test_filters_hold_their_names_and_few_others(spark, n):
+    names = spark.range(n).selectExpr("xxhash64(id) AS name")
+    words = bloom(names)
+    own = np.array([r["name"] for r in names.collect()], np.int64).view(np.uint64)
+    assert passes(words, own).all()
+    others = np.random.default_rng(n).integers(0, 1 << 63, 100_000, dtype=np.int64).view(np.uint64)
+    assert passes(words, others).mean() < 0.01
+
+
 def brute_fingerprint(text):
     words = b"" if text is None else text.encode().lower()
     words = words.split()

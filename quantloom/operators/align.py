@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.series import number, seconds_between
 
+#: Names of directions and of what happens to stale signals.
 DIRECTIONS, STALE_POLICIES = ("backward", "forward", "nearest"), ("nan", "drop", "keep")
 _DAY = 86_400_000_000
 
@@ -35,7 +36,7 @@ def asof(left: DataFrame, right: DataFrame, *, on: Column, right_on: Column, col
     without time match nothing; right rows without time are ignored.
     """
     if direction not in DIRECTIONS:
-        raise ValueError(f"direction must be one of: {', '.join(DIRECTIONS)}.")
+        raise ValueError(f"unknown direction {direction!r}; known: {', '.join(DIRECTIONS)}")
     by = list(by)
     found = F.struct(right_on.alias("at"), *(c.alias(n) for n, c in columns.items()))
     here = left.select(*(F.col(k).alias(f"__{k}") for k in by), on.alias("__t"), F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("__row"))

@@ -27,7 +27,7 @@ def simulate_trade_paths(returns: DataFrame, *, n_sims: int = 1000, seed: int =
     permutes. The starting equity isn't part of a path.
     """
     if method not in METHODS:
-        raise ValueError("method must be 'bootstrap' or 'shuffle'.")
+        raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
     own = returns.select(F.col("step").cast("bigint").alias("at"), finite(F.col("r")).alias("r")).where("r IS NOT NULL")
     n = own.count()
     spark = returns.sparkSession

@@ -79,6 +79,7 @@ def validation(metrics: DataFrame, protocol: Protocol, keys: Sequence[str] = ("s
     sharpe, ret = _decay(inside["period_sharpe"], outside["period_sharpe"]), _decay(inside["return_pct"], outside["return_pct"])
     deeper = F.when(outside["max_drawdown_pct"] > 0, outside["max_drawdown_pct"] / F.greatest(inside["max_drawdown_pct"], F.lit(EPS)) - 1).otherwise(0.0)
     few = protocol.min_oos_trades - outside["num_trades"]
+    # fixed values: the names of warnings and the weights of the score
     warned = {
         "oos_trades_too_few": few > 0,
         "oos_sharpe_drops_too_much": (inside["period_sharpe"] > 0) & (sharpe > protocol.sharpe_decay_warn),

@@ -35,7 +35,7 @@ MAGIC, HEAD = b"QLT1", struct.Struct("<4s5q")
 #: Ids in a block, after which a new one begins.
 BLOCK_IDS = 1 << 21
 #: Words whose encodings a worker keeps, in each of two generations, and words that are encoded as one text.
-CACHE_WORDS, JOINED_WORDS = 400_000, 500
+CACHE_WORDS, JOINED_WORDS = 700_000, 500
 #: Bytes of data for each of the four ids of a control byte.
 _SIZES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 _PLACE = np.arange(4, dtype=np.uint8)
@@ -116,11 +116,15 @@ class WordEncoder:
             else:
                 words += data.lower().split()
             cuts.append(len(words))
-        wanted = set(words).difference(self.new)
-        kept = self.old.keys() & wanted
-        self.new.update((w, self.old[w]) for w in kept)
-        self._learn(wanted.difference(kept))
-        ids = list(map(self.new.__getitem__, words))
+        ids = list(map(self.new.get, words))
+        if None in ids:
+            holes = [k for k, x in enumerate(ids) if x is None]
+            wanted = {words[k] for k in holes}
+            kept = self.old.keys() & wanted
+            self.new.update((w, self.old[w]) for w in kept)
+            self._learn(wanted.difference(kept))
+            for k in holes:
+                ids[k] = self.new[words[k]]
         return [(whole.get(k) or b"".join(ids[a:b])) + end for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import leak_report
+from .filteraudit import filter_audit
 from .htmltext import page_texts
 from .language import language_report
 from .media import media_columns
 from .mixing import score_report
+from .oracles import ORACLES
 from .pieces import piece_report
 from .pii import pii_report
 from .simhash import simhash_components
@@ -66,6 +68,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_report(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lm_score": op2_lm_score,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_columns": op4_media_columns,
     "op5_pii": op5_pii,
     "op10_decontamination": op10_decontamination,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import leak_report
+from .exactdedup import exact_dedup
 from .filteraudit import filter_audit
 from .htmltext import page_texts
 from .language import language_report
@@ -72,6 +73,10 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_lm_score": op2_lm_score,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_columns": op4_media_columns,
     "op5_pii": op5_pii,
     "op10_decontamination": op10_decontamination,
+    "op11_exact_dedup": op11_exact_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
 

@@ -10,7 +10,7 @@ have equal SHA-256 digests. A task holds counts of at most ``PARTS`` parts at a
 Defined cases: a null text is empty; a null source is the empty string's part; a document without id is
 never counted as a later copy, nor is another one for its sake; rows repeated with their id stand for
 documents of their own, all of them the first of their text if one is; a label counts if any of the
-labels rows of an id has it, null labels don't; an empty table gives no rows.
+labels rows of an id has it, null labels and labels of no id don't; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,13 +1,13 @@
-"""Exact deduplication as a stream with keyed state that never expires.
+"""Exact deduplication as streams with keyed state that never expires.
 
 Tasks read texts, collapse those that are equal within reach, and append each one's bytes to a content file
 of their own in the shared folder; what moves on is a row a distinct text: digest, count, largest id, and the
-locator of its bytes. A stateful operator keyed by digest, its state on disk (RocksDB), keeps for every text
-the id that stays, the number of rows and a locator. A hit reads both locators and compares all bytes, so
-texts whose digests collide are held apart as variants. The state outlives the run: another call on the same
-folder goes on from it with the files that are new.
+locator of its bytes. A streaming aggregate keyed by digest keeps, in RocksDB state on disk, the number of rows,
+the id that stays and the first locator. Every later text that hits a digest is then compared with the bytes
+at that locator. Digests whose texts differ are grouped by their full bytes instead. State and content outlive
+the run: another call on the same folder goes on from them with the files that are new.
 
-A group of copies reaches the operator as a row for each task that has read some, however large it is.
+A group of copies reaches the state as a row for each task that has read some, however large it is.
 Content files of a task that was run twice are of different names; locators name the ones that count.
 
 Defined cases: a null text is empty; ids that are null are the smallest; where rows repeat an id with its
@@ -18,24 +18,28 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .storage import open_store, shared_folder, written
+from .storage import open_store, shared_folder
 from .text import in_batches, utf8
 
 #: Bytes of texts that a task holds to collapse equal ones before it hands them on.
 HELD_BYTES = 64 << 20
 #: Files that a micro-batch takes at most.
 FILES = 1000
-#: Settings of the stream's session while it starts: state on disk, its memory bounded for each executor.
+#: Settings of the session while a stream starts: state on disk without files allocated ahead, its memory bounded, changes alone written.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: Content files that a task keeps open for reading.
+OPEN_FILES = 64
 
 
 class ContentWriter:
@@ -62,13 +66,23 @@ class ContentWriter:
             self.out.close()
 
 
-def content(root: str, file: str, offset: int, length: int) -> bytes:
-    """The text at a locator."""
-    import zstandard
+class ContentReader:
+    """Reads texts by locator."""
 
-    store, folder = open_store(root)
-    with store.open_input_file(f"{folder}/{file}") as source:
-        return zstandard.ZstdDecompressor().decompress(source.read_at(length, offset))
+    def __init__(self, root: str) -> None:
+        import zstandard
+
+        self.store, self.folder = open_store(root)
+        self.files: OrderedDict[str, object] = OrderedDict()
+        self.codec = zstandard.ZstdDecompressor()
+
+    def __call__(self, file: str, offset: int, length: int) -> bytes:
+        if file not in self.files:
+            self.files[file] = self.store.open_input_file(f"{self.folder}/{file}")
+            if len(self.files) > OPEN_FILES:
+                self.files.popitem(last=False)[1].close()
+        self.files.move_to_end(file)
+        return self.codec.decompress(self.files[file].read_at(length, offset))
 
 
 def distinct_texts(docs: DataFrame, root: str, digest_bytes: int = 32) -> DataFrame:
@@ -110,78 +124,96 @@ def _greater(a, b):
 
 
 def absorb(docs: DataFrame, root: str, digest_bytes: int = 32) -> None:
-    """Runs the stream ``docs`` over all files there are, into the state below ``root``."""
+    """Runs the stream ``docs`` over all files there are, into the state below ``root``, and compares bytes on hits."""
     spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        variants = [list(v) for v in zip(*state.get)] if state.exists else []
-        for frame in frames:
-            for n, top, *place in zip(*(frame[c].tolist() for c in ("n", "top_id", "file", "offset", "length"))):
-                top = None if pd.isna(top) else top
-                own = content(f"{root}/content", *place) if variants else b""
-                hit = next((v for v in variants if content(f"{root}/content", *v[2:]) == own), None)
-                if hit:
-                    hit[0] += n
-                    hit[1] = _greater(hit[1], top)
-                else:
-                    variants.append([n, top, *place])
-        state.update(tuple(list(c) for c in zip(*variants)))
-        return iter(())
-
-    texts = distinct_texts(docs, f"{root}/content", digest_bytes)
-    state = f"n array<bigint>, top_id array<{id_type}>, file array<string>, offset array<bigint>, length array<bigint>"
-    kept = texts.groupBy("digest").applyInPandasWithState(update, "digest binary", state, "update", "NoTimeout")
+    done = _runs(root)
+    texts = distinct_texts(docs, f"{root}/content", digest_bytes).withColumn("run", F.lit(done + 1))
+    place = F.struct("run", "file", "offset", "length")
     before = {k: spark.conf.get(k, None) for k in STATE_STORE}
     for k, v in STATE_STORE.items():
         spark.conf.set(k, v)
     try:
-        query = kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        _to_end(texts.writeStream.format("parquet").option("path", f"{root}/texts").option("checkpointLocation", f"{root}/checkpoint-texts"))
+        seen = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/texts")
+        state = seen.groupBy("digest").agg(F.sum("n").alias("n"), F.max("top_id").alias("top_id"), F.min(place).alias("place"))
+        _to_end(state.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{root}/checkpoint-state"))
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    query.awaitTermination()
+    value = [F.col("value")[f.name].alias(n) for f, n in zip(_state(spark, root).schema["value"].dataType, ("n", "top_id", "place"))]
+    _state(spark, root).select("key.digest", *value).write.parquet(f"{root}/groups/{done + 1}")
+    _differing(spark, root, done).write.parquet(f"{root}/differing/{done + 1}")
+
+
+def _to_end(stream) -> None:
+    stream.trigger(availableNow=True).start().awaitTermination()
+
+
+def _runs(root: str) -> int:
+    """Runs whose hits have been compared."""
+    from pyarrow import fs
+
+    store, path = open_store(root)
+    return max((int(f.base_name) for f in store.get_file_info(fs.FileSelector(f"{path}/differing", allow_not_found=True))), default=0)
+
+
+def _state(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("statestore").load(f"{root}/checkpoint-state")
 
 
 def groups(spark: SparkSession, root: str) -> DataFrame:
-    """``digest, variants`` of all texts in the state; a variant has ``n, top_id, file, offset, length``."""
-    state = spark.read.format("statestore").load(f"{root}/checkpoint")
-    fields = ("n", "top_id", "file", "offset", "length")
-    zipped = F.arrays_zip(*(F.col("value.groupState")[c].alias(c) for c in fields))
-    return state.select(F.col("key.digest").alias("digest"), zipped.alias("variants"))
+    """``digest, n, top_id, place`` of all digests in the state."""
+    return spark.read.parquet(f"{root}/groups/{_runs(root)}")
+
+
+def _differing(spark: SparkSession, root: str, done: int) -> DataFrame:
+    """Digests of texts, seen by runs after ``done``, whose bytes are not those at the state's locator."""
+    state = spark.read.parquet(f"{root}/groups/{done + 1}").select("digest", "place")
+    texts = spark.read.parquet(f"{root}/texts").where(F.col("run") > done).withColumn("own", F.struct("run", "file", "offset", "length"))
+    places = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("own", "place") for c in ("file", "offset", "length")]
+    hits = texts.join(state, "digest").where("own <> place").select("digest", *places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = ContentReader(f"{root}/content")
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[1:]))
+            yield batch.filter(pa.array([read(*r[:3]) != read(*r[3:]) for r in rows], pa.bool_())).select([0])
+
+    return hits.mapInArrow(run, "digest binary").distinct()
 
 
 def dedup_report(docs: DataFrame, root: str, digest_bytes: int = 32) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` of each row of ``docs``, all of whose texts the state has seen."""
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    digest = F.substring(F.unhex("text_sha256"), 1, digest_bytes)
-    rows = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("text_sha256")).groupBy("doc_id", "text_sha256").count().withColumn("digest", digest)
-    found = written(groups(spark, root), "exact-groups")
-    single = found.where(F.size("variants") == 1).select("digest", F.col("variants")[0].alias("v"))
-    out = rows.join(single, "digest").select("doc_id", "text_sha256", "count", "v.n", "v.top_id")
-    several = found.where(F.size("variants") > 1)
-    if not several.isEmpty():
-        out = out.unionByName(_by_content(docs, several, root, digest_bytes))
+    found = groups(spark, root)
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body")).withColumn("text_sha256", F.sha2("body", 256))
+    text = text.withColumn("digest", F.substring(F.unhex("text_sha256"), 1, digest_bytes))
+    differing = spark.read.schema("digest binary").parquet(f"{root}/differing/*").distinct()
+    several = not differing.isEmpty()
+    clean = found.join(differing, "digest", "left_anti") if several else found
+    out = text.groupBy("doc_id", "text_sha256", "digest").count().join(clean.select("digest", "n", "top_id"), "digest")
+    if several:
+        out = out.unionByName(_by_bytes(text, differing, root))
     each = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
     stays = F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("copy") == 1)
     return each.select("doc_id", F.col("top_id").alias("keep_id"), F.col("n").alias("group_size"), stays.alias("kept"), "text_sha256")
 
 
-def _by_content(docs: DataFrame, several: DataFrame, root: str, digest_bytes: int) -> DataFrame:
-    """Rows of ``docs`` whose digest has variants, each with the variant of its own bytes."""
-    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    tried = hashed.withColumn("digest", F.substring(F.unhex("text_sha256"), 1, digest_bytes)).join(several, "digest").withColumn("v", F.explode("variants"))
-    tried = in_batches(tried).select("doc_id", "text_sha256", "text", "v.n", "v.top_id", "v.file", "v.offset", "v.length")
+def _by_bytes(text: DataFrame, differing: DataFrame, root: str) -> DataFrame:
+    """Rows of ``text`` whose digest stands for several texts, grouped by all bytes of what the content files hold."""
+    seen = text.sparkSession.read.parquet(f"{root}/texts").join(differing, "digest").select("digest", "n", "top_id", "file", "offset", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = ContentReader(f"{root}/content")
         for batch in batches:
-            places = zip(*(batch.column(k).to_pylist() for k in (2, 5, 6, 7)))
-            yield batch.filter(pa.array([content(f"{root}/content", *place) == utf8(text) for text, *place in places], pa.bool_())).select([0, 1, 3, 4])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    same = tried.mapInArrow(run, f"doc_id {id_type}, text_sha256 string, n bigint, top_id {id_type}")
-    return same.groupBy("doc_id", "text_sha256", "n", "top_id").count()
+            bodies = [read(*place) for place in zip(*(c.to_pylist() for c in batch.columns[3:]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bodies, pa.binary())], ["digest", "n", "top_id", "body"])
+
+    kind = seen.schema["top_id"].dataType.simpleString()
+    bodies = in_batches(seen).mapInArrow(run, f"digest binary, n bigint, top_id {kind}, body binary")
+    sizes = bodies.groupBy("digest", "body").agg(F.sum("n").alias("n"), F.max("top_id").alias("top_id"))
+    own = text.groupBy("doc_id", "text_sha256", "digest", "body").count()
+    return own.join(sizes, ["digest", "body"]).drop("body")
 
 
 def exact_dedup(spark: SparkSession, path: str) -> DataFrame:

@@ -61,7 +61,7 @@ def test_digests_that_collide_are_told_apart_by_bytes(spark, documents, tmp_path
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     docs.repartition(7).write.parquet(f"{tmp_path}/in")
     absorb(streamed(spark, f"{tmp_path}/in", docs.schema), f"file://{tmp_path}/state", digest_bytes=1)
-    assert groups(spark, f"file://{tmp_path}/state").selectExpr("max(size(variants)) n").first()["n"] > 1
+    assert groups(spark, f"file://{tmp_path}/state").count() < len({t for _, t in rows})
     assert reported(dedup_report(docs, f"file://{tmp_path}/state", digest_bytes=1)) == plain_dedup(rows)
 
 

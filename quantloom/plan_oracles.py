@@ -50,13 +50,18 @@ def part(n: int) -> str:
     return f"split_part(symbol, '~', {n})"
 
 
-def rounded(names, places: int = 6) -> str:
-    return ", ".join(n if n.removeprefix("in_sample_").removeprefix("out_sample_").removeprefix("train_").removeprefix("test_") in (*DATES, *COUNTS) else f"round({n}::DOUBLE, {places}) + 0.0 AS {n}" for n in names)
+def rounding(value: str, places: int = 6) -> str:
+    """To nine places first, so that a value halfway between two roundings doesn't depend on the order of sums."""
+    return f"coalesce(round(TRY_CAST({value} AS DECIMAL(38, 9)), {places})::DOUBLE, round({value}::DOUBLE, {places})) + 0.0"
+
+
+def rounded(names) -> str:
+    return ", ".join(n if n.removeprefix("in_sample_").removeprefix("out_sample_").removeprefix("train_").removeprefix("test_") in (*DATES, *COUNTS) else f"{rounding(n)} AS {n}" for n in names)
 
 
 def sweep_rank() -> str:
     digits = dict.fromkeys(("return_pct", "max_drawdown", "net_profit", "cagr_pct", "win_rate", "avg_trade_pct"), 2) | dict.fromkeys(("cagr", "fee_drag", "slippage_drag", "gross_pnl", "net_pnl"), 6)
-    shown = [n if n in ("usable_start", "usable_end", *COUNTS) else f"strftime({n}, '%Y-%m-%d %H:%M:%S') AS {n}" if n in DATES else f"coalesce(round(TRY_CAST({n} AS DECIMAL(38, 9)), {digits.get(n, 3)})::DOUBLE, round({n}, {digits.get(n, 3)})) + 0.0 AS {n}" for n in METRICS]
+    shown = [n if n in ("usable_start", "usable_end", *COUNTS) else f"strftime({n}, '%Y-%m-%d %H:%M:%S') AS {n}" if n in DATES else f"{rounding(n, digits.get(n, 3))} AS {n}" for n in METRICS]
     return f"""WITH RECURSIVE {HOURS}, {folded(WIDE, "SELECT symbol AS k, * FROM bars")}, {MEASURED}
       SELECT {part(1)} AS symbol, {part(2)} AS strategy_id, {", ".join(PARAMS)}, {", ".join(shown)} FROM measured JOIN strat ON sid = {part(2)}"""
 
@@ -81,8 +86,8 @@ RESEARCHED = f"""{HOURS}, {folded(NARROW, "SELECT symbol AS k, * FROM bars")},
 def research_split() -> str:
     names = [m if p == "full" else f"{p}_{m}" for p in ("full", "in_sample", "out_sample") for m in METRICS]
     return f"""WITH RECURSIVE {RESEARCHED}
-      SELECT symbol, sid AS strategy_id, {", ".join(PARAMS)}, {rounded(names)}, round(dsh, 6) + 0.0 AS validation_oos_sharpe_decay, round(dre, 6) + 0.0 AS validation_oos_return_decay, round(dd, 6) + 0.0 AS validation_oos_mdd_expansion,
-        round(score, 6) + 0.0 AS validation_is_oos_consistency_score, NULL::DOUBLE AS validation_parameter_stability_score, len(w) = 0 AS validation_oos_pass, array_to_string(w, ',') AS validation_warnings FROM warned JOIN strat USING (sid)"""
+      SELECT symbol, sid AS strategy_id, {", ".join(PARAMS)}, {rounded(names)}, {rounding("dsh")} AS validation_oos_sharpe_decay, {rounding("dre")} AS validation_oos_return_decay, {rounding("dd")} AS validation_oos_mdd_expansion,
+        {rounding("score")} AS validation_is_oos_consistency_score, NULL::DOUBLE AS validation_parameter_stability_score, len(w) = 0 AS validation_oos_pass, array_to_string(w, ',') AS validation_warnings FROM warned JOIN strat USING (sid)"""
 
 
 def stability() -> str:
@@ -95,8 +100,8 @@ def stability() -> str:
       q AS (SELECT symbol, quantile_cont(distance, 0.25) FILTER (distance > 0) AS near FROM u GROUP BY 1),
       near AS (SELECT symbol, max(m) AS best, avg(m) FILTER (distance > 0 AND distance <= near) AS around, avg(jump) AS jump, max(n) AS n, avg((m > 0)::INT) FILTER (place <= greatest(ceil(n * 0.1), 1)) AS top, coalesce(corr(r0, r1), 0) AS c FROM u JOIN q USING (symbol) GROUP BY 1),
       scored AS (SELECT *, coalesce((best - around) / nullif(abs(best), 0), 0) AS decay, CASE WHEN n > 1 THEN coalesce(1 / (1 + jump), 1) ELSE 0 END AS smooth FROM near)
-      SELECT scored.symbol, round(greatest(least(100 - 35 * greatest(decay, 0) + 15 * coalesce(top, 0) + 20 * smooth + 30 * greatest(c, 0), 100), 0), 6) + 0.0 AS parameter_stability_score, round(decay, 6) + 0.0 AS neighbor_sharpe_decay, round(coalesce(top, 0), 6) + 0.0 AS top_decile_consistency,
-        round(smooth, 6) + 0.0 AS heatmap_smoothness_score, round(greatest(c, 0), 6) + 0.0 AS oos_rank_consistency, round(c, 6) + 0.0 AS is_oos_rank_corr, to_json({{{", ".join(f"'{p}': tried.{p}" for p in numeric)}}})::VARCHAR AS best_params FROM scored JOIN tried ON tried.symbol = scored.symbol AND tried.place = 1"""
+      SELECT scored.symbol, {rounding("greatest(least(100 - 35 * greatest(decay, 0) + 15 * coalesce(top, 0) + 20 * smooth + 30 * greatest(c, 0), 100), 0)")} AS parameter_stability_score, {rounding("decay")} AS neighbor_sharpe_decay, {rounding("coalesce(top, 0)")} AS top_decile_consistency,
+        {rounding("smooth")} AS heatmap_smoothness_score, {rounding("greatest(c, 0)")} AS oos_rank_consistency, {rounding("c")} AS is_oos_rank_corr, to_json({{{", ".join(f"'{p}': tried.{p}" for p in numeric)}}})::VARCHAR AS best_params FROM scored JOIN tried ON tried.symbol = scored.symbol AND tried.place = 1"""
 
 
 #: Folds of 10 days of training and 5 of test, a step of 5 days: starts as long as a test begins by the last bar.
@@ -131,7 +136,7 @@ def walk_forward_combined() -> str:
       grows AS (SELECT symbol, ts, k, g FROM ranked WHERE k = 1 UNION ALL SELECT r.symbol, r.ts, r.k, p.g * r.g FROM grows p JOIN ranked r ON r.symbol = p.symbol AND r.k = p.k + 1),
       curves AS (SELECT symbol, ts, g * 100 AS e FROM grows), {PERIOD},
       chosen AS (SELECT {part(1)} AS symbol, count(DISTINCT {part(2)}) AS fold_count FROM fold_curves WHERE {part(3)} = 'train' GROUP BY 1)
-      SELECT symbol, points, {", ".join(f"round({n}::DOUBLE, 6) + 0.0 AS {n}" for n in PERIOD_NAMES)}, start AS max_drawdown_start, since AS max_drawdown_end, recovery AS max_drawdown_recovery, fold_count, 1::BIGINT AS unique_best_param_sets, 1::DOUBLE AS param_reuse_ratio
+      SELECT symbol, points, {rounded(PERIOD_NAMES)}, start AS max_drawdown_start, since AS max_drawdown_end, recovery AS max_drawdown_recovery, fold_count, 1::BIGINT AS unique_best_param_sets, 1::DOUBLE AS param_reuse_ratio
       FROM period JOIN dd USING (symbol) JOIN chosen USING (symbol)"""
 
 

@@ -36,6 +36,11 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.withColumns({f.name: F.round(f.name, places) + 0.0 for f in df.schema if f.dataType.simpleString() == "double"})
 
 
+def twice_rounded(df: DataFrame) -> DataFrame:
+    """Doubles rounded to nine places first, so that values halfway between two roundings don't depend on the order of sums."""
+    return rounded(rounded(df, 9))
+
+
 def significant(value: Column, digits: int = 9) -> Column:
     """A number rounded to so many digits."""
     unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.when(value != 0, value)))) - (digits - 1))
@@ -143,7 +148,6 @@ def zscore_sweep(spark: SparkSession, sf_dir: str, wide: bool = False) -> Sweep:
 
 def sweep_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full grid of 96 combinations over all series, best first."""
-    # to nine places first, so that values halfway between two roundings don't depend on the order of sums
     return metrics.rounded_metrics(rounded(research.rank(zscore_sweep(spark, sf_dir, wide=True).table()), 9))
 
 
@@ -156,22 +160,22 @@ def research_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def research_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(research_table(spark, sf_dir))
+    return twice_rounded(research_table(spark, sf_dir))
 
 
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(research.walk_forward(zscore_sweep(spark, sf_dir), train_window="10D", test_window="5D", step="5D").folds)
+    return twice_rounded(research.walk_forward(zscore_sweep(spark, sf_dir), train_window="10D", test_window="5D", step="5D").folds)
 
 
 def walk_forward_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = research.walk_forward(backtest(spark, sf_dir), train_window="10D", test_window="5D", step="5D")
-    return rounded(found.combined.join(found.stability, "symbol"))
+    return twice_rounded(found.combined.join(found.stability, "symbol"))
 
 
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = research_table(spark, sf_dir)
     out = research.parameter_stability(own, ["rolling_window", "long_threshold", "short_threshold", "exit_signal"], by=["symbol"])
-    return rounded(out.withColumn("best_params", F.to_json("best_params", {"ignoreNullFields": "false"})))
+    return twice_rounded(out.withColumn("best_params", F.to_json("best_params", {"ignoreNullFields": "false"})))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,10 +31,13 @@ from .text import in_batches, utf8
 HELD_BYTES = 64 << 20
 #: Files that a micro-batch takes at most.
 FILES = 1000
-#: Settings of the session while a stream starts: state on disk without files allocated ahead, its memory bounded, changes alone written.
+#: Settings of the session while a stream runs or its state is read: on disk without files allocated ahead, only changes
+#: written, and little memory a partition, which is given back when a batch is committed.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
@@ -137,11 +140,12 @@ def absorb(docs: DataFrame, root: str, digest_bytes: int = 32) -> None:
         seen = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/texts")
         state = seen.groupBy("digest").agg(F.sum("n").alias("n"), F.max("top_id").alias("top_id"), F.min(place).alias("place"))
         _to_end(state.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{root}/checkpoint-state"))
+        held = spark.read.format("statestore").load(f"{root}/checkpoint-state")
+        value = [F.col("value")[f.name].alias(n) for f, n in zip(held.schema["value"].dataType, ("n", "top_id", "place"))]
+        held.select("key.digest", *value).write.parquet(f"{root}/groups/{done + 1}")
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    value = [F.col("value")[f.name].alias(n) for f, n in zip(_state(spark, root).schema["value"].dataType, ("n", "top_id", "place"))]
-    _state(spark, root).select("key.digest", *value).write.parquet(f"{root}/groups/{done + 1}")
     _differing(spark, root, done).write.parquet(f"{root}/differing/{done + 1}")
 
 
@@ -157,10 +161,6 @@ def _runs(root: str) -> int:
     return max((int(f.base_name) for f in store.get_file_info(fs.FileSelector(f"{path}/differing", allow_not_found=True))), default=0)
 
 
-def _state(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("statestore").load(f"{root}/checkpoint-state")
-
-
 def groups(spark: SparkSession, root: str) -> DataFrame:
     """``digest, n, top_id, place`` of all digests in the state."""
     return spark.read.parquet(f"{root}/groups/{_runs(root)}")

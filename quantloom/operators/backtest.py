@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.conditions import Condition, mask
 from ..functions.series import Series, number, scan
-from ..functions.transforms import apply_transform
+from ..functions.transforms import apply_transforms
 
 #: Strategies that one task folds over the same bars.
 GROUP = 32
@@ -76,8 +76,7 @@ def prepare(bars: DataFrame, transforms: Sequence[tuple[str, Sequence[tuple[str,
     legs["benchmark"] = number("benchmark") if "benchmark" in bars.columns else close
     out = bars.select(*series.keys, series.ts, number("signal").alias("signal_raw"), close.alias("close"), *(v.alias(k) for k, v in legs.items()))
     out = out.withColumn("signal", F.col("signal_raw"))
-    for name, options in transforms:
-        out = apply_transform(out, name, "signal", series, **dict(options))
+    out = apply_transforms(out, [(name, dict(options)) for name, options in transforms], "signal", series)
     return out.dropna(subset=["signal", "close", "open", "high", "low"])
 
 

@@ -38,7 +38,9 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def has_long_series(df: DataFrame, series: Series) -> bool:
-    """Whether a series has more than ``LONG_ROWS`` rows; small inputs aren't counted."""
+    """Whether a series has more than ``LONG_ROWS`` rows, unless ``series`` tells it; small inputs aren't counted."""
+    if series.long is not None:
+        return series.long
     if estimated_bytes(df) <= SMALL_BYTES:
         return False
     longest = df.groupBy(*series.keys).count().agg(F.max("count")).first()[0]
@@ -177,6 +179,23 @@ def deal(df: DataFrame, series: Series) -> Blocks:
     return Blocks(rows, tuple(keys), tuple(borders))
 
 
+def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
+    """``keys`` and ``name``, the ``q`` quantile of ``value`` in each group, interpolated; groups without a value give no row.
+
+    Equal values are counted before they move, and what remains is dealt by ranges of group and value, so a
+    group of any size is spread.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").cast("double").alias("n"))
+    blocks = deal(counts, Series(tuple(keys), "v"))
+    rows = blocks.running(blocks.rows, "upto", F.col("n"), "sum")
+    same = reduce(Column.__and__, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
+    totals = blocks.rows.groupBy(*keys).agg(((F.sum("n") - 1) * q).alias("place"))
+    found = rows.alias("l").join(totals.alias("r"), same).select("l.*", "place").where(F.col("upto") > F.floor("place"))
+    ends = [F.min(F.when(F.col("upto") > f("place"), F.col("v"))).alias(n) for n, f in (("low", F.floor), ("high", F.ceil))]
+    out = found.groupBy(*keys).agg(*ends, F.max(F.col("place") - F.floor("place")).alias("part"))
+    return out.select(*keys, (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias(name))
+
+
 def in_blocks(df: DataFrame, series: Series, lookback: int, fn: Callable[[DataFrame, Series], DataFrame]) -> DataFrame:
     """``fn(df, series)``, whose result at a row depends on ``lookback`` rows before it at most, block by block."""
     blocks = deal(df, series)

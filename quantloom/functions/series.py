@@ -13,10 +13,14 @@ from ..sources.shared import stored
 
 @dataclass(frozen=True)
 class Series:
-    """Rows with equal ``keys`` form a series, ordered by ``ts``."""
+    """Rows with equal ``keys`` form a series, ordered by ``ts``.
+
+    ``long`` tells whether some series is too long for one task; where it is ``None``, large inputs are counted.
+    """
 
     keys: tuple[str, ...] = ("symbol",)
     ts: str = "ts"
+    long: bool | None = None
 
     def ordered(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(self.ts)

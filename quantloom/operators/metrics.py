@@ -1,15 +1,19 @@
 """Trade, period and drawdown metrics of equity curves and trades, one row per series.
 
 Values are unrounded; ``rounded_metrics`` rounds as reports show them. Windows and sums share one
-shuffle on the series' keys.
+shuffle on the series' keys, unless a series is long: then peaks, returns and rolling frames come from
+blocks (see ``functions.blocks``), quantiles from counted values dealt by range, and all else from sums
+that are merged, so no task has a whole curve.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.blocks import Blocks, deal, grouped_quantile, has_long_series
 from ..functions.series import Series, finite, seconds_between
 
 EPS = 1e-12
@@ -25,21 +29,46 @@ def _ratio(a: Column, b: Column) -> Column:
     return _or_zero(F.when(b > EPS, a / F.when(b != 0, b)))
 
 
-def period_returns(curve: DataFrame, series: Series, value: str = "equity") -> DataFrame:
-    """Finite rows of ``curve`` with ``e``, the return ``r`` on the row before, and seconds ``dt`` since then."""
-    order = series.ordered()
-    rows = curve.select(*series.keys, series.ts, finite(F.col(value)).alias("e")).where("e IS NOT NULL")
+def _finite_rows(curve: DataFrame, series: Series, value: str) -> DataFrame:
+    return curve.select(*series.keys, series.ts, finite(F.col(value)).alias("e")).where("e IS NOT NULL")
+
+
+def _returns(rows: DataFrame, ts: str, order: Window) -> DataFrame:
     before = F.lag("e").over(order)
     r = F.col("e") / F.when(before != 0, before) - 1
-    return rows.withColumns({"r": finite(r), "dt": seconds_between(F.lag(series.ts).over(order), F.col(series.ts))})
+    return rows.withColumns({"r": finite(r), "dt": seconds_between(F.lag(ts).over(order), F.col(ts))})
+
+
+def period_returns(curve: DataFrame, series: Series, value: str = "equity") -> DataFrame:
+    """Finite rows of ``curve`` with ``e``, the return ``r`` on the row before, and seconds ``dt`` since then."""
+    return _returns(_finite_rows(curve, series, value), series.ts, series.ordered())
+
+
+def _depth() -> Column:
+    return F.coalesce((F.col("e") - F.col("peak")) / F.when(F.col("peak") > 0, F.col("peak")), F.lit(0.0))
+
+
+def _low(ts: str) -> Column:
+    """The first deepest drawdown: depth, time and peak."""
+    return F.min(F.struct("dd", F.col(ts).alias("at"), "peak"))
 
 
 def _drawdown(rows: DataFrame, series: Series) -> DataFrame:
     """Rows with ``low``, the struct (depth, ts, peak) of the series' first deepest drawdown."""
-    rows = rows.withColumn("peak", F.max("e").over(series.running()))
-    depth = F.coalesce((F.col("e") - F.col("peak")) / F.when(F.col("peak") > 0, F.col("peak")), F.lit(0.0))
-    rows = rows.withColumn("dd", depth)
-    return rows.withColumn("low", F.min(F.struct("dd", F.col(series.ts).alias("at"), "peak")).over(series.whole()))
+    rows = rows.withColumn("peak", F.max("e").over(series.running())).withColumn("dd", _depth())
+    return rows.withColumn("low", _low(series.ts).over(series.whole()))
+
+
+def _joined(rows: DataFrame, own: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with a row a series of ``own``; null keys meet."""
+    same = reduce(Column.__and__, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
+    return rows.alias("l").join(own.alias("r"), same, "left").select("l.*", *(F.col(f"r.{c}") for c in own.columns if c not in keys))
+
+
+def _drawdown_long(blocks: Blocks, rows: DataFrame, ts: str) -> DataFrame:
+    """``_drawdown`` with the peaks of blocks carried over their borders and the lows merged."""
+    rows = blocks.running(rows, "peak", F.col("e"), "max").withColumn("dd", _depth())
+    return _joined(rows, rows.groupBy(*blocks.keys).agg(_low(ts).alias("low")), blocks.keys)
 
 
 def _drawdown_sums(ts: str) -> list[Column]:
@@ -66,37 +95,38 @@ def _drawdown_columns() -> dict[str, Column]:
 
 def drawdowns(curve: DataFrame, series: Series, value: str = "equity") -> DataFrame:
     """Depth, start, end, recovery and length of each series' deepest drawdown."""
-    rows = _drawdown(curve.select(*series.keys, series.ts, finite(F.col(value)).alias("e")).where("e IS NOT NULL"), series)
+    rows = _finite_rows(curve, series, value)
+    if has_long_series(rows, series):
+        blocks = deal(rows, series)
+        rows = _drawdown_long(blocks, blocks.rows, series.ts)
+    else:
+        rows = _drawdown(rows, series)
     sums = rows.groupBy(*series.keys).agg(*_drawdown_sums(series.ts))
     return sums.select(*series.keys, *(v.alias(k) for k, v in _drawdown_columns().items()))
 
 
-def period_metrics(curve: DataFrame, series: Series, value: str = "equity", *, periods_per_year: float | None = None, calendar: str = "crypto_365", rolling_window: int = 30) -> DataFrame:
-    """Return, risk and drawdown metrics of each equity curve; series without a finite value give no row."""
-    keys, ts = list(series.keys), series.ts
-    window = max(int(rolling_window), 2)
-    rows = _drawdown(period_returns(curve, series, value), series)
-    r, has = F.col("r"), F.col("r").isNotNull()
-    # returns are ranked among themselves, so that a row without one takes no place in a frame
-    frame = Window.partitionBy(*keys, has).orderBy(ts).rowsBetween(1 - window, 0)
-    full = F.count("r").over(frame) >= window
-    mean = F.avg("r").over(frame)
-    steady = F.stddev_pop(F.when(r < 0, r).when(has, 0.0)).over(frame)
+def _rolled(frame: Window, window: int) -> dict[str, Column]:
+    """Mean over deviation, and over that of losses, of the last ``window`` returns."""
+    r = F.col("r")
+    full, mean = F.count("r").over(frame) >= window, F.avg("r").over(frame)
+    steady = F.stddev_pop(F.when(r < 0, r).when(r.isNotNull(), 0.0)).over(frame)
     deviation = F.stddev_pop("r").over(frame)
-    rows = rows.withColumns({
-        "roll": F.when(full, mean / F.when(deviation != 0, deviation)),
-        "roll_down": F.when(full, mean / F.when(steady != 0, steady)),
-        "var": F.percentile("r", F.lit(0.05)).over(series.whole()),
-    })
-    t = F.col(ts)
-    sums = rows.groupBy(*keys).agg(
+    return {"roll": F.when(full, mean / F.when(deviation != 0, deviation)), "roll_down": F.when(full, mean / F.when(steady != 0, steady))}
+
+
+def _last_rolled(t: Column) -> list[Column]:
+    return [F.max_by(c, F.when(F.col(c).isNotNull(), t)).alias(c) for c in ("roll", "roll_down")]
+
+
+def _period_sums(ts: str) -> list[Column]:
+    t, r = F.col(ts), F.col("r")
+    return [
         *_drawdown_sums(ts),
         F.count("*").alias("points"),
         F.count("r").alias("n"),
         F.min(t).alias("t_0"),
         F.min_by("e", t).alias("e_0"),
         F.max_by("e", t).alias("e_n"),
-        F.percentile(F.when(F.col("dt") > 0, F.col("dt")), F.lit(0.5)).alias("spacing"),
         F.avg("r").alias("mean"),
         F.stddev_pop("r").alias("std"),
         F.stddev_pop(F.when(r < 0, r)).alias("down"),
@@ -104,9 +134,39 @@ def period_metrics(curve: DataFrame, series: Series, value: str = "equity", *, p
         F.kurtosis("r").alias("g2"),
         F.max("var").alias("var"),
         F.avg(F.when(r <= F.col("var"), r)).alias("cvar"),
-        F.max_by("roll", F.when(F.col("roll").isNotNull(), t)).alias("roll"),
-        F.max_by("roll_down", F.when(F.col("roll_down").isNotNull(), t)).alias("roll_down"),
-    )
+    ]
+
+
+def _sums(rows: DataFrame, series: Series, window: int) -> DataFrame:
+    """What period metrics follow from, a row a series."""
+    keys, ts, has = list(series.keys), series.ts, F.col("r").isNotNull()
+    rows = _drawdown(_returns(rows, ts, series.ordered()), series)
+    # returns are ranked among themselves, so that a row without one takes no place in a frame
+    frame = Window.partitionBy(*keys, has).orderBy(ts).rowsBetween(1 - window, 0)
+    rows = rows.withColumns(_rolled(frame, window) | {"var": F.percentile("r", F.lit(0.05)).over(series.whole())})
+    spacing = F.percentile(F.when(F.col("dt") > 0, F.col("dt")), F.lit(0.5))
+    return rows.groupBy(*keys).agg(*_period_sums(ts), spacing.alias("spacing"), *_last_rolled(F.col(ts)))
+
+
+def _sums_long(rows: DataFrame, series: Series, window: int) -> DataFrame:
+    """``_sums`` without a task that has a whole series."""
+    keys, ts = list(series.keys), series.ts
+    blocks = deal(rows, series)
+    rows = _returns(blocks.with_halo(1), ts, blocks.series.ordered()).where("NOT __halo")
+    returns = deal(rows.where("r IS NOT NULL").select(*keys, ts, "r"), series)
+    frame = returns.series.last_rows(window)
+    rolled = returns.with_halo(window - 1).withColumns(_rolled(frame, window)).where("NOT __halo").groupBy(*keys).agg(*_last_rolled(F.col(ts)))
+    var = grouped_quantile(returns.rows, keys, "r", 0.05, "var")
+    spacing = grouped_quantile(rows.where("dt > 0"), keys, "dt", 0.5, "spacing")
+    rows = _joined(_drawdown_long(blocks, rows, ts), var, keys)
+    out = rows.groupBy(*keys).agg(*_period_sums(ts))
+    return _joined(_joined(out, spacing, keys), rolled, keys)
+
+
+def period_metrics(curve: DataFrame, series: Series, value: str = "equity", *, periods_per_year: float | None = None, calendar: str = "crypto_365", rolling_window: int = 30) -> DataFrame:
+    """Return, risk and drawdown metrics of each equity curve; series without a finite value give no row."""
+    keys, rows = list(series.keys), _finite_rows(curve, series, value)
+    sums = (_sums_long if has_long_series(rows, series) else _sums)(rows, series, max(int(rolling_window), 2))
     days = YEAR_DAYS["trading_252" if calendar == "trading_252" else "crypto_365"]
     default = 365.0 if calendar == "crypto_365" else 252.0
     inferred = F.coalesce(F.greatest(days * 86400 / F.col("spacing"), F.lit(1.0)), F.lit(default))
@@ -149,6 +209,8 @@ def trade_metrics(trades: DataFrame, keys: Sequence[str], *, total_days: Column,
     """Metrics of the trades of each group; ``total_days`` and ``equity_points`` are columns of ``trades``, constant in a group."""
     cash, account, pct = _or_zero(F.col("pnl_cash")), _or_zero(F.col("account_return_pct")) / 100, _or_zero(F.col("pnl_pct"))
     held = F.greatest(seconds_between(F.col("entry_ts"), F.col("exit_ts")) / 86400, F.lit(0.0))
+    long = has_long_series(trades, Series(tuple(keys), "exit_ts"))
+    medians = grouped_quantile(trades.select(*keys, pct.alias("pct")), keys, "pct", 0.5, "median_trade_return") if long else None
     sums = trades.groupBy(*keys).agg(
         F.count("*").alias("num_trades"),
         F.max(F.greatest(total_days.cast("double"), F.lit(1.0))).alias("days"),
@@ -160,7 +222,7 @@ def trade_metrics(trades: DataFrame, keys: Sequence[str], *, total_days: Column,
         F.sum(cash).alias("net_pnl"),
         (F.avg(F.when(account > 0, 1.0).otherwise(0.0)) * 100).alias("win_rate"),
         F.avg(pct).alias("avg_trade_return"),
-        F.percentile(pct, F.lit(0.5)).alias("median_trade_return"),
+        *([] if long else [F.percentile(pct, F.lit(0.5)).alias("median_trade_return")]),
         F.max(pct).alias("best_trade"),
         F.min(pct).alias("worst_trade"),
         F.avg(_or_zero(F.col("bars_held"))).alias("avg_holding_bars"),
@@ -170,6 +232,7 @@ def trade_metrics(trades: DataFrame, keys: Sequence[str], *, total_days: Column,
         F.sum(_or_zero(F.col("fee_cash"))).alias("fee_drag"),
         F.sum(_or_zero(F.col("slippage_cash"))).alias("slippage_drag"),
     )
+    sums = _joined(sums, medians, keys) if long else sums
     per_year = F.col("num_trades") / F.col("days") * 365
     sums = sums.withColumns({
         "trades_per_year": per_year,

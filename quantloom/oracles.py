@@ -184,6 +184,7 @@ ORACLES: dict[str, str] = {
     "w_robust_zscore": f"""WITH {HOURS}, o AS (SELECT symbol, ts, CASE WHEN count(close) OVER {rows(11)} >= 11 THEN close - median(close) OVER {rows(11)} END AS o FROM bars)
       SELECT symbol, ts, round(CASE WHEN count(o) OVER {rows(11)} >= 11 THEN 0.6745::DOUBLE * o / nullif(median(abs(o)) OVER {rows(11)}, 0) END, 6) + 0.0 AS x FROM o""",
     "w_pct_change": transform(f"c / nullif(lag(c, 2) OVER ({OWN}), 0) - 1"),
+    "w_identity": transform("c"),
     "w_sma": transform(f"CASE WHEN count(c) OVER {rows(24)} >= 24 THEN avg(c) OVER {rows(24)} END"),
     "w_ema": f"""WITH RECURSIVE {HOURS}, b AS (SELECT symbol, ts, close AS c, row_number() OVER ({OWN}) AS k FROM bars),
       e AS (SELECT symbol, ts, k, c AS x FROM b WHERE k = 1 UNION ALL SELECT b.symbol, b.ts, b.k, e.x * (1 - 2::DOUBLE / 21) + b.c * 2::DOUBLE / 21 FROM e JOIN b ON b.symbol = e.symbol AND b.k = e.k + 1)

@@ -20,6 +20,8 @@ from .sources.market import bars_from_events, load_ohlc, load_signal
 from .streaming.live import live_order_ratios, live_slippage
 
 SERIES = Series()
+#: Taken for too long for a task, whatever their size, so that blocks are used.
+LONG = Series(long=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +49,10 @@ def significant(value: Column, digits: int = 9) -> Column:
     return F.when(value == 0, 0.0).otherwise(F.round(value / unit) * unit)
 
 
-def transform_query(name: str, **options: object) -> Callable[[SparkSession, str], DataFrame]:
+def transform_query(name: str, series: Series = SERIES, **options: object) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = bars(spark, sf_dir).select("symbol", "ts", F.col("close").alias("x"))
-        return rounded(apply_transform(own, name, "x", SERIES, **options))
+        return rounded(apply_transform(own, name, "x", series, **options))
 
     return query
 
@@ -103,13 +105,21 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.withColumn("off", off).select("symbol", "ts", (F.lit(1e8) + F.sum("off").over(SERIES.running())).alias("equity"))
 
 
-def period_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.period_metrics(curves(spark, sf_dir), SERIES).drop("max_drawdown_start", "max_drawdown_end", "max_drawdown_recovery")
+def period_metrics(spark: SparkSession, sf_dir: str, series: Series = SERIES) -> DataFrame:
+    out = metrics.period_metrics(curves(spark, sf_dir), series).drop("max_drawdown_start", "max_drawdown_end", "max_drawdown_recovery")
     return rounded(out, 4)
 
 
-def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.drawdowns(curves(spark, sf_dir), SERIES), 4)
+def drawdown(spark: SparkSession, sf_dir: str, series: Series = SERIES) -> DataFrame:
+    return rounded(metrics.drawdowns(curves(spark, sf_dir), series), 4)
+
+
+def period_metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_metrics(spark, sf_dir, LONG)
+
+
+def drawdown_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawdown(spark, sf_dir, LONG)
 
 
 def backtest(spark: SparkSession, sf_dir: str) -> Backtest:
@@ -403,6 +413,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "w_pct_change": transform_query("pct_change", periods=2),
     "w_sma": transform_query("sma", window=24),
     "w_ema": transform_query("ema", span=20),
+    "w_zscore_long": transform_query("zscore", LONG, window=20),
+    "w_minmax_long": transform_query("minmax", LONG),
+    "w_robust_zscore_long": transform_query("robust_zscore", LONG, window=11),
+    "w_pct_change_long": transform_query("pct_change", LONG, periods=2),
+    "w_sma_long": transform_query("sma", LONG, window=24),
+    "w_ema_long": transform_query("ema", LONG, span=20),
+    "w_identity": transform_query("identity"),
     "w_composed": composed,
     "w_sliced": sliced,
     "p_conditions": conditions,
@@ -414,6 +431,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j_full_outer": full_outer,
     "a_period_metrics": period_metrics,
     "a_drawdown": drawdown,
+    "a_period_metrics_long": period_metrics_long,
+    "a_drawdown_long": drawdown_long,
     "a_trade_metrics": trade_metrics,
     "d_backtest_trades": backtest_trades,
     "d_backtest_equity": backtest_equity,
@@ -452,5 +471,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = PLAIN_ORACLES | PLAN_ORACLES
+#: The same rows, by blocks.
+ORACLES |= {name: ORACLES[name.removesuffix("_long")] for name in QUERIES if name.endswith("_long")}
 
 __all__ = ["ORACLES", "QUERIES", "Result", "flagship"]

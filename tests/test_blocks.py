@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import blocks
-from quantloom.functions.blocks import AT, BLOCK, deal, has_long_series, in_blocks
+from quantloom.functions.blocks import AT, BLOCK, deal, grouped_quantile, has_long_series, in_blocks
 from quantloom.functions.series import Series
 from quantloom.functions.transforms import apply_transform, apply_transforms
+from quantloom.operators import metrics
 
 START = datetime(2024, 1, 1)
 
@@ -122,3 +123,36 @@ def test_empty(spark, gaps, long):
     none = gaps.where("1 = 0")
     assert in_blocks(none, Series(), 5, lambda rows, own: rows).count() == 0
     assert deal(none, Series()).borders == ()
+
+
+@pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 1.0])
+def test_grouped_quantile(spark, gaps, long, q):
+    skewed = gaps.withColumn("x", F.when(F.hour("ts") % 3 == 0, 7.0).otherwise(F.col("x")))
+    found = {r["symbol"]: r["x"] for r in grouped_quantile(skewed, ["symbol"], "x", q, "x").collect()}
+    want = skewed.where("x IS NOT NULL").groupBy("symbol").agg(F.percentile("x", F.lit(q)).alias("x")).collect()
+    assert found == pytest.approx({r["symbol"]: r["x"] for r in want})
+
+
+def test_metrics_of_long_curves(spark, gaps, monkeypatch):
+    curve = gaps.withColumnRenamed("x", "equity").where("symbol IS NULL OR symbol <> 'e'")
+    rows = lambda f: {r["symbol"]: r.asDict() for r in f(curve, Series()).collect()}
+    want = [rows(f) for f in (metrics.drawdowns, metrics.period_metrics)]
+    monkeypatch.setattr(blocks, "SMALL_BYTES", -1)
+    monkeypatch.setattr(blocks, "LONG_ROWS", 10)
+    for f, own in zip((metrics.drawdowns, metrics.period_metrics), want):
+        found = rows(f)
+        assert found.keys() == own.keys()
+        for k in own:
+            for name, value in own[k].items():
+                assert found[k][name] == (pytest.approx(value, rel=1e-9, abs=1e-9) if isinstance(value, float) else value), (k, name)
+
+
+def test_metrics_of_many_trades(spark, gaps, monkeypatch):
+    trades = gaps.where("x IS NOT NULL").select("symbol", F.col("ts").alias("entry_ts"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("exit_ts"), (F.col("x") - 50).alias("pnl_pct"))
+    trades = trades.withColumns({c: F.col("pnl_pct") / 7 for c in ("pnl_cash", "account_return_pct")} | {c: F.lit(1.0) for c in ("bars_held", "allocated_capital", "fee_cash", "slippage_cash")})
+    rows = lambda: {r["symbol"]: r.asDict() for r in metrics.trade_metrics(trades, ["symbol"], total_days=F.lit(30.0)).collect()}
+    want = rows()
+    monkeypatch.setattr(blocks, "SMALL_BYTES", -1)
+    monkeypatch.setattr(blocks, "LONG_ROWS", 10)
+    found = rows()
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(v) for k, v in want.items())

@@ -130,6 +130,14 @@ class Blocks:
 
         return add
 
+    def marked_unless_last(self, rows: DataFrame, name: str) -> DataFrame:
+        """Adds ``name``: whether a row's series goes on behind its block."""
+        going = [(*(r[k] for k in (*self.keys, BLOCK)), True) for chain in self._chains() for r in chain[:-1]]
+        if not going:
+            return rows.withColumn(name, F.lit(False))
+        joined = rows.join(self._table(going, f"`{name}` boolean"), self._same(), "left").drop(*(f"b_{k}" for k in (*self.keys, BLOCK)))
+        return joined.withColumn(name, F.coalesce(name, F.lit(False)))
+
     def running(self, rows: DataFrame, name: str, value: Column, kind: str) -> DataFrame:
         """Adds ``name``, the running ``max``, ``sum``, ``product`` or ``last`` known value of a double, over whole series."""
         total, over, both, merge = RUNNING[kind]
@@ -161,6 +169,12 @@ RUNNING: dict[str, tuple] = {
 }
 
 
+def joined(rows: DataFrame, own: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``rows`` with the columns of ``own``, which has one row a value of ``keys`` at most; null keys meet."""
+    same = reduce(Column.__and__, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
+    return rows.alias("l").join(own.alias("r"), same, how).select("l.*", *(F.col(f"r.{c}") for c in own.columns if c not in keys))
+
+
 def deal(df: DataFrame, series: Series) -> Blocks:
     """``df`` by ranges of series and time, written once to the shared folder.
 
@@ -188,9 +202,8 @@ def grouped_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, n
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").cast("double").alias("n"))
     blocks = deal(counts, Series(tuple(keys), "v"))
     rows = blocks.running(blocks.rows, "upto", F.col("n"), "sum")
-    same = reduce(Column.__and__, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
     totals = blocks.rows.groupBy(*keys).agg(((F.sum("n") - 1) * q).alias("place"))
-    found = rows.alias("l").join(totals.alias("r"), same).select("l.*", "place").where(F.col("upto") > F.floor("place"))
+    found = joined(rows, totals, keys).where(F.col("upto") > F.floor("place"))
     ends = [F.min(F.when(F.col("upto") > f("place"), F.col("v"))).alias(n) for n, f in (("low", F.floor), ("high", F.ceil))]
     out = found.groupBy(*keys).agg(*ends, F.max(F.col("place") - F.floor("place")).alias("part"))
     return out.select(*keys, (F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).alias(name))

@@ -13,7 +13,13 @@ from .series import Series, scan
 
 
 class Condition:
-    """A plug-in condition defines ``column``; it must be hashable, so that equal ones are computed once."""
+    """A plug-in condition defines ``column``; it must be hashable, so that equal ones are computed once.
+
+    ``lookback`` is the number of rows before its own that a hit depends on, if that is bounded; a condition
+    that doesn't tell sees whole series.
+    """
+
+    lookback: int | None = None
 
     def column(self, signal: Column, series: Series) -> Column:
         raise NotImplementedError
@@ -78,6 +84,7 @@ def _hit(signal: Column, level: float, inclusive: bool, up: bool) -> Column:
 
 @dataclass(frozen=True)
 class Above(Condition):
+    lookback = 0
     level: float
     inclusive: bool = True
 
@@ -87,6 +94,7 @@ class Above(Condition):
 
 @dataclass(frozen=True)
 class Below(Condition):
+    lookback = 0
     level: float
     inclusive: bool = True
 
@@ -104,6 +112,7 @@ def _crossed(signal: Column, series: Series, level: float, inclusive: bool, firs
 
 @dataclass(frozen=True)
 class CrossAbove(Condition):
+    lookback = 1
     level: float
     inclusive: bool = True
     trigger_on_first_bar: bool = True
@@ -114,6 +123,7 @@ class CrossAbove(Condition):
 
 @dataclass(frozen=True)
 class CrossBelow(Condition):
+    lookback = 1
     level: float
     inclusive: bool = True
     trigger_on_first_bar: bool = True

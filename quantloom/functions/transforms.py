@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .blocks import AT, BLOCK, deal, has_long_series, in_blocks
+from .blocks import AT, BLOCK, deal, has_long_series, in_blocks, joined
 from .series import Series, number, scan
 
 Transform = Callable[..., DataFrame]
@@ -102,8 +102,7 @@ def _minmax_long(df: DataFrame, column: str, series: Series, window: int | None
         return in_blocks(df, series, window - 1, lambda rows, own: minmax(rows, column, own, window))
     x, keys = number(column), list(series.keys)
     ends = df.groupBy(*keys).agg(F.min(x).alias("__low"), F.max(x).alias("__high"))
-    same = reduce(lambda a, b: a & b, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
-    rows = df.alias("l").join(ends.alias("r"), same, "left").select("l.*", "__low", "__high")
+    rows = joined(df, ends, keys)
     return rows.withColumn(column, (x - F.col("__low")) / _nonzero(F.col("__high") - F.col("__low"))).drop("__low", "__high")
 
 
@@ -167,11 +166,13 @@ def _ema_long(df: DataFrame, column: str, series: Series, span: int = 20, adjust
 
     kinds = ", ".join(f"`{k}` {blocks.rows.schema[k].dataType.simpleString()}" for k in keys)
     maps = scan(blocks.spanning(blocks.rows), blocks.series, step, f"{kinds}, {', '.join(f'{n} double' for n in _EMA_MAP)}")
-    fresh = 1.0 if adjust else 1 - decay
+    fresh, gaps = 1.0 if adjust else 1 - decay, set()
 
     def merge(state: tuple[float | None, float] | None, row) -> tuple[float | None, float]:
         value, weight = state or (None, 1.0)
         lead, first, slope, shift, after, reach, tail = (row[n] for n in _EMA_MAP)
+        if value is not None and lead:
+            gaps.add(row[BLOCK])
         if first is None:
             return value, weight * decay**lead if value is not None else weight
         if value is None:
@@ -185,9 +186,11 @@ def _ema_long(df: DataFrame, column: str, series: Series, span: int = 20, adjust
             return (weight * decay**reach * start + shift) / total, total * decay**tail
         return slope * start + shift, decay**tail
 
-    rows = blocks.carried(maps, merge, ["__value", "__weight"], "double, double")(blocks.rows)
+    rows = blocks.carried(maps, merge, ["__value", "__weight"], "double, double")(blocks.rows.withColumn("__known", F.col(column).isNotNull()))
     out = _ema_scan(rows, column, blocks.series, span, adjust, carried=True)
-    return out.drop("__value", "__weight", BLOCK, AT)
+    if gaps:  # a gap over a border repeats the very value before it, which a map gives to its last digits but one
+        out = blocks.running(out, column, F.when(F.col("__known"), F.col(column)), "last")
+    return out.select(*df.columns)
 
 
 #: A block as a map from the average at its first known value to that at its last, ``slope * average + shift``: rows before the

@@ -3,27 +3,29 @@
 Transforms and conditions are window expressions, computed once for each distinct signal pipeline and
 condition. The fold is a scan over each series; it jumps from one entry or exit to the next, so its
 Python work follows the number of trades and the bars between them are handled by numpy. Bars are
-dealt out once per signal pipeline and group of strategies, not once per strategy.
+dealt out once per signal pipeline and group of strategies, not once per strategy. A long series is
+folded in blocks, each from the state that ``speculation`` finds it begins in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.blocks import AT, BLOCK, HALO, Blocks, deal, has_long_series, joined
 from ..functions.conditions import Condition, mask
 from ..functions.series import Series, number, scan
 from ..functions.transforms import apply_transforms
+from .fold import Fold, Risk
+from .speculation import entry_states
 
 #: Strategies that one task folds over the same bars.
 GROUP = 32
-#: Bars in the first look for an exit; each further look takes twice as many.
-LOOK = 64
 SIDES = ("long_entry", "short_entry", "long_exit", "short_exit")
 TRADE = (
     "entry_ts timestamp_ntz, exit_ts timestamp_ntz, side string, entry_price double, exit_price double, entry_idx bigint, exit_idx bigint, bars_held bigint, "
@@ -32,18 +34,6 @@ TRADE = (
 )
 
 
-@dataclass(frozen=True)
-class Risk:
-    """Sizes and costs are fractions; take-profit and stop-loss are percent, a stop-loss negative."""
-
-    position_size_pct: float = 0.10
-    fee_pct: float = 0.0
-    slippage_pct: float = 0.0
-    take_profit_pct: float | None = None
-    stop_loss_pct: float | None = None
-    allow_same_bar_reentry: bool = False
-
-
 @dataclass(frozen=True)
 class Strategy:
     """What to simulate: a signal pipeline of ``(transform, options)``, conditions, risk rules and named parameters."""
@@ -62,6 +52,9 @@ class Strategy:
         parts = [self.name, *(f"{k}-{'NONE' if v is None else v}" for k, v in self.params)]
         return "__".join(parts).replace(" ", "_")
 
+    def conditions(self) -> list[Condition]:
+        return [c for c in (getattr(self, side) for side in SIDES) if c is not None]
+
     def with_params(self, **params: object) -> Strategy:
         return replace(self, params=tuple({**dict(self.params), **params}.items()))
 
@@ -80,97 +73,6 @@ def prepare(bars: DataFrame, transforms: Sequence[tuple[str, Sequence[tuple[str,
     return out.dropna(subset=["signal", "close", "open", "high", "low"])
 
 
-class _Fold:
-    """State of one strategy over one series, carried from batch to batch."""
-
-    def __init__(self, risk: Risk, capital: float) -> None:
-        self.risk, self.cash, self.side = risk, capital, 0
-        self.price = self.units = self.allocated = self.signal = 0.0
-        self.at, self.ts = 0, None
-
-    def _levels(self) -> tuple[float | None, float | None]:
-        stop, take, s = self.risk.stop_loss_pct, self.risk.take_profit_pct, self.side
-        return (None if stop is None else self.price * (1 + s * stop / 100), None if take is None else self.price * (1 + s * take / 100))
-
-    def _exits(self, b: dict, lo: int, hi: int) -> int | None:
-        """The first bar of ``[lo, hi)`` with an exit."""
-        stop, take = self._levels()
-        bad, good = (b["low"], b["high"]) if self.side > 0 else (b["high"], b["low"])
-        hit = b["long_exit" if self.side > 0 else "short_exit"][lo:hi].copy()
-        if stop is not None:
-            hit |= (bad[lo:hi] <= stop) if self.side > 0 else (bad[lo:hi] >= stop)
-        if take is not None:
-            hit |= (good[lo:hi] >= take) if self.side > 0 else (good[lo:hi] <= take)
-        at = hit.argmax() if len(hit) else 0
-        return lo + int(at) if len(hit) and hit[at] else None
-
-    def _close(self, b: dict, k: int, forced: bool) -> dict:
-        stop, take = self._levels()
-        price, reason = float(b["close"][k]), "forced_end" if forced else "signal_exit"
-        if not forced:
-            bad, good = (b["low"][k], b["high"][k]) if self.side > 0 else (b["high"][k], b["low"][k])
-            if stop is not None and self.side * (bad - stop) <= 0:
-                price, reason = stop, "stop_loss"
-            elif take is not None and self.side * (good - take) >= 0:
-                price, reason = take, "take_profit"
-        fee, slip = self.allocated * self.risk.fee_pct, self.allocated * self.risk.slippage_pct
-        pnl = self.units * (price - self.price) * self.side - fee - slip
-        trade = {
-            "entry_ts": self.ts, "exit_ts": b["ts"][k].as_py(), "side": "LONG" if self.side > 0 else "SHORT", "entry_price": self.price, "exit_price": price,
-            "entry_idx": self.at, "exit_idx": b["base"] + k, "bars_held": b["base"] + k - self.at, "position_size_pct": self.risk.position_size_pct,
-            "allocated_capital": self.allocated, "units": self.units, "pnl_pct": pnl / self.allocated * 100 if self.allocated > 0 else 0.0, "pnl_cash": pnl,
-            "account_return_pct": pnl / self.cash * 100 if self.cash > 0 else 0.0, "fee_cash": 2 * fee, "slippage_cash": 2 * slip,
-            "entry_signal": self.signal, "exit_signal": float(b["signal"][k]), "exit_reason": reason,
-        }
-        self.cash += pnl
-        self.side = 0
-        return trade
-
-    def _open(self, b: dict, k: int) -> None:
-        self.side = 1 if b["long_entry"][k] else -1
-        self.price, self.signal, self.at, self.ts = float(b["close"][k]), float(b["signal"][k]), b["base"] + k, b["ts"][k].as_py()
-        self.allocated = self.cash * self.risk.position_size_pct
-        self.units = self.allocated / self.price if self.price > 0 else 0.0
-        self.cash -= self.allocated * (self.risk.fee_pct + self.risk.slippage_pct)
-
-    def run(self, b: dict, final: bool) -> tuple[np.ndarray, np.ndarray, list[list[dict] | None]]:
-        """Equity and position after each bar, and the trades that close on it."""
-        n = len(b["close"])
-        equity, position = np.empty(n), np.zeros(n, np.int32)
-        trades: list[list[dict] | None] = [None] * n
-        entries = np.flatnonzero(b["long_entry"] | b["short_entry"])
-        k = 0
-        while k < n:
-            if not self.side:
-                at = np.searchsorted(entries, k)
-                to = int(entries[at]) if at < len(entries) else n
-                equity[k:to] = self.cash
-                if to == n:
-                    break
-                self._open(b, to)
-                equity[to], position[to] = self.cash, self.side
-                k = to + 1
-                continue
-            look, start, found = LOOK, k, None
-            while start < n and found is None:
-                found, start, look = self._exits(b, start, min(start + look, n)), start + look, 2 * look
-            to = n if found is None else found
-            value = self.units * (b["close"][k:to] - self.price) * self.side if self.price > 0 else 0.0
-            equity[k:to], position[k:to] = self.cash + value, self.side
-            if found is None:
-                break
-            trades[to] = [self._close(b, to, False)]
-            equity[to] = self.cash
-            if self.risk.allow_same_bar_reentry and (b["long_entry"][to] or b["short_entry"][to]):
-                self._open(b, to)
-                equity[to], position[to] = self.cash, self.side
-            k = to + 1
-        if final and self.side:
-            trades[n - 1] = [*(trades[n - 1] or []), self._close(b, n - 1, True)]
-            equity[n - 1] = self.cash
-        return equity, position, trades
-
-
 def simulate(bars: DataFrame, strategies: Sequence[Strategy], series: Series = Series(), capital: float = 100.0) -> DataFrame:
     """A row for each strategy and bar: keys, ``strategy_id``, ts, ``idx``, prices, signal, ``equity``, ``position``, ``trades``.
 
@@ -183,44 +85,124 @@ def simulate(bars: DataFrame, strategies: Sequence[Strategy], series: Series = S
     pipelines: dict[tuple, list[Strategy]] = {}
     for s in strategies:
         pipelines.setdefault(s.transforms, []).append(s)
-    conditions = list(dict.fromkeys(c for s in strategies for c in (getattr(s, side) for side in SIDES) if c is not None))
     groups = [own[k : k + GROUP] for own in pipelines.values() for k in range(0, len(own), GROUP)]
-    parts = []
-    for transforms, own in pipelines.items():
-        used = {c for s in own for c in (getattr(s, side) for side in SIDES) if c is not None}
-        hits = F.array(*(mask(c if c in used else None, F.col("signal"), series) for c in conditions)) if conditions else F.array().cast("array<boolean>")
-        ready = prepare(bars, transforms, series)
+    plan = _Plan(list(pipelines), groups, list(dict.fromkeys(c for s in strategies for c in s.conditions())), series, capital)
+    return plan.in_blocks(bars) if has_long_series(bars, series) else plan.whole(bars)
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """Strategies dealt to groups of one signal pipeline each, and the conditions that any of them uses."""
+
+    pipelines: list[tuple]
+    groups: list[list[Strategy]]
+    conditions: list[Condition]
+    series: Series
+    capital: float
+
+    def used(self, transforms: tuple) -> set[Condition]:
+        return {c for own in self.groups for s in own if s.transforms == transforms for c in s.conditions()}
+
+    def with_hits(self, ready: DataFrame, transforms: tuple, series: Series) -> DataFrame:
+        """Adds ``hits``, an entry a condition."""
+        used = self.used(transforms)
+        hits = F.array(*(mask(c if c in used else None, F.col("signal"), series) for c in self.conditions)) if self.conditions else F.array().cast("array<boolean>")
+        names = ready.columns
         for c in used:
             ready = c.added(ready, "signal", series)
-        first = F.first("benchmark").over(series.running())
-        ready = ready.withColumns({"hits": hits, "benchmark_equity": F.col("benchmark") / F.when(first != 0, first) * capital})
-        numbers = [g for g, members in enumerate(groups) if members[0].transforms == transforms]
-        parts.append(ready.withColumn("group", F.explode(F.array(*map(F.lit, numbers)))))
-    rows = reduce(DataFrame.unionByName, parts)
-    dealt = Series((*series.keys, "group"), series.ts)
-    place = {c: i for i, c in enumerate(conditions)}
-    keys, ts = list(series.keys), series.ts
-    shown = [*keys, ts, "close", "signal", "benchmark", "benchmark_equity"]
-
-    def step(state: tuple[int, dict[str, _Fold]] | None, part: pa.Table, final: bool):
-        members = groups[part.column("group")[0].as_py()]
-        base, folds = state or (0, {s.strategy_id: _Fold(s.risk, capital) for s in members})
-        n = part.num_rows
-        hits = part.column("hits").combine_chunks()
-        hits = hits.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-        bars = {c: part.column(c).to_numpy() for c in ("high", "low", "close", "signal")} | {"ts": part.column(ts), "base": base}
-        never, out = np.zeros(n, bool), []
-        for s in members:
-            own = bars | {side: never if (c := getattr(s, side)) is None else hits[:, place[c]].astype(bool) for side in SIDES}
-            equity, position, trades = folds[s.strategy_id].run(own, final)
-            columns = [*(part.column(c) for c in shown), pa.array([s.strategy_id] * n), pa.array(np.arange(base, base + n)), pa.array(equity), pa.array(position)]
-            table = pa.table(columns, names=[*shown, "strategy_id", "idx", "equity", "position"])
-            out.append(table.append_column("trades", pa.array(trades, _trades_type())))
-        return (base + n, folds), pa.concat_tables(out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in shown), "strategy_id string", "idx bigint", "equity double", "position int", f"trades array<struct<{TRADE.replace(' ', ':').replace(',:', ',')}>>"])
-    return scan(rows, dealt, step, schema)
+        return ready.select(*names, hits.alias("hits"))
+
+    def with_groups(self, ready: DataFrame, transforms: tuple, first: Column) -> DataFrame:
+        """Adds ``benchmark_equity`` and a row for each group of the pipeline; ``first`` is a series' first benchmark."""
+        numbers = [g for g, members in enumerate(self.groups) if members[0].transforms == transforms]
+        rebased = F.col("benchmark") / F.when(first != 0, first) * self.capital
+        return ready.withColumns({"benchmark_equity": rebased, "group": F.explode(F.array(*map(F.lit, numbers)))})
+
+    def whole(self, bars: DataFrame) -> DataFrame:
+        """Each series in one task."""
+        parts = []
+        for transforms in self.pipelines:
+            ready = self.with_hits(prepare(bars, transforms, self.series), transforms, self.series)
+            parts.append(self.with_groups(ready, transforms, F.first("benchmark").over(self.series.running())))
+        return self.folded(reduce(DataFrame.unionByName, parts), Series((*self.series.keys, "group"), self.series.ts))
+
+    def in_blocks(self, bars: DataFrame) -> DataFrame:
+        """Long series in many tasks: bars are prepared and dealt to blocks, which are folded twice.
+
+        The first pass tells how a block ends for every state it can begin in, a chain of one row a block then
+        picks the state, and the second pass folds from it.
+        """
+        keys, lookback = list(self.series.keys), [c.lookback for c in self.conditions]
+        early = None in lookback  # a condition that may look back without bound sees whole series
+        parts = []
+        for p, transforms in enumerate(self.pipelines):
+            ready = prepare(bars, transforms, self.series).withColumn("pipeline", F.lit(p))
+            parts.append(self.with_hits(ready, transforms, self.series) if early else ready)
+        blocks = deal(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), Series((*keys, "pipeline"), self.series.ts))
+        rows = blocks.with_halo(0 if early else max([0, *lookback]))
+        firsts = blocks.rows.groupBy(*blocks.keys).agg(F.min_by("benchmark", AT).alias("first_benchmark"))
+        dealt = []
+        for p, transforms in enumerate(self.pipelines):
+            own = rows.where(F.col("pipeline") == p)
+            own = (own if early else self.with_hits(own, transforms, blocks.series)).where(~F.col(HALO))
+            dealt.append(self.with_groups(joined(own, firsts, blocks.keys), transforms, F.col("first_benchmark")))
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dealt).select(*keys, self.series.ts, "close", "high", "low", "signal", "benchmark", "benchmark_equity", "hits", "pipeline", "group", BLOCK, AT)
+        rows = self._with_states(blocks, rows)
+        return self.folded(rows, Series((*keys, "group", BLOCK), AT))
+
+    def _with_states(self, blocks: Blocks, rows: DataFrame) -> DataFrame:
+        """Adds, at blocks behind a border, ``offset`` bars before, ``goes_on`` unless the series ends there, and on their first rows the ``states`` of the group's strategies."""
+        counts = blocks.rows.groupBy(*blocks.keys, BLOCK).agg(F.count("*").alias("n"))
+        rows = blocks.carried(counts, lambda state, row: ((state[0] if state else 0) + row["n"],), ["offset"], "bigint")(rows)
+        rows = blocks.marked_unless_last(rows, "goes_on")
+        if not blocks.borders:
+            return rows.withColumn("states", F.lit(None).cast("array<struct<s:int>>"))
+        keys = [*self.series.keys, "group"]
+        states = entry_states(blocks.spanning(rows), Series((*keys, BLOCK), AT), [[s.risk for s in own] for own in self.groups], self.reader(), self.capital)
+        return joined(rows, states, (*keys, AT))
+
+    def reader(self) -> Callable[[pa.Table, int], list[dict]]:
+        """What turns a table of bars to arrays with the hits of each strategy of its group; it carries no condition to the tasks."""
+        place, ts = {c: i for i, c in enumerate(self.conditions)}, self.series.ts
+        sides = [[{side: None if (c := getattr(s, side)) is None else place[c] for side in SIDES} for s in own] for own in self.groups]
+
+        def read(part: pa.Table, base: int) -> list[dict]:
+            n = part.num_rows
+            hits = part.column("hits").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            never = np.zeros(n, bool)
+            bars = {c: part.column(c).to_numpy() for c in ("high", "low", "close", "signal")} | {"ts": part.column(ts), "base": base}
+            return [bars | {side: never if at is None else hits[:, at].astype(bool) for side, at in own.items()} for own in sides[part.column("group")[0].as_py()]]
+
+        return read
+
+    def folded(self, rows: DataFrame, dealt: Series) -> DataFrame:
+        """The fold of each group over ``dealt`` series, from ``states`` where there are such."""
+        keys, ts = list(self.series.keys), self.series.ts
+        shown = [*keys, ts, "close", "signal", "benchmark", "benchmark_equity"]
+        blocked, read, capital = "states" in rows.columns, self.reader(), self.capital
+        members = [[(s.strategy_id, s.risk) for s in own] for own in self.groups]
+
+        def begun(part: pa.Table) -> tuple[int, list[Fold]]:
+            offset, states = (part.column(c)[0].as_py() for c in ("offset", "states")) if blocked else (0, None)
+            folds = [Fold(risk, capital) for _, risk in members[part.column("group")[0].as_py()]]
+            for fold, state in zip(folds, states or ()):
+                fold.resume(state)
+            return offset or 0, folds
+
+        def step(state: tuple[int, list[Fold]] | None, part: pa.Table, final: bool):
+            base, folds = state or begun(part)
+            final = final and not (blocked and part.column("goes_on")[0].as_py())
+            n, out = part.num_rows, []
+            for (name, _), fold, own in zip(members[part.column("group")[0].as_py()], folds, read(part, base)):
+                equity, position, trades = fold.run(own, final)
+                columns = [*(part.column(c) for c in shown), pa.array([name] * n), pa.array(np.arange(base, base + n)), pa.array(equity), pa.array(position)]
+                table = pa.table(columns, names=[*shown, "strategy_id", "idx", "equity", "position"])
+                out.append(table.append_column("trades", pa.array(trades, _trades_type())))
+            return (base + n, folds), pa.concat_tables(out)
+
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in shown), "strategy_id string", "idx bigint", "equity double", "position int", f"trades array<struct<{TRADE.replace(' ', ':').replace(',:', ',')}>>"])
+        return scan(rows, dealt, step, schema)
 
 
 def _trades_type() -> pa.DataType:

@@ -9,11 +9,10 @@ that are merged, so no task has a whole curve.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.blocks import Blocks, deal, grouped_quantile, has_long_series
+from ..functions.blocks import Blocks, deal, grouped_quantile, has_long_series, joined
 from ..functions.series import Series, finite, seconds_between
 
 EPS = 1e-12
@@ -59,16 +58,10 @@ def _drawdown(rows: DataFrame, series: Series) -> DataFrame:
     return rows.withColumn("low", _low(series.ts).over(series.whole()))
 
 
-def _joined(rows: DataFrame, own: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``rows`` with a row a series of ``own``; null keys meet."""
-    same = reduce(Column.__and__, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
-    return rows.alias("l").join(own.alias("r"), same, "left").select("l.*", *(F.col(f"r.{c}") for c in own.columns if c not in keys))
-
-
 def _drawdown_long(blocks: Blocks, rows: DataFrame, ts: str) -> DataFrame:
     """``_drawdown`` with the peaks of blocks carried over their borders and the lows merged."""
     rows = blocks.running(rows, "peak", F.col("e"), "max").withColumn("dd", _depth())
-    return _joined(rows, rows.groupBy(*blocks.keys).agg(_low(ts).alias("low")), blocks.keys)
+    return joined(rows, rows.groupBy(*blocks.keys).agg(_low(ts).alias("low")), blocks.keys)
 
 
 def _drawdown_sums(ts: str) -> list[Column]:
@@ -158,9 +151,9 @@ def _sums_long(rows: DataFrame, series: Series, window: int) -> DataFrame:
     rolled = returns.with_halo(window - 1).withColumns(_rolled(frame, window)).where("NOT __halo").groupBy(*keys).agg(*_last_rolled(F.col(ts)))
     var = grouped_quantile(returns.rows, keys, "r", 0.05, "var")
     spacing = grouped_quantile(rows.where("dt > 0"), keys, "dt", 0.5, "spacing")
-    rows = _joined(_drawdown_long(blocks, rows, ts), var, keys)
+    rows = joined(_drawdown_long(blocks, rows, ts), var, keys)
     out = rows.groupBy(*keys).agg(*_period_sums(ts))
-    return _joined(_joined(out, spacing, keys), rolled, keys)
+    return joined(joined(out, spacing, keys), rolled, keys)
 
 
 def period_metrics(curve: DataFrame, series: Series, value: str = "equity", *, periods_per_year: float | None = None, calendar: str = "crypto_365", rolling_window: int = 30) -> DataFrame:
@@ -232,7 +225,7 @@ def trade_metrics(trades: DataFrame, keys: Sequence[str], *, total_days: Column,
         F.sum(_or_zero(F.col("fee_cash"))).alias("fee_drag"),
         F.sum(_or_zero(F.col("slippage_cash"))).alias("slippage_drag"),
     )
-    sums = _joined(sums, medians, keys) if long else sums
+    sums = joined(sums, medians, keys) if long else sums
     per_year = F.col("num_trades") / F.col("days") * 365
     sums = sums.withColumns({
         "trades_per_year": per_year,

@@ -77,7 +77,7 @@ class Result:
 
     @property
     def keyed(self) -> Series:
-        return Series((*self.series.keys, "strategy_id"), self.series.ts)
+        return Series((*self.series.keys, "strategy_id"), self.series.ts, self.series.long)
 
     @property
     def equity(self) -> DataFrame:

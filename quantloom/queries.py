@@ -122,18 +122,26 @@ def drawdown_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawdown(spark, sf_dir, LONG)
 
 
-def backtest(spark: SparkSession, sf_dir: str) -> Backtest:
-    plan = new(bars(spark, sf_dir)).named("zscore").norm("zscore", window=20)
+def backtest(spark: SparkSession, sf_dir: str, series: Series = SERIES) -> Backtest:
+    plan = new(bars(spark, sf_dir), series=series).named("zscore").norm("zscore", window=20)
     plan = plan.entry(long=cond.cross_above(1.0), short=cond.cross_below(-1.0)).exit(long=cond.cross_below(0.0), short=cond.cross_above(0.0))
     return plan.risk(position_size_pct=0.05, fee_pct=0.001, slippage_pct=0.0005, take_profit_pct=40.0, stop_loss_pct=-30.0)
 
 
-def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(trade_report(backtest(spark, sf_dir).run().trades), 10)
+def backtest_trades(spark: SparkSession, sf_dir: str, series: Series = SERIES) -> DataFrame:
+    return rounded(trade_report(backtest(spark, sf_dir, series).run().trades), 10)
 
 
-def backtest_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(backtest(spark, sf_dir).run().equity.select("symbol", "ts", "idx", "equity", "position", "benchmark_equity"), 4)
+def backtest_trades_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest_trades(spark, sf_dir, LONG)
+
+
+def backtest_equity_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest_equity(spark, sf_dir, LONG)
+
+
+def backtest_equity(spark: SparkSession, sf_dir: str, series: Series = SERIES) -> DataFrame:
+    return rounded(backtest(spark, sf_dir, series).run().equity.select("symbol", "ts", "idx", "equity", "position", "benchmark_equity"), 4)
 
 
 def backtest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,6 +444,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a_trade_metrics": trade_metrics,
     "d_backtest_trades": backtest_trades,
     "d_backtest_equity": backtest_equity,
+    "d_backtest_trades_long": backtest_trades_long,
+    "d_backtest_equity_long": backtest_equity_long,
     "d_backtest_metrics": backtest_metrics,
     "d_sweep_rank": sweep_rank,
     "d_research_split": research_split,

@@ -2,23 +2,33 @@
 
 Prices and targets stay long, ``(ts, symbol)``, filled forward over a dense grid: a row for each time and
 symbol is the result. With ``keys`` each portfolio is apart. Without fees equity is a running product of
-sums over symbols (``closed_form_equity``). With fees what is traded at a bar depends on the equity before
-it, so equity is a scan: a task walks one portfolio bar by bar, an array of its symbols at a time, and
-portfolios are what runs in parallel. Positions, profits and fees follow by joins and windows.
+sums over symbols (``closed_form_equity``).
+
+With fees what is traded at a bar depends on the growth of equity up to it. With ``a`` a symbol's weight now,
+``b`` its last weight times its price's growth, and ``g`` the growth of equity, that is the sum over symbols of
+``|a g - b|`` times the equity before: piecewise linear in ``g``, with breaks at ``b / a``. Gains alone give ``g``
+but for the last bar's fee, which is small; so nearly all breaks lie outside the range that ``g`` can have, and
+each bar comes down to a slope, a constant and the few breaks inside. A scan of one such row a bar finds the
+equity. Ranges are proven bounds; where equity can come near zero they are infinite, and all breaks are kept.
+Positions, profits and fees follow by joins and windows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions.blocks import deal, has_long_series, joined
 from ..functions.series import Series, finite, scan
+from ..sources.shared import stored
 from .metrics import EPS, period_metrics
 
 _SCHEMA = "pre_equity double, equity double, cash double, gross_exposure double, net_exposure double, leverage double, turnover double, rebalance_count bigint, drift_from_target double"
+#: Parts to which the times of a portfolio are dealt to meet its symbols.
+SPREAD = 64
 
 
 def net_targets(signals: DataFrame, weights: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -43,7 +53,9 @@ def price_grid(prices: DataFrame, targets: DataFrame, keys: Sequence[str] = ())
     close = close.where("ts IS NOT NULL AND symbol IS NOT NULL AND price IS NOT NULL")
     close = close.groupBy(*place).agg(F.max(F.struct("row", "price"))["price"].alias("price"))
     times, symbols = close.select(*keys, "ts").distinct(), close.select(*keys, "symbol").distinct()
-    grid = times.join(symbols, keys) if keys else times.crossJoin(symbols)  # the grid is the result, so no row is made in vain
+    # the grid is the result, so no row is made in vain; symbols go to every part of the times
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    grid = times.withColumn("part", F.pmod(F.hash("ts"), F.lit(SPREAD))).join(symbols.withColumn("part", parts), [*keys, "part"]).drop("part")
     series = Series((*keys, "symbol"))
     own, before = series.running(), series.ordered()
     # a target that another symbol has at this time, and this one hasn't, is a gap, as in a wide table
@@ -52,44 +64,85 @@ def price_grid(prices: DataFrame, targets: DataFrame, keys: Sequence[str] = ())
     return rows.withColumn("prev_price", F.lag("price").over(before))
 
 
-def _step(capital: float, fee: float, keys: list[str]):
-    """Scan step: state is (cash, positions, last equity, rebalances); a row has the arrays of one time."""
+def _bounds(fee: float, keys: list[str]):
+    """Scan step over sums of bars: the range that the growth of pre-trade equity up to each bar has; state is the last bar's most turnover."""
+
+    def step(state: float | None, rows: pa.Table, final: bool):
+        most, low, high = state, [], []
+        for gain, now, before in zip(*(rows.column(c).to_pylist() for c in ("gain", "weights", "moved"))):
+            if most is None:  # nothing is held before the first bar
+                lo = hi = 1.0
+                most = now
+            else:
+                spare = 1e-9 * (1 + abs(gain))
+                lo, hi = 1 + gain - fee * most - spare, 1 + gain + fee * most + spare
+                least = lo if lo > 0 else 0.0
+                most = now + before / least if least > 1e-6 and math.isfinite(most) else math.inf
+            low.append(lo if math.isfinite(lo) else -math.inf)
+            high.append(hi if math.isfinite(hi) else math.inf)
+        shown = [*keys, "ts"]
+        return most, pa.table([*(rows.column(c) for c in shown), pa.array(low, pa.float64()), pa.array(high, pa.float64())], names=[*shown, "low", "high"])
+
+    return step
+
+
+def _chain(capital: float, fee: float, keys: list[str]):
+    """Scan step over bars: state is (pre-trade equity before, equity, what was traded, rebalances)."""
 
     def step(state, rows: pa.Table, final: bool):
-        cash, held, last, count = state or (capital, None, capital, 0)
+        before, last, traded, count = state or (None, capital, 0.0, 0)
         out = []
-        for prices, targets in zip(rows.column("prices").to_pylist(), rows.column("targets").to_pylist()):
-            p = np.array([np.nan if x is None else x for x in prices])
-            w, known = np.array(targets, float), ~np.isnan(p)
-            at = np.where(known, p, 0.0)
-            held = np.zeros(len(p)) if held is None else held
-            pre = cash + float((held * at).sum())
-            new = np.where(known & (at != 0), w * pre / np.where(at != 0, at, 1.0), 0.0)
-            traded = float((np.abs(new - held) * at).sum())
+        for r in rows.to_pylist():
+            pre = capital if before is None else before * (1 + r["gain"]) - fee * traded
+            if not before:
+                traded = abs(pre) * r["signed"]
+            else:
+                g = pre / before
+                breaks = sum(x["size"] * abs(g - x["at"]) for x in r["breaks"])
+                traded = abs(before) * (r["slope"] * g + r["constant"] + breaks)
             count += traded > EPS
-            cash -= float(((new - held) * at).sum()) + traded * fee
-            held, value = new, new * at
-            equity = cash + float(value.sum())
-            gross = float(np.abs(value).sum())
-            drift = np.abs(value / max(equity, EPS) - w)[known]
-            out.append((pre, equity, cash, gross, float(value.sum()), gross / equity if equity > 0 else 0.0, traded / max(last, EPS), count, float(drift.mean()) if len(drift) else 0.0))
-            last = equity
-        names = ["pre_equity", "equity", "cash", "gross_exposure", "net_exposure", "leverage", "turnover", "rebalance_count", "drift_from_target"]
+            equity, net, gross = pre - fee * traded, pre * r["net"], abs(pre) * r["weights"]
+            drift = (abs(pre / max(equity, EPS) - 1) * r["weights"] + r["unheld"]) / r["known"] if r["known"] else 0.0
+            out.append((pre, equity, equity - net, gross, net, gross / equity if equity > 0 else 0.0, traded / max(last, EPS), count, drift))
+            before, last = pre, equity
+        names = [c.split(" ")[0] for c in _SCHEMA.split(", ")]
         columns = [pa.array(c, pa.int64() if n == "rebalance_count" else pa.float64()) for n, c in zip(names, zip(*out))]
         shown = [*keys, "ts"]
-        return (cash, held, last, count), pa.table([*(rows.column(c) for c in shown), *columns], names=[*shown, *names])
+        return (before, last, traded, count), pa.table([*(rows.column(c) for c in shown), *columns], names=[*shown, *names])
 
     return step
 
 
 def portfolio_equity(grid: DataFrame, capital: float = 100.0, fee_pct: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
     """One row for each time of a portfolio: equity before and after trading, cash, exposures, leverage, turnover, rebalances so far, drift."""
-    order = F.array_sort(F.collect_list(F.struct("symbol", "price", "target")))
     own = list(keys) or ["portfolio"]
     rows = grid if keys else grid.withColumn("portfolio", F.lit(0))
-    wide = rows.groupBy(*own, "ts").agg(order.alias("all")).select(*own, "ts", F.col("all.price").alias("prices"), F.col("all.target").alias("targets"))
+    price, held = F.col("price"), F.col("price").isNotNull() & (F.col("price") != 0)
+    rows = rows.select(*own, "ts", "symbol", "target", "price", "prev_price", F.when(held, F.col("target")).otherwise(0.0).alias("a"))
+    last = F.coalesce(F.lag("a").over(Series((*own, "symbol")).ordered()), F.lit(0.0))
+    grown = F.coalesce(price / F.when(F.col("prev_price") != 0, F.col("prev_price")), F.lit(0.0))
+    rows = rows.withColumns({"b": last * grown, "lost": last * (grown - 1)})
+    size, sign = F.abs("a"), F.when(price < 0, -1.0).otherwise(1.0)
+    sums = rows.groupBy(*own, "ts").agg(
+        F.sum("lost").alias("gain"),
+        F.sum(size).alias("weights"),
+        F.sum(F.abs("b")).alias("moved"),
+        F.sum("a").alias("net"),
+        F.sum(sign * size).alias("signed"),
+        F.count(price).alias("known"),
+        F.sum(F.when(price == 0, F.abs("target")).otherwise(0.0)).alias("unheld"),
+    )
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*own, "ts"))
-    out = scan(wide, Series(tuple(own)), _step(capital, fee_pct, own), f"{kinds}, {_SCHEMA}")
+    ranges = scan(sums.select(*own, "ts", "gain", "weights", "moved"), Series(tuple(own)), _bounds(fee_pct, own), f"{kinds}, low double, high double")
+    met = joined(rows, ranges, (*own, "ts"))
+    at = F.col("b") / F.when(F.col("a") != 0, F.col("a"))
+    side = F.when(at <= F.col("low"), 1.0).when(at >= F.col("high"), -1.0)
+    lines = met.groupBy(*own, "ts").agg(
+        F.coalesce(F.sum(sign * side * size), F.lit(0.0)).alias("slope"),
+        F.sum(sign * F.when(at.isNull(), F.abs("b")).otherwise(F.coalesce(-side * size * at, F.lit(0.0)))).alias("constant"),
+        F.collect_list(F.when(at.isNotNull() & side.isNull(), F.struct(at.alias("at"), (sign * size).alias("size")))).alias("breaks"),  # those in a narrow range
+    )
+    out = scan(joined(sums, lines, (*own, "ts"), "inner"), Series(tuple(own)), _chain(capital, fee_pct, own), f"{kinds}, {_SCHEMA}")
     return out if keys else out.drop("portfolio")
 
 
@@ -124,7 +177,7 @@ def portfolio_positions(grid: DataFrame, equity: DataFrame, fee_pct: float = 0.0
 def portfolio_metrics(equity: DataFrame, calendar: str = "crypto_365", keys: Sequence[str] = ()) -> DataFrame:
     """One row a portfolio: period metrics, last exposures, summed turnover, rebalances and mean drift."""
     names = list(keys) or ["portfolio"]
-    curve = equity if keys else equity.withColumn("portfolio", F.lit(0))
+    curve = stored(equity if keys else equity.withColumn("portfolio", F.lit(0)), "portfolio-curve")
     period = period_metrics(curve, Series(tuple(names)), calendar=calendar)
     own = curve.groupBy(*names).agg(
         *(F.max_by(c, "ts").alias(c) for c in ("gross_exposure", "net_exposure", "leverage")),
@@ -142,9 +195,16 @@ def attribution(positions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def closed_form_equity(grid: DataFrame, capital: float = 100.0, keys: Sequence[str] = ()) -> DataFrame:
-    """``keys, ts, equity`` without fees: the running product of growth, in windows alone."""
+    """``keys, ts, equity`` without fees: the running product of growth, by blocks if there are very many times."""
     before = F.coalesce(F.lag("target").over(Series((*keys, "symbol")).ordered()), F.lit(0.0))
     gain = F.coalesce(before * (F.col("price") / F.when(F.col("prev_price") != 0, F.col("prev_price")) - 1), F.lit(0.0))
-    growth = grid.withColumn("gain", gain).groupBy(*keys, "ts").agg((1 + F.sum("gain")).alias("g"))
-    running = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # a row a time
-    return growth.select(*keys, "ts", (F.product("g").over(running) * capital).alias("equity"))
+    own = list(keys) or ["portfolio"]
+    rows = grid if keys else grid.withColumn("portfolio", F.lit(0))
+    growth = rows.withColumn("gain", gain).groupBy(*own, "ts").agg((1 + F.sum("gain")).alias("g"))
+    series = Series(tuple(own))
+    if has_long_series(growth, series):
+        blocks = deal(growth, series)
+        grown = blocks.running(blocks.rows, "grown", F.col("g"), "product")
+    else:
+        grown = growth.withColumn("grown", F.product("g").over(series.running()))
+    return grown.select(*keys, "ts", (F.col("grown") * capital).alias("equity"))

@@ -16,6 +16,7 @@ from .oracles import ORACLES as PLAIN_ORACLES
 from .plan_oracles import ORACLES as PLAN_ORACLES
 from .plans import research, views
 from .plans.strategy import Backtest, Result, Sweep, new, sweep, time_slice
+from .sources.shared import stored
 from .sources.market import bars_from_events, load_ohlc, load_signal
 from .streaming.live import live_order_ratios, live_slippage
 
@@ -210,7 +211,7 @@ def portfolio_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def portfolio_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = grid(spark, sf_dir)
+    own = stored(grid(spark, sf_dir), "grid")
     return rounded(portfolio.portfolio_positions(own, portfolio.portfolio_equity(own, fee_pct=0.001), 0.001))
 
 
@@ -359,7 +360,7 @@ def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folio_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = grid(spark, sf_dir)
+    own = stored(grid(spark, sf_dir), "grid")
     equity = portfolio.portfolio_equity(own, fee_pct=0.001)
     positions = portfolio.portfolio_positions(own, equity, 0.001)
     out = views.portfolio_payload("folio", portfolio.portfolio_metrics(equity), equity, positions, portfolio.attribution(positions))

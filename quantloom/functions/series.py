@@ -57,8 +57,8 @@ def exact_quantile(values: DataFrame, q: float, name: str = "value") -> DataFram
 
     Equal values are counted before the shuffle, and what remains is dealt by ranges, so no task sorts all.
     """
-    counts = stored(values.toDF("v").where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n")), "quantile")
-    dealt = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id())
+    counts = values.toDF("v").where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    dealt = stored(counts.repartitionByRange("v").withColumn("p", F.spark_partition_id()), "quantile")  # once, so that both readers agree
     below = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
     starts = dealt.groupBy("p").agg(F.sum("n").alias("n")).select("p", below.alias("below"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
     upto = F.col("below") + F.sum("n").over(Window.partitionBy("p").orderBy("v"))

@@ -1,14 +1,18 @@
 """Monte Carlo robustness of trade sequences.
 
 Draws come from hashes of simulation, step and seed, so they don't depend on partitioning and any engine
-can repeat them.
+can repeat them. A shuffle isn't sorted: a step's trade is its image under a permutation of the numbers
+below the count of trades, a Feistel network keyed by simulation, computed for each step alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.series import Series, finite
+from ..sources.shared import stored
 
 METHODS = ("bootstrap", "shuffle")
 _SIM = Series(("sim",), "step")
@@ -20,6 +24,39 @@ def _draw(seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
+#: Rounds of the network and the prime below which its products are taken.
+ROUNDS, PRIME = 6, 2**31 - 1
+
+
+def permutation_keys(sim: Column, seed: int) -> Column:
+    """Two numbers below 2^28 for each round of a simulation."""
+    digests = [F.md5(F.concat_ws("-", F.lit(str(seed)), sim.cast("string"), F.lit(str(k))).cast("binary")) for k in range(ROUNDS)]
+    part = lambda d, at: F.conv(F.substring(d, at, 7), 16, 10).cast("bigint")
+    return F.array(*(F.struct(part(d, 1).alias("a"), part(d, 8).alias("b")) for d in digests))
+
+
+def permuted(df: DataFrame, x: str, keys: str, n: int, name: str) -> DataFrame:
+    """Adds ``name``, the image of ``x`` under the permutation of the numbers below ``n`` that ``keys`` (``permutation_keys``) name.
+
+    A number is a pair below the root of ``n``; each round adds to one half a function of the other. Pairs
+    reach past ``n`` by less than twice that root, so an image past it is walked on, that often at most.
+    """
+    width = math.isqrt(max(n - 1, 0)) + 1
+
+    def turned(s: Column, k: Column) -> Column:
+        f = ((s["r"] + k["a"]) % PRIME) * ((s["r"] + k["b"]) % PRIME) % PRIME
+        return F.struct(s["r"].alias("l"), ((s["l"] + f) % width).alias("r"))
+
+    def image(value: Column) -> Column:
+        return F.aggregate(F.col(keys), F.struct(F.floor(value / width).alias("l"), (value % width).alias("r")), turned, lambda s: s["l"] * width + s["r"])
+
+    df = df.withColumn(name, image(F.col(x)))
+    if width * width == n:
+        return df
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(width * width - n)), F.col(name), lambda y, _: F.when(y < n, y).otherwise(image(y)))
+    return df.withColumn(name, F.when(F.col(name) < n, F.col(name)).otherwise(walked))
+
+
 def simulate_trade_paths(returns: DataFrame, *, n_sims: int = 1000, seed: int = 0, method: str = "bootstrap", initial_equity: float = 1.0) -> DataFrame:
     """``sim, step, r, equity``: paths of as many steps as there are finite ``r`` (fractions) in ``returns``.
 
@@ -35,7 +72,8 @@ def simulate_trade_paths(returns: DataFrame, *, n_sims: int = 1000, seed: int =
     if method == "bootstrap":
         steps = steps.withColumn("at", _draw(seed) % max(n, 1))
     else:
-        steps = steps.withColumn("at", F.row_number().over(Window.partitionBy("sim").orderBy(_draw(seed), "step")) - 1)
+        keys = spark.range(n_sims).select(F.col("id").alias("sim"), permutation_keys(F.col("id"), seed).alias("keys"))
+        steps = permuted(steps.join(F.broadcast(keys), "sim"), "step", "keys", max(n, 1), "at")  # n_sims rows
     grown = F.product(1 + F.col("r")).over(_SIM.running()) * initial_equity
     return steps.join(own, "at").select("sim", "step", "r").withColumn("equity", grown)
 
@@ -76,7 +114,7 @@ def trade_returns(trades: DataFrame, order: list[str]) -> DataFrame:
     """``step, r``: trades' returns on the account, as fractions, numbered in ``order`` from 0."""
     value = "account_return_pct" if "account_return_pct" in trades.columns else "pnl_pct"
     own = trades.select(*order, finite(F.col(value)).alias("pct")).where("pct IS NOT NULL")
-    dealt = own.repartitionByRange(*order).withColumn("p", F.spark_partition_id())
+    dealt = stored(own.repartitionByRange(*order).withColumn("p", F.spark_partition_id()), "returns")  # once, so that both readers agree
     place = F.row_number().over(Window.partitionBy("p").orderBy(*order)) - 1
     counts = dealt.groupBy("p").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition

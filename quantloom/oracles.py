@@ -127,10 +127,15 @@ def significant(x: str) -> str:
 
 
 def monte_carlo(method: str) -> str:
-    draw = "('0x' || substr(md5(sim || '-' || step || '-7'), 1, 8))::BIGINT"
-    at = f"{draw} % n" if method == "bootstrap" else f"row_number() OVER (PARTITION BY sim ORDER BY {draw}, step) - 1"
-    return f"""WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS since, c_acctbal / 2000 / 100 AS r FROM customer), c AS (SELECT count(*) AS n FROM r),
-      g AS (SELECT sim, step, n FROM (SELECT range AS sim FROM range(200)) CROSS JOIN c CROSS JOIN LATERAL (SELECT unnest(range(n)) AS step)), s AS (SELECT sim, step, {at} AS since FROM g),
+    drawn = "SELECT sim, step, ('0x' || substr(md5(sim || '-' || step || '-7'), 1, 8))::BIGINT % n AS since FROM g"
+    # rounds go on until a pair below n stands behind a multiple of six of them
+    part = "('0x' || substr(md5('7-' || sim || '-' || j), {at}, 7))::BIGINT"
+    rounds = f"""k AS (SELECT sim, j, {part.format(at=1)} AS a, {part.format(at=8)} AS b FROM (SELECT range AS sim FROM range(200)) CROSS JOIN (SELECT range AS j FROM range(6))),
+      f AS (SELECT sim, step, n, w, step // w AS l, step % w AS r, 0 AS j FROM (SELECT *, ceil(sqrt(n))::BIGINT AS w FROM g)
+        UNION ALL SELECT f.sim, step, n, w, r, (l + ((r + a) % 2147483647) * ((r + b) % 2147483647) % 2147483647) % w, f.j + 1 FROM f JOIN k ON k.sim = f.sim AND k.j = f.j % 6 WHERE f.j = 0 OR f.j % 6 > 0 OR l * w + r >= n),"""
+    at = drawn if method == "bootstrap" else "SELECT sim, step, l * w + r AS since FROM f WHERE j > 0 AND j % 6 = 0 AND l * w + r < n"
+    return f"""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS since, c_acctbal / 2000 / 100 AS r FROM customer), c AS (SELECT count(*) AS n FROM r),
+      g AS (SELECT sim, step, n FROM (SELECT range AS sim FROM range(200)) CROSS JOIN c CROSS JOIN LATERAL (SELECT unnest(range(n)) AS step)), {rounds if method == "shuffle" else ""} s AS ({at}),
       p AS (SELECT sim, step, product(1 + r) OVER (PARTITION BY sim ORDER BY step) AS e FROM s JOIN r USING (since)),
       q AS (SELECT *, e / lag(e) OVER (PARTITION BY sim ORDER BY step) - 1 AS own, max(e) OVER (PARTITION BY sim ORDER BY step) AS peak FROM p),
       m AS (SELECT sim, arg_max(e, step) AS t, max((peak - e) / peak) AS dd, CASE WHEN stddev_pop(own) > 1e-12 THEN avg(own) / stddev_pop(own) ELSE 0 END AS sh FROM q GROUP BY 1)

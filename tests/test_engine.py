@@ -405,6 +405,37 @@ def test_monte_carlo(spark):
         montecarlo.simulate_trade_paths(returns, method="x")
 
 
+def plain_permutation(n, sim, seed):
+    """Images of 0 to n - 1, each walked until it is below n."""
+    digests = [hashlib.md5(f"{seed}-{sim}-{k}".encode()).hexdigest() for k in range(6)]
+    keys = [(int(d[:7], 16), int(d[7:14], 16)) for d in digests]
+    width = int(np.ceil(np.sqrt(n)))
+    out = []
+    for x in range(n):
+        while True:
+            left, right = divmod(x, width)
+            for a, b in keys:
+                left, right = right, (left + (right + a) % (2**31 - 1) * ((right + b) % (2**31 - 1)) % (2**31 - 1)) % width
+            x = left * width + right
+            if x < n:
+                break
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 100, 997])
+def test_a_shuffle_permutes(spark, n):
+    keys = spark.range(12).select(F.col("id").alias("sim"), montecarlo.permutation_keys(F.col("id"), 5).alias("keys"))
+    steps = spark.range(12 * n).select((F.col("id") / n).cast("bigint").alias("sim"), (F.col("id") % n).alias("step"))
+    rows = montecarlo.permuted(steps.join(keys, "sim"), "step", "keys", n, "at").orderBy("sim", "step").collect()
+    found = [[r["at"] for r in rows if r["sim"] == sim] for sim in range(12)]
+    assert all(sorted(own) == list(range(n)) for own in found) and found == [plain_permutation(n, sim, 5) for sim in range(12)]
+    if n >= 100:  # simulations differ, and steps move as far as in any shuffle
+        assert len({tuple(own) for own in found}) == 12
+        assert 0.25 < np.mean([abs(a - k) / n for own in found for k, a in enumerate(own)]) < 0.42
+        assert abs(np.corrcoef(found[0], found[1])[0, 1]) < 0.35
+
+
 @pytest.mark.parametrize("method", ["bootstrap", "shuffle"])
 def test_monte_carlo_of_every_account(spark, tmp_path, method):
     # keys beyond 300, in another order than their rows
@@ -416,7 +447,7 @@ def test_monte_carlo_of_every_account(spark, tmp_path, method):
     terminal, depth = [], []
     for sim in range(6):
         draws = [int(hashlib.md5(f"{sim}-{step}-7".encode()).hexdigest()[:8], 16) for step in range(len(own))]
-        at = [d % len(own) for d in draws] if method == "bootstrap" else np.argsort(np.argsort(draws, kind="stable"), kind="stable")
+        at = [d % len(own) for d in draws] if method == "bootstrap" else plain_permutation(len(own), sim, 7)
         path = np.cumprod([1 + own[k] for k in at])
         peak = np.maximum.accumulate(path)
         terminal.append(path[-1])

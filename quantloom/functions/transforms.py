@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .blocks import AT, BLOCK, deal, has_long_series, in_blocks, joined
-from .series import Series, number, scan
+from .series import Series, finite, number, scan
 
 Transform = Callable[..., DataFrame]
 TRANSFORMS: dict[str, Transform] = {}
@@ -118,12 +118,23 @@ def minmax(df: DataFrame, column: str, series: Series, window: int | None = None
 
 @register_transform("robust_zscore", lookback=lambda window=20: 2 * (window - 1))
 def robust_zscore(df: DataFrame, column: str, series: Series, window: int = 20) -> DataFrame:
-    """0.6745 (x - median) / MAD, the MAD over each row's distance from its own median."""
-    x, rows = number(column), series.last_rows(window)
-    df = df.withColumn("__off", x - _enough(x, series, window, window, F.percentile(x, F.lit(0.5)).over(rows)))
-    off = F.abs(F.col("__off"))
-    mad = _enough(off, series, window, window, F.percentile(off, F.lit(0.5)).over(rows))
-    return df.withColumn(column, 0.6745 * F.col("__off") / _nonzero(mad)).drop("__off")
+    """0.6745 (x - median) / MAD, the MAD over each row's distance from its own median; infinite values are gaps.
+
+    A scan keeps the values before, and medians slide over an ordered window that gains and loses a value a
+    row (pandas' rolling skip list), so a row's cost grows with the logarithm of the window, not with the window.
+    """
+    df = df.withColumn(column, finite(F.col(column)))
+    at, kept = df.columns.index(column), 2 * (window - 1)
+
+    def step(before: np.ndarray | None, rows: pa.Table, final: bool):
+        own = rows.column(at).to_numpy()
+        x = pd.Series(own if before is None else np.concatenate([before, own]), dtype=float)
+        off = x - x.rolling(window).median()
+        score = 0.6745 * off / off.abs().rolling(window).median().replace(0.0, np.nan)
+        out = pa.array(score.to_numpy()[len(x) - len(own) :], from_pandas=True)
+        return x.to_numpy()[max(len(x) - kept, 0) :], rows.set_column(at, rows.field(at), out)
+
+    return scan(df, series, step, df.schema)
 
 
 def _change(df: DataFrame, column: str, series: Series, periods: int) -> DataFrame:

@@ -69,10 +69,10 @@ def click_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("ts").alias("event_ts"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("available_ts"), F.col("value").alias("signal_value"))
 
 
-def asof_query(direction: str) -> Callable[[SparkSession, str], DataFrame]:
+def asof_query(direction: str, broadcast: bool | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = bars(spark, sf_dir).select("symbol", "ts", "close")
-        out = align.align_signal_to_bars(own, click_signal(spark, sf_dir), direction=direction, tolerance="1h", min_lag="30s")
+        out = align.align_signal_to_bars(own, click_signal(spark, sf_dir), direction=direction, tolerance="1h", min_lag="30s", broadcast=broadcast)
         return rounded(out.drop("alignment_method"))
 
     return query
@@ -436,6 +436,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j_asof_backward": asof_query("backward"),
     "j_asof_forward": asof_query("forward"),
     "j_asof_nearest": asof_query("nearest"),
+    "j_asof_backward_buckets": asof_query("backward", False),
+    "j_asof_forward_buckets": asof_query("forward", False),
+    "j_asof_nearest_buckets": asof_query("nearest", False),
     "j_asof_keyed": asof_keyed,
     "j_full_outer": full_outer,
     "a_period_metrics": period_metrics,
@@ -482,7 +485,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = PLAIN_ORACLES | PLAN_ORACLES
-#: The same rows, by blocks.
-ORACLES |= {name: ORACLES[name.removesuffix("_long")] for name in QUERIES if name.endswith("_long")}
+#: The same rows, by blocks of series or buckets of time.
+ORACLES |= {name: ORACLES[name.removesuffix(way)] for name in QUERIES for way in ("_long", "_buckets") if name.endswith(way)}
 
 __all__ = ["ORACLES", "QUERIES", "Result", "flagship"]

@@ -57,17 +57,38 @@ def test_lag_blocks_a_signal_of_the_same_time(spark):
         align.align_signal_to_bars(bars, signal, stale_policy="no")
 
 
+@pytest.mark.parametrize("broadcast", [False, True])
 @pytest.mark.parametrize("direction", align.DIRECTIONS)
-def test_asof_matches_pandas(spark, direction):
+def test_asof_matches_pandas(spark, direction, broadcast):
     rng = np.random.default_rng(3)
     left = pd.DataFrame({"ts": pd.to_datetime("2024-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 900_000, 300)), "s")})
     right = pd.DataFrame({"rts": pd.to_datetime("2024-01-01") + pd.to_timedelta(np.sort(rng.choice(900_000, 120, False)), "s"), "v": np.arange(120.0)})
     want = pd.merge_asof(left, right, left_on="ts", right_on="rts", direction=direction)["v"]
-    got = align.asof(spark.createDataFrame(left), spark.createDataFrame(right), on=align.time_of("ts"), right_on=align.time_of("rts"), columns={"v": F.col("v")}, direction=direction)
+    got = align.asof(spark.createDataFrame(left), spark.createDataFrame(right), on=align.time_of("ts"), right_on=align.time_of("rts"), columns={"v": F.col("v")}, direction=direction, broadcast=broadcast)
+    assert broadcast == ("MapInArrow" in got._jdf.queryExecution().executedPlan().toString())
     got = got.select("ts", F.col("match.v").alias("v")).toPandas().sort_values(["ts", "v"])["v"]
     assert sorted(got.fillna(-1)) == sorted(want.fillna(-1))
 
 
+@pytest.mark.parametrize("direction", align.DIRECTIONS)
+def test_asof_by_keys_is_the_same_broadcast_and_in_buckets(spark, monkeypatch, direction):
+    rng = np.random.default_rng(4)
+    draw = lambda n: [(rng.choice(["a", "b", None, "c"]), int(rng.integers(0, 3)), None if rng.random() < 0.05 else int(rng.integers(0, 60)) * 10**10, float(k)) for k in range(n)]
+    left = spark.createDataFrame(draw(500), "k string, j int, t long, x double")
+    right = spark.createDataFrame([(k or "d" if r % 7 else k, j, t, None if r % 11 == 0 else x) for r, (k, j, t, x) in enumerate(draw(300))], "k string, j int, u long, v double")
+
+    def rows(**how):
+        out = align.asof(left, right, on=F.col("t"), right_on=F.col("u"), columns={"v": F.col("v"), "w": F.col("u") + 1}, by=["k", "j"], direction=direction, **how)
+        return {r["x"]: None if r["match"] is None else (r["match"]["at"], r["match"]["v"], r["match"]["w"]) for r in out.collect()}
+
+    want = rows(broadcast=False)
+    assert rows(broadcast=True) == want == rows() and sum(v is not None for v in want.values()) > 200
+    monkeypatch.setattr(align, "BROADCAST_ROWS", 100)  # too many rows for it
+    assert rows(broadcast=True) == want
+    none = align.asof(left, right.where("1 = 0"), on=F.col("t"), right_on=F.col("u"), columns={"v": F.col("v")}, by=["k"], direction=direction, broadcast=True)
+    assert none.count() == 500 and none.where("match IS NOT NULL").count() == 0
+
+
 def test_stale_policies_and_null_times(spark):
     bars = spark.createDataFrame([(day(5),), (None,)], "ts timestamp_ntz")
     signal = spark.createDataFrame([(day(0), 5.0)], "event_ts timestamp_ntz, signal_value double")
@@ -95,6 +116,9 @@ def test_transforms_match_pandas(spark):
     np.testing.assert_allclose(run("zscore", window=8, min_periods=4), (x - r.mean()) / r.std(ddof=0), equal_nan=True, atol=1e-9)
     np.testing.assert_allclose(run("sma", window=3), x.rolling(3).mean(), equal_nan=True)
     np.testing.assert_allclose(run("pct_change"), x.ffill().pct_change(), equal_nan=True)
+    for name, options in (("robust_zscore", {"window": 3}), ("robust_zscore", {"window": 1})):
+        med = x.rolling(options["window"]).median()
+        np.testing.assert_allclose(run(name, **options), (0.6745 * (x - med) / (x - med).abs().rolling(options["window"]).median().replace(0, np.nan)), equal_nan=True)
     med = x.rolling(3).median()
     np.testing.assert_allclose(run("robust_zscore", window=3), (0.6745 * (x - med) / (x - med).abs().rolling(3).median().replace(0, np.nan)), equal_nan=True)
     with pytest.raises(KeyError):

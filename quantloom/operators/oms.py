@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.series import Series, exact_quantile, finite, number
+from ..sources.shared import stored
 from .align import asof, time_of
 from .metrics import period_metrics
 
@@ -37,9 +38,10 @@ def slippage_bps(fills: DataFrame, signed: bool = True) -> Column:
 
 def execution_quality(fills: DataFrame) -> DataFrame:
     """One row: slippage mean and median, shortfall, mean latency and summed fees."""
-    bps = slippage_bps(fills)
-    fee = F.sum(finite(F.col("fee"), 0.0)) if "fee" in fills.columns else F.lit(0.0)
-    latency = F.avg(number("latency_ms")) if "latency_ms" in fills.columns else F.lit(0.0)
+    kept = {"bps": slippage_bps(fills), "fee": finite(F.col("fee"), 0.0) if "fee" in fills.columns else F.lit(0.0)}
+    kept["latency"] = number("latency_ms") if "latency_ms" in fills.columns else F.lit(0.0)
+    fills = stored(fills.select(*(v.alias(k) for k, v in kept.items())), "fills")  # read for the means and for the median
+    bps, fee, latency = F.col("bps"), F.sum("fee"), F.avg("latency")
     middle = exact_quantile(fills.select(bps), 0.5, "median")
     own = fills.agg(
         F.coalesce(F.avg(bps), F.lit(0.0)).alias("average_slippage_bps"),

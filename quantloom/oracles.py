@@ -178,7 +178,24 @@ def backtest_metrics() -> str:
         round(coalesce(avg_trade_return, 0), 2) + 0.0 AS avg_trade_pct, {dates}, {values} FROM span JOIN period USING (symbol) JOIN dd USING (symbol) LEFT JOIN traded USING (symbol)"""
 
 
-ORACLES: dict[str, str] = {
+_LINES = """t AS (SELECT l_returnflag AS symbol, l_linestatus AS strategy_id, l_orderkey * 10 + l_linenumber AS exit_idx, l_orderkey AS entry_idx, l_quantity::DOUBLE AS bars_held, l_discount::DOUBLE AS pnl_pct,
+  l_extendedprice::DOUBLE AS allocated_capital, l_quantity::DOUBLE AS units, l_tax::DOUBLE AS account_return_pct FROM lineitem)"""
+#: Lists of results, reports and the user's own transforms.
+LISTS: dict[str, str] = {
+    "o_last_trades": f"WITH {_LINES} SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY symbol, strategy_id ORDER BY exit_idx DESC, entry_idx DESC) AS k FROM t) WHERE k <= 500",
+    "o_trade_summary": f"""WITH {_LINES} SELECT symbol, strategy_id, count(*) AS trades, round(avg(bars_held), 6) AS avg_bars_held, max(pnl_pct) AS max_pnl_pct, min(pnl_pct) AS min_pnl_pct, round(avg(allocated_capital), 6) AS avg_allocated_capital,
+      round(avg(units), 6) AS avg_units, round(avg(account_return_pct), 6) AS avg_account_return_pct FROM t GROUP BY 1, 2""",
+    "o_filter_options": """SELECT DISTINCT 'rolling_window' AS param, c_nationkey::VARCHAR AS value FROM customer UNION ALL SELECT DISTINCT 'short_threshold', c_mktsegment FROM customer UNION ALL SELECT DISTINCT 'strategy_id', 's' || c_custkey FROM customer""",
+    "o_top_curves": "SELECT 's' || c_custkey AS strategy_id, c_acctbal AS sharpe, c_nationkey AS return_pct FROM customer ORDER BY c_acctbal DESC, c_nationkey DESC, 's' || c_custkey LIMIT 50",
+    "o_objective_rank": "SELECT 's' || c_custkey AS strategy_id, -c_acctbal AS net_profit FROM customer ORDER BY c_acctbal, c_acctbal DESC, 's' || c_custkey LIMIT 25",
+    "o_payload": """SELECT 's' || o_custkey AS strategy_id, count(*)::VARCHAR AS n, strftime(max(o_orderdate)::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') AS last, strftime(min(o_orderdate)::TIMESTAMP, '%Y-%m-%dT%H:%M:%S') AS first_ts,
+      min(o_orderkey)::VARCHAR AS first_key, count(*)::INTEGER AS n_bars, count(*)::INTEGER AS n_trades FROM orders GROUP BY o_custkey""",
+    "o_research_report": "SELECT 's' || c_custkey AS strategy_id, c_mktsegment AS short_threshold, c_nationkey::VARCHAR AS rolling_window, c_acctbal::DOUBLE AS sortino FROM customer",
+    "v_missing_columns": "SELECT code, 'error' AS severity, count::BIGINT AS count, source AS \"table\" FROM (VALUES ('missing_ohlc_columns', 2, 'ohlc'), ('missing_signal_columns', 1, 'signal')) v(code, count, source) WHERE (SELECT count(*) FROM events) > 0",
+    "w_registered": f"WITH {HOURS}, b AS (SELECT symbol, ts, greatest(close, lag(close) OVER ({OWN})) AS x FROM bars) SELECT symbol, ts, round(x, 6) + 0.0 AS x, coalesce(floor(x) % 2 = 0, false) AS hit FROM b",
+}
+
+ORACLES: dict[str, str] = LISTS | {
     "s_ohlc_load": """WITH r AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS t, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events WHERE event_type = 'view' GROUP BY 1)
       SELECT t AS ts, t + INTERVAL 1 MINUTE AS close_ts, open, high, low, close, volume FROM r WHERE t BETWEEN '2024-01-05' AND '2024-01-19'""",
     "s_signal_load": "SELECT ts, min(value) AS signal_value FROM events WHERE event_type = 'error' AND value IS NOT NULL AND ts BETWEEN '2024-01-05' AND '2024-01-19' GROUP BY ts",

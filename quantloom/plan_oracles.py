@@ -93,15 +93,17 @@ def research_split() -> str:
 def stability() -> str:
     numeric = ("rolling_window", "long_threshold", "short_threshold", "exit_signal")
     far = " + ".join(f"pow(({p} - max(CASE WHEN place = 1 THEN {p} END) OVER s) / greatest((max({p}) OVER s - min({p}) OVER s)::DOUBLE, 1e-12), 2)" for p in numeric)
+    shown = f"to_json({{{{{', '.join(f"'{p}': {{t}}.{p}" for p in numeric)}}}}})::VARCHAR"
     ranks = ", ".join(f"rank() OVER (PARTITION BY symbol ORDER BY v{k}) + (count(*) OVER (PARTITION BY symbol, v{k}) - 1) / 2.0 AS r{k}" for k in (0, 1))
     return f"""WITH RECURSIVE {RESEARCHED}, tried AS (SELECT symbol, sid, {", ".join(numeric)}, period_sharpe AS m, round(in_sample_period_sharpe, 9) AS v0, round(out_sample_period_sharpe, 9) AS v1, count(*) OVER (PARTITION BY symbol) AS n,
-        row_number() OVER (PARTITION BY symbol ORDER BY round(period_sharpe, 9) DESC, sid) AS place FROM wide JOIN strat USING (sid)),
+        row_number() OVER (PARTITION BY symbol ORDER BY round(period_sharpe, 9) DESC, sid) AS place, {", ".join(f"row_number() OVER (PARTITION BY symbol ORDER BY round({side}_period_sharpe, 9) DESC NULLS LAST, sid) AS p{k}" for k, side in enumerate(("in_sample", "out_sample")))} FROM wide JOIN strat USING (sid)),
       u AS (SELECT *, sqrt({far}) AS distance, abs(m - lag(m) OVER (PARTITION BY symbol ORDER BY {", ".join(f"{p} NULLS FIRST" for p in numeric)}, sid)) AS jump, {ranks} FROM tried WINDOW s AS (PARTITION BY symbol)),
       q AS (SELECT symbol, quantile_cont(distance, 0.25) FILTER (distance > 0) AS near FROM u GROUP BY 1),
       near AS (SELECT symbol, max(m) AS best, avg(m) FILTER (distance > 0 AND distance <= near) AS around, avg(jump) AS jump, max(n) AS n, avg((m > 0)::INT) FILTER (place <= greatest(ceil(n * 0.1), 1)) AS top, coalesce(corr(r0, r1), 0) AS c FROM u JOIN q USING (symbol) GROUP BY 1),
       scored AS (SELECT *, coalesce((best - around) / nullif(abs(best), 0), 0) AS decay, CASE WHEN n > 1 THEN coalesce(1 / (1 + jump), 1) ELSE 0 END AS smooth FROM near)
       SELECT scored.symbol, {rounding("greatest(least(100 - 35 * greatest(decay, 0) + 15 * coalesce(top, 0) + 20 * smooth + 30 * greatest(c, 0), 100), 0)")} AS parameter_stability_score, {rounding("decay")} AS neighbor_sharpe_decay, {rounding("coalesce(top, 0)")} AS top_decile_consistency,
-        {rounding("smooth")} AS heatmap_smoothness_score, {rounding("greatest(c, 0)")} AS oos_rank_consistency, {rounding("c")} AS is_oos_rank_corr, to_json({{{", ".join(f"'{p}': tried.{p}" for p in numeric)}}})::VARCHAR AS best_params FROM scored JOIN tried ON tried.symbol = scored.symbol AND tried.place = 1"""
+        {rounding("smooth")} AS heatmap_smoothness_score, {rounding("greatest(c, 0)")} AS oos_rank_consistency, {rounding("c")} AS is_oos_rank_corr, {", ".join(f"{shown.format(t=t)} AS {n}" for t, n in (("tried", "best_params"), ("inside", "best_is_params"), ("outside", "best_oos_params")))}
+      FROM scored JOIN tried ON tried.symbol = scored.symbol AND tried.place = 1 JOIN tried inside ON inside.symbol = scored.symbol AND inside.p0 = 1 JOIN tried outside ON outside.symbol = scored.symbol AND outside.p1 = 1"""
 
 
 #: Folds of 10 days of training and 5 of test, a step of 5 days: starts as long as a test begins by the last bar.

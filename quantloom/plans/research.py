@@ -182,7 +182,10 @@ def walk_forward(plan: Backtest | Sweep, *, train_window: str = "730D", test_win
 
 
 def parameter_stability(table: DataFrame, params: Sequence[str], objective: str = "period_sharpe", by: Sequence[str] = ()) -> DataFrame:
-    """How steady the objective is around its best parameters, over a sweep's results (a row a strategy): a row for each ``by``, or one row."""
+    """How steady the objective is around its best parameters, over a sweep's results (a row a strategy): a row for each ``by``, or one row.
+
+    Besides scores it has the best parameters by the objective over the whole range, in sample and out of sample.
+    """
     metric = objective if objective in table.columns else "sharpe"
     kinds = {f.name: f.dataType.simpleString() for f in table.schema}
     numeric = [p for p in params if kinds[p] in ("bigint", "int", "double", "float")]
@@ -226,6 +229,14 @@ def parameter_stability(table: DataFrame, params: Sequence[str], objective: str
     score = 100 - 35 * F.greatest(decay, zero) + 15 * F.coalesce("top", zero) + 20 * smooth + 30 * F.greatest(corr, zero)
     chosen = F.struct(*(F.col(p) for p in params)) if params else F.struct(F.col("strategy_id"))
     best_row = top.groupBy(*by).agg(F.first(chosen).alias("best_params"))
+    # the best in and out of sample, of those equal to nine places the first by name; without such columns the best row, and none
+    for k, name in enumerate(("best_is_params", "best_oos_params")):
+        if known:
+            first = F.min(F.when(F.col(sides[k]).isNotNull(), F.struct((-F.round(sides[k], 9)).alias("m"), "strategy_id", chosen.alias("own"))))["own"]
+            own = table.groupBy(*by).agg(first.alias(name))
+        else:
+            own = best_row.select(*by, (F.col("best_params") if k == 0 else F.when(F.lit(False), F.col("best_params"))).alias(name))
+        best_row = best_row.join(own, by) if by else best_row.crossJoin(own)  # one row each
     scores = out.select(
         *by,
         F.greatest(F.least(score, F.lit(100.0)), zero).alias("parameter_stability_score"),

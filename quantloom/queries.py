@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .functions.conditions import Custom, cond, mask
+from .functions.conditions import Condition, Custom, cond, mask, register_condition
 from .functions.series import Series
-from .functions.transforms import apply_transform
+from .functions.transforms import apply_transform, register_transform
 from .operators import align, metrics, montecarlo, oms, portfolio, quality
 from .operators.backtest import trade_report
 from .oracles import ORACLES as PLAIN_ORACLES
@@ -17,6 +18,7 @@ from .plan_oracles import ORACLES as PLAN_ORACLES
 from .plans import research, views
 from .plans.strategy import Backtest, Result, Sweep, new, sweep, time_slice
 from .sources.shared import stored
+from .sources import sinks
 from .sources.market import bars_from_events, load_ohlc, load_signal
 from .streaming.live import live_order_ratios, live_slippage
 
@@ -194,7 +196,7 @@ def walk_forward_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = research_table(spark, sf_dir)
     out = research.parameter_stability(own, ["rolling_window", "long_threshold", "short_threshold", "exit_signal"], by=["symbol"])
-    return twice_rounded(out.withColumn("best_params", F.to_json("best_params", {"ignoreNullFields": "false"})))
+    return twice_rounded(out.withColumns({c: F.to_json(c, {"ignoreNullFields": "false"}) for c in ("best_params", "best_is_params", "best_oos_params")}))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,6 +408,80 @@ def top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.top(views.filtered(own, {"segment": ["BUILDING", "MACHINERY"], "unknown": [1], "return_pct": []}))
 
 
+def lines_as_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as trades of a strategy for each flag and status, in order of their keys."""
+    own = table(spark, sf_dir, "lineitem")
+    numbers = {"bars_held": "l_quantity", "pnl_pct": "l_discount", "allocated_capital": "l_extendedprice", "units": "l_quantity", "account_return_pct": "l_tax"}
+    place = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("exit_idx")
+    return own.select(F.col("l_returnflag").alias("symbol"), F.col("l_linestatus").alias("strategy_id"), place, F.col("l_orderkey").alias("entry_idx"), *(F.col(v).cast("double").alias(k) for k, v in numbers.items()))
+
+
+def last_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is the last 500 trades of each strategy."""
+    return views.last_trades(lines_as_trades(spark, sf_dir))
+
+
+def trade_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(views.trade_summary(lines_as_trades(spark, sf_dir)))
+
+
+def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.filter_options(customers_as_results(spark, sf_dir), ["rolling_window", "short_threshold", "strategy_id"])
+
+
+def top_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is the 50 best strategies of a ranking."""
+    own = customers_as_results(spark, sf_dir).withColumnsRenamed({"period_sharpe": "sharpe", "rolling_window": "return_pct"})
+    return views.top(own, 50).select("strategy_id", "sharpe", "return_pct")
+
+
+def objective_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is the best of a ranking by an objective, 25 of them."""
+    own = customers_as_results(spark, sf_dir).withColumns({"net_profit": -F.col("sortino"), "return_pct": F.col("sortino"), "sharpe": F.lit(0.0)})
+    return research.rank(own, "net_profit").limit(25).select("strategy_id", "net_profit")
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON payloads of an account each, its orders as bars and as trades, read back."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("s"), F.col("o_custkey")).alias("strategy_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), "o_orderkey", "o_totalprice")
+    totals = orders.groupBy("strategy_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    out = sinks.payload(totals, orders, orders.select("strategy_id", "o_orderkey", "o_totalprice"), ["strategy_id"])
+    fields = {"n": "$.metrics.n", "last": "$.metrics.last", "first_ts": "$.bars[0].ts", "first_key": "$.trades[0].o_orderkey"}
+    sizes = {"n_bars": "$.bars", "n_trades": "$.trades"}
+    return out.select("strategy_id", *(F.get_json_object("payload", p).alias(k) for k, p in fields.items()), *(F.json_array_length(F.get_json_object("payload", p)).alias(k) for k, p in sizes.items()))
+
+
+def research_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sinks.research_report(customers_as_results(spark, sf_dir), ["strategy_id"])
+    return out.select("strategy_id", *(F.get_json_object("report", f"$.{c}").alias(c) for c in ("short_threshold", "rolling_window")), F.get_json_object("report", "$.sortino").cast("double").alias("sortino"))
+
+
+def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars without two of their columns, and signals without their value."""
+    own = bars(spark, sf_dir)
+    found = quality.validate_ohlc(own.drop("low", "close")).withColumn("table", F.lit("ohlc"))
+    return found.unionByName(quality.validate_signal(own.drop("signal")).withColumn("table", F.lit("signal"))).drop("message")
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transform and a condition of the user's own, reached by their names."""
+
+    @register_transform("rank_of_two", lookback=lambda: 1)
+    def rank_of_two(df: DataFrame, column: str, series: Series) -> DataFrame:
+        return df.withColumn(column, F.greatest(F.col(column), F.lag(column).over(series.ordered())))
+
+    @dataclass(frozen=True)
+    class Even(Condition):
+        lookback = 0
+
+        def column(self, signal: Column, series: Series) -> Column:
+            return F.floor(signal) % 2 == 0
+
+    register_condition("even", Even)
+    own = apply_transform(bars(spark, sf_dir).select("symbol", "ts", F.col("close").alias("x")), "rank_of_two", "x", SERIES)
+    return rounded(own.select("symbol", "ts", "x", mask(cond.even(), F.col("x"), SERIES).alias("hit")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backtest metrics of each event series."""
     return backtest_metrics(spark, sf_dir)
@@ -482,6 +558,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "o_mode_is_oos": mode_in_out,
     "o_mode_sortino": mode_sortino,
     "o_top_rows": top_rows,
+    "o_last_trades": last_trades,
+    "o_trade_summary": trade_summary,
+    "o_filter_options": filter_options,
+    "o_top_curves": top_curves,
+    "o_objective_rank": objective_rank,
+    "o_payload": payloads,
+    "o_research_report": research_reports,
+    "v_missing_columns": missing_columns,
+    "w_registered": registered,
 }
 
 ORACLES: dict[str, str] = PLAIN_ORACLES | PLAN_ORACLES

@@ -44,6 +44,8 @@ BANDS, BAND_HASHES, WIDE_RADIUS = 7, 2, 36
 RING, NEAREST = 6, 4
 #: Rows of whole shards that a task joins at once; members beyond which a shard is dealt by further blocks.
 CHUNK_ROWS, HOT_SHARD = 200_000, 20_000
+#: Keys of hot shards that are broadcast, eight bytes each; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 #: For shards that carry shingles: rows joined at once, shingles beyond which a shard is dealt by its parts, candidates checked at once.
 SET_ROWS, HOT_SET, CHECKED = 1024, 500_000, 64
 
@@ -108,23 +110,22 @@ def _crowded(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, group[at]
 
 
-def _finer(bits: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Deals members of hot groups to five subgroups each, by the value of five finer blocks of all 64 bits.
+def finer_shards(shards: DataFrame, limit: int = HOT_SHARD) -> DataFrame:
+    """``key, bits`` rows, those of hot shards dealt by Spark to five finer ones each, one for each of five blocks of all 64 bits.
 
-    Five blocks and a radius of four: a pair that links agrees on one block at least, so stays
-    together in one subgroup. Returns member positions and group numbers, sorted by group.
+    Five blocks and a radius of four: a pair that links agrees on one block at least, so still meets. Keys
+    are hashes of shard and block; should two be equal, their members only meet in vain.
     """
-    hot = np.bincount(group)[group] > HOT_SHARD
-    at, own = [np.flatnonzero(~hot)], [np.stack((group[~hot], np.zeros((~hot).sum(), np.int64), np.zeros((~hot).sum(), np.int64)))]
+    hot = written(shards.groupBy("key").count().where(F.col("count") > limit).select("key"), "hot-shards")
+    n = hot.count()
+    if not n:
+        return shards
+    own = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
     # interleaved blocks: bits k, k + 5, k + 10 ..., so that the bits a shard shares anyway are spread over all five
-    for k in range(5):
-        mask = np.uint64(sum(1 << b for b in range(k, 64, 5)))
-        at.append(np.flatnonzero(hot))
-        own.append(np.stack((group[hot], np.full(hot.sum(), k + 1), (bits[hot] & mask).view(np.int64))))
-    at, own = np.concatenate(at), np.concatenate(own, axis=1)
-    order = np.lexsort(own[::-1])
-    at, own = at[order], own[:, order]
-    return at, np.cumsum(np.concatenate(([0], (own[:, 1:] != own[:, :-1]).any(0))))
+    masks = [sum(1 << b for b in range(k, 64, 5)) for k in range(5)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    finer = F.array(*(F.xxhash64("key", F.lit(k), F.col("bits").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(signed)))
+    return shards.join(own, "key", "left_anti").select("key", "bits").unionByName(shards.join(own, "key").select(F.explode(finer).alias("key"), "bits"))
 
 
 def shard_links(shards: DataFrame) -> DataFrame:
@@ -135,11 +136,8 @@ def shard_links(shards: DataFrame) -> DataFrame:
             at, group = _crowded(chunk.column("key").to_numpy())
             bits = chunk.column("bits").to_numpy()[at].view(np.uint64)
             links = Links(len(bits))
-            member = np.arange(len(bits))
-            if len(group) and np.bincount(group).max() > HOT_SHARD:
-                member, group = _finer(bits, group)
-            for i, j, d in Forest(bits[member].reshape(-1, 1), group).pairs(RADIUS):
-                links.add(member[i], member[j], d)
+            for i, j, d in Forest(bits.reshape(-1, 1), group).pairs(RADIUS):
+                links.add(i, j, d)
             edges = bits.view(np.int64)[links.edges()]
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
@@ -162,7 +160,7 @@ def simhash_components(docs: DataFrame, words: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per document; fingerprints link at ``RADIUS`` differing bits or fewer."""
     rows = written(fingerprints(docs, words), "simhash")
     distinct = rows.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    links = shard_links(distinct.select("bits", F.explode(_shard_keys(F.col("bits"))).alias("key")))
+    links = shard_links(finer_shards(distinct.select("bits", F.explode(_shard_keys(F.col("bits"))).alias("key"))))
     linked = components(links).withColumnRenamed("node", "bits")
     linked = linked.join(distinct, "bits")
     roots = linked.groupBy("root").agg(F.min("first").alias("least"))

@@ -7,10 +7,14 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from quantloom.llm import simhash
 from quantloom.llm.bloom import bloom, passes
+from quantloom.llm.graph import components
 from quantloom.llm.simhash import simhash_components, split_hot, without_near_copies
 from quantloom.llm.suffixes import LENGTH, without_repeats
 
@@ -144,6 +148,33 @@ def kept_by_brute_force(rows):
     return sorted(min(x) for x in least.values())
 
 
+def test_a_hot_shard_of_fingerprints_is_spread(spark):
+    """100,000 fingerprints that agree on two blocks, 500 of them copied with one to four bits changed."""
+    rng = np.random.default_rng(6)
+    bits = np.unique(rng.integers(0, 1 << 42, 100_000, dtype=np.uint64) << np.uint64(22) | np.uint64(5))
+    chosen = rng.choice(len(bits), 500, replace=False)
+    near = [int(bits[k]) ^ sum(1 << int(b) for b in rng.choice(np.arange(22, 64), 1 + k % 4, replace=False)) for k in chosen]
+    rows = pd.DataFrame({"key": 1, "bits": np.concatenate([bits, np.array(near, np.uint64)]).view(np.int64)}).drop_duplicates()
+    finer = simhash.finer_shards(spark.createDataFrame(rows))
+    sizes = finer.groupBy("key").count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] < 2000 and sizes[1] == 5 * len(rows)
+    edges = simhash.shard_links(finer).toPandas()
+    assert max((int(a) ^ int(b)).bit_count() for a, b in zip(edges["a"].astype(np.int64).to_numpy().view(np.uint64), edges["b"].to_numpy().view(np.uint64))) <= 4
+    root = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges)).collect()}
+    signed = np.array(near, np.uint64).view(np.int64).tolist()
+    assert all(root[int(a)] == root[b] for a, b in zip(bits[chosen].view(np.int64), signed))
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_finer_shards_keep_every_link(documents, limit):
+    rows = simhash.fingerprints(documents, 4).select("bits").distinct().withColumn("key", F.explode(simhash._shard_keys(F.col("bits"))))
+
+    def roots(shards):
+        return {r["node"]: r["root"] for r in components(simhash.shard_links(shards)).collect()}
+
+    assert roots(simhash.finer_shards(rows, limit)) == roots(rows)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_near_copies_match_brute_force(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")

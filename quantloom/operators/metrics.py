@@ -198,11 +198,14 @@ def period_metrics(curve: DataFrame, series: Series, value: str = "equity", *, p
 TRADE_METRICS = ("trade_sharpe", "profit_factor", "win_rate", "avg_trade_return", "median_trade_return", "best_trade", "worst_trade", "avg_holding_bars", "avg_holding_time", "time_in_market_pct", "turnover", "fee_drag", "slippage_drag", "gross_pnl", "net_pnl", "num_trades", "trades_per_year")
 
 
-def trade_metrics(trades: DataFrame, keys: Sequence[str], *, total_days: Column, equity_points: Column | None = None) -> DataFrame:
-    """Metrics of the trades of each group; ``total_days`` and ``equity_points`` are columns of ``trades``, constant in a group."""
+def trade_metrics(trades: DataFrame, keys: Sequence[str], *, total_days: Column, equity_points: Column | None = None, long: bool | None = None) -> DataFrame:
+    """Metrics of the trades of each group; ``total_days`` and ``equity_points`` are columns of ``trades``, constant in a group.
+
+    ``long`` tells whether some group has too many trades for one task; by default large inputs are counted.
+    """
     cash, account, pct = _or_zero(F.col("pnl_cash")), _or_zero(F.col("account_return_pct")) / 100, _or_zero(F.col("pnl_pct"))
     held = F.greatest(seconds_between(F.col("entry_ts"), F.col("exit_ts")) / 86400, F.lit(0.0))
-    long = has_long_series(trades, Series(tuple(keys), "exit_ts"))
+    long = has_long_series(trades, Series(tuple(keys), "exit_ts", long))
     medians = grouped_quantile(trades.select(*keys, pct.alias("pct")), keys, "pct", 0.5, "median_trade_return") if long else None
     sums = trades.groupBy(*keys).agg(
         F.count("*").alias("num_trades"),
@@ -242,7 +245,8 @@ def strategy_metrics(curve: DataFrame, trades: DataFrame, series: Series, *, per
     period = period_metrics(curve, series, periods_per_year=periods_per_year, calendar=calendar)
     spans = curve.groupBy(*keys).agg(F.count("*").alias("points_all"), F.min(series.ts).alias("usable_start"), F.max(series.ts).alias("usable_end"), F.min_by("equity", series.ts).alias("first_equity"), F.max_by("equity", series.ts).alias("last_equity"))
     days = F.greatest(seconds_between(F.col("usable_start"), F.col("usable_end")) / 86400, F.lit(1.0))
-    own = trade_metrics(trades.join(spans, keys), keys, total_days=days, equity_points=F.col("points_all"))
+    long = has_long_series(trades, Series(tuple(keys), "exit_ts", series.long))  # a join's size can't be estimated
+    own = trade_metrics(trades.join(spans, keys), keys, total_days=days, equity_points=F.col("points_all"), long=long)
     out = spans.join(period, keys, "left").join(own, keys, "left").fillna(0, [m for m in TRADE_METRICS if m != "num_trades"]).fillna(0, ["num_trades"])
     both = (F.col("first_equity") > 0) & (F.col("last_equity") > 0)
     return out.select(

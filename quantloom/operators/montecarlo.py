@@ -2,7 +2,8 @@
 
 Draws come from hashes of simulation, step and seed, so they don't depend on partitioning and any engine
 can repeat them. A shuffle isn't sorted: a step's trade is its image under a permutation of the numbers
-below the count of trades, a Feistel network keyed by simulation, computed for each step alone.
+below the count of trades, a Feistel network keyed by simulation, computed for each step alone. Paths of
+very many trades are cut to blocks, whose products and peaks are carried over.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import blocks
+from ..functions.blocks import deal
 from ..functions.series import Series, finite
 from ..sources.shared import stored
 
@@ -74,16 +77,26 @@ def simulate_trade_paths(returns: DataFrame, *, n_sims: int = 1000, seed: int =
     else:
         keys = spark.range(n_sims).select(F.col("id").alias("sim"), permutation_keys(F.col("id"), seed).alias("keys"))
         steps = permuted(steps.join(F.broadcast(keys), "sim"), "step", "keys", max(n, 1), "at")  # n_sims rows
-    grown = F.product(1 + F.col("r")).over(_SIM.running()) * initial_equity
-    return steps.join(own, "at").select("sim", "step", "r").withColumn("equity", grown)
-
-
-def path_metrics(paths: DataFrame) -> DataFrame:
-    """``sim, terminal, max_drawdown, sharpe`` of each path, the ratio over a year of 365 steps."""
-    peak = F.max("equity").over(_SIM.running())
+    paths = steps.join(own, "at").select("sim", "step", "r")
+    if n > blocks.LONG_ROWS:
+        dealt = deal(paths, _SIM)
+        grown = dealt.running(dealt.rows, "equity", 1 + F.col("r"), "product")
+        return grown.select("sim", "step", "r", (F.col("equity") * initial_equity).alias("equity"))
+    return paths.withColumn("equity", F.product(1 + F.col("r")).over(_SIM.running()) * initial_equity)
+
+
+def path_metrics(paths: DataFrame, long: bool = False) -> DataFrame:
+    """``sim, terminal, max_drawdown, sharpe`` of each path, the ratio over a year of 365 steps; ``long`` paths are cut to blocks."""
+    if long:
+        dealt = deal(paths.select("sim", "step", "equity"), _SIM)
+        before = F.lag("equity").over(dealt.series.ordered())
+        rows = dealt.with_halo(1).withColumn("before", before).where("NOT __halo")
+        rows = dealt.running(rows, "peak", F.col("equity"), "max")
+    else:
+        rows = paths.withColumns({"before": F.lag("equity").over(_SIM.ordered()), "peak": F.max("equity").over(_SIM.running())})
+    peak, before = F.col("peak"), F.col("before")
     depth = F.when(peak > 0, (peak - F.col("equity")) / F.when(peak > 0, peak)).otherwise(0.0)
-    before = F.lag("equity").over(_SIM.ordered())
-    rows = paths.withColumns({"dd": depth, "own": finite(F.col("equity") / F.when(before != 0, before) - 1)})
+    rows = rows.withColumns({"dd": depth, "own": finite(F.col("equity") / F.when(before != 0, before) - 1)})
     mean, std = F.avg("own"), F.stddev_pop("own")
     sharpe = F.when(std > 1e-12, mean / F.when(std != 0, std)).otherwise(0.0) * F.sqrt(F.lit(365.0))
     return rows.groupBy("sim").agg(F.max_by("equity", "step").alias("terminal"), F.max("dd").alias("max_drawdown"), sharpe.alias("sharpe"))
@@ -91,7 +104,8 @@ def path_metrics(paths: DataFrame) -> DataFrame:
 
 def robustness(returns: DataFrame, *, n_sims: int = 1000, seed: int = 0, method: str = "bootstrap", initial_equity: float = 1.0) -> DataFrame:
     """One row: chances of a loss and of a negative Sharpe ratio, drawdowns and terminal quantiles; neutral without returns."""
-    own = path_metrics(simulate_trade_paths(returns, n_sims=n_sims, seed=seed, method=method, initial_equity=initial_equity))
+    paths = simulate_trade_paths(returns, n_sims=n_sims, seed=seed, method=method, initial_equity=initial_equity)
+    own = path_metrics(paths, returns.count() > blocks.LONG_ROWS)
 
     def share(test: Column) -> Column:
         return F.coalesce(F.avg(F.when(test, 1.0).otherwise(0.0)), F.lit(0.0))

@@ -201,7 +201,7 @@ def closed_form_equity(grid: DataFrame, capital: float = 100.0, keys: Sequence[s
     own = list(keys) or ["portfolio"]
     rows = grid if keys else grid.withColumn("portfolio", F.lit(0))
     growth = rows.withColumn("gain", gain).groupBy(*own, "ts").agg((1 + F.sum("gain")).alias("g"))
-    series = Series(tuple(own))
+    growth, series = stored(growth, "growth"), Series(tuple(own))  # a row a time
     if has_long_series(growth, series):
         blocks = deal(growth, series)
         grown = blocks.running(blocks.rows, "grown", F.col("g"), "product")

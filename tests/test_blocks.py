@@ -12,7 +12,7 @@ from quantloom.functions import blocks
 from quantloom.functions.blocks import AT, BLOCK, deal, grouped_quantile, has_long_series, in_blocks
 from quantloom.functions.series import Series
 from quantloom.functions.transforms import apply_transform, apply_transforms
-from quantloom.operators import metrics
+from quantloom.operators import metrics, montecarlo
 
 START = datetime(2024, 1, 1)
 
@@ -156,3 +156,14 @@ def test_metrics_of_many_trades(spark, gaps, monkeypatch):
     monkeypatch.setattr(blocks, "LONG_ROWS", 10)
     found = rows()
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(v) for k, v in want.items())
+
+
+@pytest.mark.parametrize("method", montecarlo.METHODS)
+def test_long_paths(spark, monkeypatch, method):
+    rng = np.random.default_rng(2)
+    returns = spark.createDataFrame([(k, float(r)) for k, r in enumerate(rng.normal(0, 0.05, 150))], "step bigint, r double")
+    paths = lambda: {(r["sim"], r["step"]): r["equity"] for r in montecarlo.simulate_trade_paths(returns, n_sims=4, seed=3, method=method).collect()}
+    report = lambda: montecarlo.robustness(returns, n_sims=4, seed=3, method=method).first().asDict()
+    want, summed = paths(), report()
+    monkeypatch.setattr(blocks, "LONG_ROWS", 10)
+    assert paths() == pytest.approx(want) and report() == pytest.approx(summed)

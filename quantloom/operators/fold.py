@@ -86,8 +86,8 @@ class Fold:
 
     def settle(self, price: float) -> None:
         """Ends the position at a price."""
-        cost = self.allocated * self.risk.fee_pct + self.allocated * self.risk.slippage_pct
-        self.cash += self.units * (price - self.price) * self.side - cost
+        fee, slip = self.allocated * self.risk.fee_pct, self.allocated * self.risk.slippage_pct
+        self.cash += self.units * (price - self.price) * self.side - fee - slip
         self.side = 0
 
     def open(self, b: dict, k: int) -> None:

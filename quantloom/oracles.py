@@ -9,6 +9,11 @@ HOURS, DAYS = BARS.format(every="hour"), BARS.format(every="day")
 OWN = "PARTITION BY symbol ORDER BY ts"
 
 
+def rounding(value: str, places: int = 6) -> str:
+    """To nine places first, so that a value halfway between two roundings doesn't depend on the order of sums."""
+    return f"coalesce(round(TRY_CAST({value} AS DECIMAL(38, 9)), {places})::DOUBLE, round({value}::DOUBLE, {places})) + 0.0"
+
+
 def rows(n: int) -> str:
     return f"({OWN} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
@@ -170,12 +175,12 @@ def backtest_metrics() -> str:
     """Period and trade metrics of each series' backtest, rounded as reports show them."""
     digits = dict.fromkeys(("return_pct", "cagr_pct", "win_rate"), 2) | dict.fromkeys(("cagr", "fee_drag", "slippage_drag", "gross_pnl", "net_pnl"), 6)
     names = [n for n in (*PERIOD_NAMES, *TRADE_VALUES) if n != "periods_per_year"]
-    values = ", ".join(f"round(coalesce({n}, 0)::DOUBLE, {digits.get(n, 3)}) + 0.0 AS {n}" for n in names)
+    values = ", ".join(f"{rounding(f'coalesce({n}, 0)', digits.get(n, 3))} AS {n}" for n in names)
     dates = ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS max_drawdown_{n}" for n, c in (("start", "start"), ("end", "since"), ("recovery", "recovery")))
     return f"""WITH RECURSIVE {BACKTEST}, {PERIOD},
       span AS (SELECT symbol, count(*) AS usable_rows, min(ts) AS usable_start, max(ts) AS usable_end, greatest((epoch(max(ts)) - epoch(min(ts))) / 86400.0, 1) AS days, arg_max(e, ts) - arg_min(e, ts) AS net FROM curves GROUP BY 1), {TRADED}
-      SELECT symbol, 'zscore' AS strategy_id, usable_start, usable_end, usable_rows, coalesce(num_trades, 0) AS num_trades, round(coalesce(trade_sharpe, 0), 3) + 0.0 AS sharpe, round(max_drawdown_pct, 2) + 0.0 AS max_drawdown, round(net, 2) + 0.0 AS net_profit,
-        round(coalesce(avg_trade_return, 0), 2) + 0.0 AS avg_trade_pct, {dates}, {values} FROM span JOIN period USING (symbol) JOIN dd USING (symbol) LEFT JOIN traded USING (symbol)"""
+      SELECT symbol, 'zscore' AS strategy_id, usable_start, usable_end, usable_rows, coalesce(num_trades, 0) AS num_trades, {rounding("coalesce(trade_sharpe, 0)", 3)} AS sharpe, {rounding("max_drawdown_pct", 2)} AS max_drawdown, {rounding("net", 2)} AS net_profit,
+        {rounding("coalesce(avg_trade_return, 0)", 2)} AS avg_trade_pct, {dates}, {values} FROM span JOIN period USING (symbol) JOIN dd USING (symbol) LEFT JOIN traded USING (symbol)"""
 
 
 _LINES = """t AS (SELECT l_returnflag AS symbol, l_linestatus AS strategy_id, l_orderkey * 10 + l_linenumber AS exit_idx, l_orderkey AS entry_idx, l_quantity::DOUBLE AS bars_held, l_discount::DOUBLE AS pnl_pct,

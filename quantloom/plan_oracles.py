@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from .oracles import HOURS, PERIOD, PERIOD_NAMES, TRADE_VALUES, TRADED, rules
+from .oracles import HOURS, PERIOD, PERIOD_NAMES, TRADE_VALUES, TRADED, rounding, rules
 
 #: The sweep's parameters; a wide sweep has more values of some.
 PARAMS = ("rolling_window", "long_threshold", "short_threshold", "exit_signal", "take_profit_pct", "stop_loss_pct")
@@ -50,11 +50,6 @@ def part(n: int) -> str:
     return f"split_part(symbol, '~', {n})"
 
 
-def rounding(value: str, places: int = 6) -> str:
-    """To nine places first, so that a value halfway between two roundings doesn't depend on the order of sums."""
-    return f"coalesce(round(TRY_CAST({value} AS DECIMAL(38, 9)), {places})::DOUBLE, round({value}::DOUBLE, {places})) + 0.0"
-
-
 def rounded(names) -> str:
     return ", ".join(n if n.removeprefix("in_sample_").removeprefix("out_sample_").removeprefix("train_").removeprefix("test_") in (*DATES, *COUNTS) else f"{rounding(n)} AS {n}" for n in names)
 

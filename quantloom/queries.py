@@ -148,7 +148,7 @@ def backtest_equity(spark: SparkSession, sf_dir: str, series: Series = SERIES) -
 
 
 def backtest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.rounded_metrics(backtest(spark, sf_dir).run().metrics())
+    return metrics.rounded_metrics(rounded(backtest(spark, sf_dir).run().metrics(), 9))
 
 
 def trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

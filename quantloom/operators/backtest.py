@@ -86,8 +86,9 @@ def simulate(bars: DataFrame, strategies: Sequence[Strategy], series: Series = S
     for s in strategies:
         pipelines.setdefault(s.transforms, []).append(s)
     groups = [own[k : k + GROUP] for own in pipelines.values() for k in range(0, len(own), GROUP)]
-    plan = _Plan(list(pipelines), groups, list(dict.fromkeys(c for s in strategies for c in s.conditions())), series, capital)
-    return plan.in_blocks(bars) if has_long_series(bars, series) else plan.whole(bars)
+    long = has_long_series(bars, series)  # found once for all pipelines
+    plan = _Plan(list(pipelines), groups, list(dict.fromkeys(c for s in strategies for c in s.conditions())), Series(series.keys, series.ts, long), capital)
+    return plan.in_blocks(bars) if long else plan.whole(bars)
 
 
 @dataclass(frozen=True)

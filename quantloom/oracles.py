@@ -27,13 +27,13 @@ def zscore(n: int, least: int, std: str = "stddev_pop", c: str = "c") -> str:
 
 
 def asof(direction: str) -> str:
-    """Bars with the click signal available 30 seconds before, before or after by direction."""
+    """Bars with the signal of all events available 30 seconds before, before or after by direction."""
     back = "SELECT b.symbol, b.ts, s.available_ts AS t FROM bars b ASOF LEFT JOIN s ON b.ts - INTERVAL 30 SECONDS >= s.available_ts"
     ahead = "SELECT b.symbol, b.ts, s.available_ts AS t FROM bars b ASOF LEFT JOIN s ON b.ts - INTERVAL 30 SECONDS <= s.available_ts"
     nearest = f"""SELECT x.symbol, x.ts, CASE WHEN y.t IS NOT NULL AND (x.t IS NULL OR y.t - (x.ts - INTERVAL 30 SECONDS) < (x.ts - INTERVAL 30 SECONDS) - x.t) THEN y.t ELSE x.t END AS t
       FROM ({back}) x JOIN ({ahead}) y USING (symbol, ts)"""
     chosen = {"backward": back, "forward": ahead, "nearest": nearest}[direction]
-    return f"""WITH {HOURS}, s AS (SELECT ts AS event_ts, ts + INTERVAL 5 MINUTES AS available_ts, value FROM events WHERE event_type = 'click'),
+    return f"""WITH {HOURS}, s AS (SELECT ts AS event_ts, ts + INTERVAL 5 MINUTES AS available_ts, value FROM events),
       m AS ({chosen}), a AS (SELECT b.symbol, b.ts, b.close, s.event_ts, s.available_ts, s.value, epoch_us(b.ts) - epoch_us(s.available_ts) AS age,
         coalesce(s.available_ts <= b.ts - INTERVAL 30 SECONDS, false) AS safe FROM m JOIN bars b USING (symbol, ts) LEFT JOIN s ON s.available_ts = m.t)
       SELECT symbol, ts, round(close, 6) AS close, CASE WHEN safe AND NOT coalesce(age > 3600000000, false) THEN round(value, 6) END AS signal, event_ts AS signal_event_ts,
@@ -201,7 +201,7 @@ LISTS: dict[str, str] = {
 }
 
 ORACLES: dict[str, str] = LISTS | {
-    "s_ohlc_load": """WITH r AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS t, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events WHERE event_type = 'view' GROUP BY 1)
+    "s_ohlc_load": """WITH r AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS t, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1)
       SELECT t AS ts, t + INTERVAL 1 MINUTE AS close_ts, open, high, low, close, volume FROM r WHERE t BETWEEN '2024-01-05' AND '2024-01-19'""",
     "s_signal_load": "SELECT ts, min(value) AS signal_value FROM events WHERE event_type = 'error' AND value IS NOT NULL AND ts BETWEEN '2024-01-05' AND '2024-01-19' GROUP BY ts",
     "w_zscore": transform(zscore(20, 20)),
@@ -275,7 +275,7 @@ ORACLES: dict[str, str] = LISTS | {
     "v_signal_unreadable": f"""WITH {UNREADABLE}, d AS (SELECT *, CASE WHEN event_id % 79 <> 0 THEN t END AS e, CASE WHEN event_id % 73 <> 0 THEN t END AS a FROM u) """
     + issues("d", {"invalid_signal_timestamp": ("error", "count(*) FILTER (t IS NULL)"), "nan_signal": ("warning", "count(*) FILTER (x IS NULL)"), "inf_signal": ("error", "count(*) FILTER (isinf(x))"), "invalid_event_ts": ("error", "count(*) FILTER (e IS NULL)"),
       "invalid_available_ts": ("error", "count(*) FILTER (a IS NULL)"), "duplicate_signal_timestamps": ("error", "count(*) - count(DISTINCT t) - (count(*) > count(t))::INT")}, "symbol"),
-    "v_signal": """WITH c AS (SELECT ts + INTERVAL 5 MINUTES AS a, date_trunc('hour', ts + INTERVAL 5 MINUTES) AS t, CASE WHEN value <= 150 THEN value END AS x, CASE WHEN minute(ts) < 5 THEN ts + INTERVAL 65 MINUTES ELSE ts END AS e FROM events WHERE event_type = 'click') """
+    "v_signal": """WITH c AS (SELECT ts + INTERVAL 5 MINUTES AS a, date_trunc('hour', ts + INTERVAL 5 MINUTES) AS t, CASE WHEN value <= 150 THEN value END AS x, CASE WHEN minute(ts) < 5 THEN ts + INTERVAL 65 MINUTES ELSE ts END AS e FROM events) """
     + issues("c", {"nan_signal": ("warning", "count(*) FILTER (x IS NULL)"), "duplicate_signal_timestamps": ("warning", "count(*) - count(DISTINCT t)"), "available_before_event_ts": ("warning", "count(*) FILTER (a < e)"), "stale_signal": ("warning", "count(*) FILTER (epoch_us(t) - epoch_us(a) > -1800000000)")}),
     "o_downsample": f"""WITH {HOURS}, k AS (SELECT symbol, ts, close, row_number() OVER ({OWN}) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM bars), i AS (SELECT range AS i FROM range(100))
       SELECT DISTINCT symbol, ts, close FROM k, i WHERE n <= 100 OR k = (i * (n - 1)) // 99""",

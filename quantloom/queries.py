@@ -66,15 +66,15 @@ def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("symbol", "ts", *(mask(c, x, SERIES).alias(n) for n, c in found.items()))
 
 
-def click_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("event_type = 'click'")
-    return events.select(F.col("ts").alias("event_ts"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("available_ts"), F.col("value").alias("signal_value"))
+def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one signal, known five minutes later."""
+    return table(spark, sf_dir, "events").select(F.col("ts").alias("event_ts"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("available_ts"), F.col("value").alias("signal_value"))
 
 
 def asof_query(direction: str, broadcast: bool | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = bars(spark, sf_dir).select("symbol", "ts", "close")
-        out = align.align_signal_to_bars(own, click_signal(spark, sf_dir), direction=direction, tolerance="1h", min_lag="30s", broadcast=broadcast)
+        out = align.align_signal_to_bars(own, event_signal(spark, sf_dir), direction=direction, tolerance="1h", min_lag="30s", broadcast=broadcast)
         return rounded(out.drop("alignment_method"))
 
     return query
@@ -92,7 +92,7 @@ def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ohlc_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "events").where("event_type = 'view'").withColumn("open_time", F.unix_millis(F.date_trunc("minute", "ts").cast("timestamp")))
+    raw = table(spark, sf_dir, "events").withColumn("open_time", F.unix_millis(F.date_trunc("minute", "ts").cast("timestamp")))
     raw = raw.groupBy("open_time").agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count("*").alias("volume"))
     return load_ohlc(raw.withColumn("close_time", F.col("open_time") + 60_000), volume_col="volume", start_ms=1_704_412_800_000, end_ms=1_705_622_400_000)
 
@@ -387,7 +387,7 @@ def mode_sortino(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = click_signal(spark, sf_dir).withColumn("ts", F.date_trunc("hour", "available_ts").cast("timestamp_ntz"))
+    own = event_signal(spark, sf_dir).withColumn("ts", F.date_trunc("hour", "available_ts").cast("timestamp_ntz"))
     own = own.withColumn("signal", F.when(F.col("signal_value") > 150, None).otherwise(F.col("signal_value")))
     own = own.withColumn("event_ts", F.when(F.minute("event_ts") < 5, F.col("available_ts") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("event_ts")))
     return quality.validate_signal(own, event_ts_col="event_ts", available_ts_col="available_ts", duplicate_policy="warn", stale_after="-30min").drop("message")

@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.llm import mixing
 from quantloom.llm.htmltext import main_text, page_texts
@@ -279,6 +280,38 @@ def test_copied_chunks_match_brute_force(both):
     assert sum(n for _, n in want) > 100
 
 
+def test_every_training_document_is_counted_and_fitted(spark):
+    def model(texts):
+        docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+        rows = mixing.gather(docs).where("run IS NOT NULL")
+        counts = mixing._slot_counts(rows.groupBy("run").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(2 * mixing.ROW))))
+        return counts, mixing.fitted(docs, counts)
+
+    texts = [f"document {k} has the number {k * k} and {'many ' * k}words of its own" for k in range(12)]
+    counts, whole = model(texts)
+    assert (counts.sum((1, 2)) == 8 * sum(len(t) + 1 for t in texts)).all()
+    fresh = mixing.Mixer.fresh()
+    assert all((whole.weights.reshape(8, -1) != fresh.weights.reshape(8, -1)).any(1)) and (whole.refined != fresh.refined).any()
+    for k in (0, 5, 11):  # each one moves what is fitted, with the same counts
+        fewer = mixing.fitted(spark.createDataFrame([(t,) for i, t in enumerate(texts) if i != k], "text string").coalesce(1), counts)
+        assert abs(fewer.weights - whole.weights).max() > 1e-6
+
+
+def test_a_piece_is_left_out_of_the_counts_it_is_fitted_with():
+    code, times = mixing._counted(mixing._codes([b"one text, and the same text once more, text"])[0])
+    own = np.zeros((len(mixing.ORDERS), mixing._SLOTS, 2), np.float32)
+    mixing._add(own, code, times)
+    other = np.zeros_like(own)
+    mixing._add(other, *mixing._counted(mixing._codes([b"quite another text and one more"])[0]))
+    seen = []
+    fitted = mixing.Mixer.fresh()
+    plain = mixing.Mixer._inputs
+    fitted._inputs = lambda reduced, look: ((seen.append(given), (given, longest))[1] for given, longest in plain(reduced, look))
+    fitted.learn(code, times, own + other)
+    want = plain([mixing._reduced(code, k) for k in range(len(mixing.ORDERS))], lambda k, slots, bit: mixing._odds(other[k, slots, 0], other[k, slots, 1]))
+    assert len(seen) == 8 and all((a == b).all() for a, (b, _) in zip(seen, want)) and any((a[:-1] != 0).any() for a in seen)
+
+
 def test_scores_beat_the_base_score(spark):
     found = mixing.score_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").toPandas()
     assert found.score.sum() > 0.9 * found.base_score.sum()

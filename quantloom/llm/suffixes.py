@@ -48,8 +48,8 @@ from .text import in_batches, pieces, utf8
 LENGTH, CORE, CELLS = 400, 64, (50, 7, 1)
 #: Bytes before and behind an anchor that are compared between documents.
 AROUND = (32, 96)
-#: Bytes of text that a task works on at once.
-PIECE = 4 << 20
+#: Bytes of text that a task works on at once; its arrays take some hundred bytes for each.
+PIECE = 1 << 20
 _KEY = ("k1", "k2")
 
 

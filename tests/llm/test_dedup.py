@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -16,7 +17,7 @@ from quantloom.llm import simhash
 from quantloom.llm.bloom import bloom, passes
 from quantloom.llm.graph import components
 from quantloom.llm.simhash import simhash_components, split_hot, without_near_copies
-from quantloom.llm.suffixes import LENGTH, without_repeats
+from quantloom.llm.suffixes import LENGTH, PIECE, runs_of, without_repeats
 
 
 def brute_repeats(texts):
@@ -42,6 +43,16 @@ def test_suffixes_match_brute_force(documents, small):
     assert got == want and sum(n for _, (_, n, _, _) in want) > 0
 
 
+def test_suffixes_hold_little_memory_a_piece():
+    rng = random.Random(3)
+    text = bytes(rng.choices(b"abcdefgh ", k=PIECE // 16))
+    tracemalloc.start()
+    runs_of([text] * 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # two tasks run beside an executor's heap
+
+
 def test_suffixes_odd_rows(spark, odd, none):
     # offsets of equal strings that differ from copy to copy, and overlapping repeats
     base = "".join(f"passage {k} of a text; " for k in range(60))

@@ -13,7 +13,7 @@ import pytest
 
 from quantloom.llm import conversations
 from quantloom.llm.conversations import audit, damaged, repair, repair_report
-from quantloom.llm.exactdedup import absorb, dedup_report, exact_dedup, groups
+from quantloom.llm.exactdedup import STATE_STORE, absorb, dedup_report, exact_dedup, groups
 from quantloom.llm.filteraudit import FILTERS, FIRST, ORDERS, filter_audit
 
 # --- exact deduplication
@@ -258,3 +258,12 @@ def test_first_failure_table():
     for mask in range(32):
         for k, order in enumerate(ORDERS):
             assert FIRST[mask, k] == next((at for at, f in enumerate(order) if mask >> FILTERS.index(f) & 1), 5)
+
+
+def test_state_files_are_committed_without_processes(spark, tmp_path):
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for k, v in STATE_STORE.items():
+        conf.set(k, v)
+    jvm = spark._jvm.org.apache
+    manager = jvm.spark.sql.execution.streaming.checkpointing.CheckpointFileManager.create(jvm.hadoop.fs.Path(f"file://{tmp_path}"), conf)
+    assert manager.getClass().getSimpleName() == "FileSystemBasedCheckpointFileManager"

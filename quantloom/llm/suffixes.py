@@ -21,6 +21,7 @@ counting too. The counts are written before the joins with them, and no step on
 that adaptive execution may split a join where a string has very many copies.
 
 A passage that is shared but shorter than ``LENGTH`` loses nothing. Documents that hold one can be told
+by ``n_copied``, the passages of 51 words that stand in another document too (``passages``), and more loosely
 by ``n_shared``: of the anchors whose core repeats, those whose surroundings (``AROUND`` bytes before and
 behind) stand in another document too.
 
@@ -41,6 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bloom import bloom, passes
 from .decontaminate import merged
+from .passages import shared_passages
 from .storage import written
 from .text import in_batches, pieces, utf8
 
@@ -248,14 +250,14 @@ def shared_anchors(runs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_shared`` of each document; ``spans`` are the removed byte ranges."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_shared, n_copied`` of each document; ``spans`` are the removed byte ranges."""
     keyed = in_batches(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
     plain = keyed.select(*_KEY, "text")
     runs = written(candidate_runs(plain, repeated_filter(plain)).withColumn("n", F.lit(1)), "suffix-runs")
     spans = repeated_spans(plain, runs).select(*_KEY, F.array("a", "b").alias("span"))
-    both = spans.unionByName(shared_anchors(runs), allowMissingColumns=True)
-    spans = both.groupBy(*_KEY).agg(F.flatten(F.collect_set("span")).alias("spans"), F.count_if(F.col("span").isNull()).alias("n_shared"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    both = spans.unionByName(shared_anchors(runs).withColumn("shared", F.lit(1)), allowMissingColumns=True).unionByName(shared_passages(plain), allowMissingColumns=True)
+    spans = both.groupBy(*_KEY).agg(F.flatten(F.collect_set("span")).alias("spans"), F.count("shared").alias("n_shared"), F.max("n_copied").alias("n_copied"))
+    kind, numbers = docs.schema["doc_id"].dataType.simpleString(), ("n_shared", "n_copied")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,7 +272,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((len(data), sum(b - a for a, b in removed), len(removed), sha.hexdigest(), [x for span in removed for x in span]))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types)), batch.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_shared"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types)), batch.column(3), batch.column(4)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *numbers])
 
-    joined = keyed.join(spans, list(_KEY), "left").select("doc_id", "text", "spans", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, n_shared long")
+    joined = keyed.join(spans, list(_KEY), "left").select("doc_id", "text", "spans", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers))
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, n_shared long, n_copied long")

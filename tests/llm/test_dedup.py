@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quantloom.llm import simhash
 from quantloom.llm.bloom import bloom, passes
 from quantloom.llm.graph import components
+from quantloom.llm.passages import WORDS
 from quantloom.llm.simhash import simhash_components, split_hot, without_near_copies
 from quantloom.llm.suffixes import LENGTH, PIECE, runs_of, without_repeats
 
@@ -74,6 +75,32 @@ def test_shared_anchors(spark):
     assert {k for k, r in found.items() if r["n_shared"]} == {k for k in range(40) if k % 4 == 0}
 
 
+def brute_copied(texts):
+    own = [[tuple(w[k : k + WORDS]) for k in range(len(w) - WORDS + 1)] for w in ((t or "").encode().split() for t in texts)]
+    holders = Counter(p for ps in own for p in set(ps))
+    return [sum(holders[p] > 1 for p in ps) for ps in own]
+
+
+def test_copied_passages_match_brute_force(spark, documents, odd, small):
+    want = Counter(zip(small.doc_id.tolist(), brute_copied(small.text)))
+    got = Counter((r["doc_id"], r["n_copied"]) for r in without_repeats(documents).collect())
+    assert got == want and sum(n > 0 for _, n in want) > 0
+
+    deal = random.Random(5)
+    words = lambda n, most=999: [deal.choice("abcdefgh") + str(deal.randrange(most)) for _ in range(n)]
+    base, again = words(150), words(60)
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    for n in (50, 51, 52):  # texts of under LENGTH bytes, at the border of what counts
+        passage = words(n, 9)
+        rows += [(100 + n, " ".join(passage)), (200 + n, "\n ".join([*words(70), *passage, "end"]))]
+    rows += [(300, " ".join(again + words(9) + again)), (301, " ".join(words(5) + ["x"] * 80)), (302, " ".join(again[:50]))]  # within one text only
+    rows += [(k, " ".join(base)) for k in (400, 401)] + [(402, "\t".join(words(20) + base[30:101] + words(20))), (403, " ".join(base[100:]))]  # whole copies and parts of them
+    rows += [(500 + k, " ".join(words(20) + base[70:125] + words(20))) for k in range(20)] + [(600, " ".join(base[5:])), (600, " ".join(base[5:]))]
+    want = Counter(zip((i for i, _ in rows), brute_copied([t for _, t in rows])))
+    got = Counter((r["doc_id"], r["n_copied"]) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 5000, 200_000])
 def test_filters_hold_their_names_and_few_others(spark, n):
     names = spark.range(n).selectExpr("xxhash64(id) AS name")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import written
@@ -20,6 +23,12 @@ def passes(words: np.ndarray, names: np.ndarray) -> np.ndarray:
     return ok
 
 
+def holding(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose first column, a 64-bit name, the filter may hold."""
+    for batch in batches:
+        yield batch.filter(pa.array(passes(words, batch.column(0).to_numpy().view(np.uint64))))
+
+
 def bloom(names: DataFrame) -> np.ndarray:
     """A Bloom filter of the ``name`` column, as 64-bit words.
 

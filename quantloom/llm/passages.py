@@ -25,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bloom import bloom, passes
+from .bloom import bloom, holding, passes
 from .storage import written
-from .text import pieces
+from .text import anchored_runs, pieces
 
 #: Words of a passage, and words at its anchor that all passages of a run share: at least 16 bytes.
 WORDS, CORE = 51, 24
@@ -39,27 +39,21 @@ _EXTENT = ("e1", "e2")
 
 def word_runs(texts: list[bytes]) -> tuple[memoryview, np.ndarray, np.ndarray, np.ndarray]:
     """The words parted by single blanks, the offset of each, the first word of each text, and a row (text, first, last, anchor) for each run."""
-    words = [t.split() for t in texts]
-    ends = np.cumsum([0, *map(len, words)])
+    counts, lines = [0], []
+    for text in texts:
+        words = text.split()
+        counts.append(len(words))
+        if words:
+            lines.append(b" ".join(words))
+    ends = np.cumsum(counts)
     n, window = int(ends[-1]), WORDS - CORE + 1
-    data = b" ".join([w for own in words for w in own]) + b" " * bool(n)
+    data = b" ".join(lines) + b" " * bool(n)
     offset = np.concatenate(([0], np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1))
     gram = np.ndarray((len(data) + 9,), "<u8", data + bytes(16), strides=(1,))
-    key = gram[offset[:n]] * np.uint64(0x9E3779B97F4A7C15) + gram[offset[:n] + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
-    key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)
-    rows = np.full((-(-(n + window) // window), window), np.iinfo(np.uint64).max, np.uint64)
-    rows.reshape(-1)[:n] = key
-    ahead = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].reshape(-1)
-    behind = np.minimum.accumulate(rows, 1).reshape(-1)
-    anchor = (np.minimum(ahead[:n], behind[window - 1 : n + window - 1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), np.diff(ends))
-    start = np.flatnonzero(np.arange(n) + WORDS <= ends[1:][owner])
-    if not len(start):
-        return memoryview(data), offset, ends, np.zeros((0, 4), np.int64)
-    owner, anchor = owner[start], anchor[start]
-    first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
-    last = np.concatenate((first[1:] - 1, [len(start) - 1]))
-    return memoryview(data), offset, ends, np.stack((owner[first], start[first], start[last], anchor[first]), 1)
+    own = gram[offset[:n]] * np.uint64(0x9E3779B97F4A7C15) + gram[offset[:n] + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+    key = np.full(-(-(n + window) // window) * window, np.iinfo(np.uint64).max, np.uint64)
+    key[:n] = (own ^ own >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)
+    return memoryview(data), offset, ends, anchored_runs(key, ends, window, WORDS)
 
 
 def _cores(data: memoryview, offset: np.ndarray, runs: np.ndarray) -> np.ndarray:
@@ -115,10 +109,11 @@ def candidate_runs(docs: DataFrame, cores: np.ndarray) -> DataFrame:
 def passages(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``k1, k2, twice, w1, w2``: names of the passages of the runs in ``wanted`` (``k1, k2, first, twice``)."""
     place = F.col("k1").bitwiseXOR(F.shiftleft("first", 36)).bitwiseXOR(F.shiftleft("first", 8))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(place.alias("name"))))
+    names = wanted.select(place.alias("name")).union(wanted.select("k1").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, "text", PIECE):
+        for part, texts in pieces(holding(batches, shared.value), "text", PIECE):
             data, offset, ends, runs = word_runs(texts)
             first = (runs[:, 1] - ends[runs[:, 0]]).astype(np.uint64)
             key = part.column(0).to_numpy()[runs[:, 0]].view(np.uint64)

@@ -13,7 +13,7 @@ of the positions travels instead of all of them with a sort in each round:
   ``LENGTH`` bytes as cells shrink to one start. Cells with a unique core drop out;
 * a cell whose whole extent (all bytes of all its strings) is repeated is settled at once.
 
-Bloom filters tell which runs to take from the texts, so no text is shuffled in the
+Bloom filters tell which runs to take from the texts, and which texts have any of those taken late, so no text is shuffled in the
 rounds; what they let pass in error is told apart by joins. Extents are compared by 128-bit
 fingerprints. A settled extent stays in the rounds as one row that counts twice, as long as an open
 cell has its core. Groups are counted before the shuffle, never gathered, and that one row comes from the
@@ -40,11 +40,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bloom import bloom, passes
+from .bloom import bloom, holding, passes
 from .decontaminate import merged
 from .passages import shared_passages
 from .storage import written
-from .text import in_batches, pieces, utf8
+from .text import anchored_runs, in_batches, pieces, utf8
 
 #: Bytes of a string, bytes at its anchor that all strings of a run share, and starts in a cell by round.
 LENGTH, CORE, CELLS = 400, 64, (50, 7, 1)
@@ -53,29 +53,21 @@ AROUND = (32, 96)
 #: Bytes of text that a task works on at once; its arrays take some hundred bytes for each.
 PIECE = 1 << 20
 _KEY = ("k1", "k2")
+_EXTENT = ("e1", "e2")
 
 
 def runs_of(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     """The joined texts, and a row (text, first start, last start, anchor) for each run; offsets within the joined texts."""
     window = LENGTH - CORE + 1
-    lengths = np.array([len(t) for t in texts], np.int64)
-    n = int(lengths.sum())
+    ends = np.cumsum([0, *map(len, texts)])
+    n = int(ends[-1])
     data = b"".join([*texts, bytes(window + 8)])
-    gram = np.ndarray((n + window,), "<u8", data, strides=(1,)).astype(np.uint64)
-    key = (gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32) << np.uint64(32) | np.arange(n + window, dtype=np.uint64)
-    rows = np.full((-(-len(key) // window), window), np.iinfo(np.uint64).max, np.uint64)
-    rows.reshape(-1)[: len(key)] = key
-    ahead = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].reshape(-1)
-    behind = np.minimum.accumulate(rows, 1).reshape(-1)
-    anchor = (np.minimum(ahead[:n], behind[window - 1 : n + window - 1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    start = np.flatnonzero(np.arange(n) + LENGTH <= np.cumsum(lengths)[owner]) if n else np.zeros(0, np.int64)
-    if not len(start):
-        return data, np.zeros((0, 4), np.int64)
-    owner, anchor = owner[start], anchor[start]
-    first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
-    last = np.concatenate((first[1:] - 1, [len(start) - 1]))
-    return data, np.stack((owner[first], start[first], start[last], anchor[first]), 1)
+    key = np.full(-(-(n + window) // window) * window, np.iinfo(np.uint64).max, np.uint64)
+    own = key[: n + window]
+    np.multiply(np.ndarray((n + window,), "<u8", data, strides=(1,)), np.uint64(0x9E3779B97F4A7C15), out=own)
+    own &= np.uint64(0xFFFFFFFF00000000)
+    own |= np.arange(n + window, dtype=np.uint64)
+    return data, anchored_runs(key, ends, window, LENGTH)
 
 
 def _names(data: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -152,12 +144,13 @@ def candidate_runs(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
 
 def chosen_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The runs named by ``k1, k2, start`` of ``wanted``, with their bytes and its other columns, in one more pass over the texts."""
+    """The runs named by ``k1, k2, start`` of ``wanted``, with their bytes and its other columns, in one more pass over the texts that have any."""
     place = F.col("k1").bitwiseXOR(F.shiftleft("start", 36)).bitwiseXOR(F.shiftleft("start", 8))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(place.alias("name"))))
+    names = wanted.select(place.alias("name")).union(wanted.select("k1").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, "text", PIECE):
+        for part, texts in pieces(holding(batches, shared.value), "text", PIECE):
             data, runs = runs_of(texts)
             start = (runs[:, 1] - np.cumsum([0, *map(len, texts)])[runs[:, 0]]).astype(np.uint64)
             key = part.column(0).to_numpy()[runs[:, 0]].view(np.uint64)
@@ -209,32 +202,36 @@ def _spans(rows: DataFrame, first: str) -> DataFrame:
     return rows.select(*_KEY, F.col(first).alias("a"), (F.col("last") + LENGTH).alias("b"))
 
 
+def _told(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """The rows with ``whole``, true where their extent is repeated and else null; such rows keep no core."""
+    known = rows.join(twice.select(*_EXTENT, F.lit(True).alias("whole")), list(_EXTENT), "left").drop(*_EXTENT)
+    return written(known.withColumn("core", F.when(F.col("whole").isNull(), F.col("core"))), "suffix-told")
+
+
 def _partners(twice: DataFrame, opened: DataFrame) -> DataFrame:
     """The row of each repeated extent whose core ``opened`` has too: what is open is compared with it further."""
     return twice.join(opened.select("core").distinct(), "core", "left_semi").withColumn("n", F.lit(2))
 
 
-_EXTENT = ("e1", "e2")
-
-
 def repeated_spans(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """``k1, k2, a, b``: byte ranges of repeated strings, from documents with their keys and their runs; ranges may overlap."""
     twice = _repeated(runs, _EXTENT, (*_KEY, "start", "core"))
-    named = runs.where("bytes IS NULL").drop("bytes", "around")
-    missed = named.join(twice.select(*_EXTENT), list(_EXTENT), "left_anti")
+    named = _told(runs.where("bytes IS NULL").drop("anchor", "bytes", "around"), twice)
+    missed = named.where("whole IS NULL")
     opened = runs.where("bytes IS NOT NULL").select(*_KEY, "start", "last", "anchor", "core", "n", "bytes")
-    found = [_spans(named.join(twice.select(*_EXTENT), list(_EXTENT), "left_semi"), "start")]
+    found = [_spans(named.where("whole"), "start")]
     alike = opened.select("core").union(missed.select("core"))
     wanted = written(_partners(twice, alike).select(*_KEY, "start", "n").union(missed.select(*_KEY, "start", "n")), "suffix-wanted")
-    more = chosen_runs(docs, wanted).select(*opened.columns)
+    more = written(chosen_runs(docs, wanted).select(*opened.columns), "suffix-more")
     opened = opened.union(more).withColumn("open", F.array("start", "last"))
     for size in CELLS:
         now = written(cells(opened, size), "suffix-cells")
         twice = _repeated(now, _EXTENT, (*_KEY, "start", "first", "last", "core"))
-        found.append(_spans(now.join(twice.select(*_EXTENT), list(_EXTENT), "left_semi"), "first"))
+        told = _told(now, twice)
+        found.append(_spans(told.where("whole"), "first"))
         if size > 1:
-            left = now.join(twice.select(*_EXTENT), list(_EXTENT), "left_anti").join(_repeated(now, ("core",)), "core", "left_semi")
-            left = left.unionByName(_partners(twice, left))
+            left = told.where("whole IS NULL").drop("whole").join(_repeated(now, ("core",)), "core", "left_semi")
+            left = left.unionByName(_partners(twice, left).drop(*_EXTENT))
             left = left.groupBy(*_KEY, "start", "n").agg(F.flatten(F.collect_set(F.array("first", "last"))).alias("open"))
             known = opened.select(*_KEY, "start", "anchor", "bytes").dropDuplicates([*_KEY, "start"])
             opened = written(known.join(left, [*_KEY, "start"]), "suffix-open")

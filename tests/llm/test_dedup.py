@@ -9,16 +9,18 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from quantloom.llm import simhash
-from quantloom.llm.bloom import bloom, passes
+from quantloom.llm.bloom import bloom, holding, passes
 from quantloom.llm.graph import components
 from quantloom.llm.passages import WORDS
 from quantloom.llm.simhash import simhash_components, split_hot, without_near_copies
 from quantloom.llm.suffixes import LENGTH, PIECE, runs_of, without_repeats
+from quantloom.llm.text import anchored_runs
 
 
 def brute_repeats(texts):
@@ -54,6 +56,47 @@ def test_suffixes_hold_little_memory_a_piece():
     assert peak < 150 << 20  # two tasks run beside an executor's heap
 
 
+def test_suffixes_pass_over_texts_seven_times(spark, documents):
+    # two counts, two choices of runs, the bytes of runs chosen late, the names of chosen passages, and the removal
+    docs, seen = documents.select("doc_id", "text"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = without_repeats(docs.mapInArrow(counted, docs.schema)).agg(F.sum("n_removed")).first()[0]
+    assert got > 0 and 0 < seen.value <= 7 * docs.count()
+
+
+def test_anchored_runs_match_plain_search():
+    rng = np.random.default_rng(4)
+    window, length = 5, 8
+    for lengths in ([], [0], [7, 0], [8], [0, 30, 0, 0, 9, 7, 200, 0], [50] * 9):
+        ends = np.cumsum([0, *lengths])
+        n = int(ends[-1])
+        key = np.full(-(-(n + window) // window) * window, np.iinfo(np.uint64).max, np.uint64)
+        key[:n] = rng.integers(0, 9, n).astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64)
+        want = []
+        for text, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            for start in range(a, b - length + 1):
+                anchor = min(key[start : start + window].tolist()) & 0xFFFFFFFF
+                if want and want[-1][0] == text and want[-1][3] == anchor:
+                    want[-1][2] = start
+                else:
+                    want.append([text, start, start, anchor])
+        assert anchored_runs(key.copy(), ends, window, length).tolist() == want
+
+
+def test_only_rows_that_the_filter_may_hold_are_kept(spark):
+    words = bloom(spark.range(500).selectExpr("xxhash64(id) AS name"))
+    own = [r["name"] for r in spark.range(500).selectExpr("xxhash64(id) AS name").collect()]
+    others = [r["name"] for r in spark.range(10_000, 12_000).selectExpr("xxhash64(id) AS name").collect()]
+    batch = pa.RecordBatch.from_pydict({"k1": own + others, "text": [str(k) for k in range(2500)]})
+    kept = pa.Table.from_batches(holding(iter([batch, batch.slice(0, 0)]), words))
+    assert kept.column("text").to_pylist()[:500] == [str(k) for k in range(500)] and kept.num_rows < 600
+
+
 def test_suffixes_odd_rows(spark, odd, none):
     # offsets of equal strings that differ from copy to copy, and overlapping repeats
     base = "".join(f"passage {k} of a text; " for k in range(60))

@@ -312,6 +312,61 @@ def test_a_piece_is_left_out_of_the_counts_it_is_fitted_with():
     assert len(seen) == 8 and all((a == b).all() for a, (b, _) in zip(seen, want)) and any((a[:-1] != 0).any() for a in seen)
 
 
+def test_words_are_cut_as_bytes_are():
+    texts = [b"", b" \t", b"one", b" Two\x0bTWO\x0c\xc3\x89t\xc3\xa9\x1c\x85\xc2\xa0x\n", b"\x00 a\x00b \xed\xa0\x80", b"", b"last\r\nwords "]
+    words, ends = mixing._words(texts)
+    assert [words[a:b].to_pylist() for a, b in zip(ends[:-1], ends[1:])] == [t.lower().split() for t in texts]
+    assert [len(x) for x in mixing._words([])] == [0, 1]
+
+
+def test_counters_stay_right_where_words_and_slots_are_given_out_early(spark, monkeypatch):
+    texts = [f"document {k} has the number {k * k} and {'many ' * k}words of its own" for k in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+
+    def sums():
+        rows = mixing.gather(docs)
+        words = rows.where("words IS NOT NULL").select(F.inline(F.arrays_zip("words", "times"))).groupBy("words").agg(F.sum("times")).collect()
+        slots = rows.where("run IS NOT NULL").groupBy("run").agg(*(F.sum(f"n{k}") for k in range(2 * mixing.ROW))).collect()
+        return {bytes(w): n for w, n in words}, sorted(slots), rows.where("run IS NOT NULL").count(), rows.where("words IS NOT NULL").count()
+
+    words, slots, n_slots, n_words = sums()
+    assert words == Counter(w for t in texts for w in t.encode().split()) + Counter({mixing.END: len(texts)})
+    gather = mixing.gather
+
+    def early(docs):
+        monkeypatch.setattr(mixing, "PIECE", 300)
+        monkeypatch.setattr(mixing, "HELD_WORDS", 20)
+        monkeypatch.setattr(mixing, "HELD_BYTES", 1000)
+        return gather(docs)
+
+    monkeypatch.setattr(mixing, "gather", early)
+    found = sums()
+    assert found[:2] == (words, slots) and found[2] > n_slots and found[3] > n_words
+
+
+def test_scores_in_blocks_are_those_of_single_codes():
+    code, times = mixing._counted(mixing._codes([bytes(np.random.default_rng(3).integers(97, 123, 5000).astype(np.uint8)), b"", b"more text"])[0])
+    counts = np.zeros((len(mixing.ORDERS), mixing._SLOTS, 2), np.int32)
+    mixing._add(counts, code, times)
+    mixer = mixing.Mixer.fresh(mixing._odds(*(counts[..., k].astype(np.float32) for k in (0, 1))))
+    shared = np.resize(code, mixing.BLOCK + len(code) // 2)  # over the end of a block
+    whole = mixer.log10(shared)
+    assert abs(whole[: len(code)] - [mixer.log10(code[k : k + 1])[0] for k in range(len(code))]).max() < 1e-5
+    assert (whole == np.resize(whole[: len(code)], len(whole))).all() and mixer.log10(code[:0]).size == 0
+
+
+def test_codes_take_little_memory():
+    import tracemalloc
+
+    mixing._codes([b"first"])
+    texts = [b"some words of a text " * 5000] * 20
+    tracemalloc.start()
+    code, _ = mixing._codes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * code.nbytes  # 2.25 times where all codes were held twice
+
+
 def test_scores_beat_the_base_score(spark):
     found = mixing.score_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").toPandas()
     assert found.score.sum() > 0.9 * found.base_score.sum()

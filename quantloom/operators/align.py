@@ -121,18 +121,18 @@ def _bucketed(left: DataFrame, right: DataFrame, on: Column, right_on: Column, c
     there = right.where(right_on.isNotNull()).select(*(F.col(k).alias(f"__{k}") for k in by), right_on.alias("__t"), found.alias("__found"))
     keys = [f"__{k}" for k in by]
     both = here.unionByName(there, allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t") / bucket))
-    group, steps = Window.partitionBy(*keys, "__b"), Window.partitionBy(*keys, F.lit(0)).orderBy("__b")
+    group, steps = Window.partitionBy(*keys, "__b"), Window.partitionBy(*keys, F.lit(0))
     summary = both.groupBy(*keys, "__b").agg(F.max("__found").alias("__most"), F.min("__found").alias("__least"))
-    order, summaries = F.col("__row").isNotNull(), []
+    is_row, summaries = F.col("__row").isNotNull(), []
+    # frames grow from the first row of their order: one that reaches to the last is computed anew for every row, so ahead the order is turned
+    so_far, earlier = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
     if direction != "forward":
-        before = steps.rowsBetween(Window.unboundedPreceding, -1)
-        summaries.append(F.last("__most", ignorenulls=True).over(before).alias("__before"))
-        own = F.last("__found", ignorenulls=True).over(group.orderBy("__t", order, "__found").rowsBetween(Window.unboundedPreceding, 0))
+        summaries.append(F.last("__most", ignorenulls=True).over(steps.orderBy("__b").rowsBetween(*earlier)).alias("__before"))
+        own = F.last("__found", ignorenulls=True).over(group.orderBy("__t", is_row, "__found").rowsBetween(*so_far))
         both = both.withColumn("__back", own)
     if direction != "backward":
-        after = steps.rowsBetween(1, Window.unboundedFollowing)
-        summaries.append(F.first("__least", ignorenulls=True).over(after).alias("__after"))
-        own = F.first("__found", ignorenulls=True).over(group.orderBy("__t", ~order, "__found").rowsBetween(0, Window.unboundedFollowing))
+        summaries.append(F.last("__least", ignorenulls=True).over(steps.orderBy(F.desc("__b")).rowsBetween(*earlier)).alias("__after"))
+        own = F.last("__found", ignorenulls=True).over(group.orderBy(F.desc("__t"), is_row, F.desc("__found")).rowsBetween(*so_far))
         both = both.withColumn("__next", own)
     carried = summary.where("__b IS NOT NULL").select(*keys, "__b", *summaries)
     same = F.lit(True)

@@ -89,6 +89,17 @@ def test_asof_by_keys_is_the_same_broadcast_and_in_buckets(spark, monkeypatch, d
     assert none.count() == 500 and none.where("match IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("direction", align.DIRECTIONS)
+def test_a_full_bucket_is_read_once(spark, direction):
+    # 30,000 rows of one day; a frame that reaches to a bucket's end is computed anew for every row of it
+    left = spark.range(15_000).select((F.col("id") * 5_000_011 % 86_400_000_000).alias("t"), "id")
+    right = spark.range(15_000).select((F.col("id") * 7_000_003 % 86_400_000_000).alias("u"), F.col("id").alias("v"))
+    found = {b: align.asof(left, right, on=F.col("t"), right_on=F.col("u"), columns={"v": F.col("v")}, direction=direction, broadcast=b) for b in (False, True)}
+    assert "unboundedfollowing" not in found[False]._jdf.queryExecution().executedPlan().toString().lower()
+    rows = {b: sorted((r["id"], r["match"] and tuple(r["match"])) for r in own.collect()) for b, own in found.items()}
+    assert rows[False] == rows[True] and len(rows[True]) == 15_000
+
+
 def test_stale_policies_and_null_times(spark):
     bars = spark.createDataFrame([(day(5),), (None,)], "ts timestamp_ntz")
     signal = spark.createDataFrame([(day(0), 5.0)], "event_ts timestamp_ntz, signal_value double")

@@ -185,6 +185,8 @@ def parameter_stability(table: DataFrame, params: Sequence[str], objective: str
     """How steady the objective is around its best parameters, over a sweep's results (a row a strategy): a row for each ``by``, or one row.
 
     Besides scores it has the best parameters by the objective over the whole range, in sample and out of sample.
+    Values equal to nine places are equal where they are ordered or ranked: strategies that trade alike over a range
+    differ in the last digits if they came to it with another equity.
     """
     metric = objective if objective in table.columns else "sharpe"
     kinds = {f.name: f.dataType.simpleString() for f in table.schema}
@@ -192,7 +194,7 @@ def parameter_stability(table: DataFrame, params: Sequence[str], objective: str
     by = list(by)
     all_rows = Window.partitionBy(*(by or [F.lit(0)]))  # a row a strategy
     m = F.col(metric).cast("double")
-    rows = table.withColumns({"m": m, "n": F.count("*").over(all_rows), "place": F.row_number().over(all_rows.orderBy(F.desc(m), "strategy_id"))})
+    rows = table.withColumns({"m": m, "n": F.count("*").over(all_rows), "place": F.row_number().over(all_rows.orderBy(F.desc(F.round(m, 9)), "strategy_id"))})
     top = rows.where("place = 1")
     far = F.lit(0.0)
     for p in numeric:
@@ -210,7 +212,7 @@ def parameter_stability(table: DataFrame, params: Sequence[str], objective: str
     known = all(s in table.columns for s in sides)
     for k, s in enumerate(sides):
         both = F.col(sides[0]).isNotNull() & F.col(sides[1]).isNotNull() if known else None
-        value = F.when(both, F.col(s)) if known else F.lit(None).cast("double")
+        value = F.when(both, F.round(s, 9)) if known else F.lit(None).cast("double")
         # the average rank of equal values
         rows = rows.withColumn(f"v{k}", value)
         rows = rows.withColumn(f"rank{k}", F.when(F.col(f"v{k}").isNotNull(), F.rank().over(all_rows.orderBy(F.asc_nulls_last(f"v{k}"))) + (F.count("*").over(Window.partitionBy(*by, f"v{k}")) - 1) / 2))

@@ -375,6 +375,15 @@ def test_stability_of_a_flat_and_a_peaked_grid(spark):
     assert abs(row["is_oos_rank_corr"] - want) < 1e-12 and row["best_params"]["p"] == 4
 
 
+def test_stability_of_values_equal_but_for_their_last_digits(spark):
+    noise = 1e-14
+    rows = [("s0", 1, 2.0, 1.0, 5.0), ("s1", 2, 2.0 + noise, 2.0, 5.0 - noise), ("s2", 3, 1.0, 3.0, 4.0 + noise), ("s3", 4, 0.5, 3.0 + noise, 4.0)]
+    table = spark.createDataFrame(rows, "strategy_id string, p bigint, sharpe double, in_sample_sharpe double, out_sample_sharpe double")
+    row = research.parameter_stability(table, ["p"], "sharpe").first()
+    assert row["is_oos_rank_corr"] == pytest.approx(pd.Series([1, 2, 3, 3]).rank().corr(pd.Series([5, 5, 4, 4]).rank()))
+    assert row["best_params"]["p"] == 1 and row["best_is_params"]["p"] == 3 and row["best_oos_params"]["p"] == 1
+
+
 # --- portfolio, OMS, Monte Carlo, quality, sources
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom import queries
+from quantloom.functions import blocks
 from quantloom.functions.conditions import CONDITIONS, Condition, cond, register_condition
 from quantloom.functions.series import Series, exact_quantile
 from quantloom.functions.transforms import TRANSFORMS, apply_transform, norm, register_transform
@@ -502,6 +503,35 @@ def test_monte_carlo_of_every_account(spark, tmp_path, method):
     np.testing.assert_allclose(got, want)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 100, 997])
+def test_a_shuffle_backwards_gives_the_steps(n):
+    for sim in range(3):
+        images = np.array(plain_permutation(n, sim, 5))
+        assert montecarlo._unpermuted(images, sim, 5, n).tolist() == list(range(n))
+
+
+@pytest.mark.parametrize("length", [1_000_000, 70])
+@pytest.mark.parametrize("lowest", [-0.3, -1.5])
+def test_packed_shuffles_are_those_of_rows(spark, monkeypatch, length, lowest):
+    rng = np.random.default_rng(6)
+    values = [lowest, None, *rng.normal(0.001, 0.05, 300).tolist(), float("nan"), *rng.normal(0.001, 0.05, 100).tolist()]
+    returns = spark.createDataFrame(list(enumerate(values)), "step bigint, r double").repartition(3)
+    monkeypatch.setattr(blocks, "LONG_ROWS", length)
+    monkeypatch.setattr(montecarlo, "TASK_STEPS", 500)
+
+    def report(rows):
+        monkeypatch.setattr(montecarlo, "PACKED_ROWS", rows)
+        return montecarlo.robustness(returns, n_sims=7, seed=3, method="shuffle", initial_equity=2.0).first().asDict()
+
+    packed, calls = [], montecarlo.shuffled_metrics
+    monkeypatch.setattr(montecarlo, "shuffled_metrics", lambda *a, **k: packed.append(a[1]) or calls(*a, **k))
+    got = report(100)
+    # a return below -1 makes equity negative, whose drawdowns blocks don't tell: those shuffles stay rows
+    assert packed == ([401] if lowest > -1 else []) and got == pytest.approx(report(10**9))
+    paths = montecarlo.simulate_trade_paths(returns, n_sims=2, seed=3, method="shuffle").toPandas()
+    assert len(paths) == 802 and sorted(paths.r[paths["sim"] == 1]) == sorted(v for v in values if v is not None and v == v)
+
+
 def test_quality(spark):
     rows = [(1, "2024-01-01", 1.0, 2.0, 0.5, 1.5, 1.0), (2, "2024-01-04", 1.0, 0.5, 0.5, -1.0, None), (3, "2024-01-02", 1.0, 2.0, 1.5, 1.5, 1.0), (4, "x", None, 2.0, 0.5, 1.5, 1.0)]
     df = spark.createDataFrame(rows, "n int, ts string, open double, high double, low double, close double, volume double")
